@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, media_ts
+from . import decontaminate, media_ts, simhash_gray, toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +22,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gray.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_media_ts": op4_media_ts,
     "op6_decontaminate": op6_decontaminate,
+    "op7_simhash_gray": op7_simhash_gray,
 }
