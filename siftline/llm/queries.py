@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, media_ts, simhash_gray, toxicity
+from . import decontaminate, media_ts, packing, simhash_gray, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.store_texts(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op7_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
     "op4_media_ts": op4_media_ts,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash_gray": op7_simhash_gray,

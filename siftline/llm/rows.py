@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,3 +38,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, for models that many tasks use."""
+    return sys.modules.setdefault("_siftline_worker_cache", ModuleType("_siftline_worker_cache")).__dict__
