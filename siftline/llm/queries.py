@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, media_ts, packing, simhash_gray, toxicity
+from . import decontaminate, media_ts, packing, pii, simhash_gray, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,15 @@ def op7_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_media_ts": op4_media_ts,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash_gray": op7_simhash_gray,
+    "op9_pii": op9_pii,
 }
