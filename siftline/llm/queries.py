@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, media_ts, packing, pii, simhash_gray, toxicity
+from . import decontaminate, html_blocks, media_ts, packing, pii, simhash_gray, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_media_ts": op4_media_ts,
+    "op5_html_blocks": op5_html_blocks,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash_gray": op7_simhash_gray,
     "op9_pii": op9_pii,
