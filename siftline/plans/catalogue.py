@@ -1,10 +1,473 @@
-"""Named queries over the driver's tables, each with a DuckDB twin where SQL can say it."""
+"""Named queries over the driver's tables, each with a DuckDB twin where SQL can say it.
+
+Lists are returned as joined text so that both engines' values compare alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import digest, paths, screen, text
+from ..operators import candidates as cand
+from ..operators import catalog, fts, graph, ledger, metrics, repo_map, requests, scoring, search, selection
+from ..sources import repository
+from ..sources.tables import table
+from .corpus import CORPUS, TOKENS, candidates, corpus, tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+JOIN = "array_to_string({0}, ',')"
+
+
+def query(oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def joined(column):
+    return F.array_join(column, ",")
+
+
+def _search_sql(terms: list[str], where: str = "true", limit: int = 10) -> str:
+    fields = {"title": "title", "path": "path", "module": "lang", "topic": "source", "body": "content"}
+    tok = ", ".join(f"{TOKENS.format(c)} AS k_{n}" for n, c in fields.items())
+    n = lambda f, t: f"len(list_filter(k_{f}, lambda x: x = '{t}'))"
+    total = " + ".join(f"{w} * least({n(f, t)}, {cap})" for t in terms for f, w, cap in search.FIELDS)
+    every = " AND ".join("(" + " OR ".join(f"{n(f, t)} > 0" for f in fields) + ")" for t in terms)
+    hit = " || ".join(f"CASE WHEN {' OR '.join(f'{n(f, t)} > 0' for t in terms)} THEN ',{f}' ELSE '' END" for f in fields)
+    return f"""WITH {CORPUS}, k AS (SELECT *, {tok} FROM corpus WHERE {where})
+SELECT id, path, title, authority, CAST({total} + CASE WHEN array_to_string(k_title, ' ') = '{" ".join(terms)}' THEN {search.EXACT_TITLE} ELSE 0 END AS BIGINT) AS score, substr({hit}, 2) AS matched_fields
+FROM k WHERE {every} ORDER BY score DESC, authority_rank, path, id LIMIT {limit}"""
+
+
+def _hits(hits: DataFrame) -> DataFrame:
+    return hits.select("id", "path", "title", "authority", "score", joined("matched_fields").alias("matched_fields"))
+
+
+@query(_search_sql(["the", "with"]))
+def doc_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(search.search(corpus(spark, sf_dir), "The with the"))
+
+
+@query(_search_sql(["de", "la"], "authority IN ('policy', 'adr') AND lang IN ('fr', 'es')", 20))
+def doc_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(search.search(corpus(spark, sf_dir), "De la", limit=20, authorities=["policy", "adr"], modules=["fr", "es"]))
+
+
+@query(f"""WITH {CORPUS} SELECT count(*) AS considered, count(*) FILTER (hit) AS matched, least(count(*) FILTER (hit), 10) AS returned, count(*) FILTER (hit) > 10 AS truncated
+FROM (SELECT list_has_all({TOKENS.format("title || ' ' || path || ' ' || lang || ' ' || source || ' ' || content")}, ['the', 'other']) AS hit FROM corpus)""")
+def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_summary(corpus(spark, sf_dir), "the other").withColumn("returned", F.col("returned").cast("long"))
+
+
+@query(f"SELECT term, count(*) AS tf FROM (SELECT unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term ORDER BY tf DESC, term LIMIT 20")
+def term_frequency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.term_frequencies(table(spark, sf_dir, "documents"))
+
+
+@query(f"""SELECT doc_id, CAST(len(t) AS INT) AS n_terms, array_to_string(list_sort(t)[1:64], ',') AS first_terms
+FROM (SELECT doc_id, list_distinct({TOKENS.format("coalesce(text, '')")}) AS t FROM documents)""")
+def distinct_terms_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.distinct_terms(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_terms"), joined(text.sorted_terms(F.col("text"))).alias("first_terms"))
+
+
+@query(f"""WITH {CORPUS} SELECT regexp_replace(trim(lower(title)), '\\s+', ' ', 'g') AS normalized_title, string_agg(id, ',' ORDER BY id) AS document_ids
+FROM corpus GROUP BY 1 HAVING count(DISTINCT source_hash) > 1""")
+def title_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.title_conflicts(corpus(spark, sf_dir)).withColumn("document_ids", joined("document_ids"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), a AS (
+  SELECT doc_id, ls, greatest(1, greatest(1, coalesce(list_position(list_transform(ls, lambda x: list_has_any({TOKENS.format("x")}, ['other', 'para', 'sich'])), true), 1)) - 2) AS s FROM l), e AS (
+  SELECT *, least(s + 5, len(ls)) AS e, regexp_replace(array_to_string(ls[s:least(s + 5, len(ls))], chr(10)), '[\\x00-\\x09\\x0B-\\x1F\\x7F]', ' ', 'g') AS body FROM a)
+SELECT doc_id, left(body, 400) AS excerpt, CAST(s AS INT) AS start_line, CAST(e AS INT) AS end_line, s > 1 OR e < len(ls) OR length(body) > 400 AS truncated FROM e""")
+def excerpt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = text.excerpt(F.col("text"), F.array(F.lit("other"), F.lit("para"), F.lit("sich")))
+    return table(spark, sf_dir, "documents").withColumn("e", e).select("doc_id", F.col("e.text").alias("excerpt"), "e.start_line", "e.end_line", "e.truncated")
+
+
+@query(f"""WITH {CORPUS}, h AS (SELECT path, size_bytes FROM corpus WHERE size_bytes <= 6000 ORDER BY path LIMIT 4096), r AS (
+  SELECT path, size_bytes, CAST(sum(size_bytes) OVER (ORDER BY path) AS BIGINT) AS total_bytes, CAST(row_number() OVER (ORDER BY path) AS INT) AS position FROM h)
+SELECT * FROM r WHERE total_bytes <= 1000000""")
+def corpus_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus(spark, sf_dir).where("size_bytes <= 6000").select("path", "size_bytes")
+    return catalog.capped(rows, "path", "size_bytes", catalog.MAX_DOCUMENTS, 1_000_000)
+
+
+@query(f"""WITH {CORPUS} SELECT id, path, 'implementation_note' AS path_authority, lang AS modules, source || '-' || doc_id AS stem,
+  array_to_string(list_sort(list_distinct({TOKENS.format("source || '-' || doc_id")})), ',') AS topics, source_hash, size_bytes FROM corpus""")
+def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.describe(corpus(spark, sf_dir).select("path", "content"), normalise=False)
+    stem = F.regexp_replace(paths.file_name(F.col("path")), r"\.md$", "")
+    return rows.select("id", "path", F.col("authority").alias("path_authority"), joined("modules").alias("modules"), stem.alias("stem"), joined("topics").alias("topics"), "source_hash", "size_bytes")
+
+
+@query(f"WITH {CORPUS} SELECT CAST(0 AS BIGINT) AS violations, count(*) AS documents, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM corpus")
+def catalog_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.describe(corpus(spark, sf_dir).select("path", "content"), normalise=False)
+    bad = catalog.violations(rows).agg(F.count("*").alias("violations"))
+    return bad.crossJoin(rows.agg(F.count("*").alias("documents"), F.sum("size_bytes").alias("total_bytes")))  # one row each
+
+
+@query(f"""WITH {CORPUS}, live AS (SELECT path, CASE WHEN doc_id % 11 = 3 THEN 'sha256:' || sha256(content || ' edited') ELSE source_hash END AS h FROM corpus WHERE doc_id % 13 <> 5
+  UNION ALL SELECT 'docs/new-' || doc_id || '.md', source_hash FROM corpus WHERE doc_id % 17 = 1)
+SELECT coalesce(c.path, l.path) AS path, CASE WHEN l.path IS NULL THEN 'missing' WHEN c.path IS NULL THEN 'added' ELSE 'changed' END AS status
+FROM corpus c FULL JOIN live l ON c.path = l.path WHERE l.path IS NULL OR c.path IS NULL OR c.source_hash <> l.h""")
+def catalog_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = corpus(spark, sf_dir)
+    edited = F.when(F.col("doc_id") % 11 == 3, digest.text_hash(F.concat("content", F.lit(" edited")))).otherwise(F.col("source_hash"))
+    kept = old.where("doc_id % 13 <> 5").select("path", edited.alias("source_hash"))
+    added = old.where("doc_id % 17 = 1").select(F.concat(F.lit("docs/new-"), "doc_id", F.lit(".md")).alias("path"), "source_hash")
+    return catalog.staleness(old, kept.unionByName(added))
+
+
+@query(f"""WITH {CORPUS} SELECT count(*) AS discovered_path_count, CAST(0 AS BIGINT) AS excluded_path_count, count(*) FILTER (size_bytes <= 6000) AS candidate_document_count,
+  count(*) FILTER (size_bytes > 6000) AS omitted_document_count, CAST(coalesce(sum(size_bytes) FILTER (size_bytes <= 6000), 0) AS BIGINT) AS total_bytes FROM corpus""")
+def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.summary(corpus(spark, sf_dir), 6000)
+
+
+PATHS = (".git/config", "docs/a.md", "src/.env.local", "Docs/Guide.MD", "keys/id_rsa", "a/con.txt", "a/b/tokens.json", "README.md", "src/api-keys.ts", "x/cert.PEM", "notes/nul", "src/index.ts", "a/secrets_old", "docs/adr/0001.md", "docs/schema/x.json", "AGENTS.md", "docs/roadmap.md", "pkg/roadmap.md", "../up", "a/../b", "ok/file.py")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {s}, {d}, {i}, '{a}')" for p, s, d, i, a in zip(
+    PATHS,
+    "true false true false true true true false true true true false true false false false false false false false false".split(),
+    "false true false true false false false true false false false false false true false true true false false false false".split(),
+    "true true true true true true true true true true true true true true true true true true false false true".split(),
+    "implementation_note implementation_note implementation_note implementation_note implementation_note implementation_note implementation_note implementation_note implementation_note implementation_note implementation_note implementation_note implementation_note adr contract_schema policy roadmap roadmap implementation_note implementation_note implementation_note".split(),
+    strict=True)) + ") AS t(path, sensitive, document, inside, authority)")
+def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(p,) for p in PATHS], "path string")
+    p = F.col("path")
+    return rows.select("path", paths.is_sensitive(p).alias("sensitive"), paths.is_document(p).alias("document"), paths.is_inside_root(p).alias("inside"), paths.authority(p)["authority"].alias("authority"))
+
+
+SECRETS = (
+    ("plain words", False), ("-----BEGIN RSA " + "PRIVATE KEY-----", True), ("Authorization: Bearer " + "a1b2c3d4e5f6a7b8c9", True), ("AKIA" + "ABCDEFGHIJKLMNOP", True),
+    ("ghp_" + "a" * 24, True), ("Authorization: Basic dXNlcjpwYXNz", True), ("Authorization: Basic dXNlcnBhc3M=", False), ("password: " + "correct horse battery", True),
+    ("| password | " + "Abcdef123456 |", True), ("password: none", False), ("client email: someone@example.com", True), ("customer phone: 12345678", True),
+    ('{"api_key": "' + 'abcdef0123456789"}', True), ("client tax id: 12", False), ("CPF: 529.982.247-25", True), ("CPF: 111.111.111-11", False), ("CNPJ: 11.222.333/0001-81", True), ("CNPJ: 11.222.333/0001-82", False),
+)
+
+
+@query("SELECT CAST(k AS BIGINT) AS k, s AS sensitive FROM (VALUES " + ", ".join(f"({k}, {str(s).lower()})" for k, (_, s) in enumerate(SECRETS)) + ") AS t(k, s) UNION ALL SELECT 1000 + doc_id, false FROM documents")
+def screen_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(SECRETS)], "k long, text string")
+    rows = rows.unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("k"), "text"))
+    return rows.select("k", screen.is_sensitive(F.coalesce("text", F.lit(""))).alias("sensitive"))
+
+
+_cpf = lambda n, c: f"({' + '.join(f'CAST(substr({c}, {i}, 1) AS INT) * {n + 2 - i}' for i in range(1, n + 1))}) * 10 % 11 % 10"
+
+
+@query(f"""WITH n AS (SELECT orders.o_orderkey AS k, lpad(CAST((orders.o_orderkey * 1234577 + 529982247) % 1000000000 AS VARCHAR), 9, '0') AS b FROM orders), c AS (
+  SELECT k, b, {_cpf(9, 'b')} AS d1 FROM n), d AS (SELECT k, b || d1 AS b1, d1 FROM c)
+SELECT k, b1 || CASE WHEN k % 2 = 0 THEN {_cpf(10, 'b1')} ELSE ({_cpf(10, 'b1')} + 1) % 10 END AS number, k % 2 = 0 AND NOT regexp_matches(b1, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$') AS valid FROM d""")
+def screen_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.lpad(((F.col("o_orderkey") * 1234577 + 529982247) % 1000000000).cast("string"), 9, "0")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), digits.alias("b"))
+    rows = rows.withColumn("b", F.concat("b", screen._check_digit(F.col("b"), list(range(10, 1, -1)), "tenfold")))
+    second = screen._check_digit(F.col("b"), list(range(11, 1, -1)), "tenfold")
+    rows = rows.withColumn("number", F.concat("b", F.when(F.col("k") % 2 == 0, second).otherwise((second + 1) % 10)))
+    return rows.select("k", "number", screen.valid_cpf(F.col("number")).alias("valid"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '[A-Za-z0-9._~+/=-]{24,}'), [''])) AS tok FROM documents)
+SELECT doc_id, count(*) FILTER (regexp_matches(tok, '[A-Za-z]') AND regexp_matches(tok, '[0-9]')) AS redacted FROM t GROUP BY doc_id""")
+def redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = screen.redact_opaque(F.col("text"))
+    mark = screen.REDACTED.replace("[", r"\[").replace("]", r"\]")
+    n = F.regexp_count(clean, F.lit(mark)) - F.regexp_count(F.col("text"), F.lit(mark))
+    return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("redacted"))
+
+
+@query(f"""WITH {CORPUS} SELECT path, first_value(path) OVER w AS representative, count(*) OVER (PARTITION BY source_hash) AS copies FROM corpus
+WINDOW w AS (PARTITION BY source_hash ORDER BY authority_rank, length(path), path)""")
+def duplicate_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus(spark, sf_dir)
+    same = Window.partitionBy("source_hash")
+    lead = F.first("path").over(same.orderBy(catalog.authority_rank(F.col("authority")), F.length("path"), "path"))
+    return rows.select("path", lead.alias("representative"), F.count("*").over(same).alias("copies"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(tasks(spark), candidates(spark, sf_dir))
+
+
+CANDIDATES = f"""{CORPUS}, c AS (
+  SELECT 'T-' || (doc_id % 3 + 1) AS task_id, id, path, authority, content, source_hash, doc_id, CASE WHEN doc_id % 50 = 7 THEN 'sym' || (doc_id % 200) END AS symbol,
+    {TOKENS.format("path || ' ' || coalesce(CASE WHEN doc_id % 50 = 7 THEN 'sym' || (doc_id % 200) END, '') || ' ' || content")} AS vis FROM corpus
+), need AS (SELECT * FROM (VALUES
+  ('T-1', ['that','the','other'], [['there','other'], ['reads','writes','index']], ['docs/en/src1-1.md'], ['docs/en/src2-2.md']),
+  ('T-2', ['de','la','para'], [['la','los','para']], [], []),
+  ('T-3', ['und','der','die'], [['der','und','von']], ['docs/de'], [])) AS t(task_id, q, crit, hp, req)
+), m AS (SELECT c.*, q, crit, hp, req, CAST(len(list_filter(q, lambda x: list_contains(vis, x))) AS BIGINT) AS nq, CAST(len(list_filter(list_distinct(flatten(crit)), lambda x: list_contains(vis, x))) AS BIGINT) AS nr FROM c JOIN need USING (task_id)
+)"""
+
+
+@query(f"""WITH {CANDIDATES} SELECT task_id, id, nr * 120 AS required_terms, nq * 80 AS query_terms,
+  CAST(CASE authority WHEN 'policy' THEN 200 WHEN 'adr' THEN 180 WHEN 'specification' THEN 160 WHEN 'contract_schema' THEN 140 WHEN 'roadmap' THEN 100 ELSE 0 END AS BIGINT) AS authority_score,
+  CAST(CASE WHEN list_contains(req, path) THEN 10000 ELSE 0 END AS BIGINT) AS required_source,
+  nr * 120 + nq * 80 + CASE authority WHEN 'policy' THEN 200 WHEN 'adr' THEN 180 WHEN 'specification' THEN 160 WHEN 'contract_schema' THEN 140 WHEN 'roadmap' THEN 100 ELSE 0 END
+   + CASE WHEN list_contains(req, path) THEN 10000 ELSE 0 END + CASE WHEN list_contains(hp, path) THEN 800 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 100 ELSE 0 END AS score FROM m""")
+def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = "components"
+    return _scored(spark, sf_dir).select("task_id", "id", F.col(f"{c}.required_terms"), F.col(f"{c}.query_terms"), F.col(f"{c}.authority").alias("authority_score"), F.col(f"{c}.required_source"), "score")
+
+
+@query(f"""WITH {CORPUS} SELECT id, array_to_string(list_sort(list_filter(['other','para','sich','the','und'], lambda x: list_contains({TOKENS.format("path || ' ' || content")}, x))), ',') AS matched_terms FROM corpus""")
+def signal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = F.array(*[F.lit(t) for t in ("other", "para", "sich", "the", "und")])
+    found, _ = cand.signals(F.array_distinct(text.tokens(F.concat_ws(" ", "path", "content"))), terms, F.array().cast("array<struct<id:string,text:string,required_terms:array<string>>>"))
+    return corpus(spark, sf_dir).select("id", joined(found).alias("matched_terms"))
+
+
+@query(f"""WITH {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY task_id, source_hash ORDER BY CASE WHEN list_contains(req, path) THEN 0 ELSE 1 END, CASE WHEN doc_id % 7 < 4 THEN doc_id % 7 WHEN doc_id % 7 = 4 THEN 7 ELSE 99 END,
+    length(path || '::' || coalesce(symbol, '')), path) AS rn FROM m), g AS (
+  SELECT task_id, 'symbol:' || symbol AS loc, id, source_hash FROM r WHERE rn = 1 AND doc_id % 7 < 5 AND symbol IS NOT NULL
+  UNION ALL SELECT task_id, 'topic:criterion:AC-' || lpad(CAST(i AS VARCHAR), 3, '0'), id, source_hash FROM (SELECT *, unnest(range(1, len(crit) + 1)) AS i FROM r WHERE rn = 1 AND doc_id % 7 < 5 AND symbol IS NULL AND nr > 0) WHERE list_has_any(crit[i], vis)
+  UNION ALL SELECT task_id, 'path:' || path || ':0:0', id, source_hash FROM r WHERE rn = 1 AND doc_id % 7 < 5 AND symbol IS NULL AND nr = 0)
+SELECT task_id, 'conflict-' || sha256(loc) AS conflict_key, count(*) AS candidates, md5(string_agg(id, ',' ORDER BY id)) AS ids_md5 FROM g GROUP BY task_id, loc HAVING count(DISTINCT source_hash) > 1""")
+def authority_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selection.conflicts(selection.duplicates(_scored(spark, sf_dir)))
+    return found.select("task_id", "conflict_key", F.size("candidate_ids").cast("long").alias("candidates"), F.md5(joined("candidate_ids").cast("binary")).alias("ids_md5"))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).withColumn("kind", F.lit("document"))
+
+
+@query(f"""WITH {CORPUS}, w AS (SELECT path, {TOKENS.format("title")} AS t, {TOKENS.format("content")} AS c FROM corpus),
+s AS (SELECT count(*) AS n, avg(8.0 * len(t) + len(c)) AS mean FROM w),
+p AS (SELECT path, term, 8.0 * len(list_filter(t, lambda x: x = term)) + len(list_filter(c, lambda x: x = term)) AS tf, 8.0 * len(t) + len(c) AS dl FROM w, (VALUES ('the'), ('worthless')) AS q(term)),
+f AS (SELECT term, count(*) AS df FROM p WHERE tf > 0 GROUP BY term)
+SELECT path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+FROM p JOIN f USING (term), s WHERE tf > 0 GROUP BY path HAVING count(*) = 2 ORDER BY score DESC, path LIMIT 50""")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = fts.build(fts.prepare_sources(_sources(spark, sf_dir)))
+    return fts.search(index, "the worthless").select("path", "score")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS orphan_postings, CAST(0 AS BIGINT) AS missing_postings, CAST(0 AS BIGINT) AS missing_lengths, CAST(0 AS BIGINT) AS changed_sources, CAST(0 AS BIGINT) AS duplicate_sources")
+def index_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fts.integrity(fts.build(fts.prepare_sources(_sources(spark, sf_dir))))
+
+
+@query(f"""WITH {CORPUS}, anc AS (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS d, string_split(path, '/') AS s FROM corpus), pol AS (SELECT * FROM (VALUES ('docs', 'docs/AGENTS.md'), ('docs/fr', 'docs/fr/AGENTS.md'), ('docs/de', 'docs/de/agents.md')) AS t(scope, policy))
+SELECT path AS target, arg_max(policy, d) AS policy FROM anc JOIN pol ON array_to_string(s[1:d], '/') = scope GROUP BY path""")
+def nearest_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policies = spark.createDataFrame([("docs", "docs/AGENTS.md"), ("docs/fr", "docs/fr/AGENTS.md"), ("docs/de", "docs/de/agents.md")], "scope string, policy string")
+    above = corpus(spark, sf_dir).select(F.col("path").alias("target"), F.posexplode(paths.ancestors(F.col("path"))).alias("depth", "scope"))
+    return above.join(policies, "scope").groupBy("target").agg(F.min_by("policy", "depth").alias("policy"))
+
+
+@query(f"""WITH RECURSIVE {CORPUS}, x AS (SELECT 'L-' || lang AS task_id, id, size_bytes AS b, CAST(ceil(size_bytes / 4.0) AS BIGINT) AS t, row_number() OVER (PARTITION BY lang ORDER BY path, id) AS rn FROM corpus),
+f AS (SELECT task_id, 0::BIGINT AS rn, 0::BIGINT AS n, 0::BIGINT AS ub, 0::BIGINT AS ut FROM (SELECT DISTINCT task_id FROM x) UNION ALL
+  SELECT x.task_id, x.rn, CASE WHEN n < 40 AND ub + b <= 60000 AND ut + t <= 14000 THEN n + 1 ELSE n END, CASE WHEN n < 40 AND ub + b <= 60000 AND ut + t <= 14000 THEN ub + b ELSE ub END, CASE WHEN n < 40 AND ub + b <= 60000 AND ut + t <= 14000 THEN ut + t ELSE ut END
+  FROM f JOIN x ON x.task_id = f.task_id AND x.rn = f.rn + 1)
+SELECT task_id, arg_max(n, rn) AS used_items, arg_max(ub, rn) AS used_bytes, arg_max(ut, rn) AS used_tokens FROM f GROUP BY task_id""")
+def mandatory_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus(spark, sf_dir).select(
+        F.concat(F.lit("L-"), F.get("modules", F.lit(0))).alias("task_id"), "id", F.col("path").alias("order"), F.col("size_bytes").alias("excerpt_bytes"), text.token_estimate(F.col("content")).alias("estimated_tokens"),
+        F.lit(40).alias("max_items"), F.lit(60_000).alias("max_bytes"), F.lit(14_000).alias("max_tokens"),
+    )
+    return selection.first_fit(rows).drop("ids")
+
+
+def _aggregated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tasks, and the capped candidates that two providers make of the corpus for them."""
+    asked = tasks(spark)
+    rows = _sources(spark, sf_dir)
+    docs = cand.of_sources(asked, rows.where("doc_id % 3 <> 0"), "documents")
+    files = cand.of_sources(asked, rows.where("doc_id % 3 = 0"), "filesystem")
+    notes = cand.of_text(asked, "repo_map", "repository_map", "repo-map.json", '[{"path":"docs","name":"docs"}]', True)
+    return asked, cand.aggregate(asked, [docs, files, notes])
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    asked, found = _aggregated(spark, sf_dir)
+    return selection.select(scoring.score(asked, found))
+
+
+@query()
+def aggregated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aggregated(spark, sf_dir)[1].select("task_id", "id", "provider", "path", "excerpt_bytes", "estimated_tokens", joined("matched_terms").alias("matched_terms"), joined("truncation_reasons").alias("truncation_reasons"))
+
+
+@query()
+def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir)[0].select("task_id", "candidate_id", "path", "status", "reason", "mandatory", "score", joined("marginal_terms").alias("marginal_terms"), "duplicate_of", "position")
+
+
+@query()
+def criteria_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    covered = selection.coverage(*_decided(spark, sf_dir))
+    return covered.select("task_id", "criterion_id", "mode", "status", joined("candidate_ids").alias("candidate_ids"), joined("matched_terms").alias("matched_terms"), joined("missing_terms").alias("missing_terms"))
+
+
+@query()
+def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions, found = _decided(spark, sf_dir)
+    out = selection.status(decisions, selection.coverage(decisions, found), found)
+    return out.withColumn("missing_required_sources", joined("missing_required_sources")).withColumn("missing_required_terms", joined("missing_required_terms"))
+
+
+@query()
+def ablate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ledger.ablate_all(_decided(spark, sf_dir)[0])
+    return out.withColumn("missing_criteria_ids", joined("missing_criteria_ids")).withColumn("missing_required_terms", joined("missing_required_terms"))
+
+
+@query()
+def selection_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.envelope_digest(_decided(spark, sf_dir)[0])
+
+
+@query("SELECT CAST(0 AS BIGINT) AS violations")
+def receipt_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.receipt_violations(_decided(spark, sf_dir)[0]).agg(F.count("*").alias("violations"))
+
+
+@query(f"""WITH {CORPUS}, a AS (SELECT lang AS task_id, id FROM corpus WHERE doc_id % 5 <> 0), b AS (SELECT lang AS task_id, id FROM corpus WHERE doc_id % 7 <> 0)
+SELECT task_id, md5(coalesce(string_agg(id, ',' ORDER BY id) FILTER (o IS NULL), '')) AS added_md5, md5(coalesce(string_agg(id, ',' ORDER BY id) FILTER (n IS NULL), '')) AS removed_md5, 'DRIFTED' AS status
+FROM (SELECT coalesce(a.task_id, b.task_id) AS task_id, coalesce(a.id, b.id) AS id, a.id AS o, b.id AS n FROM a FULL JOIN b ON a.task_id = b.task_id AND a.id = b.id) GROUP BY task_id""")
+def replay_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus(spark, sf_dir).select("doc_id", F.get("modules", F.lit(0)).alias("task_id"), F.col("id").alias("candidate_id"))
+    out = ledger.replay_drift(rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 7 <> 0"))
+    md5 = lambda c: F.md5(joined(c).cast("binary"))
+    return out.select("task_id", md5("added_candidate_ids").alias("added_md5"), md5("removed_candidate_ids").alias("removed_md5"), "status")
+
+
+@query("""WITH r AS (SELECT conv_id AS task_id, turn AS sequence, 'sha256:' || sha256(concat_ws(chr(10), CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), text)) AS d FROM conversations)
+SELECT task_id, sequence, d AS record_digest, lag(d) OVER (PARTITION BY task_id ORDER BY sequence) AS previous_record_digest FROM r""")
+def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("sequence"), F.col("text").alias("body"))
+    return ledger.chain(rows).drop("body")
+
+
+@query("""SELECT conv_id AS task_id, turn AS sequence, 'digest' AS rule FROM conversations WHERE conv_id % 9 = 4 AND turn = 1
+UNION ALL SELECT c.conv_id, min(c.turn) FILTER (c.turn > 2), 'previous' FROM conversations c WHERE conv_id % 9 = 5 GROUP BY conv_id HAVING count(*) FILTER (turn = 2) > 0 AND count(*) FILTER (turn > 2) > 0
+UNION ALL SELECT conv_id, turn, 'sequence' FROM conversations WHERE conv_id % 9 = 5 AND turn > 2 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 2)""")
+def ledger_chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("sequence"), F.col("text").alias("body"))
+    chained = ledger.chain(rows)
+    edited = F.when((F.col("task_id") % 9 == 4) & (F.col("sequence") == 1), F.concat("body", F.lit("!"))).otherwise(F.col("body"))
+    return ledger.chain_violations(chained.withColumn("body", edited).where("NOT (task_id % 9 = 5 AND sequence = 2)"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric records from events: users are tasks, event parity the arm."""
+    e = table(spark, sf_dir, "events")
+    n = F.count("*")
+    grouped = e.groupBy(F.concat(F.lit("U-"), "user_id").alias("task_id"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("arm"))
+    rows = grouped.agg(n.alias("input_tokens"), F.nullif(F.count_if(F.col("event_type") == "click"), F.lit(0)).alias("tool_calls"), F.max("event_id").alias("duration_ms"), F.min("event_id").alias("least"))
+    have = {"input_tokens", "tool_calls", "duration_ms"}
+    rows = rows.select("*", *[F.lit(None).cast("long").alias(f) for f in metrics.FIELDS if f not in have])
+    env = F.struct(*[(F.when(F.col("least") % 10 == 0, "other").otherwise("same") if x == "commit" else F.lit(1).cast("long") if x == "time_limit_ms" else F.lit(x)).alias(x) for x in metrics.ENVIRONMENT])
+    status = {"test_status": F.when(F.col("least") % 7 == 0, "FAIL").otherwise("PASS"), "review_status": F.lit("PASS"), "completion_status": F.when(F.col("least") % 5 == 0, "UNKNOWN").otherwise("PASS")}
+    return rows.withColumns(status | {"estimated_fields": F.array(F.lit("tool_calls")), "run_environment": env, "recorded_at": F.lit("2024-01-01T00:00:00Z"), "schema_version": F.lit("0.1")})
+
+
+RECORDS = """r AS (SELECT 'U-' || user_id AS task_id, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS arm, count(*) AS i, nullif(count(*) FILTER (event_type = 'click'), 0) AS t, max(event_id) AS d, min(event_id) AS least FROM events GROUP BY ALL)"""
+
+
+@query(f"WITH {RECORDS} SELECT count(*) AS record_count, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(t) AS BIGINT) AS tool_calls, CAST(sum(d) AS BIGINT) AS duration_ms, CAST(NULL AS BIGINT) AS file_reads, 'tool_calls' AS estimated_fields FROM r")
+def metric_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.totals(_records(spark, sf_dir)).select("record_count", "input_tokens", "tool_calls", "duration_ms", "file_reads", joined("estimated_fields").alias("estimated_fields"))
+
+
+@query(f"""WITH {RECORDS}, j AS (SELECT a.task_id, b.i - a.i AS di, b.t - a.t AS dt, b.d - a.d AS dd, a.least AS la, b.least AS lb FROM r a JOIN r b ON a.task_id = b.task_id AND a.arm = 'A' AND b.arm = 'B'),
+g AS (SELECT *, CASE WHEN lb % 7 = 0 THEN 'FAIL' WHEN la % 7 = 0 OR la % 5 = 0 OR lb % 5 = 0 THEN 'UNKNOWN' ELSE 'PASS' END AS q, CASE WHEN (la % 10 = 0) <> (lb % 10 = 0) THEN 'MISMATCH' ELSE 'MATCHED' END AS e FROM j)
+SELECT task_id, di AS delta_input_tokens, dt AS delta_tool_calls, dd AS delta_duration_ms, CASE WHEN dt IS NULL THEN '' ELSE 'tool_calls' END AS estimated_fields, e AS environment_gate, q AS quality_gate,
+  CASE WHEN q = 'FAIL' THEN 'QUALITY_REGRESSION' WHEN q <> 'PASS' THEN 'INSUFFICIENT_QUALITY_EVIDENCE' WHEN e <> 'MATCHED' THEN 'INSUFFICIENT_ENVIRONMENT_EVIDENCE' ELSE 'COMPARABLE_EVIDENCE' END AS interpretation FROM g""")
+def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.compare_arms(_records(spark, sf_dir))
+    return out.select("task_id", "delta_input_tokens", "delta_tool_calls", "delta_duration_ms", joined("estimated_fields").alias("estimated_fields"), "environment_gate", "quality_gate", "interpretation")
+
+
+SCRIPTS = (("src/a.ts",), ("src/b/index.ts",), ("src/c.tsx",), ("lib/d.js",), ("src/e.ts",))
+IMPORTS = (("src/a.ts", "./b"), ("src/a.ts", "./c.js"), ("src/a.ts", "../lib/d"), ("src/b/index.ts", "../e"), ("src/a.ts", "react"), ("src/a.ts", "../../out"), ("src/c.tsx", "./missing"), ("lib/d.js", "../src/a.js"))
+RESOLVED = ("src/b/index.ts", "src/c.tsx", "lib/d.js", "src/e.ts", None, None, None, "src/a.ts")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{s}', {repr(t) if t else 'NULL'})" for (p, s), t in zip(IMPORTS, RESOLVED, strict=True)) + ") AS t(path, specifier, target)")
+def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.resolve_imports(spark.createDataFrame(IMPORTS, "path string, specifier string"), spark.createDataFrame(SCRIPTS, "path string")).select("path", "specifier", "target")
+
+
+def _page_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as files, part sizes as symbols, and line items as calls between them: a graph of the input's size."""
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), "p_partkey", F.lit(".ts")).alias("path"), F.concat(F.lit("f"), F.col("p_partkey") % 97).alias("name"), "p_partkey")
+    nodes = part.select("path", "name", F.concat(F.lit("n"), "p_partkey").alias("node_id"), F.lit("function").alias("kind"), (F.col("p_partkey") % 3 != 0).alias("exported"))
+    items = table(spark, sf_dir, "lineitem")
+    calls = items.select(
+        F.concat(F.lit("src/p"), "l_partkey", F.lit(".ts")).alias("path"), F.concat(F.lit("n"), "l_partkey").alias("from_id"), F.concat(F.lit("f"), F.col("l_suppkey") % 97).alias("identifier"),
+        F.when(F.col("l_linenumber") == 7, F.concat(F.lit("o.f"), F.col("l_suppkey") % 97)).otherwise(F.concat(F.lit("f"), F.col("l_suppkey") % 97)).alias("target"), (F.col("l_linenumber") == 6).alias("lexically_shadowed"),
+        "l_orderkey", "l_linenumber",
+    )
+    bindings = items.where("l_linenumber = 1").select(
+        F.concat(F.lit("src/p"), "l_partkey", F.lit(".ts")).alias("path"), F.concat(F.lit("f"), F.col("l_suppkey") % 97).alias("local_name"), F.concat(F.lit("f"), F.col("l_suppkey") % 97).alias("imported"),
+        F.concat(F.lit("src/p"), F.col("l_suppkey"), F.lit(".ts")).alias("target_path"),
+    ).distinct()
+    return nodes, calls, bindings
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey AS p, l_suppkey % 97 AS f FROM lineitem), b AS (
+  SELECT DISTINCT l.l_partkey AS p, l.l_suppkey % 97 AS f, l.l_suppkey AS t FROM lineitem l WHERE l_linenumber = 1), x AS (
+  SELECT p, f, min('n' || p_partkey) AS bid FROM b JOIN part ON p_partkey = t AND p_partkey % 97 = f AND p_partkey % 3 <> 0 GROUP BY p, f)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber IN (6, 7) THEN NULL WHEN c.p % 97 = c.f AND EXISTS (SELECT 1 FROM part WHERE p_partkey = c.p) THEN 'n' || c.p ELSE bid END AS to_id FROM c LEFT JOIN x ON c.p = x.p AND c.f = x.f""")
+def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, calls, bindings = _page_graph(spark, sf_dir)
+    return graph.call_edges(calls, nodes, bindings).select("l_orderkey", "l_linenumber", "to_id")
+
+
+@query("SELECT * FROM (VALUES ('.', 'root-pkg', 'package', 'All of it'), ('packages/core', '@x/core', 'package', 'Package'), ('docs', 'docs', 'documentation', 'Documentation'), ('packages', 'packages', 'workspace', 'Workspace packages')) AS t(path, name, kind, role)")
+def repo_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = [("package.json", '{"name":"root-pkg","description":"All of it"}'), ("packages/core/package.json", '{"name":"@x/core"}'), ("docs/a.md", "x"), (".env", "x"), ("misc/z.txt", "x")]
+    return repo_map.modules(spark.createDataFrame(files, "path string, content string")).select("path", "name", "kind", "role")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}::BIGINT, {s}::BIGINT, {2 * s}::BIGINT)" for t, (i, s) in requests.BUDGETS.items()) + ") AS t(task_type, initial_tokens, soft_limit_tokens, hard_limit_tokens)")
+def budget_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t, *requests.allocate_budget(t).values()) for t in requests.BUDGETS], "task_type string, initial_tokens long, soft_limit_tokens long, hard_limit_tokens long")
+
+
+@query("SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) AS estimated_tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("estimated_tokens"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS source_hash, 'CGN-' || sha256(concat_ws(chr(10), lang, source)) AS graph_id, 'sha256:' || sha256('{\"path\":\"' || source || '\",\"start_line\":null,\"end_line\":null,\"symbol\":\"' || lang || '\"}') AS source_id FROM documents")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("int")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", digest.text_hash(F.col("text")).alias("source_hash"), digest.graph_id("CGN-", F.col("lang"), F.col("source")).alias("graph_id"), digest.source_id(F.col("source"), none, none, F.col("lang")).alias("source_id")
+    )
+
+
+@query("SELECT task_id, security FROM (VALUES ('T-1', false), ('T-2', true), ('T-3', false)) AS t(task_id, security)")
+def security_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.prepare_tasks(tasks(spark)).select("task_id", "security")
+
+
+@query(f"""WITH {CORPUS} SELECT count(*) AS sources, bit_xor(CAST(('0x' || substr(source_hash, 8, 15)) AS BIGINT)) AS identity FROM corpus""")
+def observation_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.conv(F.substring("source_hash", 8, 15), 16, 10).cast("long")
+    return corpus(spark, sf_dir).agg(F.count("*").alias("sources"), F.bit_xor(word).alias("identity"))
+
+
+@query(f"WITH {CORPUS} SELECT path, source_hash, size_bytes FROM corpus WHERE doc_id % 2 = 0 UNION ALL SELECT replace(path, '.md', '.ts'), source_hash, size_bytes FROM corpus WHERE doc_id % 2 = 1")
+def hybrid_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sources(spark, sf_dir)
+    files = rows.where("doc_id % 2 = 1").withColumn("path", F.regexp_replace("path", r"\.md$", ".ts"))
+    return repository.hybrid(rows.where("doc_id % 2 = 0"), files).select("path", "source_hash", "size_bytes")
