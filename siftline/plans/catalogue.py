@@ -14,6 +14,7 @@ from ..functions import digest, paths, screen, text
 from ..operators import candidates as cand
 from ..operators import catalog, fts, graph, ledger, metrics, repo_map, requests, scoring, search, selection
 from ..sources import repository
+from ..sources.scratch import cut
 from ..sources.tables import table
 from .corpus import CORPUS, TOKENS, candidates, corpus, tasks
 
@@ -295,8 +296,10 @@ def _aggregated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions and conflicts. A task's candidates are capped, so both are small; they are written once and read by all that follows."""
     asked, found = _aggregated(spark, sf_dir)
-    return selection.select(scoring.score(asked, found))
+    decisions, conflicts = selection.select(cut(scoring.score(asked, cut(found))))
+    return cut(decisions), cut(conflicts)
 
 
 @query()
