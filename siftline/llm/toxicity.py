@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 4_000, 8_000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3_000, 6_000, 10_000
 SIZES = (3, 4, 5)
 BITS = 20
 MIN_Z = 3.5
@@ -58,19 +58,21 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     empty = Model(np.zeros(1 << BITS, np.float32), -np.inf)
     if y.sum() in (0, len(y)):
         return empty
-    found = [np.unique(buckets(t)) for t in texts]
-    counts = np.zeros((2, 1 << BITS))
-    for b, label in zip(found, labels, strict=True):
-        counts[int(label), b] += 1
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for t, label in zip(texts, labels, strict=True):
+        counts[int(label), np.unique(buckets(t))] += 1
     rate = (counts + 1) / (np.array([len(y) - y.sum(), y.sum()])[:, None] + 2)
     ratio = np.log(rate[1] / rate[0])
     error = np.sqrt(1 / (counts[0] + 1) + 1 / (counts[1] + 1))
     kept = np.flatnonzero((np.abs(ratio) > MIN_Z * error) & (counts.sum(axis=0) >= MIN_DOCS))
     if not len(kept):
         return empty
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    cols = [place[b][place[b] >= 0] for b in found]
+    cols = []  # the buckets are hashed again rather than held for all texts
+    for t in texts:
+        own = place[buckets(t)]
+        cols.append(np.unique(own[own >= 0]))
     row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
     weights, intercept = _logistic(row, col, ratio[kept], y)
     out = np.zeros(1 << BITS, np.float32)
