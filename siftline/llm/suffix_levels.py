@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut
+from ..sources.scratch import stored
 from .rows import map_rows, worker_cache
 
 LENGTH, GRAM = 200, 32
@@ -215,14 +215,14 @@ def _windows(gram: int, around: int, left: int, right: int, row: bytes) -> Itera
 def covered(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The documents as doc_id, text_hash, text; and per document (c_id, c_hash) the covered byte ranges, which may overlap."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = cut(map_rows(docs, lambda: _anchor_rows, ANCHORS))
+    found = stored(map_rows(docs, lambda: _anchor_rows, ANCHORS), "anchors")
     twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    repeated = cut(found.join(twice, "gram", "left_semi"))
+    repeated = stored(found.join(twice, "gram", "left_semi"), "repeated")
     first = F.min(F.struct("doc_id", "text_hash", "place", "left", "right")).alias("first")
-    kinds = cut(repeated.groupBy("gram", "around").agg(F.count("*").alias("n"), first))
+    kinds = stored(repeated.groupBy("gram", "around").agg(F.count("*").alias("n"), first), "kinds")
     several = kinds.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, F.col("gram") == F.col("g")).select("gram", "around", "first.*", (F.col("kinds") > hot).alias("hot"))
-    around = cut(_surroundings(docs, wanted))
+    around = stored(_surroundings(docs, wanted), "surroundings")
     reaches = around.where("NOT hot").repartition("gram").mapInArrow(_indexed, "gram long, around long, to_left long, to_right long")
     window = map_rows(around.where("hot").select("gram", "around", "left", "right", "bytes"), lambda: _windows, "gram long, around long, a int, window long")
     shared = window.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
