@@ -38,14 +38,19 @@ def excluded_count(listing: DataFrame, excludes: list[str]) -> DataFrame:
 def readable(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """files with content as text; oversize, undecodable and sensitive ones are dropped."""
     small = files.where((F.col("size_bytes") <= max_bytes) & screen.is_clean_text(F.col("content")))
-    return small.withColumn("content", F.col("content").cast("string")).where(~screen.is_sensitive(F.col("content")))
+    return small.withColumn("content", _decoded()).where(~screen.is_sensitive(F.col("content")))
+
+
+def _decoded() -> Column:
+    """The content as text; bytes that are not UTF-8 give an empty one, which no Python worker can choke on."""
+    return F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit(""))
 
 
 def omissions(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """One row: how many files are oversize, undecodable or sensitive, each counted once."""
     big = F.col("size_bytes") > max_bytes
     dirty = ~big & ~screen.is_clean_text(F.col("content"))
-    secret = ~big & ~dirty & screen.is_sensitive(F.col("content").cast("string"))
+    secret = ~big & ~dirty & screen.is_sensitive(_decoded())
     return files.agg(F.count_if(big).alias("oversize"), F.count_if(dirty).alias("undecodable"), F.count_if(secret).alias("sensitive"))
 
 
