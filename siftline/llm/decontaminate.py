@@ -116,8 +116,8 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, min_hit: int
     An item shorter than ``n`` words counts when it is hit whole, whatever ``min_hit`` says.
     """
     found = hits(_keyed(documents), benchmark, ["k_id", "k_text"], n, broadcast_bytes)
-    bad = found.where((covered(F.col("spans")) >= min_hit) | F.exists("spans", lambda s: s["n"] < n)).select("k_id", "k_text")
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["k_id"]) & (F.xxhash64(documents["text"]) == bad["k_text"]), "left_anti")
+    bad = found.where((covered(F.col("spans")) >= min_hit) | F.exists("spans", lambda s: s["n"] < n)).select(F.col("k_id").alias("__id"), F.col("k_text").alias("__hash"))
+    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(documents["text"]) == bad["__hash"]), "left_anti")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -126,10 +126,10 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, bro
     Text is rebuilt from its pieces: a hit word goes with the separator that follows it.
     Rows without a hit keep their text byte for byte.
     """
-    found = hits(_keyed(documents), benchmark, ["k_id", "k_text"], n, broadcast_bytes).select("k_id", "k_text", "spans")
-    joined = documents.join(found, documents["doc_id"].eqNullSafe(found["k_id"]) & (F.xxhash64(documents["text"]) == found["k_text"]), "left")
+    found = hits(_keyed(documents), benchmark, ["k_id", "k_text"], n, broadcast_bytes).select(F.col("k_id").alias("__id"), F.col("k_text").alias("__hash"), F.col("spans").alias("__spans"))
+    joined = documents.join(found, documents["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(documents["text"]) == found["__hash"]), "left")
     any_case = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{any_case}[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*"), F.lit(0))
     lead = F.regexp_extract(F.col("text"), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    kept = F.filter(pieces, lambda x, i: ~F.exists("spans", lambda s: (s["at"] <= i + 1) & (i + 1 < s["at"] + s["n"])))
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))).drop("k_id", "k_text", "spans")
+    kept = F.filter(pieces, lambda x, i: ~F.exists("__spans", lambda s: (s["at"] <= i + 1) & (i + 1 < s["at"] + s["n"])))
+    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))).drop("__id", "__hash", "__spans")

@@ -159,8 +159,8 @@ def mask(documents: DataFrame) -> DataFrame:
 
     Spans that overlap are one stretch, named by its first span.
     """
-    hit = find(documents).where(F.size("spans") > 0).select("k_id", "k_text", "spans").dropDuplicates(["k_id", "k_text"])
-    joined = documents.join(hit, documents["doc_id"].eqNullSafe(hit["k_id"]) & (F.xxhash64(documents["text"]) == hit["k_text"]), "left")
+    hit = find(documents).where(F.size("spans") > 0).select(F.col("k_id").alias("__id"), F.col("k_text").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
+    joined = documents.join(hit, documents["doc_id"].eqNullSafe(hit["__id"]) & (F.xxhash64(documents["text"]) == hit["__hash"]), "left")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
@@ -169,5 +169,5 @@ def mask(documents: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(fresh)).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rebuilt = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rebuilt)).drop("k_id", "k_text", "spans")
+    rebuilt = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rebuilt)).drop("__id", "__hash", "__spans")

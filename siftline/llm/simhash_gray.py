@@ -241,6 +241,6 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
     """documents, all columns, with one row of each class: the least id, of its rows the least text hash."""
     found = classes(cut(fingerprints(documents, shingle)), radius, hot)
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("h"))).alias("best")
-    kept = found.groupBy("class_fp").agg(best).select(F.col("best.id").alias("k_id"), F.col("best.h").alias("k_hash"))
-    same = (F.coalesce(documents["doc_id"], F.lit(NO_ID)) == kept["k_id"]) & (F.xxhash64(documents["text"]) == kept["k_hash"])
-    return documents.join(kept, same).dropDuplicates(["k_id", "k_hash"]).drop("k_id", "k_hash")
+    kept = found.groupBy("class_fp").agg(best).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__hash"))
+    same = (F.coalesce(documents["doc_id"], F.lit(NO_ID)) == kept["__id"]) & (F.xxhash64(documents["text"]) == kept["__hash"])
+    return documents.join(kept, same).dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
