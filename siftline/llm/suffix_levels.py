@@ -8,8 +8,9 @@ about one in 85 bytes, and only suffixes that start at anchors are indexed, toge
 the bytes to their left that a window can still reach.
 
 1. Anchors leave the texts as hashes. Those whose gram occurs once cannot lie in a repeat.
-2. An anchor whose whole surroundings (everything a window around it can see) occur more
-   than once is covered as far as it can be; nothing more has to be compared.
+2. The windows that picked one anchor are neighbours, and all they see are its surroundings.
+   An anchor whose whole surroundings occur more than once is covered as far as it can be;
+   nothing more has to be compared.
 3. One representative of all other surroundings goes to the task of its gram. There every
    incoming batch gets a suffix array, which is merge-scanned against the arrays of all
    existing levels for long matches, and becomes a level; levels of about equal size are
@@ -72,9 +73,9 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return z
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors and the hashes of the grams there."""
-    whole, places, hashes = np.frombuffer(data, np.uint8), [], []
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors, the hashes of the grams there, and the first and last window that each is the anchor of."""
+    whole, found = np.frombuffer(data, np.uint8), []
     last = (1 << PLACE_BITS) - 1
     for at in range(0, len(data) - LENGTH + 1, CHUNK):
         v = gram_hashes(whole[at : at + CHUNK + LENGTH - 1])
@@ -87,13 +88,15 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         n = len(keys) - span + 1
         least = np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
-        chosen = np.unique(last - (least & np.uint64(last)).astype(np.int64))
-        places.append(chosen + at)
-        hashes.append(v[chosen])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first]
+        chosen = last - (least & np.uint64(last)).astype(np.int64)  # never decreases from window to window
+        first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+        place = chosen[first]
+        found.append((place + at, v[place], first + at, np.r_[first[1:], n] - 1 + at))
+    if not found:
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+    place, gram, first, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    heads = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])  # an anchor of windows in two chunks is one
+    return place[heads], gram[heads], first[heads], end[np.r_[heads[1:], len(place)] - 1]
 
 
 class SuffixLevels:
@@ -160,12 +163,11 @@ class SuffixLevels:
 
 def _anchor_rows(doc_id: int | None, text_hash: int, text: str | None) -> Iterator[tuple]:
     data = (text or "").encode()
-    place, gram = anchors(data)
-    digest, size = xxhash.xxh3_64_intdigest, len(data)
-    for p, g in zip(place.tolist(), gram.view(np.int64).tolist(), strict=True):
-        left = min(p, REACH)
-        around = digest(data[p - left : p + LENGTH], left)
-        yield doc_id, text_hash, p, left, min(LENGTH, size - p), g, around - (1 << 64) if around >> 63 else around
+    digest = xxhash.xxh3_64_intdigest
+    place, gram, first, last = anchors(data)
+    for p, g, a, b in zip(place.tolist(), gram.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
+        around = digest(data[a : b + LENGTH], p - a)
+        yield doc_id, text_hash, p, p - a, b + LENGTH - p, g, around - (1 << 64) if around >> 63 else around
 
 
 ANCHORS = "doc_id long, text_hash long, place long, left int, right int, gram long, around long"
@@ -192,24 +194,23 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reaches of all suffixes of one task, batch by batch through the levels."""
-    levels, grams, arounds = SuffixLevels(), [], []
+    levels, arounds = SuffixLevels(), []
     for batch in batches:
         if len(batch):
             rows = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8).reshape(len(batch), REACH + LENGTH)
             levels.add(rows, batch.column("left").to_numpy().astype(np.int64), batch.column("right").to_numpy().astype(np.int64))
-            grams.append(batch.column("gram").to_numpy())
             arounds.append(batch.column("around").to_numpy())
-    if grams:
+    if arounds:
         hit = np.flatnonzero(levels.reach_right)
-        columns = [np.concatenate(grams)[hit], np.concatenate(arounds)[hit], levels.reach_left[hit], levels.reach_right[hit]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "around", "to_left", "to_right"])
+        columns = [np.concatenate(arounds)[hit], levels.reach_left[hit], levels.reach_right[hit]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["around", "to_left", "to_right"])
 
 
 def _windows(gram: int, around: int, left: int, right: int, row: bytes) -> Iterator[tuple]:
     digest = xxhash.xxh3_64_intdigest
     for a in range(max(0, LENGTH - right), left + 1):
         w = digest(row[REACH - a : REACH - a + LENGTH], gram + a & (1 << 64) - 1)
-        yield gram, around, a, w - (1 << 64) if w >> 63 else w
+        yield around, a, w - (1 << 64) if w >> 63 else w
 
 
 def covered(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -223,13 +224,13 @@ def covered(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]
     several = kinds.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, F.col("gram") == F.col("g")).select("gram", "around", "first.*", (F.col("kinds") > hot).alias("hot"))
     around = stored(_surroundings(docs, wanted), "surroundings")
-    reaches = around.where("NOT hot").repartition("gram").mapInArrow(_indexed, "gram long, around long, to_left long, to_right long")
-    window = map_rows(around.where("hot").select("gram", "around", "left", "right", "bytes"), lambda: _windows, "gram long, around long, a int, window long")
+    reaches = around.where("NOT hot").repartition("gram").mapInArrow(_indexed, "around long, to_left long, to_right long")
+    window = map_rows(around.where("hot").select("gram", "around", "left", "right", "bytes"), lambda: _windows, "around long, a int, window long")
     shared = window.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hot_reaches = window.join(shared, "window", "left_semi").groupBy("gram", "around").agg(F.max("a").cast("long").alias("to_left"), F.max(F.lit(LENGTH) - F.col("a")).cast("long").alias("to_right"))
-    whole = kinds.where("n > 1").select("gram", "around", F.col("first.left").cast("long").alias("to_left"), F.col("first.right").cast("long").alias("to_right"))
-    best = whole.unionByName(reaches).unionByName(hot_reaches).groupBy("gram", "around").agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
-    ranges = repeated.join(best, ["gram", "around"]).select("doc_id", "text_hash", (F.col("place") - F.col("to_left")).alias("start"), (F.col("place") + F.col("to_right")).alias("end"))
+    hot_reaches = window.join(shared, "window", "left_semi").groupBy("around").agg(F.max("a").cast("long").alias("to_left"), F.max(F.lit(LENGTH) - F.col("a")).cast("long").alias("to_right"))
+    whole = kinds.where("n > 1").select("around", F.col("first.left").cast("long").alias("to_left"), F.col("first.right").cast("long").alias("to_right"))
+    best = whole.unionByName(reaches).unionByName(hot_reaches).groupBy("around").agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
+    ranges = repeated.select("doc_id", "text_hash", "place", "around").join(best, "around").select("doc_id", "text_hash", (F.col("place") - F.col("to_left")).alias("start"), (F.col("place") + F.col("to_right")).alias("end"))
     return docs, ranges.groupBy(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
