@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, html_blocks, media_ts, packing, pii, simhash_gray, suffix_levels, toxicity
+from . import decontaminate, html_blocks, media_ts, packing, pii, preferences, simhash_gray, suffix_levels, toxicity, warc_derive
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derive.derive_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.store_texts(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op7_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_table(table(spark, sf_dir, "conversations"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -45,10 +53,12 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_warc_derive": op3_warc_derive,
     "op4_media_ts": op4_media_ts,
     "op5_html_blocks": op5_html_blocks,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash_gray": op7_simhash_gray,
+    "op8_preferences": op8_preferences,
     "op9_pii": op9_pii,
     "op10_suffix_levels": op10_suffix_levels,
 }
