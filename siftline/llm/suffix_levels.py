@@ -15,10 +15,11 @@ the bytes to their left that a window can still reach.
    incoming batch gets a suffix array, which is merge-scanned against the arrays of all
    existing levels for long matches, and becomes a level; levels of about equal size are
    merged, so sizes grow geometrically and each suffix is merged a logarithmic number of
-   times (``SuffixLevels``).
-4. A gram with more than ``HOT`` different surroundings, such as a passage many documents
-   quote, is not compared in one task: the windows around its anchors are counted by hash,
-   which is combined before the shuffle and gives the same answer.
+   times (``SuffixLevels``). Suffixes of one gram are compared pair by pair up to
+   ``CROWD`` of them; a larger crowd's windows are counted by hash, which is linear.
+4. A gram with more than ``HOT`` different surroundings, such as a passage a third of all
+   documents quote, is not held by one task: its windows are counted the same way as rows,
+   which are combined before the shuffle and give the same answer.
 
 Defined results: null text is empty; texts shorter than LENGTH keep everything; repeated
 rows are repeats of each other; ids may be null or repeated.
@@ -40,7 +41,8 @@ from .rows import map_rows, worker_cache
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # a window that holds an anchor's gram starts at most so far to its left
-HOT = 256
+CROWD = 256  # suffixes of one gram that are still compared pair by pair
+HOT = 20_000  # different surroundings of one gram that one task still holds, about 60 MB with their hashes
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 PLACE_BITS = 24
@@ -141,13 +143,42 @@ class SuffixLevels:
         at = 0
         while at < len(new):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            n = count[at:stop]
+            n = np.where(count[at:stop] > CROWD, 0, count[at:stop])  # crowds are left to finish()
             if n.any():
                 a = np.repeat(new[at:stop], n)
                 b = level[np.repeat(low[at:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                 self._match(a, b)
             at = stop
 
+    def finish(self) -> None:
+        """Merge all levels, and match the grams that were too crowded for pairs by counting their windows.
+
+        Work and memory are in proportion to the crowd's size: a window repeats exactly if
+        its hash and its distance from the anchor occur twice.
+        """
+        if not self.levels:
+            return
+        order = np.concatenate(self.levels)
+        order = order[np.argsort(self._keys(order, LENGTH), kind="stable")]
+        self.levels = [order]
+        keys = self._keys(order, GRAM)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for a, b in zip(first, np.r_[first[1:], len(order)], strict=True):
+            if b - a > CROWD:
+                self._count_windows(order[a:b])
+
+    def _count_windows(self, crowd: np.ndarray) -> None:
+        up, down = _powers(REACH + LENGTH + 1)
+        total = np.zeros((len(crowd), REACH + LENGTH + 1), np.uint64)
+        np.cumsum((self.rows[crowd].astype(np.uint64) + np.uint64(1)) * down[: REACH + LENGTH], axis=1, out=total[:, 1:])
+        for a in range(REACH + 1):
+            seen = np.flatnonzero((self.left[crowd] >= a) & (self.right[crowd] >= LENGTH - a))
+            at = REACH - a
+            _, where, count = np.unique((total[seen, at + LENGTH] - total[seen, at]) * up[at], return_inverse=True, return_counts=True)
+            hit = crowd[seen[count[where] > 1]]
+            self.reach_left[hit] = np.maximum(self.reach_left[hit], a)
+            self.reach_right[hit] = np.maximum(self.reach_right[hit], LENGTH - a)
+
     def _match(self, a: np.ndarray, b: np.ndarray) -> None:
         differ = self.rows[a] != self.rows[b]
         before, after = differ[:, REACH - 1 :: -1], differ[:, REACH:]
@@ -196,10 +227,11 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reaches of all suffixes of one task, batch by batch through the levels."""
     levels, arounds = SuffixLevels(), []
     for batch in batches:
-        if len(batch):
+        if batch.num_rows:
             rows = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8).reshape(len(batch), REACH + LENGTH)
             levels.add(rows, batch.column("left").to_numpy().astype(np.int64), batch.column("right").to_numpy().astype(np.int64))
             arounds.append(batch.column("around").to_numpy())
+    levels.finish()
     if arounds:
         hit = np.flatnonzero(levels.reach_right)
         columns = [np.concatenate(arounds)[hit], levels.reach_left[hit], levels.reach_right[hit]]

@@ -105,10 +105,11 @@ def brute(texts):
         yield len(d), len(d) - len(kept), sum(1 for i in range(len(gone)) if gone[i] and (i == 0 or not gone[i - 1])), hashlib.sha256(kept).hexdigest()
 
 
-def test_repeats_equal_brute_force(spark):
+def test_repeats_equal_brute_force(spark, monkeypatch):
     rows, frame = documents(spark)
     want = collections.Counter((r[0], *b) for r, b in zip(rows, brute([r[1] for r in rows]), strict=True))
-    for hot in (suffix_levels.HOT, 0):
+    for hot, crowd in ((suffix_levels.HOT, suffix_levels.CROWD), (0, suffix_levels.CROWD), (suffix_levels.HOT, 3)):
+        monkeypatch.setattr(suffix_levels, "CROWD", crowd)
         assert collections.Counter(map(tuple, suffix_levels.remove_repeats(frame, hot).collect())) == want
     assert suffix_levels.remove_repeats(frame.limit(0)).count() == 0
 
