@@ -40,25 +40,33 @@ FRONTIER = 1 << 20
 NO_ID = (1 << 63) - 1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the text's word shingles as a signed integer."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the text's word shingles in order; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.r_[0, ends[:-1]].tolist()
-    n = max(1, len(words) - shingle + 1)
     stops = (ends[shingle - 1 :] - 1).tolist() if len(words) >= shingle else [len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash of some hashes as a signed integer."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > n, bitorder="little")
+    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
     return int(bits.view(np.int64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the text's word shingles as a signed integer."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash (of the text, null too) and fp (signed 64-bit) of every row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -200,15 +208,14 @@ def _joined(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Links a, b that connect the distinct fingerprints (column fp) within the radius as all links would."""
-    keys = F.array(*[F.xxhash64(F.lit(k), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))) for k, (shift, bits) in enumerate(blocks(radius))])
-    placed = nodes.select("fp", F.explode(keys).alias("bucket"))
+def dealt(placed: DataFrame, member: str, hot: int = HOT) -> DataFrame:
+    """placed (bucket and more) with side; buckets of more than hot rows are cut into chunks by a hash of the member column, and every pair of chunks is a bucket."""
     crowded = placed.groupBy("bucket").count().where(F.col("count") > hot).select("bucket", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
+    rest = [c for c in placed.columns if c != "bucket"]
     placed = placed.join(crowded, "bucket", "left")
-    chunk = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64(member, F.lit(7)), F.col("chunks")).cast("int")
     other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    dealt = F.when(F.col("chunks").isNull(), F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("side")))).otherwise(
+    places = F.when(F.col("chunks").isNull(), F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("side")))).otherwise(
         F.transform(
             other,
             lambda c: F.struct(
@@ -217,7 +224,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
             ),
         )
     )
-    members = placed.select("fp", F.inline(dealt)).repartition("bucket").select("bucket", "fp", "side")
+    return placed.select(*rest, F.inline(places))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Links a, b that connect the distinct fingerprints (column fp) within the radius as all links would."""
+    keys = F.array(*[F.xxhash64(F.lit(k), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))) for k, (shift, bits) in enumerate(blocks(radius))])
+    members = dealt(nodes.select("fp", F.explode(keys).alias("bucket")), "fp", hot).repartition("bucket").select("bucket", "fp", "side")
     return members.mapInArrow(lambda batches: _joined(batches, radius), "a long, b long")
 
 
@@ -239,7 +252,11 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
 
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """documents, all columns, with one row of each class: the least id, of its rows the least text hash."""
-    found = classes(cut(fingerprints(documents, shingle)), radius, hot)
+    return first_of_classes(documents, classes(cut(fingerprints(documents, shingle)), radius, hot))
+
+
+def first_of_classes(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """documents with one row of each class_fp of found (doc_id, text_hash, class_fp): the least id, of its rows the least text hash."""
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("h"))).alias("best")
     kept = found.groupBy("class_fp").agg(best).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__hash"))
     same = (F.coalesce(documents["doc_id"], F.lit(NO_ID)) == kept["__id"]) & (F.xxhash64(documents["text"]) == kept["__hash"])
