@@ -19,7 +19,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_derive.derive_pages(table(spark, sf_dir, "pages"))
+    return warc_derive.derive_pages(table(spark, sf_dir, "pages"), records=True)
 
 
 def op4_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
