@@ -14,6 +14,7 @@ text; a page without article blocks gives an empty text and 0 characters.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
@@ -124,6 +125,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     return out
 
 
+@functools.lru_cache(1 << 16)
 def _slot(word: str, dim: int) -> tuple[int, float]:
     h = zlib.crc32(word.encode())
     return h % dim, 1.0 if h >> 16 & 1 else -1.0
@@ -145,11 +147,11 @@ def features(page_blocks: list[tuple[str, tuple[str, ...], int]], known: dict[tu
             np.clip(v, -2, 2, out=v)
         row[:PATH_DIM] = known[path]
         words = text.lower().split()
-        for word in words[:64]:
+        for word in words:
             k, sign = _slot(word, WORD_DIM)
             row[PATH_DIM + k] += sign
         own = row[PATH_DIM : PATH_DIM + WORD_DIM]
-        own /= max(1.0, min(len(words), 64) ** 0.5)
+        own /= max(1.0, len(words) ** 0.5)
         np.clip(own, -2, 2, out=own)  # one word repeated is no stronger than a mixed text
         e = row[PATH_DIM + WORD_DIM :]
         e[0] = np.log1p(len(words)) / 5
