@@ -33,8 +33,30 @@ def test_toxicity_edges(spark):
     assert [r["score"] for r in toxicity.classify(docs, labels).collect()] == [0.0, 0.0, 0.0]
     assert toxicity.remove_toxic(docs, labels).columns == docs.columns
     assert toxicity.classify(docs.limit(0), labels.limit(0)).count() == 0
-    model = toxicity.fit(["you scum and trash"] * 30 + ["a fine day today"] * 60, [1] * 30 + [0] * 60)
+    rows = [(k, k, "you scum and trash" if k < 30 else "a fine day today", int(k < 30)) for k in range(90)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text_hash long, text string, toxic int"))
     assert toxicity.probability(model, "such SCUM, and trash") > 0.7 > toxicity.probability(model, "a fine day") > toxicity.probability(model, "") - 0.5
+    few = toxicity.fit(spark.createDataFrame(rows[28:32], "doc_id long, text_hash long, text string, toxic int"))
+    assert not few.weights.any() and abs(toxicity.probability(few, "x") - 0.5) < 1e-6
+
+
+def test_toxicity_learns_from_long_texts_only(spark):
+    """Labelled texts of 12,000 characters and more teach; ids that repeat are one sample; scores do not depend on pieces."""
+    r = random.Random(9)
+    filler = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][:200]
+    texts = {i: filler(2_000) + (" you filthy scum " if k % 2 else " a kindly neighbour ") * 20 for k, i in enumerate(ids)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] * 2 + [(9_000, filler(100_000) + " you filthy scum " * 30), (9_001, filler(100_000))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, k % 2) for k, i in enumerate(ids)] + [(70_000 + k, 0, 1) for k in range(50)], "doc_id long, quality int, toxic int")
+    scores = {x["doc_id"]: x["score"] for x in toxicity.classify(docs, labels).collect()}
+    assert all((scores[i] >= 0.7) == bool(k % 2) for k, i in enumerate(ids)) and scores[9_000] >= 0.7 > scores[9_001]
+
+
+def test_toxicity_pieces(monkeypatch):
+    text = "İ long text of many 語 words, " * 40
+    whole = toxicity.distinct(text)
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    assert np.array_equal(whole, toxicity.distinct(text))
 
 
 def test_cuts():
