@@ -33,6 +33,8 @@ from .rows import worker_cache
 
 CAPACITY = 1024
 SHORT = 32
+PART = 1 << 20
+SPECIAL = "<|endoftext|>"  # fixed value: the tokenizer's one special token, an id of its own wherever it stands
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 CACHED_PIECES = 300_000
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -40,6 +42,8 @@ NUMBER = "0-9²³¹¼-¾"
 SPACE = "\\t-\\r \\x85\\xa0"
 #: Texts of these characters are split by SPLIT as the tokenizer would; others go through the tokenizer whole.
 PLAIN = re.compile(r"[\x00-ſ‐-‧‰-⁞]*\Z")
+#: A text may be cut before white space that follows a letter or digit: no piece of the tokenizer's pattern spans it.
+SAFE = re.compile(r"(?<=[^\W_])(?=\s)")
 SPLIT = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -60,7 +64,7 @@ class _Pieces(dict):
 
 
 def public_tokenizer() -> Callable[[str], bytes]:
-    """The 50k byte-level BPE: text to little-endian 32-bit ids. Equal to the tokenizer's own ids; the split pieces are cached."""
+    """The 50k byte-level BPE: text to little-endian 32-bit ids. Equal to the tokenizer's own ids, special token included; the split pieces are cached."""
     held = worker_cache()
     if "packing" not in held:
         import public_tokenizers
@@ -77,12 +81,23 @@ def public_tokenizer() -> Callable[[str], bytes]:
             import public_tokenizers
             from tokenizers import Tokenizer
 
-            t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
-            t.encode_special_tokens = True
-            held["packing_whole"] = t
+            held["packing_whole"] = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
         return np.array(held["packing_whole"].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return lambda text: b"".join([pieces[p] for p in SPLIT.findall(text)]) if PLAIN.match(text) else whole(text)
+    def encode(text: str) -> bytes:
+        return b"".join([pieces[p] for p in SPLIT.findall(text)]) if PLAIN.match(text) and SPECIAL not in text else whole(text)
+
+    return lambda text: encode(text) if len(text) <= PART else b"".join(map(encode, parts(text)))
+
+
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut where the tokenizer's ids do not change; without such a place a part goes on."""
+    at = 0
+    while at < len(text):
+        found = SAFE.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, short: int = SHORT) -> Iterator[tuple[int, int]]:

@@ -71,8 +71,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    own.encode_special_tokens = True
-    hard = [None, "", "  a  b\n\n c  ", "it's we'll I'VE 'sd  ''s", "x’s “q” …    z\x85y\x1c\x1dq", "日本語 text 😀 ñandú ½²³ a²b ٠", "<|endoftext|> a", "\t\tfoo\r\n\r\nbar   ", "á b c", "ªº µ × ÷ ǅ", "word " * 5000]
+    hard = [None, "", "  a  b\n\n c  ", "it's we'll I'VE 'sd  ''s", "x’s “q” …    z\x85y\x1c\x1dq", "日本語 text 😀 ñandú ½²³ a²b ٠", "<|endoftext|> a", "a<|endoftext|>b <|endoftext|><|endoftext|>é", "語<|endoftext|>x", "\t\tfoo\r\n\r\nbar   ", "á b c", "ªº µ × ÷ ǅ", "word " * 5000]
     docs = table(spark, SF, "documents").select("doc_id", "text").limit(300).repartition(5)
     frame = spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(hard)] + [(10_000, None)], "doc_id long, text string").union(docs)
     want = collections.defaultdict(list)
@@ -103,6 +102,25 @@ def test_packing(spark):
     assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in with_ids)
 
 
+def test_tokenizer_of_long_and_special_texts():
+    """The cached path and the parts of long texts give the tokenizer's own ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    encode = packing.public_tokenizer()
+    r = random.Random(12)
+    bits = ["<|endoftext|>", "<|endo", "  ", "\n", "\n\n ", " a", "é", "語", "'s", "12", "²", "_", "__ ", "٠", "\u200b", "\xa0", "\u3000", "!?", " ", "word", "\x1c", "\x85"]
+    for k in range(3_000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(1, 30)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, text
+        cut = list(packing.parts(text, k % 7 + 1))
+        assert "".join(cut) == text
+        assert [i for t in cut for i in own.encode(t, add_special_tokens=False).ids] == own.encode(text, add_special_tokens=False).ids, cut
+    long = " ".join("".join(r.choice("abcdé 語") for _ in range(9)) for _ in range(150_000)) + "<|endoftext|>"
+    assert len(long) > packing.PART and np.frombuffer(encode(long), "<u4").tolist() == own.encode(long, add_special_tokens=False).ids
+
+
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
