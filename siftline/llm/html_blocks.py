@@ -7,18 +7,26 @@ with the context of the document, and blocks labelled as article text are joined
 network is trained on layouts generated here (``layouts``), whose labels are known; it
 never sees the pages it is applied to. Pages are independent, so there is no shuffle.
 
+A page is read in one pass whatever its markup: open elements are found by name and not by
+searching, a path shares its beginning with the paths it grew from, and the network runs
+over ``STEPS`` blocks at a time, so time and memory grow with the page's length only.
+
 Defined results: null or tagless input is one block or none; unclosed and crossed tags are
 closed by the block that follows; script, style, form controls and comments never give
-text; a page without article blocks gives an empty text and 0 characters.
+text; of the elements without text (``SILENT``) one that is never closed loses its tag only,
+a script or style what stands before the next tag; a tag whose quoted value does not close,
+or closes at the next tag's quote, ends at its first ``>``; the text of formulas is text; a
+page without article blocks gives an empty text and 0 characters; repeated rows are repeated.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import html
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,34 +38,142 @@ from .rows import worker_cache
 PATH_DIM, WORD_DIM, EXTRA_DIM = 48, 16, 6
 INPUT = PATH_DIM + WORD_DIM + EXTRA_DIM
 HIDDEN = 24
+STEPS = 8_192
 SEED = 20_240_501
 
 # Fixed values of HTML: elements by role.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-SILENT = frozenset("script style noscript template textarea select option svg math iframe object head title".split())
+VOID = frozenset("area base br col embed head hr img input link meta source track wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd semantics".split())
+SILENT = frozenset("script style noscript template textarea select option svg iframe object title annotation annotation-xml".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt td th tr".split())
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article section div main body html table ul ol dl nav aside footer header form blockquote".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+NAME = r"<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)"
+#: A quoted value that holds a ">" and ends with "=" has run into the next tag's quote.
+QUOTED = r"\"[^\">]*+\"|'[^'>]*+'|\"[^\"]*+(?<!=)\"|'[^']*+(?<!=)'"
+OTHER = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+TAG = re.compile(rf"{OTHER}|{NAME}(?:(?P<attrs>(?:[^>\"']++|{QUOTED})*+)(?:>|\Z)|(?P<rough>[^>]*+)(?:>|\Z))", re.S)
+ROUGH = re.compile(rf"{OTHER}|{NAME}(?P<attrs>)(?P<rough>[^>]*+)(?:>|\Z)", re.S)
+MANY_ROUGH = 50  # tags without closing quotes, after which all tags of a page end at their first ">"
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WHITE = re.compile(r"\s+")
+RAW = frozenset(("script", "style"))
+
+
+class Paths:
+    """Tag paths as numbers, with the summed hash vector of each; a path is its beginning and one more label."""
 
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, str], int] = {}
+        self.sums: list[np.ndarray] = [np.zeros(PATH_DIM, np.float32)]
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, tag path, characters inside links) of every text block, in page order."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, str]] = []
+    def child(self, node: int, label: str) -> int:
+        key = (node, label)
+        if key not in self.known:
+            v = self.sums[node].copy()
+            for word in label.split():
+                for piece in {word, *re.split(r"[-_0-9]+", word)} - {""}:
+                    k, sign = _slot(piece, PATH_DIM)
+                    v[k] += sign
+            self.known[key] = len(self.sums)
+            self.sums.append(v)
+        return self.known[key]
+
+
+class _Open:
+    """The open elements of a page: (name, path) in order, with the places of each name. A place closed out of order is left as a gap."""
+
+    def __init__(self, paths: Paths) -> None:
+        self.paths = paths
+        self.names: list[str | None] = []
+        self.nodes: list[int] = []
+        self.places: dict[str, list[int]] = collections.defaultdict(list)
+        self.scopes: list[int] = []
+
+    @property
+    def node(self) -> int:
+        return self.nodes[-1] if self.nodes else 0
+
+    def push(self, name: str, label: str) -> None:
+        self.places[name].append(len(self.names))
+        if name in SCOPE:
+            self.scopes.append(len(self.names))
+        self.nodes.append(self.paths.child(self.node, label))
+        self.names.append(name)
+
+    def cut(self, place: int) -> None:
+        """Close everything from a place on."""
+        while len(self.names) > place:
+            name = self.names.pop()
+            self.nodes.pop()
+            if name is not None:
+                self.places[name].pop()
+                if name in SCOPE:
+                    self.scopes.pop()
+
+    def close_one(self, name: str) -> None:
+        """Close the last element of a name and nothing above it."""
+        place = self.places[name].pop()
+        self.names[place] = None
+        while self.names and self.names[-1] is None:
+            self.names.pop()
+            self.nodes.pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the last element of some names that no later scope hides, or -1."""
+        place = max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+        return place if place >= (self.scopes[-1] if self.scopes else -1) else -1
+
+
+def _tags(page: str) -> Iterator[re.Match]:
+    """Tags, comments and declarations in page order; send() moves on to a later place."""
+    at = rough = 0
+    pattern = TAG
+    while m := pattern.search(page, at):
+        if m["name"] and m["rough"] is not None and pattern is TAG:
+            rough += 1
+            pattern = ROUGH if rough >= MANY_ROUGH else TAG
+        at = (yield m) or m.end()
+
+
+def _silent_end(page: str, at: int, name: str, never: set[str]) -> int:
+    """Where an element without text ends: at its own closing tag, or at the next one where the nesting is broken.
+
+    never: what is known of the rest of the page, so that no search is made twice in vain.
+    """
+    close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+    first = None if name in never else close.search(page, at)
+    if first is None:
+        never.add(name)
+        if name not in RAW:
+            return at
+        found = TAG.search(page, at)
+        return found.start() if found else len(page)
+    if name in RAW or f"{name} nested" in never:
+        return first.end()
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+        if depth == 0:
+            return m.end()
+    never.add(f"{name} nested")
+    return first.end()
+
+
+def blocks(page: str, paths: Paths | None = None) -> list[tuple[str, int, int]]:
+    """(text, number of the tag path, characters inside links) of every text block, in page order."""
+    out: list[tuple[str, int, int]] = []
+    stack = _Open(paths or Paths())
     parts: list[str] = []
-    linked = 0
-    at = 0
+    never: set[str] = set()
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         text = WHITE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((text, tuple(x for _, label in stack for x in label.split()), min(linked, len(text))))
+            out.append((text, stack.node, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -66,60 +182,56 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if stack.places.get("a"):
                 linked += len(text.strip())
 
-    def pop_to(names: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in SCOPE:
-                return
-
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue
+    def pop_to(names: Iterable[str]) -> None:
+        place = stack.last(names)
+        if place >= 0:
+            flush()
+            stack.cut(place)
+
+    tags = _tags(page)
+    m = next(tags, None)
+    while m is not None:
         add(page[at : m.start()])
         at = m.end()
         if m["cdata"] is not None:
             add(m["cdata"])
-        if not m["name"]:
-            continue
-        name = m["name"].lower()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name not in INLINE:
-                        flush()
-                        del stack[k:]
+        elif m["name"]:
+            name, attrs = m["name"].lower(), m["attrs"] or m["rough"] or ""
+            whole = attrs.endswith("/")
+            if m["end"]:
+                if stack.places.get(name):
+                    if name in INLINE:
+                        stack.close_one(name)
                     else:
-                        del stack[k]
-                    break
+                        flush()
+                        stack.cut(stack.places[name][-1])
+                elif name in ("p", "br"):
+                    flush()
+            elif name in SILENT:
+                if not whole:
+                    at = _silent_end(page, at, name, never)
             else:
-                if name in ("p", "br"):
+                if name in CLOSES_P:
                     flush()
-            continue
-        if name in SILENT:
-            if name not in ("head",) and not m["attrs"].endswith("/"):
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = close.end() if close else (len(page) if name != "option" else at)
-            continue
-        if name in CLOSES_P:
-            flush()
-            pop_to({"p"})
-            if name in SIBLING:
-                pop_to(SIBLING[name])
-        if name == "br":
-            parts.append(" ")
-        elif name not in VOID and not m["attrs"].endswith("/"):
-            if name not in INLINE:
-                flush()
-            marks = " ".join(a or b or c for a, b, c in ATTR.findall(m["attrs"])).lower() if m["attrs"] else ""
-            stack.append((name, f"{name} {marks}" if marks else name))
-        elif name not in INLINE:
-            flush()
+                    pop_to(("p",))
+                    if name in SIBLING:
+                        pop_to(SIBLING[name])
+                if name == "br":
+                    parts.append(" ")
+                elif name not in VOID and not whole:
+                    if name not in INLINE:
+                        flush()
+                    marks = " ".join(a or b or c for a, b, c in ATTR.findall(attrs)).lower() if attrs else ""
+                    stack.push(name, f"{name} {marks}" if marks else name)
+                elif name not in INLINE:
+                    flush()
+        try:
+            m = tags.send(at)
+        except StopIteration:
+            m = None
     add(page[at:])
     flush()
     return out
@@ -131,21 +243,11 @@ def _slot(word: str, dim: int) -> tuple[int, float]:
     return h % dim, 1.0 if h >> 16 & 1 else -1.0
 
 
-def features(page_blocks: list[tuple[str, tuple[str, ...], int]], known: dict[tuple, np.ndarray] | None = None) -> np.ndarray:
+def features(page_blocks: list[tuple[str, int, int]], paths: Paths) -> np.ndarray:
     """One input row for each block."""
     x = np.zeros((len(page_blocks), INPUT), np.float32)
-    known = {} if known is None else known
-    for row, (text, path, linked) in zip(x, page_blocks, strict=True):
-        if path not in known:
-            if len(known) > 10_000:
-                known.clear()
-            known[path] = v = np.zeros(PATH_DIM, np.float32)
-            for word in path:
-                for piece in {word, *re.split(r"[-_0-9]+", word)} - {""}:
-                    k, sign = _slot(piece, PATH_DIM)
-                    v[k] += sign
-            np.clip(v, -2, 2, out=v)
-        row[:PATH_DIM] = known[path]
+    for row, (text, node, linked) in zip(x, page_blocks, strict=True):
+        np.clip(paths.sums[node], -2, 2, out=row[:PATH_DIM])
         words = text.lower().split()
         for word in words:
             k, sign = _slot(word, WORD_DIM)
@@ -180,11 +282,12 @@ class Lstm:
         self.p["v"] = rng.normal(0, (2 * hidden) ** -0.5, 2 * hidden).astype(np.float32)
         self.p["b"] = np.zeros(1, np.float32)
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None, tape: list | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Outputs of one direction and the state after them; tape takes what gradients need."""
         steps, n, _ = x.shape
-        h, c = np.zeros((n, self.hidden), np.float32), np.zeros((n, self.hidden), np.float32)
-        out, tape = np.zeros((steps, n, self.hidden), np.float32), []
         k = self.hidden
+        h, c = state or (np.zeros((n, k), np.float32), np.zeros((n, k), np.float32))
+        out = np.zeros((steps, n, k), np.float32)
         into = x @ self.p["w" + d][: x.shape[2]] + self.p["c" + d]
         back = self.p["w" + d][x.shape[2] :]
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
@@ -195,18 +298,32 @@ class Lstm:
             m = mask[t][:, None]
             c_new = (f * c + i * g) * m
             th = np.tanh(c_new)
-            h_new = o * th * m
-            tape.append((t, h, c, i, f, o, g, th, m))
-            h, c = h_new, c_new
+            if tape is not None:
+                tape.append((t, h, c, i, f, o, g, th, m))
+            h, c = o * th * m, c_new
             out[t] = h
-        return out, tape
+        return out, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run("f", x, mask)[0], self._run("b", x, mask)[0]], axis=2)
-        return _sigmoid(both @ self.p["v"] + self.p["b"])
+        return self.forward_parts(lambda k: (x, mask), 1)
+
+    def forward_parts(self, part: Callable[[int], tuple[np.ndarray, np.ndarray]], parts: int) -> np.ndarray:
+        """Probabilities of a sequence that comes in parts (inputs and mask of part k), one part held at a time."""
+        k = self.hidden
+        score: list[np.ndarray] = []
+        state = None
+        for at in range(parts):
+            out, state = self._run("f", *part(at), state)
+            score.append(out @ self.p["v"][:k])
+        state = None
+        for at in range(parts - 1, -1, -1):
+            out, state = self._run("b", *part(at), state)
+            score[at] = _sigmoid(score[at] + out @ self.p["v"][k:] + self.p["b"])
+        return np.concatenate(score)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        runs = {d: self._run(d, x, mask) for d in "fb"}
+        tapes: dict[str, list] = {"f": [], "b": []}
+        runs = {d: self._run(d, x, mask, None, tapes[d]) for d in "fb"}
         both = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)
         dz = (_sigmoid(both @ self.p["v"] + self.p["b"]) - y) * mask / mask.sum()
         grads = {"v": np.einsum("tn,tnk->k", dz, both), "b": np.array([dz.sum()], np.float32)}
@@ -216,7 +333,7 @@ class Lstm:
             w = self.p["w" + d]
             gw, gc = np.zeros_like(w), np.zeros(4 * k, np.float32)
             dh, dc = np.zeros_like(own[0]), np.zeros_like(own[0])
-            for t, h, c, i, f, o, g, th, m in reversed(runs[d][1]):
+            for t, h, c, i, f, o, g, th, m in reversed(tapes[d]):
                 dh = (dh + own[t]) * m
                 dct = (dc + dh * o * (1 - th * th)) * m
                 dzt = np.concatenate([dct * g * i * (1 - i), dct * c * f * (1 - f), dh * th * o * (1 - o), dct * i * (1 - g * g)], axis=1)
@@ -299,11 +416,11 @@ def layouts(rng: np.random.Generator, pages: int) -> Iterator[tuple[str, list[bo
 def train(pages: int = 700, epochs: int = 6, batch: int = 16, seed: int = SEED) -> dict[str, np.ndarray]:
     """Parameters of a network fitted on generated layouts."""
     rng = np.random.default_rng(seed)
-    data = []
+    data, paths = [], Paths()
     for page, labels in layouts(rng, pages):
-        found = blocks(page)
+        found = blocks(page, paths)
         if len(found) == len(labels):
-            data.append((features(found), np.array(labels, np.float32)))
+            data.append((features(found, paths), np.array(labels, np.float32)))
     net = Lstm(rng)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -336,20 +453,27 @@ def labeller(params: dict[str, np.ndarray]) -> Callable[[list[str | None]], list
     """A function from pages to their blocks, each with its probability of being article text."""
     net = Lstm(np.random.default_rng(0))
     net.p = params
-    paths: dict[tuple, np.ndarray] = {}
+    paths = Paths()
 
     def label(pages: list[str | None]) -> list[list[tuple[str, float]]]:
-        found = [blocks(p or "") for p in pages]
+        nonlocal paths
+        if len(paths.sums) > 10_000:
+            paths = Paths()
+        found = [blocks(p or "", paths) for p in pages]
         out: list[list[tuple[str, float]]] = [[] for _ in pages]
         order = sorted((k for k, b in enumerate(found) if b), key=lambda k: len(found[k]))
         at = 0
         while at < len(order):
-            end = at + 1  # pages of about the same number of blocks, at most 64 and about 8,000 padded blocks at once
-            while end < len(order) and end - at < 64 and (end - at + 1) * len(found[order[end]]) <= 8_192:
+            end = at + 1  # pages of about the same number of blocks, at most 64 and about STEPS padded blocks at once
+            while end < len(order) and end - at < 64 and (end - at + 1) * len(found[order[end]]) <= STEPS:
                 end += 1
             own = order[at:end]
-            x, mask, _ = _padded([(features(found[k], paths), None) for k in own])
-            p = net.forward(x, mask)
+
+            @functools.lru_cache(1)
+            def part(k: int, own: list[int] = own) -> tuple[np.ndarray, np.ndarray]:
+                return _padded([(features(found[j][k * STEPS : (k + 1) * STEPS], paths), None) for j in own])[:2]
+
+            p = net.forward_parts(part, -(-len(found[own[-1]]) // STEPS))
             for j, k in enumerate(own):
                 out[k] = [(b[0], float(q)) for b, q in zip(found[k], p[:, j], strict=False)]
             at = end
@@ -358,7 +482,7 @@ def labeller(params: dict[str, np.ndarray]) -> Callable[[list[str | None]], list
     return label
 
 
-def extract(pages: DataFrame, threshold: float = 0.5, batch: int = 256) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.5, batch: int = 64) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_kept for every page."""
     session = pages.sparkSession
     if "html_blocks" not in worker_cache():

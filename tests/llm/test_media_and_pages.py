@@ -1,6 +1,7 @@
 """Transport streams and page text: round trips, damage, and layouts with known labels."""
 
 import random
+import time
 
 import numpy as np
 
@@ -46,6 +47,50 @@ def test_blocks():
     assert h.blocks("") == [] and [t for t, _, _ in h.blocks("plain &lt; text")] == ["plain < text"]
 
 
+def texts(page):
+    return [t for t, _, _ in h.blocks(page)]
+
+
+def test_blocks_of_broken_markup():
+    assert texts("<article><p>one<p><svg><path d=1></p><p>two</p></article>") == ["one", "two"]
+    assert texts("<p>a<svg><svg>x</svg><text>y</text></svg>b<svg/>c</p>") == ["abc"]
+    assert texts("<p>a</p><svg><svg>x</svg><p>b</p>") == ["a", "b"]
+    assert texts("<p>so <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds</p>") == ["so x+1 holds"]
+    assert texts('<p class="x>hello</p><p class="y">there</p>') == ["hello", "there"]
+    assert texts('<p class="x>hello') == ["hello"] and texts("<p title='a > b'>c") == ["c"] and texts('<p title="a <b> c">d') == ["d"]
+    assert texts("<p>a<script>var b<p>c</p>") == ["a", "c"] and texts("<p>a<!-->b<!-- x -->c") == ["abc"]
+    assert texts("<select><option>a<option>b</select><p>c<textarea>d</textarea><iframe>e") == ["ce"]
+
+
+def test_blocks_are_linear():
+    """Deep, unclosed and crossed markup of some hundred thousand tags."""
+    n = 60_000
+    began = time.time()
+    assert len(texts("<div>x" * n)) == n
+    for page in ('<a "' * n, "<b>" * n + "<div>" * n + "</b>" * n + "</i>" * n, "<i>" * n + "<b>" * n + "</i>" * n, "<h1>a" * n, "<svg>a" * n, "<svg><svg></svg>" * n, "<p title='>x'\">" * n, "<script>a" * n, "<!-- a" * n, "<a '>'>" * n + '<p "'):
+        texts(page)
+    assert time.time() - began < 60
+    label = h.labeller(h.train(40, 1))
+    assert len(label(["<div><p>one two</p>" * 30_000])[0]) == 30_000
+
+
+def test_parts_of_a_long_page_do_not_matter(monkeypatch):
+    params = h.train(40, 1)
+    pages = [p for p, _ in h.layouts(np.random.default_rng(5), 6)]
+    whole = h.labeller(params)(pages)
+    monkeypatch.setattr(h, "STEPS", 5)
+    for a, b in zip(whole, h.labeller(params)(pages), strict=True):
+        assert [t for t, _ in a] == [t for t, _ in b] and np.allclose([q for _, q in a], [q for _, q in b], atol=1e-4)
+
+
+def test_extract_edges(spark):
+    page = "<article><p>One sentence of some words here.</p></article>"
+    rows = [(1, "u", page, 9), (1, "u", page, 9), (2, None, None, 9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    assert sorted(r["n_chars"] for r in h.extract(frame).collect()) == [0, 32, 32]
+    assert h.extract(frame.limit(0)).count() == 0
+
+
 def test_held_out_layouts_and_extract(spark):
     params = h.train()
     label = h.labeller(params)
