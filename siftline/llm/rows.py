@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -43,3 +44,47 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, for models that many tasks use."""
     return sys.modules.setdefault("_siftline_worker_cache", ModuleType("_siftline_worker_cache")).__dict__
+
+
+BLOCK = 32
+
+
+def free_name(wanted: str, *tables: DataFrame) -> str:
+    """A column name like the wanted one that no column of the tables has, whatever the case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_blocks(values: Column, size: int) -> Column:
+    """An array cut into arrays of size elements; the array must not be empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda b: F.slice(values, b * size + 1, F.lit(size)))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], first: Column, levels: int = 2) -> Column:
+    """The array of combine() of each element of values, all before it and first, which must be neutral.
+
+    An aggregate copies its whole state at each step, so arrays are only ever built of a
+    block's elements; blocks are continued from the running values of their totals.
+    """
+    none = F.slice(F.array(first), 1, 0)
+
+    def chain(block: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(combine(acc["at"], x))).alias("out"))
+
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, first, combine))
+        return bound(running(totals, combine, first, levels - 1), lambda known: F.flatten(F.transform(blocks, lambda b, i: chain(b, F.when(i > 0, F.get(known, i - 1)).otherwise(first)))))
+
+    if not levels:
+        return chain(values, first)
+    return bound(values, lambda v: F.when(F.size(v) > 0, bound(in_blocks(v, BLOCK), joined)).otherwise(none))

@@ -4,10 +4,12 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftline.llm import packing, pii, toxicity
@@ -160,6 +162,52 @@ def test_pii_equals_brute_force(spark):
     assert pii.report(frame.limit(0)).count() == 0
 
 
+def test_pii_patterns(spark):
+    """Quoted keys, long words and long ids: what seeds teach is found; a pattern of mostly plain numbers is not trusted."""
+    key = "k" * 34 + "1234567"
+    rows = [f'contact = "+1 555 010 99{k}{k}" end' for k in range(5)] + [f'contact = "{key}" end', "word" * 30 + " dial at +44 20 7946 0958", "y" * 70 + f" contact: {key}0"]
+    rows += [f"order number +1 555 020 99{k}{k} was" for k in range(4)] + [f"order number 88{k}77{k}99 was" for k in range(5)]
+    out = [x["spans"] for x in pii.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    assert out[5] == f"context:11:{11 + len(key)}" and out[7] == f"context:80:{81 + len(key)}"
+    assert all(x.startswith("phone") for x in out[:5]) and not any(out[12:])
+
+
+def test_pii_clear_of_and_mask_equal_brute_force(spark):
+    r = random.Random(6)
+    cases = []
+    for _ in range(200):
+        base = sorted((a, r.randrange(4), a + r.randrange(1, 9)) for a in (r.randrange(200) for _ in range(r.randrange(90))))
+        at, other = 0, []
+        while at < 200:
+            at += r.randrange(1, 9)
+            other.append((at, 4, end := at + r.randrange(1, 6)))
+            at = end
+        cases.append(("".join(r.choice("ab é😀") for _ in range(230)), base, other))
+    frame = spark.createDataFrame(cases, "t string, base array<struct<start:int,rank:int,end:int>>, other array<struct<start:int,rank:int,end:int>>")
+    got = frame.select("t", "base", "other", pii.clear_of(F.col("base"), F.col("other")).alias("clear"), pii.masked(F.col("t"), F.col("base")).alias("m")).collect()
+    for x in got:
+        assert [tuple(c) for c in x["clear"]] == [tuple(c) for c in x["other"] if not any(b["start"] < c["end"] and c["start"] < b["end"] for b in x["base"])]
+        out, at = [], 0
+        for start, rank, end in x["base"]:
+            if start >= at:
+                out += [x["t"][at:start], f"<{pii.KINDS[rank].upper()}>"]
+            at = max(at, end)
+        assert x["m"] == "".join(out) + x["t"][at:]
+
+
+def test_pii_of_long_texts(spark):
+    """Megabytes of matches in one text; clashing column names; no rows."""
+    texts = ["call bob at 12.1.1.1 or x1234567 " * 60_000, "1234567 " * 250_000, "a@b.cc," * 200_000, "x" * 10_000_000]
+    began = time.time()
+    frame = spark.createDataFrame([(k, t, "a", 7) for k, t in enumerate(texts)], "doc_id long, text string, span_list string, SPAN_ID int").repartition(4)
+    out = {x["doc_id"]: x for x in pii.report(frame).collect()}
+    assert (out[0]["n_ip"], out[2]["n_email"]) == (60_000, 200_000)
+    kept = {x["doc_id"]: x for x in pii.mask(frame).collect()}
+    assert kept[0]["text"].count("<IP>") == 60_000 and kept[2]["text"] == "<EMAIL>," * 200_000 and kept[3]["text"] == texts[3] and kept[1]["span_list"] == "a"
+    assert time.time() - began < 120
+    assert pii.mask(frame.limit(0)).count() == 0 and pii.mask(frame).columns == frame.columns
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "pii", "packing"]
     docs = table(spark, SF, "documents")
