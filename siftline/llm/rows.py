@@ -47,6 +47,7 @@ def worker_cache() -> dict:
 
 
 BLOCK = 32
+SHARES = 10_000
 
 
 def free_name(wanted: str, *tables: DataFrame) -> str:
@@ -88,3 +89,15 @@ def running(values: Column, combine: Callable[[Column, Column], Column], first:
     if not levels:
         return chain(values, first)
     return bound(values, lambda v: F.when(F.size(v) > 0, bound(in_blocks(v, BLOCK), joined)).otherwise(none))
+
+
+def share_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with keyed (unique keys; count: how many of the rows have them), safe from hot keys.
+
+    Fewer than ``SHARES`` keys can each hold over a ``SHARES``-th of all rows, so those are
+    broadcast whatever the size of the data; the others are too small to crowd a task.
+    """
+    least = (keyed.agg(F.sum(count)).first()[0] or 0) / SHARES
+    hot, cold = (keyed.where(c).drop(count) for c in (F.col(count) > least, F.col(count) <= least))
+    cooled = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys, how).unionByName(cooled.join(cold, keys, how))

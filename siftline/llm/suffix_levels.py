@@ -11,15 +11,22 @@ the bytes to their left that a window can still reach.
 2. The windows that picked one anchor are neighbours, and all they see are its surroundings.
    An anchor whose whole surroundings occur more than once is covered as far as it can be;
    nothing more has to be compared.
-3. One representative of all other surroundings goes to the task of its gram. There every
-   incoming batch gets a suffix array, which is merge-scanned against the arrays of all
-   existing levels for long matches, and becomes a level; levels of about equal size are
-   merged, so sizes grow geometrically and each suffix is merged a logarithmic number of
-   times (``SuffixLevels``). Suffixes of one gram are compared pair by pair up to
-   ``CROWD`` of them; a larger crowd's windows are counted by hash, which is linear.
+3. One representative of all other surroundings goes to the task of its gram, in order of
+   grams. There every batch that arrives gets a suffix array, which is merge-scanned against
+   the arrays of all existing levels for long matches, and becomes a level; levels of about
+   equal size are merged, so sizes grow geometrically and each suffix is merged a
+   logarithmic number of times (``SuffixLevels``). A task holds one batch and the suffixes
+   of the gram it is at, never its partition. A scan compares bytes: neighbours in the order
+   of the suffixes and in the order of the reversed prefixes say how far any two agree to
+   the right and to the left, so the classes of equal windows at every distance from the
+   anchor follow without pairs, in n log n for a gram of any crowd.
 4. A gram with more than ``HOT`` different surroundings, such as a passage a third of all
-   documents quote, is not held by one task: its windows are counted the same way as rows,
-   which are combined before the shuffle and give the same answer.
+   documents quote, is not held by one task: its windows are grouped as rows by a 128-bit
+   hash, which are combined before the shuffle and give the same classes.
+
+Equality of surroundings (step 2) rests on the 64-bit hash of the gram together with the
+64-bit hash of the surroundings: only surroundings of one gram can be confused, with a
+probability of k * k / 2**65 for k of them. All joins on them use both.
 
 Defined results: null text is empty; texts shorter than LENGTH keep everything; repeated
 rows are repeats of each other; ids may be null or repeated.
@@ -36,17 +43,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
-from .rows import map_rows, worker_cache
+from ..sources.scratch import release, stored
+from .rows import map_rows, share_join, worker_cache
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # a window that holds an anchor's gram starts at most so far to its left
-CROWD = 256  # suffixes of one gram that are still compared pair by pair
-HOT = 20_000  # different surroundings of one gram that one task still holds, about 60 MB with their hashes
+HOT = 50_000  # different surroundings of one gram that one task still holds, about 20 MB
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 PLACE_BITS = 24
-PAIRS = 20_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +106,15 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return place[heads], gram[heads], first[heads], end[np.r_[heads[1:], len(place)] - 1]
 
 
+def _common(sorted_rows: np.ndarray) -> np.ndarray:
+    """Leading bytes that each row has in common with the one before it; 0 for the first."""
+    out = np.zeros(len(sorted_rows), np.int64)
+    for at in range(1, len(sorted_rows), 1 << 14):
+        differ = sorted_rows[at : at + (1 << 14)] != sorted_rows[at - 1 : at - 1 + len(sorted_rows[at : at + (1 << 14)])]
+        out[at : at + len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1])
+    return out
+
+
 class SuffixLevels:
     """Sorted arrays of suffixes in levels of geometric size, with the long matches found so far.
 
@@ -111,86 +125,74 @@ class SuffixLevels:
 
     def __init__(self) -> None:
         self.levels: list[np.ndarray] = []  # of row numbers in suffix order
+        self.size = 0
         self.rows = np.zeros((0, REACH + LENGTH), np.uint8)
         self.left = self.right = self.reach_left = self.reach_right = np.zeros(0, np.int64)
 
     def _keys(self, members: np.ndarray, size: int) -> np.ndarray:
         return np.ascontiguousarray(self.rows[members, REACH : REACH + size]).view(f"S{size}").ravel()
 
+    def _take(self, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Numbers of the new rows; room for them doubles."""
+        first, self.size = self.size, self.size + len(rows)
+        if self.size > len(self.rows):
+            more = max(self.size, 2 * len(self.rows)) - len(self.rows)
+            self.rows = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), np.uint8)])
+            self.left, self.right, self.reach_left, self.reach_right = (np.r_[x, np.zeros(more, np.int64)] for x in (self.left, self.right, self.reach_left, self.reach_right))
+        self.rows[first : self.size], self.left[first : self.size], self.right[first : self.size] = rows, left, right
+        return np.arange(first, self.size)
+
     def add(self, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
         """Sort a new batch, match it with itself and every level, and let it become a level."""
-        new = np.arange(len(self.rows), len(self.rows) + len(rows))
-        self.rows = np.concatenate([self.rows, rows])
-        self.left, self.right = np.r_[self.left, left], np.r_[self.right, right]
-        zeros = np.zeros(len(rows), np.int64)
-        self.reach_left, self.reach_right = np.r_[self.reach_left, zeros], np.r_[self.reach_right, zeros]
-        new = new[np.argsort(self._keys(new, LENGTH), kind="stable")]
-        self._scan(new, new)
+        new = self._sorted(self._take(rows, left, right))
+        self._match(new)
+        grams = np.unique(self._keys(new, GRAM))
         for level in self.levels:
-            self._scan(new, level)
+            theirs = self._keys(level, GRAM)
+            low, high = np.searchsorted(theirs, grams, "left"), np.searchsorted(theirs, grams, "right")
+            met = np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+            if len(met):
+                self._match(self._sorted(np.concatenate([level[met], new])))
         self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            both = np.concatenate([self.levels.pop(-2), self.levels.pop()])
-            self.levels.append(both[np.argsort(self._keys(both, LENGTH), kind="stable")])
-
-    def _scan(self, new: np.ndarray, level: np.ndarray) -> None:
-        """Match suffixes that share their first GRAM bytes."""
-        ours, theirs = self._keys(new, GRAM), self._keys(level, GRAM)
-        low = np.arange(1, len(new) + 1) if new is level else np.searchsorted(theirs, ours, "left")
-        high = np.searchsorted(theirs, ours, "right")
-        count = np.maximum(high - low, 0)
-        ends = np.cumsum(count)
-        at = 0
-        while at < len(new):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            n = np.where(count[at:stop] > CROWD, 0, count[at:stop])  # crowds are left to finish()
-            if n.any():
-                a = np.repeat(new[at:stop], n)
-                b = level[np.repeat(low[at:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                self._match(a, b)
-            at = stop
-
-    def finish(self) -> None:
-        """Merge all levels, and match the grams that were too crowded for pairs by counting their windows.
-
-        Work and memory are in proportion to the crowd's size: a window repeats exactly if
-        its hash and its distance from the anchor occur twice.
+            self.levels.append(self._sorted(np.concatenate([self.levels.pop(-2), self.levels.pop()])))
+
+    def _sorted(self, members: np.ndarray) -> np.ndarray:
+        return members[np.argsort(self._keys(members, LENGTH), kind="stable")]
+
+    def _match(self, order: np.ndarray) -> None:
+        """Extend the reaches of some rows, given in suffix order, by the windows that two or more of them share.
+
+        Two rows share the window that starts a bytes before the anchor if they agree in a
+        bytes to the left and LENGTH - a to the right: if no neighbour between them in the
+        order of the reversed left sides, or of the right sides, agrees in fewer.
         """
-        if not self.levels:
+        if len(order) < 2:
             return
-        order = np.concatenate(self.levels)
-        order = order[np.argsort(self._keys(order, LENGTH), kind="stable")]
-        self.levels = [order]
-        keys = self._keys(order, GRAM)
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        for a, b in zip(first, np.r_[first[1:], len(order)], strict=True):
-            if b - a > CROWD:
-                self._count_windows(order[a:b])
-
-    def _count_windows(self, crowd: np.ndarray) -> None:
-        up, down = _powers(REACH + LENGTH + 1)
-        total = np.zeros((len(crowd), REACH + LENGTH + 1), np.uint64)
-        np.cumsum((self.rows[crowd].astype(np.uint64) + np.uint64(1)) * down[: REACH + LENGTH], axis=1, out=total[:, 1:])
-        for a in range(REACH + 1):
-            seen = np.flatnonzero((self.left[crowd] >= a) & (self.right[crowd] >= LENGTH - a))
-            at = REACH - a
-            _, where, count = np.unique((total[seen, at + LENGTH] - total[seen, at]) * up[at], return_inverse=True, return_counts=True)
-            hit = crowd[seen[count[where] > 1]]
+        right = _common(self.rows[order, REACH:])
+        back = np.ascontiguousarray(self.rows[order, REACH - 1 :: -1])
+        by_left = np.argsort(back.view(f"S{REACH}").ravel(), kind="stable")
+        left = _common(back[by_left])
+        most_right = np.minimum(np.maximum(right, np.r_[right[1:], 0]), self.right[order])
+        most_left = np.zeros(len(order), np.int64)
+        most_left[by_left] = np.maximum(left, np.r_[left[1:], 0])
+        most_left = np.minimum(most_left, self.left[order])
+        alive = np.flatnonzero(most_left + most_right >= LENGTH)
+        if len(alive) < 2:
+            return
+        own_left, own_right = most_left[alive], most_right[alive]
+        left_class = np.zeros(len(order), np.int64)
+        for a in range(max(0, LENGTH - int(own_right.max())), int(own_left.max()) + 1):
+            some = alive[(own_left >= a) & (own_right >= LENGTH - a)]
+            if len(some) < 2:
+                continue
+            left_class[by_left] = np.cumsum(left < a)
+            classes = np.cumsum(right < LENGTH - a)[some] * len(order) + left_class[some]
+            _, where, count = np.unique(classes, return_inverse=True, return_counts=True)
+            hit = order[some[count[where] > 1]]
             self.reach_left[hit] = np.maximum(self.reach_left[hit], a)
             self.reach_right[hit] = np.maximum(self.reach_right[hit], LENGTH - a)
 
-    def _match(self, a: np.ndarray, b: np.ndarray) -> None:
-        differ = self.rows[a] != self.rows[b]
-        before, after = differ[:, REACH - 1 :: -1], differ[:, REACH:]
-        left = np.where(before.any(axis=1), before.argmax(axis=1), REACH)
-        right = np.where(after.any(axis=1), after.argmax(axis=1), LENGTH)
-        left = np.minimum(left, np.minimum(self.left[a], self.left[b]))
-        right = np.minimum(right, np.minimum(self.right[a], self.right[b]))
-        long = left + right >= LENGTH
-        for side in (a[long], b[long]):
-            np.maximum.at(self.reach_left, side, left[long])
-            np.maximum.at(self.reach_right, side, right[long])
-
 
 def _anchor_rows(doc_id: int | None, text_hash: int, text: str | None) -> Iterator[tuple]:
     data = (text or "").encode()
@@ -224,45 +226,64 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reaches of all suffixes of one task, batch by batch through the levels."""
-    levels, arounds = SuffixLevels(), []
-    for batch in batches:
+    """Reaches of the suffixes of one task, which come in order of their grams; only the gram that goes on is kept."""
+    held: list[pa.RecordBatch] = []
+    levels = SuffixLevels()
+
+    def add(batch: pa.RecordBatch) -> None:
         if batch.num_rows:
             rows = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8).reshape(len(batch), REACH + LENGTH)
             levels.add(rows, batch.column("left").to_numpy().astype(np.int64), batch.column("right").to_numpy().astype(np.int64))
-            arounds.append(batch.column("around").to_numpy())
-    levels.finish()
-    if arounds:
-        hit = np.flatnonzero(levels.reach_right)
-        columns = [np.concatenate(arounds)[hit], levels.reach_left[hit], levels.reach_right[hit]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["around", "to_left", "to_right"])
+            held.append(batch.select(["gram", "around"]))
+
+    def found() -> pa.RecordBatch:
+        names = pa.Table.from_batches(held).combine_chunks()
+        hit = np.flatnonzero(levels.reach_right[: levels.size])
+        columns = [names.column(c).to_numpy()[hit] for c in ("gram", "around")]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, levels.reach_left[hit], levels.reach_right[hit])], names=["gram", "around", "to_left", "to_right"])
+
+    for batch in batches:
+        grams = batch.column("gram").to_numpy()
+        last = int(np.flatnonzero(grams != grams[-1])[-1]) + 1 if len(grams) and grams[0] != grams[-1] else 0
+        if last:
+            add(batch.slice(0, last))
+            yield found()
+            held, levels = [], SuffixLevels()
+        add(batch.slice(last))
+    if held:
+        yield found()
 
 
 def _windows(gram: int, around: int, left: int, right: int, row: bytes) -> Iterator[tuple]:
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     for a in range(max(0, LENGTH - right), left + 1):
-        w = digest(row[REACH - a : REACH - a + LENGTH], gram + a & (1 << 64) - 1)
-        yield around, a, w - (1 << 64) if w >> 63 else w
+        yield gram, around, a, digest(row[REACH - a : REACH - a + LENGTH], gram + a & (1 << 64) - 1)
 
 
 def covered(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The documents as doc_id, text_hash, text; and per document (c_id, c_hash) the covered byte ranges, which may overlap."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     found = stored(map_rows(docs, lambda: _anchor_rows, ANCHORS), "anchors")
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    repeated = stored(found.join(twice, "gram", "left_semi"), "repeated")
+    twice = stored(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    repeated = stored(share_join(found, twice, ["gram"], "n", "left_semi"), "repeated")
+    release(found, twice)
     first = F.min(F.struct("doc_id", "text_hash", "place", "left", "right")).alias("first")
     kinds = stored(repeated.groupBy("gram", "around").agg(F.count("*").alias("n"), first), "kinds")
-    several = kinds.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(several, F.col("gram") == F.col("g")).select("gram", "around", "first.*", (F.col("kinds") > hot).alias("hot"))
+    several = stored(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumn("hot", F.col("kinds") > hot), "several")
+    wanted = share_join(kinds, several, ["gram"], "kinds").select("gram", "around", "first.*", "hot")
     around = stored(_surroundings(docs, wanted), "surroundings")
-    reaches = around.where("NOT hot").repartition("gram").mapInArrow(_indexed, "around long, to_left long, to_right long")
-    window = map_rows(around.where("hot").select("gram", "around", "left", "right", "bytes"), lambda: _windows, "around long, a int, window long")
-    shared = window.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hot_reaches = window.join(shared, "window", "left_semi").groupBy("around").agg(F.max("a").cast("long").alias("to_left"), F.max(F.lit(LENGTH) - F.col("a")).cast("long").alias("to_right"))
-    whole = kinds.where("n > 1").select("around", F.col("first.left").cast("long").alias("to_left"), F.col("first.right").cast("long").alias("to_right"))
-    best = whole.unionByName(reaches).unionByName(hot_reaches).groupBy("around").agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
-    ranges = repeated.select("doc_id", "text_hash", "place", "around").join(best, "around").select("doc_id", "text_hash", (F.col("place") - F.col("to_left")).alias("start"), (F.col("place") + F.col("to_right")).alias("end"))
+    release(several)
+    shape = "gram long, around long, to_left long, to_right long"
+    reaches = around.where("NOT hot").repartition("gram").sortWithinPartitions("gram").drop("hot").mapInArrow(_indexed, shape)
+    window = map_rows(around.where("hot").select("gram", "around", "left", "right", "bytes"), lambda: _windows, "gram long, around long, a int, window binary")
+    shared = window.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
+    hot_reaches = share_join(window, shared, ["window"], "n", "left_semi").groupBy("gram", "around").agg(F.max("a").cast("long").alias("to_left"), F.max(F.lit(LENGTH) - F.col("a")).cast("long").alias("to_right"))
+    whole = kinds.where("n > 1").select("gram", "around", F.col("first.left").cast("long").alias("to_left"), F.col("first.right").cast("long").alias("to_right"))
+    widest = whole.unionByName(reaches).unionByName(hot_reaches).groupBy("gram", "around").agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
+    best = stored(widest.join(kinds.select("gram", "around", "n"), ["gram", "around"]), "reaches")
+    release(around, kinds)
+    reached = share_join(repeated, best, ["gram", "around"], "n")
+    ranges = reached.select("doc_id", "text_hash", (F.col("place") - F.col("to_left")).alias("start"), (F.col("place") + F.col("to_right")).alias("end"))
     return docs, ranges.groupBy(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash")).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 

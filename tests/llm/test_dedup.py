@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from siftline.llm import components, simhash_gray, suffix_levels
+from siftline.llm import rows as llm_rows
 
 
 def roots(ids, edges):
@@ -108,12 +109,52 @@ def brute(texts):
 def test_repeats_equal_brute_force(spark, monkeypatch):
     rows, frame = documents(spark)
     want = collections.Counter((r[0], *b) for r, b in zip(rows, brute([r[1] for r in rows]), strict=True))
-    for hot, crowd in ((suffix_levels.HOT, suffix_levels.CROWD), (0, suffix_levels.CROWD), (suffix_levels.HOT, 3)):
-        monkeypatch.setattr(suffix_levels, "CROWD", crowd)
+    for hot, shares in ((suffix_levels.HOT, 10_000), (0, 10_000), (suffix_levels.HOT, 3), (0, 3)):
+        monkeypatch.setattr(llm_rows, "SHARES", shares)
         assert collections.Counter(map(tuple, suffix_levels.remove_repeats(frame, hot).collect())) == want
     assert suffix_levels.remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_repeats_across_chunks_and_thue_morse(spark, monkeypatch):
+    """Texts longer than a chunk, and texts on which polynomial hashes collide."""
+    r = random.Random(7)
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(6_000))
+    body = "".join(r.choice("abcdefgh ") for _ in range(9_000))
+    texts = [morse, morse[1_500:], body, "x" + body[200:5_000] + "y" + body[5_100:], body[4_000:4_400], "\0" * 500 + "a", "\0" * 199]
+    monkeypatch.setattr(suffix_levels, "CHUNK", 1_000)
+    want = collections.Counter((i, *b) for i, b in enumerate(brute(texts)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert collections.Counter(map(tuple, suffix_levels.remove_repeats(frame).collect())) == want
+
+
+@pytest.mark.parametrize("batch", [3, 7, 1000])
+def test_batches_of_one_gram_equal_pairs(batch):
+    """However the suffixes come in batches, reaches are those of all pairs."""
+    r = np.random.default_rng(batch)
+    reach, length = suffix_levels.REACH, suffix_levels.LENGTH
+    stems = r.integers(97, 99, (4, reach + length)).astype(np.uint8)
+    rows = stems[r.integers(0, 4, 60)].copy()
+    rows[:, reach : reach + 32] = 65
+    for row in rows:
+        for at in r.integers(0, reach + length, r.integers(0, 3)):
+            if not reach <= at < reach + 32:
+                row[at] = 99
+    left, right = np.where(r.random(60) < 0.2, r.integers(0, reach, 60), reach), np.where(r.random(60) < 0.2, r.integers(32, length, 60), length)
+    for row, a, b in zip(rows, left, right, strict=True):
+        row[: reach - a] = 0
+        row[reach + b :] = 0
+    want = [[0, 0] for _ in rows]
+    for i in range(60):
+        for j in range(60):
+            for a in range(reach + 1):
+                if i != j and a <= min(left[i], left[j]) and length - a <= min(right[i], right[j]) and (rows[i, reach - a : reach - a + length] == rows[j, reach - a : reach - a + length]).all():
+                    want[i] = [max(want[i][0], a), max(want[i][1], length - a)]
+    levels = suffix_levels.SuffixLevels()
+    for at in range(0, 60, batch):
+        levels.add(rows[at : at + batch], left[at : at + batch], right[at : at + batch])
+    assert np.stack([levels.reach_left, levels.reach_right], axis=1)[:60].tolist() == want
+
+
 def test_levels_grow_geometrically():
     levels = suffix_levels.SuffixLevels()
     rng = np.random.default_rng(1)
@@ -125,4 +166,5 @@ def test_levels_grow_geometrically():
     assert sum(sizes) == 37 * 8 and len(sizes) <= 6 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
     again = levels.rows[:8].copy()
     levels.add(again, np.full(8, suffix_levels.REACH), np.full(8, suffix_levels.LENGTH))
-    assert (levels.reach_right[:8] == 200).all() and (levels.reach_left[-8:] == suffix_levels.REACH).all() and not levels.reach_right[8:-8].any()
+    right, left = levels.reach_right[: levels.size], levels.reach_left[: levels.size]
+    assert (right[:8] == 200).all() and (left[-8:] == suffix_levels.REACH).all() and not right[8:-8].any()
