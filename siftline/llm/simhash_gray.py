@@ -2,8 +2,9 @@
 
 Every text gets a 64-bit fingerprint from its word shingles. Equal fingerprints are one
 node. Two fingerprints that differ in ``RADIUS`` bits or fewer agree wholly on at least
-one of ``RADIUS + 1`` bit blocks, so each node is sent to one bucket per block and every
-link shows up in some bucket. Inside a task the buckets' members are sorted by Gray rank
+two of ``RADIUS + 2`` bit blocks, so each node is sent to one bucket per pair of blocks, and
+every link shows up in some bucket. A pair of blocks has 20 bits or more, so buckets stay
+small up to many billions of fingerprints. Inside a task the buckets' members are sorted by Gray rank
 and grouped, level by level, under upper nodes that hold the bits all members share (a
 mask and a pattern). Pairs of upper nodes are walked from the roots down; a pair is
 dropped whole once its shared patterns differ in more bits than the radius, or once both
@@ -19,6 +20,7 @@ null ids count as greater than all others and stay null; repeated rows share a c
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
 from .components import connected_components
-from .rows import map_rows
+from .rows import free_name, map_rows
 
 SEED = 42
 SHINGLE = 4
@@ -82,8 +84,8 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
 
 
 def blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of radius + 1 blocks that make up the 64 bits."""
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
+    """(shift, bits) of radius + 2 blocks that make up the 64 bits."""
+    cuts = [64 * k // (radius + 2) for k in range(radius + 3)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -229,7 +231,8 @@ def dealt(placed: DataFrame, member: str, hot: int = HOT) -> DataFrame:
 
 def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Links a, b that connect the distinct fingerprints (column fp) within the radius as all links would."""
-    keys = F.array(*[F.xxhash64(F.lit(k), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))) for k, (shift, bits) in enumerate(blocks(radius))])
+    bits = [F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << size) - 1)) for shift, size in blocks(radius)]
+    keys = F.array(*[F.xxhash64(F.lit(k), a, b) for k, (a, b) in enumerate(itertools.combinations(bits, 2))])
     members = dealt(nodes.select("fp", F.explode(keys).alias("bucket")), "fp", hot).repartition("bucket").select("bucket", "fp", "side")
     return members.mapInArrow(lambda batches: _joined(batches, radius), "a long, b long")
 
@@ -257,7 +260,8 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
 
 def first_of_classes(documents: DataFrame, found: DataFrame) -> DataFrame:
     """documents with one row of each class_fp of found (doc_id, text_hash, class_fp): the least id, of its rows the least text hash."""
+    own_id, own_hash = free_name("kept_id", documents), free_name("kept_hash", documents)
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("h"))).alias("best")
-    kept = found.groupBy("class_fp").agg(best).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__hash"))
-    same = (F.coalesce(documents["doc_id"], F.lit(NO_ID)) == kept["__id"]) & (F.xxhash64(documents["text"]) == kept["__hash"])
-    return documents.join(kept, same).dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    kept = found.groupBy("class_fp").agg(best).select(F.col("best.id").alias(own_id), F.col("best.h").alias(own_hash))
+    same = (F.coalesce(documents["doc_id"], F.lit(NO_ID)) == kept[own_id]) & (F.xxhash64(documents["text"]) == kept[own_hash])
+    return documents.join(kept, same).dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)
