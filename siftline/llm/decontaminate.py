@@ -1,7 +1,9 @@
 """Benchmark decontamination with a hash set of normalised test n-grams.
 
-Main path is DataFrame expressions only. Each document is turned into its windows of
-``n`` consecutive words; the windows are looked up in the benchmark's window set by the
+Main path is DataFrame expressions only. Each document's words are read once and cut into
+blocks of ``BLOCK`` words, which overlap by a window less one word; each block is turned
+into its windows of ``n`` consecutive words, so a text of any length has one block's
+windows in memory at a time. The windows are looked up in the benchmark's window set by the
 window string itself, so a hit is verified by equality and not only by its hash. The set
 is broadcast while its measured size stays under ``broadcast_bytes``; beyond that the same
 lookup runs as a shuffled join.
@@ -16,10 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import bound, free_name, running
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NGRAM = 10
 BROADCAST_BYTES = 64 << 20
+BLOCK = 4_096
 
 
 def ascii_lower(text: Column) -> Column:
@@ -30,12 +35,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def windows(tokens: Column, size: int) -> Column:
-    """Structs (at, n, gram) of every run of ``size`` words; empty when there are fewer."""
-    starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1)))
+def windows(tokens: Column, size: int, base: Column, most: int) -> Column:
+    """Structs (at, n, gram) of the runs of ``size`` words that start at one of the first words; at counts from base + 1."""
+    starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.least(F.size(tokens) - (size - 1), F.lit(most))))
     return F.transform(
         F.coalesce(starts, F.array().cast("array<int>")),
-        lambda i: F.struct(i.alias("at"), F.lit(size).alias("n"), F.array_join(F.slice(tokens, i, size), " ").alias("gram")),
+        lambda i: F.struct((base + i).cast("int").alias("at"), F.lit(size).alias("n"), F.array_join(F.slice(tokens, i, size), " ").alias("gram"), F.lit(None).cast("int").alias("n_words")),
     )
 
 
@@ -51,28 +56,34 @@ def benchmark_windows(benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     )
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, keys: list[str], n: int = NGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per document key: the hit windows as distinct (at, n) structs and the ids of their items.
+def looked_up(documents: DataFrame, benchmark: DataFrame, keys: list[str], n: int = NGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """keys, at, n, items of every hit window, and a row with n_words (the others null) for every row of documents.
 
     documents has the ``keys`` columns and text. Windows are made and looked up where the
-    text is read; only hits are shuffled.
+    text is read; only hits and the rows with n_words are left to shuffle.
     """
     grams = benchmark_windows(benchmark, n)
     size = grams.agg(
         F.coalesce(F.sum(F.octet_length("gram") + 64 + 32 * F.size("items")), F.lit(0)).alias("bytes"),
         F.sort_array(F.collect_set("gram_words")).alias("lengths"),
     ).first()
-    known = grams.select("gram", "items")
+    known = grams.select(F.col("gram").alias("known"), "items")
     if size["bytes"] <= broadcast_bytes:
         known = F.broadcast(known)
     tokens = documents.select(*keys, words(F.col("text")).alias("w"))
-    made = F.concat(*[windows(F.col("w"), k) for k in size["lengths"]]) if size["lengths"] else windows(F.col("w"), n)
-    return (
-        tokens.select(*keys, F.inline(made))
-        .join(known, "gram")
-        .groupBy(*keys)
-        .agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    )
+    widest = max(size["lengths"], default=1)
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size("w") - 1) / BLOCK), F.lit(0)).cast("int"))
+    cuts = F.transform(starts, lambda b: F.struct((b * BLOCK).alias("base"), F.slice("w", b * BLOCK + 1, F.lit(BLOCK + widest - 1)).alias("part"), F.when(b == 0, F.size("w")).alias("whole")))
+    parts = tokens.select(*keys, F.inline(cuts))
+    row = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("gram"), F.col("whole").alias("n_words"))
+    first = F.when(F.col("whole").isNotNull(), F.array(row)).otherwise(F.slice(F.array(row), 1, 0))
+    made = F.concat(first, *[windows(F.col("part"), k, F.col("base"), BLOCK) for k in size["lengths"]])
+    return parts.select(*keys, F.inline(made)).join(known, F.col("gram") == F.col("known"), "left").where("gram IS NULL OR known IS NOT NULL").select(*keys, "at", "n", "items", "n_words")
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, keys: list[str], n: int = NGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Per document key with a hit: the hit windows as distinct (at, n) structs."""
+    return looked_up(documents, benchmark, keys, n, broadcast_bytes).where("at IS NOT NULL").groupBy(*keys).agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
 def covered(spans: Column) -> Column:
@@ -94,19 +105,17 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of documents."""
-    keyed = _keyed(documents)
-    found = hits(keyed, benchmark, ["k_id", "k_text"], n, broadcast_bytes).select(
-        F.col("k_id").alias("f_id"), F.col("k_text").alias("f_text"), covered(F.col("spans")).alias("n_hit"), F.array_sort("items").alias("items")
-    )
-    base = keyed.select("k_id", "k_text", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
-    return base.join(found, F.col("k_id").eqNullSafe(F.col("f_id")) & (F.col("k_text") == F.col("f_text")), "left").select(
+    rows = looked_up(_keyed(documents), benchmark, ["k_id", "k_text"], n, broadcast_bytes)
+    spans = F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "n"))).alias("spans")
+    found = rows.groupBy("k_id", "k_text").agg(F.count("n_words").alias("copies"), F.max("n_words").cast("long").alias("n_words"), spans, F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    one = found.select("k_id", "n_words", covered(F.col("spans")).alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return one.select(
         F.col("k_id").alias("doc_id"),
         "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"),
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
@@ -116,8 +125,8 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, min_hit: int
     An item shorter than ``n`` words counts when it is hit whole, whatever ``min_hit`` says.
     """
     found = hits(_keyed(documents), benchmark, ["k_id", "k_text"], n, broadcast_bytes)
-    bad = found.where((covered(F.col("spans")) >= min_hit) | F.exists("spans", lambda s: s["n"] < n)).select(F.col("k_id").alias("__id"), F.col("k_text").alias("__hash"))
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(documents["text"]) == bad["__hash"]), "left_anti")
+    bad = found.where((covered(F.col("spans")) >= min_hit) | F.exists("spans", lambda s: s["n"] < n)).select(F.col("k_id").alias("bad_id"), F.col("k_text").alias("bad_hash"))
+    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(documents["text"]) == bad["bad_hash"]), "left_anti")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -126,10 +135,19 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, bro
     Text is rebuilt from its pieces: a hit word goes with the separator that follows it.
     Rows without a hit keep their text byte for byte.
     """
-    found = hits(_keyed(documents), benchmark, ["k_id", "k_text"], n, broadcast_bytes).select(F.col("k_id").alias("__id"), F.col("k_text").alias("__hash"), F.col("spans").alias("__spans"))
-    joined = documents.join(found, documents["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(documents["text"]) == found["__hash"]), "left")
+    own_id, own_hash, own_spans = (free_name(c, documents) for c in ("hit_id", "hit_hash", "hit_spans"))
+    found = hits(_keyed(documents), benchmark, ["k_id", "k_text"], n, broadcast_bytes).select(F.col("k_id").alias(own_id), F.col("k_text").alias(own_hash), F.array_sort("spans").alias(own_spans))
+    joined = documents.join(found, documents["doc_id"].eqNullSafe(found[own_id]) & (F.xxhash64(documents["text"]) == found[own_hash]), "left")
     any_case = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{any_case}[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*"), F.lit(0))
     lead = F.regexp_extract(F.col("text"), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    kept = F.filter(pieces, lambda x, i: ~F.exists("__spans", lambda s: (s["at"] <= i + 1) & (i + 1 < s["at"] + s["n"])))
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))).drop("__id", "__hash", "__spans")
+    ends = running(F.transform(own_spans, lambda s: s["at"] + s["n"]), lambda a, b: F.greatest(a, b), F.lit(0))  # of the words that are gone so far, exclusive
+
+    def kept(x: Column) -> Column:
+        gap = lambda s, i: F.slice(x["p"], F.when(i > 0, F.get(x["e"], i - 1)).otherwise(1), F.greatest(s["at"] - F.when(i > 0, F.get(x["e"], i - 1)).otherwise(1), F.lit(0)))
+        between = F.flatten(F.transform(own_spans, gap))
+        last = F.element_at(x["e"], -1)
+        return F.concat(between, F.slice(x["p"], last, F.greatest(F.size(x["p"]) - last + 1, F.lit(0))))
+
+    rest = bound(F.struct(pieces.alias("p"), ends.alias("e")), kept)
+    return joined.withColumn("text", F.when(F.col(own_spans).isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(rest, "")))).drop(own_id, own_hash, own_spans)
