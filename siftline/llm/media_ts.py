@@ -7,9 +7,13 @@ counters, elementary packets, presentation times and random-access points. Both
 row at a time and never look at other rows, so the operator has no shuffle.
 
 Defined results of ``parse``: bytes that are not in step with the sync byte are skipped and
-counted; a packet repeated once with the same counter is dropped; a gap in the counter is
-counted unless the discontinuity indicator announces it; packets with the transport error
-flag or scrambling are counted and their payload left out; empty input has no programs.
+counted; a packet repeated once with the same counter is dropped, its clock field may differ;
+a gap in the counter is counted unless the discontinuity indicator announces it; packets
+with the transport error flag or scrambling are counted and their payload left out; a unit
+that misses bytes, by a gap or against its length, is kept and marked as damaged; tables
+that are announced but not yet current are left out, a new version replaces the old; empty
+input has no programs; null and repeated rows are handled like any other; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -114,21 +118,37 @@ def _aligned(stream: bytes) -> tuple[np.ndarray, int]:
 
 
 def _sections(pid_payloads: list[tuple[bool, bytes]]) -> Iterator[bytes]:
-    """Complete table sections with a correct CRC."""
+    """Complete current table sections with a correct CRC, also where one ends in the packet in which the next begins."""
     buffer = b""
-    for starts, data in pid_payloads:
-        if starts and data:
-            buffer = data[1 + data[0] :]
-        elif buffer:
-            buffer += data
+
+    def complete() -> Iterator[bytes]:
+        nonlocal buffer
         while len(buffer) >= 3 and buffer[0] != 0xFF:
             size = 3 + (buffer[1] << 8 & 0xF00 | buffer[2])
             if len(buffer) < size:
-                break
-            if size >= 12 and crc32_mpeg(buffer[:size]) == 0:
+                return
+            if size >= 12 and crc32_mpeg(buffer[:size]) == 0 and buffer[5] & 1:
                 yield buffer[:size]
             buffer = buffer[size:]
 
+    for starts, data in pid_payloads:
+        if starts and data:
+            rest = data[1 : 1 + data[0]]
+            buffer = buffer + rest if buffer else b""
+            yield from complete()
+            buffer = data[1 + data[0] :]
+        elif buffer:
+            buffer += data
+        yield from complete()
+
+
+def _without_clock(rows: np.ndarray, control: np.ndarray) -> np.ndarray:
+    """Packets from their fifth byte on, the program clock reference set to zero."""
+    out = rows[:, 4:].copy()
+    clocked = (control & 2 != 0) & (rows[:, 4] >= 7) & (rows[:, 5] & 0x10 != 0)
+    out[clocked, 2:8] = 0
+    return out
+
 
 def _time(b: bytes) -> int:
     return (b[0] & 14) << 29 | b[1] << 22 | (b[2] & 254) << 14 | b[3] << 7 | b[4] >> 1
@@ -137,7 +157,7 @@ def _time(b: bytes) -> int:
 def parse(stream: bytes) -> dict:
     """Programs, streams, packet counts, continuity errors and the elementary packets of a transport stream.
 
-    units: dicts of pid, stream_id, pts, dts, random_access, offset (first packet's number) and data.
+    units: dicts of pid, stream_id, pts, dts, random_access, offset (first packet's number), damaged and data.
     """
     rows, skipped = _aligned(stream)
     pid = (rows[:, 1].astype(int) & 0x1F) << 8 | rows[:, 2]
@@ -150,36 +170,46 @@ def parse(stream: bytes) -> dict:
     starts = rows[:, 1] & 0x40 != 0
     usable = (control & 1 != 0) & ~broken & (pid != NULL_PID)
     errors = repeats = 0
-    keep = usable.copy()
+    gap = np.zeros(len(rows), bool)
     by_pid: dict[int, np.ndarray] = {}
     for p in np.unique(pid[usable]):
         at = np.flatnonzero(usable & (pid == p))
         step = np.diff(cc[at].astype(int)) & 15
-        same = np.r_[False, (step == 0) & (rows[at[1:], 4:] == rows[at[:-1], 4:]).all(axis=1)] if len(at) > 1 else np.zeros(len(at), bool)
+        same = np.zeros(len(at), bool)
+        if len(twin := np.flatnonzero(step == 0) + 1):
+            same[twin] = (_without_clock(rows[at[twin]], control[at[twin]]) == _without_clock(rows[at[twin - 1]], control[at[twin - 1]])).all(axis=1)
         same &= np.r_[True, ~same[:-1]]
         repeats += int(same.sum())
-        keep[at[same]] = False
         at = at[~same]
         step = np.diff(cc[at].astype(int)) & 15
-        errors += int(((step != 1) & (flags[at[1:]] & 0x80 == 0)).sum())
+        lost = at[1:][(step != 1) & (flags[at[1:]] & 0x80 == 0)]
+        gap[lost] = True
+        errors += len(lost)
         by_pid[int(p)] = at
     load = lambda i: rows[i, begin[i] :].tobytes()
     programs: dict[int, int] = {}
+    version = None
     for s in _sections([(bool(starts[i]), load(i)) for i in by_pid.get(0, [])]):
         if s[0] == 0:
+            programs = programs if s[5] == version else {}
+            version = s[5]
             programs |= {n: p & 0x1FFF for n, p in struct.iter_unpack(">HH", s[8:-4]) if n}
-    streams: dict[int, int] = {}
+    tables: dict[int, dict[int, int]] = {}  # of each program, as its last version has them
     for table in sorted(set(programs.values())):
         for s in _sections([(bool(starts[i]), load(i)) for i in by_pid.get(table, [])]):
-            at = 12 + (s[10] << 8 & 0xF00 | s[11]) if s[0] == 2 else len(s)
+            if s[0] != 2:
+                continue
+            at = 12 + (s[10] << 8 & 0xF00 | s[11])
+            own = tables[s[3] << 8 | s[4]] = {}
             while at + 5 <= len(s) - 4:
-                streams[(s[at + 1] & 0x1F) << 8 | s[at + 2]] = s[at]
+                own[(s[at + 1] & 0x1F) << 8 | s[at + 2]] = s[at]
                 at += 5 + (s[at + 3] << 8 & 0xF00 | s[at + 4])
+    streams = {pid: kind for own in tables.values() for pid, kind in own.items()}
     units = []
     for p in sorted(streams):
         at = by_pid.get(p, np.zeros(0, int))
         first = np.flatnonzero(starts[at])
-        for a, b in zip(first, [*first[1:], len(at)], strict=True):
+        for a, b in zip(first, [*first[1:], len(at)][: len(first)], strict=True):
             own = at[a:b]
             full = own[1:-1]
             body = load(own[0]) + (rows[full, 4:].tobytes() if len(full) and (begin[full] == 4).all() else b"".join(load(i) for i in full)) + (load(own[-1]) if len(own) > 1 else b"")
@@ -187,6 +217,7 @@ def parse(stream: bytes) -> dict:
                 continue
             size = body[4] << 8 | body[5]
             times, head = body[7] >> 6, 9 + body[8]
+            data = body[head : 6 + size] if size else body[head:]
             units.append({
                 "pid": p,
                 "stream_id": body[3],
@@ -194,7 +225,8 @@ def parse(stream: bytes) -> dict:
                 "dts": _time(body[14:19]) if times == 3 else None,
                 "random_access": bool(flags[own[0]] & 0x40),
                 "offset": int(own[0]),
-                "data": body[head : 6 + size] if size else body[head:],
+                "damaged": bool(gap[own[1:]].any() or (b < len(at) and gap[at[b]]) or (size and len(body) < 6 + size)),
+                "data": data,
             })
     return {"packets": len(rows), "skipped": skipped, "broken": int(broken.sum()), "repeats": repeats, "continuity_errors": errors, "programs": programs, "streams": streams, "units": units}
 
@@ -205,9 +237,9 @@ def pad(data: bytes, block: int = BLOCK) -> bytes:
 
 
 def describe(found: dict) -> str:
-    """The stored index of a parsed stream as one line of text: tables, counters, times and random-access points."""
+    """The stored index of a parsed stream as one line of text: tables, counters, times and random-access points; index digests every unit's place, times and bytes."""
     units = found["units"]
-    index = hashlib.sha256(b"".join(struct.pack("<iqqqi?", u["pid"], -1 if u["pts"] is None else u["pts"], -1 if u["dts"] is None else u["dts"], u["offset"], len(u["data"]), u["random_access"]) for u in units)).hexdigest()[:16]
+    index = hashlib.sha256(b"".join(struct.pack("<iqqqi?I", u["pid"], -1 if u["pts"] is None else u["pts"], -1 if u["dts"] is None else u["dts"], u["offset"], len(u["data"]), u["random_access"], zlib.crc32(u["data"])) for u in units)).hexdigest()[:16]
     times = [u["pts"] for u in units if u["pts"] is not None]
     return ";".join([
         "programs=" + ",".join(f"{n}:{p}" for n, p in sorted(found["programs"].items())),
@@ -221,7 +253,7 @@ def describe(found: dict) -> str:
     ])
 
 
-STREAM_TYPE = "packets long, skipped long, broken long, repeats long, continuity_errors long, programs map<int,int>, streams map<int,int>, units array<struct<pid:int,stream_id:int,pts:long,dts:long,random_access:boolean,offset:long,data:binary>>"
+STREAM_TYPE = "packets long, skipped long, broken long, repeats long, continuity_errors long, programs map<int,int>, streams map<int,int>, units array<struct<pid:int,stream_id:int,pts:long,dts:long,random_access:boolean,offset:long,damaged:boolean,data:binary>>"
 
 
 def parse_streams(media: DataFrame, column: str, unit_data: bool = True) -> DataFrame:
@@ -241,7 +273,18 @@ def parse_streams(media: DataFrame, column: str, unit_data: bool = True) -> Data
     return media.withColumn("transport", parsed(F.col(column)))
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def stream_units(media: DataFrame, column: str, unit_data: bool = True) -> DataFrame:
+    """media, without the binary column, with one row for each elementary packet: pid, stream_id, pts, dts, random_access, offset, damaged, data."""
+    parsed = parse_streams(media, column, unit_data)
+    return parsed.select(*[c for c in media.columns if c != column], F.inline("transport.units"))
+
+
+def listed(units: list[dict]) -> str:
+    """pid:offset:pts:dts:random access:bytes of every elementary packet."""
+    return ",".join(f"{u['pid']}:{u['offset']}:{'' if u['pts'] is None else u['pts']}:{'' if u['dts'] is None else u['dts']}:{int(u['random_access'])}:{len(u['data'])}" for u in units)
+
+
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units string"
 
 
 def store_texts(documents: DataFrame) -> DataFrame:
@@ -252,7 +295,7 @@ def store_texts(documents: DataFrame) -> DataFrame:
         media = mux(pad(data))
         found = parse(media)
         back = b"".join(u["data"] for u in found["units"])
-        return [(doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(found))]
+        return [(doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(found), listed(found["units"]))]
 
     return map_rows(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda: digest, DIGEST)
 

@@ -32,6 +32,44 @@ def test_damage():
     assert m.parse(b"")["units"] == [] and m.parse(b"\x47" * 100)["packets"] == 0
 
 
+def packet(pid, start, cc, body, field=b""):
+    """A hand-built packet, padded by its adaptation field."""
+    room = 184 - len(body)
+    if room or field:
+        field = (field or b"\0").ljust(room - 1, b"\xff") if room > 1 else b""
+        body = bytes([len(field)]) + field + body if room else body
+    return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x30 if room else 0x10) | cc]) + body
+
+
+def test_foreign_stream():
+    """Two sections that share a packet, a table that is not current, a new version, a clock that differs in a repeat."""
+    section = lambda program, pid, kind, version=0, current=1: (lambda h: h + m.crc32_mpeg(h).to_bytes(4, "big"))(bytes([2, 0xB0, 18, program >> 8, program & 255, 0xC0 | version << 1 | current, 0, 0, 0xE1, 0, 0xF0, 0, kind, 0xE0 | pid >> 8, pid & 255, 0xF0, 0]))
+    pat = (lambda h: h + m.crc32_mpeg(h).to_bytes(4, "big"))(bytes([0, 0xB0, 17, 0, 1, 0xC1, 0, 0, 0, 1, 0xE0, 0x50, 0, 2, 0xE0, 0x50]))
+    a, b = section(1, 0x101, 2), section(2, 0x102, 3)
+    late, old = section(2, 0x103, 4, 1, 0), section(2, 0x104, 5, 2)
+    out = [packet(0, True, 0, (b"\0" + pat).ljust(184, b"\xff"))]
+    out += [packet(0x50, True, 0, b"\0" + a[:10]), packet(0x50, True, 1, bytes([len(a) - 10]) + a[10:] + b[:9]), packet(0x50, False, 2, b[9:] + late)]
+    found = m.parse(b"".join(out))
+    assert found["programs"] == {1: 0x50, 2: 0x50} and found["streams"] == {0x101: 2, 0x102: 3}
+    assert m.parse(b"".join([*out, packet(0x50, True, 3, b"\0" + old)]))["streams"] == {0x101: 2, 0x104: 5}
+    pes = b"\0\0\1\xe0\0\0\x80\0\0" + b"x" * 100
+    clock = [packet(0x101, True, 0, pes, b"\x10" + bytes([k]) * 6) for k in (1, 2)]
+    found = m.parse(b"".join(out + clock))
+    assert (found["repeats"], found["continuity_errors"], len(found["units"])) == (1, 0, 1) and found["units"][0]["data"] == b"x" * 100
+
+
+def test_damaged_units(spark):
+    stream = m.mux(m.pad(random.Random(3).randbytes(30_000)))
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    found = m.parse(b"".join(packets[:60] + packets[61:]))
+    assert [u["damaged"] for u in found["units"]] == [False, True, False, False]
+    rows = m.stream_units(spark.createDataFrame([(1, bytearray(stream))], "doc_id long, media binary"), "media").collect()
+    assert len(rows) == 4 and all(r["random_access"] and not r["damaged"] for r in rows)
+    assert m.describe(m.parse(m.mux(m.pad(b"a" * 700)))) != m.describe(m.parse(m.mux(m.pad(b"q" * 700))))
+    none = spark.createDataFrame([], "doc_id long, text string, units int")
+    assert m.store_texts(none).count() == 0 and m.stream_units(m.write_streams(none), "media").count() == 0
+
+
 def test_store_texts(spark):
     rows = [(1, "é" * 400, 5), (None, None, 5), (2, "", 5), (3, "é" * 400, 5)]
     out = {r["doc_id"]: r for r in m.store_texts(spark.createDataFrame(rows, "doc_id long, text string, media int")).collect()}
