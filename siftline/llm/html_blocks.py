@@ -126,7 +126,7 @@ class _Open:
         return place if place >= (self.scopes[-1] if self.scopes else -1) else -1
 
 
-def _tags(page: str) -> Iterator[re.Match]:
+def tags(page: str) -> Iterator[re.Match]:
     """Tags, comments and declarations in page order; send() moves on to a later place."""
     at = rough = 0
     pattern = TAG
@@ -191,8 +191,8 @@ def blocks(page: str, paths: Paths | None = None) -> list[tuple[str, int, int]]:
             flush()
             stack.cut(place)
 
-    tags = _tags(page)
-    m = next(tags, None)
+    walk = tags(page)
+    m = next(walk, None)
     while m is not None:
         add(page[at : m.start()])
         at = m.end()
@@ -229,7 +229,7 @@ def blocks(page: str, paths: Paths | None = None) -> list[tuple[str, int, int]]:
                 elif name not in INLINE:
                     flush()
         try:
-            m = tags.send(at)
+            m = walk.send(at)
         except StopIteration:
             m = None
     add(page[at:])
