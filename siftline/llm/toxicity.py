@@ -31,6 +31,7 @@ from ..sources.scratch import release, stored
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
 PIECE = 1 << 20
+ENTRIES = 1 << 20
 SIZES = (3, 4, 5)
 BITS = 20
 MIN_Z = 3.5
@@ -114,33 +115,49 @@ def fit(sample: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), batch.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "toxic", "own"])
 
     found = sample.select("doc_id", "text_hash", "toxic", "text").mapInArrow(present, "doc_id long, text_hash long, toxic int, own array<int>").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")]).combine_chunks()
+    ids, hashes = (found.column(c).to_numpy() for c in ("doc_id", "text_hash"))
+    found = found.select(["toxic", "own"]).take(pa.array(np.lexsort((hashes, ids)))).combine_chunks()  # sums do not depend on the order of arrival
     lists = found.column("own").combine_chunks()
-    y = found.column("toxic").to_numpy().astype(float)
-    sizes = np.diff(lists.offsets.to_numpy())
-    weights, intercept = _logistic(np.repeat(np.arange(len(y)), sizes), lists.flatten().to_numpy(), scale, y)
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0)
+    weights, intercept = _logistic(lists.offsets.to_numpy(), lists.values.to_numpy(), scale, found.column("toxic").to_numpy().astype(float))
     model = _nothing(intercept)
     model.weights[bucket] = weights * scale
     return model
 
 
-def _logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on a sparse matrix of features ``scale``, by accelerated gradient steps."""
+def _logistic(offsets: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on a sparse matrix of features ``scale``, by accelerated gradient steps.
+
+    Row i has the features col[offsets[i] : offsets[i + 1]]. Rows are taken in blocks of
+    about ``ENTRIES`` features, so little beside col itself is held.
+    """
     n, k = len(y), len(scale)
     share = np.where(y == 1, y.sum() ** -BALANCE, (n - y.sum()) ** -BALANCE)
     share /= share.sum()
-    value = scale[col]
-    square = np.bincount(row, value * value, minlength=n)
+    heads = np.searchsorted(offsets, np.arange(offsets[0], offsets[-1] + ENTRIES, ENTRIES))
+    blocks = [(a, b) for a, b in zip(heads, np.minimum(np.r_[heads[1:], n], n), strict=True) if b > a]
+
+    def rows(a: int, b: int, w: np.ndarray) -> np.ndarray:
+        """Sum of w over the features of each row."""
+        own = np.r_[0.0, np.cumsum(w[col[offsets[a] : offsets[b]]])]
+        return np.diff(own[offsets[a : b + 1] - offsets[a]])
+
+    square = np.concatenate([rows(a, b, scale * scale) for a, b in blocks])
     rate = 4.0 / max(1.0, float(np.percentile(square, 99)) + 1.0)
     w, b, w0, b0 = np.zeros(k), 0.0, np.zeros(k), 0.0
     for t in range(steps):
         pull = t / (t + 3)
         wy, by = w + pull * (w - w0), b + pull * (b - b0)
-        z = np.bincount(row, value * wy[col], minlength=n) + by
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
+        whole, down = np.zeros(k), 0.0
+        for first, end in blocks:
+            z = rows(first, end, scale * wy) + by
+            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[first:end]) * share[first:end]
+            whole += np.bincount(col[offsets[first] : offsets[end]], np.repeat(g, np.diff(offsets[first : end + 1])), minlength=k)
+            down += g.sum()
         w0, b0 = w, b
-        w = wy - rate * SPEED * (np.bincount(col, value * g[row], minlength=k) + RIDGE * wy)
-        b = by - rate * SPEED * g.sum()
+        w = wy - rate * SPEED * (scale * whole + RIDGE * wy)
+        b = by - rate * SPEED * down
     return w, float(b)
 
 
