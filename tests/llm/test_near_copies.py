@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from siftline.llm import near_copies, simhash_gray
 
@@ -27,7 +29,10 @@ def planted():
     return texts
 
 
-def test_near_copies_equal_all_pairs(spark):
+@pytest.mark.parametrize("least", [(near_copies.LEAST, near_copies.LEAST_SHARED), (100, 40)])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, least):
+    monkeypatch.setattr(near_copies, "LEAST", least[0])
+    monkeypatch.setattr(near_copies, "LEAST_SHARED", least[1])
     texts = planted()
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
     alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
