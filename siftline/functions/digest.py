@@ -107,9 +107,9 @@ def document_id(path: Column) -> Column:
     return F.concat(F.lit("DOC-"), F.sha2(path.cast("binary"), 256))
 
 
-def source_id(path: Column, start_line: Column, end_line: Column, symbol: Column) -> Column:
+def source_id(path: Column, kind: Column, start_line: Column, end_line: Column, symbol: Column) -> Column:
     """Id of an index source; absent parts are explicit nulls."""
-    parts = F.struct(path.alias("path"), start_line.alias("start_line"), end_line.alias("end_line"), symbol.alias("symbol"))
+    parts = F.struct(path.alias("path"), kind.alias("kind"), start_line.alias("start_line"), end_line.alias("end_line"), symbol.alias("symbol"))
     return text_hash(F.to_json(parts, {"ignoreNullFields": "false"}))
 
 
@@ -117,6 +117,13 @@ def graph_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.sha2(F.concat_ws("\n", *parts).cast("binary"), 256))
 
 
+def edge_id(kind: Column, from_id: Column, to_id: Column, target: Column, path: Column, *place: Column) -> Column:
+    """Id of a graph edge: the hash of the canonical JSON list of its ends and its place, so two calls of one target differ."""
+    texts = F.to_json(F.array(kind, from_id, F.coalesce(to_id, F.lit("")), target, path))
+    listed = F.concat(F.regexp_replace(texts, r"\]$", ","), F.concat_ws(",", *[p.cast("string") for p in place]), F.lit("]"))
+    return F.concat(F.lit("CGE-"), F.sha2(listed.cast("binary"), 256))
+
+
 def hash_distance(expected: Column, text: Column) -> Column:
     """Whether a stored hash no longer is that of the text."""
     return ~expected.eqNullSafe(text_hash(text))

@@ -36,8 +36,29 @@ AUTHORITY_RULES = (
     ("roadmap", "roadmap-file", r"(^docs/roadmap\.md$)|(/roadmap\.md$)"),
     ("generated_summary", "docs-generated-directory", r"^docs/generated/"),
 )
-CODE_SUFFIX = r"(?i)\.(c|cc|cpp|cs|css|go|h|hpp|html|java|js|jsx|json|kt|md|mjs|cjs|py|rb|rs|scala|sh|sql|swift|toml|ts|tsx|txt|yaml|yml)$"
-CODE_NAMES = ("Dockerfile", "Makefile", "LICENSE")
+# Which files outside the documents are read, by extension, name or pattern.
+SOURCE_EXTENSIONS = (
+    ".c", ".cc", ".cjs", ".cpp", ".cs", ".css", ".cts", ".go", ".h", ".hpp", ".html", ".java", ".js", ".jsx", ".kt", ".kts", ".md", ".mdx", ".mjs", ".mts",
+    ".php", ".ps1", ".py", ".rb", ".rs", ".sh", ".sql", ".swift", ".toml", ".ts", ".tsx", ".vue", ".xml", ".yaml", ".yml",
+)
+SOURCE_NAMES = (
+    ".eslintrc.json", ".stylelintrc.json", "bun.lock", "bun.lockb", "cargo.lock", "composer.json", "composer.lock", "deno.json", "deno.jsonc", "dockerfile",
+    "gemfile", "gemfile.lock", "gnumakefile", "jsconfig.json", "justfile", "makefile", "npm-shrinkwrap.json", "package-lock.json", "package.json", "pipfile.lock",
+    "pnpm-lock.yaml", "poetry.lock", "procfile", "rakefile", "tsconfig.json", "uv.lock", "yarn.lock",
+)
+SOURCE_PATTERNS = (
+    r"^(ts|js)config(\.[a-z0-9_-]+)*\.json$",
+    r"^(dockerfile|containerfile)(\.[a-z0-9_-]+)?$",
+    r"^(eslint|prettier|stylelint)\.config\.[cm]?[jt]s$",
+    r"^(go\.(mod|sum)|requirements(-[a-z0-9_-]+)?\.txt|pom\.xml|build\.gradle(\.kts)?)$",
+)
+# Kind of such a file by its path, first match wins; all others are code.
+POLICY_FILE = r"(^|/)agents\.md$|^(security|code_of_conduct)\.md$"
+KIND_RULES = (
+    ("document", POLICY_FILE),
+    ("test", r"(^|/)(test|tests|__tests__)(/|$)|\.(test|spec)\.[^./]+$"),
+    ("configuration", r"(^|/)(config|configuration)(/|$)|\.(json|toml|ya?ml)$"),
+)
 METADATA_TERMS, METADATA_CHARS = 32, 128
 
 
@@ -87,7 +108,12 @@ def is_document(path: Column) -> Column:
 
 
 def is_source_file(path: Column) -> Column:
-    return file_name(path).isin(*CODE_NAMES) | path.rlike(CODE_SUFFIX)
+    """Whether a file outside the document corpus is read, by its name alone."""
+    name = F.lower(file_name(F.replace(path, F.lit("\\"), F.lit("/"))))
+    out = F.regexp_extract(name, r"(\.[^.]*)$", 1).isin(*SOURCE_EXTENSIONS) | name.isin(*SOURCE_NAMES)
+    for pattern in SOURCE_PATTERNS:
+        out = out | name.rlike(pattern)
+    return out
 
 
 def is_safe(path: Column) -> Column:
@@ -142,23 +168,14 @@ def ancestors(path: Column) -> Column:
 
 
 def kind(path: Column) -> Column:
-    """What a repository file is, by its path."""
+    """What a repository file outside the documents is, by its path."""
     low = F.lower(path)
-    return (
-        F.when(low.rlike(r"(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$"), "test")
-        .when(low.rlike(r"\.(md|txt)$|(^|/)license$"), "document")
-        .when(low.rlike(r"\.(json|toml|ya?ml)$|(^|/)(dockerfile|makefile)$"), "configuration")
-        .otherwise("source_code")
-    )
+    out = F.lit("code")
+    for name, pattern in reversed(KIND_RULES):
+        out = F.when(low.rlike(pattern), name).otherwise(out)
+    return out
 
 
 def file_authority(path: Column, of_kind: Column) -> Column:
     """Authority of a file outside the document corpus."""
-    named = authority(path)
-    scoped = F.lower(file_name(path)) == "agents.md"
-    return (
-        F.when(named["rule_id"].isNotNull(), named["authority"])
-        .when(scoped, "policy")
-        .when(of_kind.isin("test", "configuration", "source_code"), of_kind)
-        .otherwise("implementation_note")
-    )
+    return F.when(F.lower(path).rlike(POLICY_FILE), "policy").when(of_kind.isin("test", "configuration"), of_kind).otherwise("source_code")

@@ -73,9 +73,11 @@ def excerpt(text: Column, terms: Column, max_lines: int = EXCERPT_LINES, max_cha
     anchor = F.greatest(F.array_position(hit, True), F.lit(1))
     start = F.greatest(anchor - 2, F.lit(1)).cast("int")
     end = F.least(start + max_lines - 1, F.size(source)).cast("int")
-    body = F.regexp_replace(F.array_join(F.slice(source, start, end - start + 1), "\n"), r"[\x00-\x09\x0B-\x1F\x7F-\u009F]", " ")
+    body = F.regexp_replace(F.array_join(F.slice(source, start, end - start + 1), "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\u009F]", " ")
     cut = (start > 1) | (end < F.size(source)) | (F.char_length(body) > max_chars)
-    return F.struct(F.substring(body, 1, max_chars).alias("text"), start.alias("start_line"), end.alias("end_line"), cut.alias("truncated"))
+    shown = F.substring(body, 1, max_chars)
+    last = F.least(end, start + F.size(F.split(shown, "\n")) - 1).cast("int")  # the last line that the cut text still shows
+    return F.struct(shown.alias("text"), start.alias("start_line"), last.alias("end_line"), cut.alias("truncated"))
 
 
 def was_bounded(text: Column, max_lines: int = CANDIDATE_LINES, max_bytes: int = CANDIDATE_BYTES) -> Column:

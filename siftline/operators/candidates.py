@@ -12,6 +12,8 @@ from .scoring import MAX_CANDIDATES, STRINGS
 
 PROVIDER_CAP, INDEX_CAP = 1_024, 50
 SIGNAL_TERMS = 128
+# Fixed value: test files among scripts.
+TEST_CODE = r"(^|/)(test|tests|__tests__)(/|$)|\.(test|spec)\.[cm]?[jt]sx?$"
 COLUMNS = (
     "task_id", "id", "kind", "provider", "path", "line_start", "line_end", "symbol", "source_hash", "excerpt_hash", "freshness", "authority",
     "authority_evidence", "excerpt", "excerpt_bytes", "estimated_tokens", "graph_distance", "matched_terms", "criteria_ids", "truncated", "truncation_reasons",
@@ -69,32 +71,51 @@ def _wanted_paths(tasks: DataFrame, rows: DataFrame, key: str, hints: bool) -> l
 
 
 def of_sources(tasks: DataFrame, sources: DataFrame, provider: str, cap: int = PROVIDER_CAP) -> DataFrame:
-    """Candidates of one provider for every task, at most ``cap`` a task in the order required, policy, path.
+    """Candidates of one provider for every task, at most ``cap`` a task: required, then policies, then by path (documents) or id (filesystem).
 
-    The cap is a ranked filter that Spark also applies before the shuffle, and excerpts are
-    cut only for rows that stay.
+    Tasks and sources meet by their words; what then counts are the words of path, title
+    and excerpt. The cap is a ranked filter that Spark also applies before the shuffle, and
+    no row carries more of a source than its excerpt by then.
     """
+    if "title" not in sources.columns:
+        sources = sources.withColumn("title", F.lit("").cast("string"))
     policies = sources.where(F.col("authority") == "policy").select("path", "authority")
-    everywhere = policies.join(tasks.select("task_id", F.lit("policy").alias("authority")), "authority")
+    if provider == "documents":  # in order of path, so no other policies can be within the cap
+        policies = F.broadcast(policies.orderBy("path").limit(cap + 1))
+    everywhere = tasks.select("task_id", F.lit("policy").alias("authority")).join(policies, "authority")
     always = [everywhere.select("task_id", "path"), *_wanted_paths(tasks, sources, "path", provider == "filesystem")]
-    rows = matches(tasks, sources, "path", text.tokens(F.concat_ws(" ", "path", "content")), always)
+    rows = matches(tasks, sources, "path", text.tokens(F.concat_ws(" ", "path", "title", "content")), always).where(F.octet_length("content") > 0)
+    rows = rows.withColumns({"excerpt": text.relevant_excerpt(F.col("content"), F.col("terms")), "bounded": text.was_bounded(F.col("content"))})
+    found, ids = signals(F.array_distinct(text.tokens(F.concat_ws(" ", "path", "title", "excerpt"))), F.col("terms"), F.col("criteria"))
     required = F.coalesce(F.array_contains("required_sources", F.col("path")), F.lit(False))
-    rows = rows.withColumns({"required": required, "policy": F.col("authority") == "policy"})
+    rows = rows.withColumns({"matched_terms": found, "criteria_ids": ids, "required": required, "policy": F.col("authority") == "policy"})
     hinted = paths.within(F.col("path"), F.coalesce("hint_paths", F.array().cast(STRINGS)))
     eligible = (F.size("matched_terms") > 0) | F.col("policy") | F.col("required")
-    rows = rows.where((eligible | hinted if provider == "filesystem" else eligible) & (F.octet_length("content") > 0))
-    place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("required"), F.desc("policy"), "path"))
-    total = F.count("*").over(Window.partitionBy("task_id"))
-    kept = rows.withColumn("limited", total > cap).withColumn("place", place).where(F.col("place") <= cap)
-    excerpt = text.relevant_excerpt(F.col("content"), F.col("terms"))
-    evidence = paths.authority(F.col("path"))
-    scoped = F.when((F.lower(paths.file_name(F.col("path"))) == "agents.md") & F.contains("path", F.lit("/")), F.array(F.lit("convention:ancestor-agents-file")))
-    named = F.coalesce(scoped, F.when(evidence["rule_id"].isNotNull(), F.array(F.concat(F.lit("convention:"), evidence["rule_id"]))), F.array().cast(STRINGS))
-    reasons = F.array(F.when(text.was_bounded(F.col("content")), "EXCERPT_LIMIT"), F.when(F.col("limited"), F.lit(f"{provider.upper()}_LIMIT")))
-    return _finished(kept.withColumn("excerpt", excerpt), provider, F.col("kind"), "live", named, reasons)
-
-
-def _finished(rows: DataFrame, provider: str, kind: Column, freshness: str, evidence: Column, reasons: Column) -> DataFrame:
+    rows = rows.where(eligible | hinted if provider == "filesystem" else eligible)
+    rule = paths.authority(F.col("path"))["rule_id"]
+    if provider == "filesystem":
+        evidence = F.when(F.col("policy"), "convention:ancestor-agents-file").otherwise("safe-filesystem-fallback")
+    else:
+        evidence = F.when(rule.isNotNull(), F.concat(F.lit("convention:"), rule)).otherwise("document-default")
+    made = _finished(rows, provider, F.col("kind"), "live", F.array(evidence), F.array(F.when(F.col("bounded"), "EXCERPT_BOUND")), ("required", "policy"))
+    last = "id" if provider == "filesystem" else "path"
+    return _capped(made, [F.desc("required"), F.desc("policy"), F.col(last)], cap, "PROVIDER_RESULT_LIMIT").select(*COLUMNS)
+
+
+def _capped(rows: DataFrame, order: list[Column], cap: int, reason: str) -> DataFrame:
+    """The first ``cap`` rows of each task; if there were more, all that stay say so.
+
+    One row beyond the cap is ranked along to tell, so nothing is counted and the rank
+    filter stays one that is applied before the shuffle.
+    """
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy(*order))
+    near = rows.withColumn("place", place).where(F.col("place") <= cap + 1)
+    kept = near.withColumn("limited", F.max("place").over(Window.partitionBy("task_id")) > cap).where(F.col("place") <= cap)
+    reasons = F.when(F.col("limited"), F.array_sort(F.array_union("truncation_reasons", F.array(F.lit(reason))))).otherwise(F.col("truncation_reasons"))
+    return kept.withColumns({"truncation_reasons": reasons, "truncated": F.col("truncated") | F.col("limited")})
+
+
+def _finished(rows: DataFrame, provider: str, kind: Column, freshness: str, evidence: Column, reasons: Column, more: tuple[str, ...] = ()) -> DataFrame:
     """Candidate columns from rows with excerpt, path, source_hash, authority and, where they have them, lines, symbol and distance."""
     for name, of in (("line_start", "int"), ("line_end", "int"), ("symbol", "string"), ("graph_distance", "int")):
         if name not in rows.columns:
@@ -113,7 +134,7 @@ def _finished(rows: DataFrame, provider: str, kind: Column, freshness: str, evid
         "truncated": cut["truncated"],
         "truncation_reasons": cut["reasons"].cast(STRINGS),
     })
-    return made.select(*COLUMNS)
+    return made.select(*COLUMNS, *more)
 
 
 def of_hits(hits: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,24 +145,41 @@ def of_hits(hits: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.where(same).drop("live_hash"), joined.where(~same).select("path", F.lit("STALE_SELECTED_SOURCE").alias("code"))
 
 
+def of_index(tasks: DataFrame, hits: DataFrame, live: DataFrame, limited: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(candidates of index hits, hits whose source changed or went). hits has task_id, the index source's columns and matched terms; live has path, source_hash, authority and content."""
+    now = live.select(F.col("path").alias("l_path"), F.col("source_hash").alias("l_hash"), F.col("authority").alias("l_authority"), F.col("content").alias("l_content"))
+    same = (F.col("path") == F.col("l_path")) & (F.col("source_hash") == F.col("l_hash"))
+    found = hits.drop("content").join(now, same, "left")
+    stale = found.where("l_path IS NULL").select("task_id", "path", F.lit("STALE_SELECTED_SOURCE").alias("code"))
+    asked = tasks.withColumn("terms", request_terms(F.col("query"), F.col("hint_terms"), F.col("criteria"))).select("task_id", "terms", "criteria")
+    rows = found.where("l_path IS NOT NULL").drop("authority", "excerpt").join(asked, "task_id").withColumns({"authority": F.col("l_authority"), "excerpt": text.relevant_excerpt(F.col("l_content"), F.col("hit_terms"))})
+    matched, ids = signals(F.array_distinct(text.tokens(F.concat_ws(" ", "path", "title", "excerpt"))), F.col("terms"), F.col("criteria"))
+    rows = rows.withColumns({"matched_terms": matched, "criteria_ids": ids, "line_start": F.col("start_line"), "line_end": F.col("end_line")})
+    reasons = F.array(F.when(text.was_bounded(F.col("l_content")), "EXCERPT_BOUND"), F.lit("PROVIDER_RESULT_LIMIT") if limited else F.lit(None).cast("string"))
+    evidence = F.array(F.lit("safe-live-source-reread"), F.lit("screened-local-fts-index"))
+    return _finished(rows, "fts", F.col("kind"), "live", evidence, reasons), stale
+
+
 def of_nodes(tasks: DataFrame, nodes: DataFrame, accepted: DataFrame, cap: int = PROVIDER_CAP) -> DataFrame:
     """Graph nodes of accepted sources that a task hints at, names or shares terms with; distance 0 for a hinted symbol."""
     live = nodes.join(accepted.select("path", "source_hash"), ["path", "source_hash"], "left_semi")
-    hinted = tasks.select("task_id", F.explode("hint_symbols").alias("symbol"))
-    called = live.select("node_id", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("symbol")).join(hinted, "symbol").select("task_id", "node_id")
-    rows = matches(tasks, live, "node_id", text.tokens(F.concat_ws(" ", "path", "qualified_name", "excerpt")), [called, *_wanted_paths(tasks, live, "node_id", True)])
-    ordered = Window.partitionBy("task_id").orderBy("path", "start_line", "start_column", "kind", "node_id")
-    kept = rows.withColumn("limited", F.count("*").over(Window.partitionBy("task_id")) > cap).withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= cap)
-    exact = F.array_contains("hint_symbols", F.col("qualified_name")) | F.array_contains("hint_symbols", F.col("name"))
-    made = kept.withColumns({
-        "graph_distance": F.when(exact, 0).cast("int"),
+    hinted = tasks.select("task_id", F.explode("hint_symbols").alias("name"))
+    called = live.select("node_id", "name").join(hinted, "name").select("task_id", "node_id")
+    rows = matches(tasks, live, "node_id", text.tokens(F.concat_ws(" ", "path", "name", "qualified_name", "excerpt")), [called, *_wanted_paths(tasks, live, "node_id", True)])
+    is_test = F.lower("path").rlike(TEST_CODE)
+    made = rows.withColumns({
+        "bounded": F.col("excerpt_truncated") | text.was_bounded(F.col("excerpt")),
+        "excerpt": text.bounded_excerpt(F.col("excerpt")),
+        "graph_distance": F.when(F.array_contains("hint_symbols", F.col("name")), 0).cast("int"),
         "line_start": F.col("start_line"),
         "line_end": F.col("end_line"),
-        "symbol": F.col("qualified_name"),
-        "authority": F.lit("source_code"),
+        "symbol": F.col("name"),
+        "authority": F.when(is_test, "test").otherwise("source_code"),
+        "node_kind": F.col("kind"),
     })
-    reasons = F.array(F.when(F.col("excerpt_truncated"), "EXCERPT_LIMIT"), F.when(F.col("limited"), "CODEGRAPH_LIMIT"))
-    return _finished(made, "codegraph", F.lit("source_code"), "snapshot", F.array(F.concat(F.lit("ast:"), F.col("kind"))), reasons)
+    order = ("start_line", "start_column", "node_kind", "node_id")
+    done = _finished(made, "codegraph", F.when(is_test, "test").otherwise("code"), "snapshot", F.array(F.concat(F.lit("typescript-ast:"), F.col("node_kind"))), F.array(F.when(F.col("bounded"), "EXCERPT_BOUND")), order)
+    return _capped(done, [F.col(c) for c in ("path", *order)], cap, "PROVIDER_RESULT_LIMIT").select(*COLUMNS)
 
 
 def of_text(tasks: DataFrame, provider: str, kind: str, path: str, body: str, always: bool) -> DataFrame:
@@ -150,7 +188,7 @@ def of_text(tasks: DataFrame, provider: str, kind: str, path: str, body: str, al
     found, ids = signals(F.array_distinct(text.tokens(F.col("excerpt"))), F.col("terms"), F.col("criteria"))
     rows = rows.withColumns({"matched_terms": found, "criteria_ids": ids, "source_hash": digest.text_hash(F.lit(body)), "path": F.lit(path), "authority": F.lit(kind)})
     rows = rows if always else rows.where(F.size("matched_terms") > 0)
-    return _finished(rows, provider, F.lit(kind), "live", F.array(), F.array(F.when(text.was_bounded(F.lit(body)), "EXCERPT_LIMIT")))
+    return _finished(rows, provider, F.lit(kind), "live", F.array(), F.array(F.when(text.was_bounded(F.lit(body)), "EXCERPT_BOUND")))
 
 
 def without_indexed(direct: DataFrame, indexed: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -176,8 +214,5 @@ def aggregate(tasks: DataFrame, providers: list[DataFrame], cap: int = MAX_CANDI
     once = rows.withColumn("last", last).where("last = 1").drop("last", "from")
     needs = tasks.select("task_id", F.coalesce("required_sources", F.array().cast(STRINGS)).alias("needs"))
     ranked = once.join(needs, "task_id").withColumn("required", F.array_contains("needs", F.col("path")))
-    place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("required"), F.desc(F.col("authority") == "policy"), "id"))
-    cut = F.count("*").over(Window.partitionBy("task_id")) > cap
-    kept = ranked.withColumn("cut", cut).withColumn("place", place).where(F.col("place") <= cap)
-    reasons = F.when(F.col("cut"), F.array_sort(F.array_union("truncation_reasons", F.array(F.lit("CANDIDATE_LIMIT"))))).otherwise(F.col("truncation_reasons"))
-    return kept.withColumn("truncation_reasons", reasons).withColumn("truncated", F.col("truncated") | F.col("cut")).select(*COLUMNS)
+    direct = (F.col("authority") == "policy") & F.col("provider").isin("documents", "filesystem")
+    return _capped(ranked, [F.desc("required"), F.desc(direct), F.col("id")], cap, "CANDIDATE_SET_LIMIT").select(*COLUMNS)

@@ -74,13 +74,14 @@ def staleness(catalog: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def title_conflicts(catalog: DataFrame, normalise: bool = False) -> DataFrame:
-    """Titles that several documents with different contents share."""
-    return (
-        catalog.groupBy(text.normal_title(F.col("title"), normalise).alias("normalized_title"))
-        .agg(F.array_sort(F.collect_list("id")).alias("document_ids"), F.count_distinct("source_hash").alias("hashes"))
-        .where("hashes > 1")
-        .drop("hashes")
-    )
+    """normalized_title and document_id of every document whose title others with different contents share.
+
+    A row a document, so a title that very many documents have is no single row; whether
+    contents differ is seen from the least and the greatest hash, combined before the shuffle.
+    """
+    rows = catalog.select(text.normal_title(F.col("title"), normalise).alias("normalized_title"), F.col("id").alias("document_id"), "source_hash")
+    shared = rows.groupBy(F.col("normalized_title").alias("t")).agg(F.min("source_hash").alias("least"), F.max("source_hash").alias("most")).where("least <> most").select("t")
+    return rows.join(shared, F.col("normalized_title") == F.col("t"), "left_semi").drop("source_hash")
 
 
 def violations(catalog: DataFrame) -> DataFrame:
@@ -112,3 +113,14 @@ def summary(discovered: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
         F.count_if(usable & (F.col("size_bytes") > max_bytes)).alias("omitted_document_count"),
         F.coalesce(F.sum(F.when(usable & (F.col("size_bytes") <= max_bytes), F.col("size_bytes"))), F.lit(0)).alias("total_bytes"),
     )
+
+
+def representatives(rows: DataFrame) -> DataFrame:
+    """path, representative and copies of every source: of equal contents the most authoritative, then the shortest, then the first path.
+
+    The best path of a hash is an aggregate that combines before the shuffle; the one join
+    back is an inner join of plain columns, whose hot hashes adaptive execution splits.
+    """
+    best = F.min(F.struct(authority_rank(F.col("authority")).alias("rank"), F.length("path").alias("length"), F.col("path").alias("path")))
+    of_hash = rows.groupBy(F.col("source_hash").alias("h")).agg(best["path"].alias("representative"), F.count("*").alias("copies"))
+    return rows.select("path", "source_hash").join(of_hash, F.col("source_hash") == F.col("h")).select("path", "representative", "copies")

@@ -30,7 +30,7 @@ def prepare_sources(sources: DataFrame) -> DataFrame:
     for name, kind in (("start_line", "int"), ("end_line", "int"), ("symbol", "string")):
         if name not in sources.columns:
             sources = sources.withColumn(name, F.lit(None).cast(kind))
-    return sources.withColumn("source_id", digest.source_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("symbol"))).withColumn("source_hash", digest.text_hash(F.col("content")))
+    return sources.withColumn("source_id", digest.source_id(F.col("path"), F.col("kind"), F.col("start_line"), F.col("end_line"), F.col("symbol"))).withColumn("source_hash", digest.text_hash(F.col("content")))
 
 
 def build(sources: DataFrame) -> Index:

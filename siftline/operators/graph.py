@@ -36,7 +36,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     The ordered possibilities are exploded and joined with the files by equality.
     """
     base = normal_path(F.concat(F.regexp_replace("path", "[^/]*$", ""), "specifier"))
-    stem = F.regexp_replace("base", r"\.(m|c)?jsx?$", "")
+    stem = F.regexp_replace("base", r"(?i)\.([mc]?[jt]s|[jt]sx)$", "")
     options = F.concat(F.array("base"), F.array(*[F.concat(stem, F.lit(s)) for s in SUFFIXES]), F.array(*[F.concat("base", F.lit(f"/index{s}")) for s in SUFFIXES]))
     keyed = imports.withColumn("import_key", F.xxhash64("path", "specifier"))
     local = keyed.where(F.startswith("specifier", F.lit("."))).select("import_key", "path", "specifier").distinct().withColumn("base", base).where("base IS NOT NULL")
@@ -67,10 +67,13 @@ def with_ids(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("node_id", digest.graph_id("CGN-", F.col("path"), F.col("kind"), F.col("qualified_name"), where))
 
 
+PLACE = ("path", "start_line", "start_column", "end_line", "end_column")
+
+
 def edges(rows: DataFrame) -> DataFrame:
-    """Edges (kind, from_id, to_id, target) with ids, once each."""
-    made = rows.select("kind", "from_id", "to_id", "target").distinct()
-    return made.withColumn("edge_id", digest.graph_id("CGE-", F.col("kind"), F.col("from_id"), F.coalesce("to_id", F.lit("")), F.col("target")))
+    """Edges (kind, from_id, to_id, target and the place's path, lines and columns) with ids; two calls at different places are two edges."""
+    made = rows.select("kind", "from_id", "to_id", "target", *PLACE).distinct()
+    return made.withColumn("edge_id", digest.edge_id(*[F.col(c) for c in ("kind", "from_id", "to_id", "target", *PLACE)]))
 
 
 def ordered(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

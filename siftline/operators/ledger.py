@@ -57,16 +57,22 @@ def expansion_violations(expansions: DataFrame) -> DataFrame:
     return broken.unionByName(twice.where("n > 1").select("task_id", "sequence", F.lit("addition_repeated").alias("rule")))
 
 
+def drifted(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """task_id, candidate_id and change (added, removed) of all that came or went between two selections (task_id, candidate_id)."""
+    a = previous.select("task_id", "candidate_id").withColumn("side", F.lit(1))
+    b = current.select("task_id", "candidate_id").withColumn("side", F.lit(2))
+    sides = a.unionByName(b).groupBy("task_id", "candidate_id").agg(F.bit_or("side").alias("sides")).where("sides <> 3")
+    return sides.select("task_id", "candidate_id", F.when(F.col("sides") == 1, "removed").otherwise("added").alias("change"))
+
+
 def replay_drift(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """One row a task: ids that came and went between two selections (task_id, candidate_id), and the status."""
-    a = previous.select("task_id", "candidate_id").distinct().withColumn("old", F.lit(True))
-    b = current.select("task_id", "candidate_id").distinct().withColumn("new", F.lit(True))
-    both = a.join(b, ["task_id", "candidate_id"], "full")
-    added, removed = F.col("old").isNull(), F.col("new").isNull()
-    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("candidate_id"))))
-    out = both.groupBy("task_id").agg(listed(added).alias("added_candidate_ids"), listed(removed).alias("removed_candidate_ids"), F.count_if("new").alias("current"))
-    same = (F.size("added_candidate_ids") == 0) & (F.size("removed_candidate_ids") == 0)
-    return out.select("task_id", "added_candidate_ids", "removed_candidate_ids", F.when(F.col("current") == 0, "UNREPLAYABLE").when(same, "IDENTICAL").otherwise("DRIFTED").alias("status"))
+    """task_id, added, removed (counts) and status of every task of either selection; drifted() has the ids."""
+    ids = previous.select("task_id").unionByName(current.select("task_id")).groupBy("task_id").agg(F.lit(1).alias("one")).select("task_id")
+    now = current.groupBy("task_id").agg(F.count("*").alias("now"))
+    moved = drifted(previous, current).groupBy("task_id").agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed"))
+    rows = ids.join(now, "task_id", "left").join(moved, "task_id", "left").na.fill(0, ["added", "removed"])
+    status = F.when(F.col("now").isNull(), "UNREPLAYABLE").when(F.col("added") + F.col("removed") == 0, "IDENTICAL").otherwise("DRIFTED")
+    return rows.select("task_id", "added", "removed", status.alias("status"))
 
 
 def ablate_all(decisions: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def tiers(budget: dict[str, int]) -> dict[str, dict[str, int]]:
 
 
 def generated_task_id(value: dict[str, Any]) -> str:
-    return "AUTO-" + json_hash(value)[7:23]
+    return "AUTO-" + json_hash(value)[7:23].upper()
 
 
 def repository_id(name: str, path: str) -> str:
@@ -53,17 +53,20 @@ def repository_id(name: str, path: str) -> str:
     return f"{slug}-{hashlib.sha256(path.encode()).hexdigest()[:16]}"
 
 
-def intent(goal: str, task_type: str = "module_feature", **more: Any) -> dict[str, Any]:
+def intent(goal: str, task_type: str = "small_code_fix", acceptance: list[str] | None = None, paths: list[str] | None = None, terms: list[str] | None = None, task_id: str | None = None, **more: Any) -> dict[str, Any]:
     """An intent from a goal in words; its id follows from what it says."""
-    if not goal.strip():
+    if not isinstance(goal, str) or not goal.strip():
         raise RequestError("a goal is needed")
-    body = {"goal": goal.strip(), "task_type": task_type} | {k: v for k, v in more.items() if v}
-    return {"task_id": body.get("task_id") or generated_task_id(body)} | body
+    if acceptance is not None and len(set(acceptance)) < len(acceptance):
+        raise RequestError("acceptance lists one text twice")
+    body = {"schema_version": "0.3", "task_type": task_type, "goal": goal, "acceptance": acceptance or [goal], "query": goal}
+    body |= {k: sorted(set(v), key=lambda t: t.encode("utf-16-be")) for k, v in (("paths", paths), ("terms", terms)) if v}
+    return {"task_id": task_id or generated_task_id(body)} | body | {k: v for k, v in more.items() if v}
 
 
 def request(of: dict[str, Any], snapshot: dict[str, Any]) -> dict[str, Any]:
     """A plan request from an intent: numbered criteria, sorted hints and three budget tiers."""
-    criteria = of.get("acceptance_criteria") or [of["goal"]]
+    criteria = of.get("acceptance_criteria") or of.get("acceptance") or [of["goal"]]
     sort = lambda key: sorted(set(of.get(key) or []))
     limits = tiers(allocate_budget(of["task_type"], **of.get("budget", {})))
     out = {
@@ -116,15 +119,32 @@ def capsule(task_id: str, task_type: str, goal: str, worktree: dict[str, Any] |
     return {"schema_version": "0.1", "task_id": task_id, "task_type": task_type, "goal": goal, "budget": budget, "worktree": worktree} | more
 
 
+# The fields of a compact handoff.
+HANDOFF_NEEDED = ("schema_version", "task_id", "status", "changed_files", "tests", "risks", "next_unblocked")
+HANDOFF_LISTS = ("changed_files", "interfaces_added", "decisions", "risks", "next_unblocked", "artifacts")
+HANDOFF_TEXTS = ("commit", "metrics_ref")
+HANDOFF_STATUS = ("PASS", "FAIL", "PARTIAL", "BLOCKED")
+
+
 def validate_handoff(value: dict[str, Any]) -> list[str]:
     """What is wrong with a compact handoff; empty if nothing."""
-    needed = ("task_id", "summary", "status", "next_steps")
-    errors = [f"missing {k}" for k in needed if k not in value]
-    if len(str(value.get("summary", ""))) > 4_000:
-        errors.append("summary is too long")
-    if not isinstance(value.get("next_steps", []), list):
-        errors.append("next_steps is not a list")
-    return errors
+    if not isinstance(value, dict):
+        return ["not an object"]
+    errors = [f"missing {k}" for k in HANDOFF_NEEDED if k not in value]
+    errors += [f"unknown {k}" for k in value if k not in {*HANDOFF_NEEDED, *HANDOFF_LISTS, *HANDOFF_TEXTS}]
+    errors += [f"{k} is not a list of texts" for k in HANDOFF_LISTS if k in value and not (isinstance(value[k], list) and all(isinstance(x, str) for x in value[k]))]
+    errors += [f"{k} is not a text" for k in HANDOFF_TEXTS if k in value and not isinstance(value[k], str)]
+    if value.get("schema_version", "0.1") != "0.1":
+        errors.append("schema_version is not 0.1")
+    if value.get("status", "PASS") not in HANDOFF_STATUS:
+        errors.append("status is unknown")
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}", str(value.get("task_id", "x"))):
+        errors.append("task_id is not safe")
+    tests = value.get("tests", {"passed": 0, "failed": 0})
+    if not isinstance(tests, dict):
+        return [*errors, "tests is not an object"]
+    errors += [f"tests lacks {k}" for k in ("passed", "failed") if k not in tests] + [f"unknown tests.{k}" for k in tests if k not in ("passed", "failed", "skipped")]
+    return errors + [f"tests.{k} is not a count" for k, v in tests.items() if isinstance(v, bool) or not isinstance(v, int) or v < 0]
 
 
 def expansion_budget(of: dict[str, Any], previous: dict[str, Any], extra: dict[str, int]) -> tuple[str | None, dict[str, int]]:

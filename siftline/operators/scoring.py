@@ -87,6 +87,11 @@ def recognised(provider: Column, authority: Column, evidence: Column) -> Column:
     return F.coalesce(provider.isin("documents", "filesystem") & found, F.lit(False))
 
 
+def nearest_policies(walked: DataFrame, agents: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, target and policy: of a target's scopes (target, depth, scope) the nearest that has a policy (scope, policy)."""
+    return walked.join(agents, [*keys, "scope"]).groupBy(*keys, "target").agg(F.min_by("policy", "depth").alias("policy"))
+
+
 def applicable_policies(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     """Distinct (task_id, path) of policies that apply: the root one, security's if relevant, the nearest of every target.
 
@@ -106,7 +111,7 @@ def applicable_policies(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     above = F.filter(paths.ancestors(F.col("target")), lambda a: a != "")
     scopes = F.when(F.col("physical") == 0, F.concat(F.array("target"), above)).otherwise(above)
     walked = targets.select("task_id", "target", F.posexplode(scopes).alias("depth", "scope"))
-    nearest = walked.join(agents, ["task_id", "scope"]).groupBy("task_id", "target").agg(F.min_by("policy", "depth").alias("policy")).select("task_id", "policy")
+    nearest = nearest_policies(walked, agents, ["task_id"]).select("task_id", "policy")
     return root.unionByName(relevant).unionByName(nearest).distinct().withColumnRenamed("policy", "path")
 
 

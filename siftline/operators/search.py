@@ -75,7 +75,8 @@ def search_summary(catalog: DataFrame, query: str, limit: int = DEFAULT_LIMIT, *
     """One row: how many documents match, how many are returned, whether the limit cut."""
     terms = query_terms(query)
     body = F.concat_ws(" ", "title", "path", F.array_join("modules", " "), F.array_join("topics", " "), "content")
-    found = filtered(catalog, **filters).select(F.forall(F.array(*[F.lit(t) for t in terms]), lambda t: F.array_contains(text.tokens(body), t)).alias("hit"))
+    wanted = F.array_distinct(F.array(*[F.lit(t) for t in terms]))
+    found = filtered(catalog, **filters).select((F.size(F.array_intersect(wanted, text.tokens(body))) == F.size(wanted)).alias("hit"))  # each body is cut into words once
     n = F.count_if("hit")
     return found.agg(F.count("*").alias("considered"), n.alias("matched"), F.least(n, F.lit(limit)).alias("returned"), (n > limit).alias("truncated"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digest
 from . import vocabulary as v
-from .scoring import STRINGS, satisfied
+from .scoring import MAX_CANDIDATES, STRINGS, satisfied
 
 
 def duplicates(scored: DataFrame) -> DataFrame:
@@ -207,9 +207,12 @@ def first_fit(candidates: DataFrame) -> DataFrame:
     """The mandatory phase alone, natively: in order, each row that still fits is taken and a misfit is skipped.
 
     rows: task_id, id, order, excerpt_bytes, estimated_tokens and the three limits. A
-    running sum would be wrong, because skipped rows use no budget.
+    running sum would be wrong, because skipped rows use no budget. A task has its first
+    MAX_CANDIDATES candidates, as everywhere.
     """
-    item = F.struct("order", "id", F.col("excerpt_bytes").cast("long").alias("b"), F.col("estimated_tokens").cast("long").alias("t"))
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy("order", "id"))
+    candidates = candidates.withColumn("place", place).where(F.col("place") <= MAX_CANDIDATES)  # also applied before the shuffle
+    item = F.struct("place", "id", F.col("excerpt_bytes").cast("long").alias("b"), F.col("estimated_tokens").cast("long").alias("t"))
     per_task = candidates.groupBy("task_id").agg(F.array_sort(F.collect_list(item)).alias("items"), *[F.first(c).cast("long").alias(c) for c in ("max_items", "max_bytes", "max_tokens")])
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("t"), F.array().cast(STRINGS).alias("ids"))
 

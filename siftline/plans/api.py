@@ -7,6 +7,7 @@ with digests.
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,7 @@ def gather(tasks: DataFrame, seen: dict[str, Any], nodes: DataFrame | None = Non
     docs = seen["documents"].withColumn("kind", F.lit("document"))
     made = [cand.of_sources(tasks, docs, "documents"), cand.of_sources(tasks, seen["files"], "filesystem")]
     listing = [r.asDict() for r in seen["modules"].limit(512).collect()]
-    made.append(cand.of_text(tasks, "repo_map", "repository_map", "repo-map.json", str(listing), True))
+    made.append(cand.of_text(tasks, "repo_map", "repository_map", "repo-map.json", json.dumps(listing, ensure_ascii=False, separators=(",", ":")), True))
     if nodes is not None:
         made.append(cand.of_nodes(tasks, nodes, seen["sources"]))
     return cand.aggregate(tasks, made)

@@ -5,16 +5,17 @@ Lists are returned as joined text so that both engines' values compare alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digest, paths, screen, text
 from ..operators import candidates as cand
 from ..operators import catalog, fts, graph, ledger, metrics, repo_map, requests, scoring, search, selection
 from ..sources import repository
-from ..sources.scratch import cut
+from ..sources.scratch import cut, keep_until_exit, shared_folder
 from ..sources.tables import table
 from .corpus import CORPUS, TOKENS, candidates, corpus, tasks
 
@@ -81,16 +82,16 @@ def distinct_terms_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_terms"), joined(text.sorted_terms(F.col("text"))).alias("first_terms"))
 
 
-@query(f"""WITH {CORPUS} SELECT regexp_replace(trim(lower(title)), '\\s+', ' ', 'g') AS normalized_title, string_agg(id, ',' ORDER BY id) AS document_ids
-FROM corpus GROUP BY 1 HAVING count(DISTINCT source_hash) > 1""")
+@query(f"""WITH {CORPUS}, t AS (SELECT regexp_replace(trim(lower(title)), '\\s+', ' ', 'g') AS normalized_title, id AS document_id, source_hash FROM corpus)
+SELECT normalized_title, document_id FROM t WHERE normalized_title IN (SELECT normalized_title FROM t GROUP BY 1 HAVING count(DISTINCT source_hash) > 1)""")
 def title_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.title_conflicts(corpus(spark, sf_dir)).withColumn("document_ids", joined("document_ids"))
+    return catalog.title_conflicts(corpus(spark, sf_dir))
 
 
 @query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), a AS (
   SELECT doc_id, ls, greatest(1, greatest(1, coalesce(list_position(list_transform(ls, lambda x: list_has_any({TOKENS.format("x")}, ['other', 'para', 'sich'])), true), 1)) - 2) AS s FROM l), e AS (
-  SELECT *, least(s + 5, len(ls)) AS e, regexp_replace(array_to_string(ls[s:least(s + 5, len(ls))], chr(10)), '[\\x00-\\x09\\x0B-\\x1F\\x7F]', ' ', 'g') AS body FROM a)
-SELECT doc_id, left(body, 400) AS excerpt, CAST(s AS INT) AS start_line, CAST(e AS INT) AS end_line, s > 1 OR e < len(ls) OR length(body) > 400 AS truncated FROM e""")
+  SELECT *, least(s + 5, len(ls)) AS e, regexp_replace(array_to_string(ls[s:least(s + 5, len(ls))], chr(10)), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', ' ', 'g') AS body FROM a)
+SELECT doc_id, left(body, 400) AS excerpt, CAST(s AS INT) AS start_line, CAST(least(e, s + len(string_split(left(body, 400), chr(10))) - 1) AS INT) AS end_line, s > 1 OR e < len(ls) OR length(body) > 400 AS truncated FROM e""")
 def excerpt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = text.excerpt(F.col("text"), F.array(F.lit("other"), F.lit("para"), F.lit("sich")))
     return table(spark, sf_dir, "documents").withColumn("e", e).select("doc_id", F.col("e.text").alias("excerpt"), "e.start_line", "e.end_line", "e.truncated")
@@ -112,11 +113,22 @@ def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "path", F.col("authority").alias("path_authority"), joined("modules").alias("modules"), stem.alias("stem"), joined("topics").alias("topics"), "source_hash", "size_bytes")
 
 
-@query(f"WITH {CORPUS} SELECT CAST(0 AS BIGINT) AS violations, count(*) AS documents, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM corpus")
+@query(f"""WITH {CORPUS} SELECT * FROM (
+  SELECT path, unnest(CASE doc_id % 12 WHEN 1 THEN ['size_mismatch'] WHEN 2 THEN ['hash_format', 'hash_mismatch'] WHEN 3 THEN ['hash_mismatch'] WHEN 4 THEN ['authority'] WHEN 5 THEN ['id_mismatch'] WHEN 6 THEN ['topics_order'] WHEN 7 THEN ['title_length'] WHEN 8 THEN ['duplicate_path'] ELSE [] END) AS rule FROM corpus)""")
 def catalog_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.describe(corpus(spark, sf_dir).select("path", "content"), normalise=False)
-    bad = catalog.violations(rows).agg(F.count("*").alias("violations"))
-    return bad.crossJoin(rows.agg(F.count("*").alias("documents"), F.sum("size_bytes").alias("total_bytes")))  # one row each
+    wrong = {
+        "size_bytes": (1, F.col("size_bytes") + 1), "authority": (4, F.lit("boss")), "id": (5, F.lit("DOC-0")), "topics": (6, F.array(F.lit("z"), F.lit("a"))), "title": (7, F.lit("")),
+    }
+    kind = _number() % 12
+    hashes = F.when(kind == 2, "sha256:short").when(kind == 3, digest.text_hash(F.lit("other"))).otherwise(F.col("source_hash"))
+    planted = rows.withColumns({c: F.when(kind == k, v).otherwise(F.col(c)) for c, (k, v) in wrong.items()} | {"source_hash": hashes})
+    return catalog.violations(planted.unionByName(planted.where(kind == 8)))
+
+
+def _number() -> Column:
+    """The document's number, from its path."""
+    return F.regexp_extract("path", r"-([0-9]+)\.md$", 1).cast("long")
 
 
 @query(f"""WITH {CORPUS}, live AS (SELECT path, CASE WHEN doc_id % 11 = 3 THEN 'sha256:' || sha256(content || ' edited') ELSE source_hash END AS h FROM corpus WHERE doc_id % 13 <> 5
@@ -183,22 +195,35 @@ def screen_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "number", screen.valid_cpf(F.col("number")).alias("valid"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '[A-Za-z0-9._~+/=-]{24,}'), [''])) AS tok FROM documents)
-SELECT doc_id, count(*) FILTER (regexp_matches(tok, '[A-Za-z]') AND regexp_matches(tok, '[0-9]')) AS redacted FROM t GROUP BY doc_id""")
+@query(r"""WITH t AS (SELECT doc_id, len(text) AS n, unnest(list_concat(regexp_extract_all(text, '\b[A-Za-z0-9._~+/=-]{24,}\b'), [''])) AS tok FROM documents),
+s AS (SELECT *, regexp_matches(tok, '[A-Za-z]') AND regexp_matches(tok, '[0-9]') AS secret FROM t)
+SELECT doc_id, count(*) FILTER (secret) AS redacted, CAST(min(n) + coalesce(sum(10 - len(tok)) FILTER (secret), 0) AS BIGINT) AS n_chars FROM s GROUP BY doc_id""")
 def redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = screen.redact_opaque(F.col("text"))
     mark = screen.REDACTED.replace("[", r"\[").replace("]", r"\]")
-    n = F.regexp_count(clean, F.lit(mark)) - F.regexp_count(F.col("text"), F.lit(mark))
-    return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("redacted"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", clean.alias("clean"))
+    n = F.regexp_count("clean", F.lit(mark)) - F.regexp_count(F.col("text"), F.lit(mark))
+    return rows.select("doc_id", n.cast("long").alias("redacted"), F.char_length("clean").cast("long").alias("n_chars"))
+
+
+MESSAGES = (
+    ("plain message", "plain message"), ("tab\there", "tab\\u0009here"), ("Authorization: Bearer abc.def", "Authorization: [REDACTED]]"), ("authorization header = Basic Zm9v", "authorization header = [REDACTED]"),
+    ("Authentication failed with: bearer tok", "Authentication failed with: [REDACTED]"), ("basic dXNlcjpwYXNz.", "basic [REDACTED]."), ("basic dXNlcnBhc3M= stays", "basic dXNlcnBhc3M= stays"), ('password: "a b c", next', "password: [REDACTED], next"),
+    ("api_key=xyz;rest", "api_key=[REDACTED];rest"), ("use bearer q1w2", "use bearer [REDACTED]"), ("key sk_live_abcdefgh1 end", "key [REDACTED] end"), ("id " + "a1" * 13 + " end", "id [REDACTED] end"), ("word " + "a" * 30, "word " + "a" * 30),
+    ("refresh token: `a b` x", "refresh token: [REDACTED] x"), ("client-secret = 'q'", "client-secret = [REDACTED]"),
+)
+
+
+@query("SELECT CAST(k AS BIGINT) AS k, m AS message FROM (VALUES " + ", ".join("({}, '{}')".format(k, m.replace("'", "''")) for k, (_, m) in enumerate(MESSAGES)) + ") AS t(k, m)")
+def public_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, m) for k, (m, _) in enumerate(MESSAGES)], "k long, m string")
+    return rows.select("k", screen.redact(F.col("m")).alias("message"))
 
 
 @query(f"""WITH {CORPUS} SELECT path, first_value(path) OVER w AS representative, count(*) OVER (PARTITION BY source_hash) AS copies FROM corpus
 WINDOW w AS (PARTITION BY source_hash ORDER BY authority_rank, length(path), path)""")
 def duplicate_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus(spark, sf_dir)
-    same = Window.partitionBy("source_hash")
-    lead = F.first("path").over(same.orderBy(catalog.authority_rank(F.col("authority")), F.length("path"), "path"))
-    return rows.select("path", lead.alias("representative"), F.count("*").over(same).alias("copies"))
+    return catalog.representatives(corpus(spark, sf_dir))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,13 +259,14 @@ def signal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY task_id, source_hash ORDER BY CASE WHEN list_contains(req, path) THEN 0 ELSE 1 END, CASE WHEN doc_id % 7 < 4 THEN doc_id % 7 WHEN doc_id % 7 = 4 THEN 7 ELSE 99 END,
-    length(path || '::' || coalesce(symbol, '')), path) AS rn FROM m), g AS (
+    length(path || '::' || coalesce(symbol, '')), path) AS rn FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY list_contains(req, path) DESC, authority = 'policy' DESC, id) <= 2048)), g AS (
   SELECT task_id, 'symbol:' || symbol AS loc, id, source_hash FROM r WHERE rn = 1 AND doc_id % 7 < 5 AND symbol IS NOT NULL
   UNION ALL SELECT task_id, 'topic:criterion:AC-' || lpad(CAST(i AS VARCHAR), 3, '0'), id, source_hash FROM (SELECT *, unnest(range(1, len(crit) + 1)) AS i FROM r WHERE rn = 1 AND doc_id % 7 < 5 AND symbol IS NULL AND nr > 0) WHERE list_has_any(crit[i], vis)
   UNION ALL SELECT task_id, 'path:' || path || ':0:0', id, source_hash FROM r WHERE rn = 1 AND doc_id % 7 < 5 AND symbol IS NULL AND nr = 0)
 SELECT task_id, 'conflict-' || sha256(loc) AS conflict_key, count(*) AS candidates, md5(string_agg(id, ',' ORDER BY id)) AS ids_md5 FROM g GROUP BY task_id, loc HAVING count(DISTINCT source_hash) > 1""")
 def authority_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.conflicts(selection.duplicates(_scored(spark, sf_dir)))
+    asked = tasks(spark)
+    found = selection.conflicts(selection.duplicates(scoring.score(asked, cand.aggregate(asked, [candidates(spark, sf_dir)]))))
     return found.select("task_id", "conflict_key", F.size("candidate_ids").cast("long").alias("candidates"), F.md5(joined("candidate_ids").cast("binary")).alias("ids_md5"))
 
 
@@ -255,13 +281,33 @@ f AS (SELECT term, count(*) AS df FROM p WHERE tf > 0 GROUP BY term)
 SELECT path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
 FROM p JOIN f USING (term), s WHERE tf > 0 GROUP BY path HAVING count(*) = 2 ORDER BY score DESC, path LIMIT 50""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = fts.build(fts.prepare_sources(_sources(spark, sf_dir)))
-    return fts.search(index, "the worthless").select("path", "score")
+    return fts.search(_stored_index(spark, sf_dir), "the worthless").select("path", "score")
+
+
+_indexes: dict[tuple[str, str], fts.Index] = {}
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> fts.Index:
+    """The corpus index of a data folder, built and written once a session; searches read the sorted postings of their terms."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        fts.write(fts.build(fts.prepare_sources(_sources(spark, sf_dir))), path)
+        keep_until_exit(spark, path)
+        _indexes[key] = fts.read(spark, path)
+    return _indexes[key]
 
 
-@query("SELECT CAST(0 AS BIGINT) AS orphan_postings, CAST(0 AS BIGINT) AS missing_postings, CAST(0 AS BIGINT) AS missing_lengths, CAST(0 AS BIGINT) AS changed_sources, CAST(0 AS BIGINT) AS duplicate_sources")
+@query(f"""WITH {CORPUS}, w AS (SELECT *, len({TOKENS.format("title || ' ' || content")}) > 0 AS worded FROM corpus)
+SELECT count(*) FILTER (worded AND doc_id % 9 = 1) AS orphan_postings, count(*) FILTER (worded AND doc_id % 9 = 2) AS missing_postings, count(*) FILTER (doc_id % 9 = 3) AS missing_lengths,
+  count(*) FILTER (doc_id % 9 = 4) AS changed_sources, count(*) FILTER (doc_id % 9 = 5) AS duplicate_sources FROM w""")
 def index_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts.integrity(fts.build(fts.prepare_sources(_sources(spark, sf_dir))))
+    index = fts.build(fts.prepare_sources(_sources(spark, sf_dir)))
+    kind = index.sources.select("source_id", (F.col("doc_id") % 9).alias("kind"))
+    sources = index.sources.withColumn("content", F.when(F.col("doc_id") % 9 == 4, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).where("doc_id % 9 <> 1")
+    sources = sources.unionByName(sources.where("doc_id % 9 = 5"))
+    without = lambda rows, k: rows.join(kind.where(F.col("kind") == k), "source_id", "left_anti")
+    return fts.integrity(fts.Index(sources, without(index.postings, 2), without(index.lengths, 3)))
 
 
 @query(f"""WITH {CORPUS}, anc AS (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS d, string_split(path, '/') AS s FROM corpus), pol AS (SELECT * FROM (VALUES ('docs', 'docs/AGENTS.md'), ('docs/fr', 'docs/fr/AGENTS.md'), ('docs/de', 'docs/de/agents.md')) AS t(scope, policy))
@@ -269,10 +315,10 @@ SELECT path AS target, arg_max(policy, d) AS policy FROM anc JOIN pol ON array_t
 def nearest_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     policies = spark.createDataFrame([("docs", "docs/AGENTS.md"), ("docs/fr", "docs/fr/AGENTS.md"), ("docs/de", "docs/de/agents.md")], "scope string, policy string")
     above = corpus(spark, sf_dir).select(F.col("path").alias("target"), F.posexplode(paths.ancestors(F.col("path"))).alias("depth", "scope"))
-    return above.join(policies, "scope").groupBy("target").agg(F.min_by("policy", "depth").alias("policy"))
+    return scoring.nearest_policies(above, policies, [])
 
 
-@query(f"""WITH RECURSIVE {CORPUS}, x AS (SELECT 'L-' || lang AS task_id, id, size_bytes AS b, CAST(ceil(size_bytes / 4.0) AS BIGINT) AS t, row_number() OVER (PARTITION BY lang ORDER BY path, id) AS rn FROM corpus),
+@query(f"""WITH RECURSIVE {CORPUS}, x AS (SELECT 'L-' || lang AS task_id, id, size_bytes AS b, CAST(ceil(size_bytes / 4.0) AS BIGINT) AS t, row_number() OVER (PARTITION BY lang ORDER BY path, id) AS rn FROM corpus QUALIFY rn <= 2048),
 f AS (SELECT task_id, 0::BIGINT AS rn, 0::BIGINT AS n, 0::BIGINT AS ub, 0::BIGINT AS ut FROM (SELECT DISTINCT task_id FROM x) UNION ALL
   SELECT x.task_id, x.rn, CASE WHEN n < 40 AND ub + b <= 60000 AND ut + t <= 14000 THEN n + 1 ELSE n END, CASE WHEN n < 40 AND ub + b <= 60000 AND ut + t <= 14000 THEN ub + b ELSE ub END, CASE WHEN n < 40 AND ub + b <= 60000 AND ut + t <= 14000 THEN ut + t ELSE ut END
   FROM f JOIN x ON x.task_id = f.task_id AND x.rn = f.rn + 1)
@@ -336,19 +382,34 @@ def selection_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.envelope_digest(_decided(spark, sf_dir)[0])
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+@query(f"""WITH {CORPUS} SELECT 'T-' || (doc_id % 3 + 1) AS task_id, id AS candidate_id, unnest(list_concat(list_concat(CASE WHEN doc_id % 13 = 5 THEN ['score'] ELSE [] END, CASE WHEN doc_id % 11 = 3 THEN ['reason'] ELSE [] END),
+  CASE WHEN doc_id % 17 = 4 THEN ['duplicate_link'] ELSE [] END)) AS rule FROM corpus""")
 def receipt_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.receipt_violations(_decided(spark, sf_dir)[0]).agg(F.count("*").alias("violations"))
+    """Decisions on all scored candidates with planted errors: wrong sums, reasons of the other class, links to what is not included."""
+    n = _number()
+    included = n % 2 == 0
+    rows = _scored(spark, sf_dir).select(
+        "task_id", F.col("id").alias("candidate_id"), "components", (F.col("score") + F.when(n % 13 == 5, 1).otherwise(0)).alias("score"), F.when(included, "INCLUDED").otherwise("OMITTED").alias("status"),
+        F.concat(F.when(included == (n % 11 != 3), "INCLUDE_").otherwise("OMIT_"), F.lit("X")).alias("reason"), F.when(n % 17 == 4, "DOC-none").alias("duplicate_of"),
+    )
+    return ledger.receipt_violations(rows)
 
 
 @query(f"""WITH {CORPUS}, a AS (SELECT lang AS task_id, id FROM corpus WHERE doc_id % 5 <> 0), b AS (SELECT lang AS task_id, id FROM corpus WHERE doc_id % 7 <> 0)
-SELECT task_id, md5(coalesce(string_agg(id, ',' ORDER BY id) FILTER (o IS NULL), '')) AS added_md5, md5(coalesce(string_agg(id, ',' ORDER BY id) FILTER (n IS NULL), '')) AS removed_md5, 'DRIFTED' AS status
+SELECT task_id, count(*) FILTER (o IS NULL) AS added, count(*) FILTER (n IS NULL) AS removed, 'DRIFTED' AS status
 FROM (SELECT coalesce(a.task_id, b.task_id) AS task_id, coalesce(a.id, b.id) AS id, a.id AS o, b.id AS n FROM a FULL JOIN b ON a.task_id = b.task_id AND a.id = b.id) GROUP BY task_id""")
 def replay_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.replay_drift(*_selections(spark, sf_dir))
+
+
+def _selections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = corpus(spark, sf_dir).select("doc_id", F.get("modules", F.lit(0)).alias("task_id"), F.col("id").alias("candidate_id"))
-    out = ledger.replay_drift(rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 7 <> 0"))
-    md5 = lambda c: F.md5(joined(c).cast("binary"))
-    return out.select("task_id", md5("added_candidate_ids").alias("added_md5"), md5("removed_candidate_ids").alias("removed_md5"), "status")
+    return rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 7 <> 0")
+
+
+@query(f"""WITH {CORPUS} SELECT lang AS task_id, id AS candidate_id, CASE WHEN doc_id % 5 = 0 THEN 'added' ELSE 'removed' END AS change FROM corpus WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0)""")
+def drifted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.drifted(*_selections(spark, sf_dir))
 
 
 @query("""WITH r AS (SELECT conv_id AS task_id, turn AS sequence, 'sha256:' || sha256(concat_ws(chr(10), CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), text)) AS d FROM conversations)
@@ -399,8 +460,8 @@ def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCRIPTS = (("src/a.ts",), ("src/b/index.ts",), ("src/c.tsx",), ("lib/d.js",), ("src/e.ts",))
-IMPORTS = (("src/a.ts", "./b"), ("src/a.ts", "./c.js"), ("src/a.ts", "../lib/d"), ("src/b/index.ts", "../e"), ("src/a.ts", "react"), ("src/a.ts", "../../out"), ("src/c.tsx", "./missing"), ("lib/d.js", "../src/a.js"))
-RESOLVED = ("src/b/index.ts", "src/c.tsx", "lib/d.js", "src/e.ts", None, None, None, "src/a.ts")
+IMPORTS = (("src/a.ts", "./b"), ("src/a.ts", "./c.js"), ("src/a.ts", "../lib/d"), ("src/b/index.ts", "../e"), ("src/a.ts", "react"), ("src/a.ts", "../../out"), ("src/c.tsx", "./missing"), ("lib/d.js", "../src/a.js"), ("src/a.ts", "./e.tsx"), ("src/a.ts", "./c.mts"))
+RESOLVED = ("src/b/index.ts", "src/c.tsx", "lib/d.js", "src/e.ts", None, None, None, "src/a.ts", "src/e.ts", "src/c.tsx")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{s}', {repr(t) if t else 'NULL'})" for (p, s), t in zip(IMPORTS, RESOLVED, strict=True)) + ") AS t(path, specifier, target)")
@@ -434,10 +495,36 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_edges(calls, nodes, bindings).select("l_orderkey", "l_linenumber", "to_id")
 
 
-@query("SELECT * FROM (VALUES ('.', 'root-pkg', 'package', 'All of it'), ('packages/core', '@x/core', 'package', 'Package'), ('docs', 'docs', 'documentation', 'Documentation'), ('packages', 'packages', 'workspace', 'Workspace packages')) AS t(path, name, kind, role)")
+@query("""SELECT * FROM (VALUES ('.', 'workspace_package:root-pkg', 'workspace_package', 'All of it', 'package.json name=root-pkg,package.json description'),
+  ('packages/core', 'workspace_package:@x/core', 'workspace_package', 'Package @x/core.', 'package.json name=@x/core'), ('tools', 'workspace_package:my-tools', 'workspace_package', 'Package My Tools.', 'package.json name=My Tools'),
+  ('Docs', 'documentation:docs', 'documentation', 'Project documentation and architecture knowledge.', 'conventional directory: Docs'), ('src', 'source:src', 'source', 'Primary source-code boundary.', 'conventional directory: src'),
+  ('tests', 'tests:tests', 'tests', 'Automated test boundary.', 'conventional directory: tests'), ('config', 'configuration:config', 'configuration', 'Repository configuration boundary.', 'conventional directory: config')) AS t(path, id, kind, role, evidence)""")
 def repo_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = [("package.json", '{"name":"root-pkg","description":"All of it"}'), ("packages/core/package.json", '{"name":"@x/core"}'), ("docs/a.md", "x"), (".env", "x"), ("misc/z.txt", "x")]
-    return repo_map.modules(spark.createDataFrame(files, "path string, content string")).select("path", "name", "kind", "role")
+    files = [("package.json", '{"name":"root-pkg","description":" All of it "}'), ("packages/core/package.json", '{"name":"@x/core"}'), ("tools/package.json", '{"name":"My Tools","description":"  "}'), ("noname/package.json", '{"version":"1"}')]
+    files += [(p, "x") for p in ("Docs/a.md", "src/index.ts", "tests/a.test.ts", "config/x.toml", ".env", "misc/z.txt", "app/main.ts", "a/src/b.ts")]
+    return repo_map.modules(spark.createDataFrame(files, "path string, content string")).withColumn("evidence", joined("evidence"))
+
+
+FILES = (
+    ("src/a.ts", True, "code", "source_code"), ("src/a.test.ts", True, "test", "test"), ("tests/x/data.py", True, "test", "test"), ("pkg/__tests__/y.js", True, "test", "test"), ("config/site.ts", True, "configuration", "configuration"),
+    ("a/tsconfig.build.json", True, "configuration", "configuration"), ("data.json", False, "configuration", "configuration"), ("notes.txt", False, "code", "source_code"), ("requirements-dev.txt", True, "code", "source_code"), ("go.sum", True, "code", "source_code"),
+    ("yarn.lock", True, "code", "source_code"), ("Dockerfile.prod", True, "code", "source_code"), ("Makefile", True, "code", "source_code"), ("LICENSE", False, "code", "source_code"), ("x/AGENTS.md", True, "document", "policy"), ("SECURITY.md", True, "document", "policy"),
+    ("x/security.md", True, "code", "source_code"), ("a.vue", True, "code", "source_code"), ("b.PHP", True, "code", "source_code"), ("m.scala", False, "code", "source_code"), ("web/eslint.config.mjs", True, "code", "source_code"), ("ci/deploy.yml", True, "configuration", "configuration"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {s}, '{k}', '{a}')" for p, s, k, a in FILES) + ") AS t(path, accepted, kind, authority)")
+def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(f[0],) for f in FILES], "path string").withColumn("kind", paths.kind(F.col("path")))
+    return rows.select("path", paths.is_source_file(F.col("path")).alias("accepted"), "kind", paths.file_authority(F.col("path"), F.col("kind")).alias("authority"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'CGE-' || sha256('["calls","n' || l_partkey || '","","f","src/p' || l_partkey || '.ts",' || l_linenumber || ',1,' || l_linenumber || ',9]') AS edge_id FROM lineitem WHERE l_suppkey % 5 = 1""")
+def edge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 = 1")
+    at = F.col("l_linenumber")
+    path = F.concat(F.lit("src/p"), "l_partkey", F.lit(".ts"))
+    return items.select("l_orderkey", "l_linenumber", digest.edge_id(F.lit("calls"), F.concat(F.lit("n"), "l_partkey"), F.lit(None).cast("string"), F.lit("f"), path, at, F.lit(1), at, F.lit(9)).alias("edge_id"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i}::BIGINT, {s}::BIGINT, {2 * s}::BIGINT)" for t, (i, s) in requests.BUDGETS.items()) + ") AS t(task_type, initial_tokens, soft_limit_tokens, hard_limit_tokens)")
@@ -450,11 +537,11 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("estimated_tokens"))
 
 
-@query("SELECT doc_id, 'sha256:' || sha256(text) AS source_hash, 'CGN-' || sha256(concat_ws(chr(10), lang, source)) AS graph_id, 'sha256:' || sha256('{\"path\":\"' || source || '\",\"start_line\":null,\"end_line\":null,\"symbol\":\"' || lang || '\"}') AS source_id FROM documents")
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS source_hash, 'CGN-' || sha256(concat_ws(chr(10), lang, source)) AS graph_id, 'sha256:' || sha256('{\"path\":\"' || source || '\",\"kind\":\"document\",\"start_line\":null,\"end_line\":null,\"symbol\":\"' || lang || '\"}') AS source_id FROM documents")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("int")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", digest.text_hash(F.col("text")).alias("source_hash"), digest.graph_id("CGN-", F.col("lang"), F.col("source")).alias("graph_id"), digest.source_id(F.col("source"), none, none, F.col("lang")).alias("source_id")
+        "doc_id", digest.text_hash(F.col("text")).alias("source_hash"), digest.graph_id("CGN-", F.col("lang"), F.col("source")).alias("graph_id"), digest.source_id(F.col("source"), F.lit("document"), none, none, F.col("lang")).alias("source_id")
     )
 
 
@@ -463,10 +550,10 @@ def security_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.prepare_tasks(tasks(spark)).select("task_id", "security")
 
 
-@query(f"""WITH {CORPUS} SELECT count(*) AS sources, bit_xor(CAST(('0x' || substr(source_hash, 8, 15)) AS BIGINT)) AS identity FROM corpus""")
+@query(f"""WITH {CORPUS}, s AS (SELECT *, '{{"kind":"document","path":"' || path || '","size_bytes":' || size_bytes || ',"source_hash":"' || source_hash || '"}}' AS e FROM corpus ORDER BY path LIMIT 16385)
+SELECT count(*) AS sources, 'sha256:' || sha256('[' || string_agg(e, ',' ORDER BY path) || ']') AS identity FROM s""")
 def observation_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.conv(F.substring("source_hash", 8, 15), 16, 10).cast("long")
-    return corpus(spark, sf_dir).agg(F.count("*").alias("sources"), F.bit_xor(word).alias("identity"))
+    return repository.observation_digest(_sources(spark, sf_dir))
 
 
 @query(f"WITH {CORPUS} SELECT path, source_hash, size_bytes FROM corpus WHERE doc_id % 2 = 0 UNION ALL SELECT replace(path, '.md', '.ts'), source_hash, size_bytes FROM corpus WHERE doc_id % 2 = 1")
@@ -474,3 +561,26 @@ def hybrid_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sources(spark, sf_dir)
     files = rows.where("doc_id % 2 = 1").withColumn("path", F.regexp_replace("path", r"\.md$", ".ts"))
     return repository.hybrid(rows.where("doc_id % 2 = 0"), files).select("path", "source_hash", "size_bytes")
+
+
+CLEAN = "trim(regexp_replace({0}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', ' ', 'g'))"
+
+
+@query("""WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x1F\\x7F]', ' ', 'g')) AS t FROM documents) SELECT doc_id, left(t, 1200) AS excerpt, length(t) > 1200 AS truncated FROM c""")
+def index_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = text.index_excerpt(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", e["text"].alias("excerpt"), e["truncated"].alias("truncated"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, {CLEAN.format("coalesce(text, '')")} AS t FROM documents) SELECT doc_id, len(string_split(t, chr(10))) > 400 OR octet_length(encode(t)) > 32768 AS bounded FROM c""")
+def bounded_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.was_bounded(F.coalesce("text", F.lit(""))).alias("bounded"))
+
+
+@query(f"""WITH {CORPUS} SELECT doc_id, 'sha256:' || sha256('{{"excerpt_hash":"' || source_hash || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"line_end":' || (doc_id % 40 + 5) || ',"line_start":' || (doc_id % 40) ELSE '' END || ',"path":"' || path || '","provider":"documents","source_hash":"' || source_hash || '"' || CASE WHEN doc_id % 3 = 0 THEN ',"symbol":"s' || doc_id || '"' ELSE '' END || '}}') AS id FROM corpus""")
+def candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus(spark, sf_dir)
+    even = lambda c: F.when(F.col("doc_id") % 2 == 0, c).cast("int")
+    symbol = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("s"), F.col("doc_id")))
+    made = digest.candidate_id(F.lit("documents"), F.col("path"), even(F.col("doc_id") % 40), even(F.col("doc_id") % 40 + 5), symbol, F.col("source_hash"), F.col("source_hash"))
+    return rows.select("doc_id", made.alias("id"))

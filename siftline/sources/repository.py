@@ -89,9 +89,14 @@ def hybrid(docs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def observation_digest(sources: DataFrame, *columns: str) -> DataFrame:
-    """One row: order-free identity of a set of sources, for noticing a change after discovery."""
-    h = F.xxhash64(*(columns or ("path", "source_hash", "size_bytes")))
-    return sources.agg(F.count("*").alias("sources"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("identity"))
+    """One row: number and digest of a set of sources, the hash of the canonical JSON list of their paths, hashes, sizes and kinds in order of path.
+
+    Accepted sources are at most ``MAX_FILES``, so their entries meet in one row.
+    """
+    names = sorted(columns or ("kind", "path", "size_bytes", "source_hash"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("path", F.to_json(F.struct(*names)).alias("entry")))), lambda e: e["entry"])
+    listed = F.concat(F.lit("["), F.array_join(entries, ","), F.lit("]"))
+    return sources.orderBy("path").limit(MAX_FILES + 1).agg(F.count("*").alias("sources"), digest.text_hash(listed).alias("identity"))
 
 
 def blocked_policies(blocked: DataFrame, targets: DataFrame, security: Column) -> DataFrame:

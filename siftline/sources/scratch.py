@@ -39,12 +39,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _held[path] = spark.sparkContext._jsc.hadoopConfiguration()
+    keep_until_exit(spark, path)
     out = spark.read.parquet(path)
     out._stored_at = path
     return out
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when Python ends."""
+    _held[path] = spark.sparkContext._jsc.hadoopConfiguration()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete stored tables that no later step reads."""
     for table in tables:

@@ -40,7 +40,7 @@ def test_provider_caps(spark):
     made = cand.of_sources(tasks, spark.createDataFrame(rows, "path string, kind string, authority string, source_hash string, content string"), "documents", cap=3)
     got = made.orderBy("path").collect()
     assert [r["path"] for r in got] == ["docs/d00.md", "docs/d01.md", "docs/z.md"]
-    assert all(r["truncation_reasons"] == ["DOCUMENTS_LIMIT"] for r in got)
+    assert all(r["truncation_reasons"] == ["PROVIDER_RESULT_LIMIT"] for r in got)
 
 
 def test_stream(spark, tmp_path):
