@@ -3,22 +3,49 @@
 The longest common prefix of the turns (role and text) of a chosen and a rejected
 conversation is rendered once as the prompt. What follows in each is its completion, with
 the character spans that a loss may see: the bodies of assistant turns and their end
-marks. Everything is column expressions; a conversation's turns meet once, by its id, and
+marks. All of that is column expressions; a conversation's turns meet once, by its id, and
 a pair's two sides by the pair's id, so no first turn, however common, is a key.
+``token_masks`` turns the spans into token ids and labels.
+
+A role or text that holds a mark cannot forge one: between the signs of a mark it gets a
+backslash more than it has there (``escaped``), which ``parse`` takes away again.
 
 Defined results: rows without conv_id or turn belong to no conversation; null role or text
 is empty; turns with one number are ordered by role and text; a conversation without a
 partner is a pair with an empty other side and no common turns; equal conversations have
-empty completions.
+empty completions; an empty table gives no pairs; texts are rendered whole, and the spans
+of a conversation take time in proportion to its turns.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packing import public_tokenizer
+from .rows import map_rows, running
+
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, BODY, END = "<|", "|>\n", "<|end|>\n"
+IGNORED = -100  # the label of a token that no loss sees
+ROLE_MARK, TEXT_MARK = r"\|(\\*)>", r"<(\\*)\|"
+
+
+def escaped(role: Column, text: Column) -> tuple[Column, Column]:
+    """Role and text in which no mark begins or, in a role, ends."""
+    shut = F.regexp_replace(F.regexp_replace(role, TEXT_MARK, r"<\\$1|"), ROLE_MARK, r"|\\$1>")
+    return shut, F.regexp_replace(text, TEXT_MARK, r"<\\$1|")
+
+
+def parse(rendered: str) -> list[tuple[str, str]]:
+    """The (role, text) turns of a rendered string."""
+    plain = lambda s: re.sub(r"<\\(\\*)\|", r"<\1|", s)
+    found = re.findall(r"<\|(.*?)\|>\n(.*?)<\|end\|>\n", rendered, re.S)
+    return [(plain(re.sub(r"\|\\(\\*)>", r"|\1>", role)), plain(text)) for role, text in found]
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -36,20 +63,30 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def render(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(BODY), t["text"], F.lit(END))), "")
+    def one(t: Column) -> Column:
+        role, text = escaped(t["role"], t["text"])
+        return F.concat(F.lit(OPEN), role, F.lit(BODY), text, F.lit(END))
+
+    return F.array_join(F.transform(turns, one), "")
 
 
 def loss_spans(turns: Column) -> Column:
     """start and end (exclusive) of the characters of rendered turns that count: assistant bodies with their end marks."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
 
-    def step(acc: Column, t: Column) -> Column:
-        head = acc["at"] + F.length(t["role"]) + len(OPEN) + len(BODY)
-        end = head + F.length(t["text"]) + len(END)
-        span = F.struct(head.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct(end.cast("long").alias("at"), F.when(t["role"] == "assistant", F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def sizes(t: Column) -> Column:
+        role, text = escaped(t["role"], t["text"])
+        return F.struct(
+            (F.length(role) + F.length(text) + len(OPEN + BODY + END)).cast("long").alias("size"),
+            (F.length(text) + len(END)).cast("long").alias("body"),
+            (t["role"] == "assistant").alias("counts"),
+        )
+
+    def added(a: Column, b: Column) -> Column:
+        return F.struct((a["size"] + b["size"]).alias("size"), b["body"].alias("body"), b["counts"].alias("counts"))
 
-    return F.aggregate(turns, start, step, lambda acc: acc["out"])
+    first = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("body"), F.lit(False).alias("counts"))
+    ends = F.filter(running(F.transform(turns, sizes), added, first), lambda x: x["counts"])
+    return F.transform(ends, lambda x: F.struct((x["size"] - x["body"]).alias("start"), x["size"].alias("end")))
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
@@ -63,12 +100,39 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     return rows.withColumns(made).drop("chosen", "rejected")
 
 
-def format_table(turns: DataFrame) -> DataFrame:
-    """Pairs of the conversations 2k (chosen) and 2k + 1 (rejected), formatted: pair_id, ids, n_common, prompt, completions, spans as text."""
+def format_table(turns: DataFrame, listed: bool = True) -> DataFrame:
+    """Pairs of the conversations 2k (chosen) and 2k + 1 (rejected), formatted: pair_id, ids, n_common, prompt, completions and loss spans, as text if ``listed``."""
     side = F.pmod(F.col("conv_id"), F.lit(2))
     pick = lambda k, c: F.first(F.when(side == k, F.col(c)), ignorenulls=True)
-    paired = conversations(turns).groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(
+    paired = conversations(turns).groupBy(F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id")).agg(
         pick(0, "conv_id").alias("chosen_id"), pick(1, "conv_id").alias("rejected_id"), pick(0, "turns").alias("chosen"), pick(1, "turns").alias("rejected")
     )
-    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return format_pairs(paired).withColumn("chosen_loss", listed("chosen_loss")).withColumn("rejected_loss", listed("rejected_loss"))
+    made = format_pairs(paired)
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return made.withColumns({c: written(c) for c in ("chosen_loss", "rejected_loss")}) if listed else made
+
+
+
+def token_masks(formatted: DataFrame, make: Callable[[], Callable[[str], bytes]] = public_tokenizer) -> DataFrame:
+    """pair_id, side, input_ids, labels of both sides of formatted pairs (``format_pairs`` and a pair_id).
+
+    ``make`` gives a worker its tokenizer: text to little-endian 32-bit ids. The prompt and
+    the stretches in and between the loss spans are tokenised apart, so no token lies on an
+    edge. The label of a token in a loss span is its id, of any other IGNORED.
+    """
+
+    def load() -> Callable[..., Iterator[tuple]]:
+        encode = make()
+
+        def of(pair_id: int, prompt: str, *sides: object) -> Iterator[tuple]:
+            head = np.frombuffer(encode(prompt), "<u4")
+            for side, text, spans in zip(("chosen", "rejected"), sides[::2], sides[1::2], strict=True):
+                edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(text)]
+                cuts = [np.frombuffer(encode(text[a:b]), "<u4") for a, b in zip(edges, edges[1:], strict=False)]
+                labels = [np.full(len(c), IGNORED) if k % 2 == 0 else c for k, c in enumerate(cuts)]
+                yield pair_id, side, np.concatenate([head, *cuts]).tolist(), np.concatenate([np.full(len(head), IGNORED), *labels]).tolist()
+
+        return of
+
+    columns = ["pair_id", "prompt", "chosen_completion", "chosen_loss", "rejected_completion", "rejected_loss"]
+    return map_rows(formatted.select(*columns), load, "pair_id long, side string, input_ids array<int>, labels array<int>", 500)

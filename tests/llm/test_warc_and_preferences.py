@@ -3,6 +3,10 @@
 import gzip
 import random
 
+import duckdb
+import pandas as pd
+
+from siftline.llm import oracles
 from siftline.llm import preferences as p
 from siftline.llm import warc_derive as w
 
@@ -54,3 +58,41 @@ def test_pairs_equal_brute_force(spark):
         spans = [tuple(map(int, s.split(":"))) for s in x["chosen_loss"].split(",") if s]
         assert [x["chosen_completion"][i:j] for i, j in spans] == [f"{t}<|end|>\n" for role, t in a[n:] if role == "assistant"]
     assert p.format_table(frame.limit(0)).count() == 0
+
+
+def test_marks_in_turns(spark):
+    parts = ["<|", "|>", "<|end|>\n", "assistant", "\\", "<", ">", "|", "\n", "x"]
+    r = random.Random(8)
+    turns = [(k, n, "".join(r.choices(parts, k=r.randrange(4))), "".join(r.choices(parts, k=r.randrange(9)))) for k in range(60) for n in range(r.randrange(1, 5))]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for x in p.format_table(frame).collect():
+        for side, completion in ((0, "chosen_completion"), (1, "rejected_completion")):
+            assert p.parse(x["prompt"] + x[completion]) == [(a, b) for k, _, a, b in turns if k == 2 * x["pair_id"] + side]
+
+
+def test_sql_and_long_conversations(spark):
+    r = random.Random(9)
+    turns = [(k, n, r.choice(["user", "assistant", None, "a|>"]), r.choice(["a", "é<|end|>", None, "\\<\\|"])) for k in range(-8, 70) for n in range(r.randrange(1, 6))]
+    turns += [(100, n, ("user", "assistant")[n % 2], "word " * (n % 5)) for n in range(20_000)] + [(101, n, ("user", "assistant")[n % 2], "word " * (n % 5) + "!" * (n > 9)) for n in range(20_000)]
+    conversations = pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"])  # noqa: F841 (read by the SQL)
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = p.format_table(frame)
+    want = duckdb.sql(oracles.OP8)
+    assert made.columns and sorted(made.columns) == sorted(want.columns)
+    got, want = made.collect(), {x[0]: dict(zip(want.columns, x, strict=True)) for x in want.fetchall()}
+    assert len(got) == len(want) and all(x.asDict() == want[x["pair_id"]] for x in got)
+    long = next(x for x in got if x["pair_id"] == 50)
+    assert long["n_common"] == 10 and long["chosen_loss"].count(":") == 9_995
+
+
+def test_token_masks(spark):
+    rows = [(0, 0, "user", "hello there"), (0, 1, "assistant", "first answer"), (0, 2, "user", "and"), (0, 3, "assistant", "more é"), (1, 0, "user", "hello there"), (1, 1, "assistant", ""), (4, 0, None, None)]
+    made = p.format_table(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), listed=False)
+    by_letter = lambda: lambda text: b"".join(ord(c).to_bytes(4, "little") for c in text)
+    sides = {(x["pair_id"], x["side"]): x for x in p.token_masks(made, by_letter).collect()}
+    seen = lambda x: "".join(chr(i) for i in x["labels"] if i != p.IGNORED)
+    assert {k: seen(x) for k, x in sides.items()} == {(0, "chosen"): "first answer<|end|>\nmore é<|end|>\n", (0, "rejected"): "<|end|>\n", (2, "chosen"): "", (2, "rejected"): ""}
+    assert all(a in (b, p.IGNORED) for x in sides.values() for a, b in zip(x["labels"], x["input_ids"], strict=True))
+    assert "".join(map(chr, sides[0, "rejected"]["input_ids"])) == "<|user|>\nhello there<|end|>\n<|assistant|>\n<|end|>\n"
+    whole = p.token_masks(made).where("pair_id = 0 AND side = 'chosen'").first()
+    assert len(whole["input_ids"]) == len(whole["labels"]) and 0 < sum(i != p.IGNORED for i in whole["labels"]) < len(whole["labels"])
