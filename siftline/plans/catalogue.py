@@ -382,6 +382,68 @@ def selection_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.envelope_digest(_decided(spark, sf_dir)[0])
 
 
+PLANTED = """d AS (SELECT doc_id AS n, doc_id // 25 AS k, (doc_id // 7) % 3 <> 0 AS taken, doc_id % 25 = 5 AS mandatory FROM documents),
+need AS (SELECT * FROM (VALUES ('AC-001', 'ALL', ['a','b','c'], 3), ('AC-002', 'AT_LEAST', ['d','e','f','g'], 2)) AS t(id, mode, terms, least)),
+held AS (SELECT k, n, id, term FROM d, (SELECT id, unnest(terms) AS term FROM need) WHERE taken AND (n * (ascii(term) - 90)) % 23 = ascii(term) - 96),
+covered AS (SELECT *, CASE WHEN k % 10 = 3 AND id = 'AC-002' THEN 'CONFLICTED' WHEN len(have) >= least THEN 'COVERED' ELSE 'MISSING' END AS status, list_filter(terms, lambda x: NOT list_contains(have, x)) AS lacks FROM (
+  SELECT q.k, need.*, coalesce(list_sort(list(DISTINCT term) FILTER (term IS NOT NULL)), []) AS have, coalesce(list_sort(list(DISTINCT 'c-' || n) FILTER (n IS NOT NULL)), []) AS ids
+  FROM (SELECT DISTINCT k FROM d) q CROSS JOIN need LEFT JOIN held ON held.k = q.k AND held.id = need.id GROUP BY ALL)),
+missing AS (SELECT k, id, CASE WHEN status = 'COVERED' THEN [] WHEN mode = 'ALL' THEN lacks ELSE lacks[1:greatest(least - len(have), 0)] END AS gone FROM covered)"""
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions and conflicts made by rule from document numbers, 25 a task, so that every criterion is met in some tasks and not in others."""
+    n = F.col("n")
+    k = F.expr("n div 25")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"))
+    taken = F.expr("(n div 7) % 3 <> 0")
+    asked = {"AC-001": ("ALL", "abc", 3), "AC-002": ("AT_LEAST", "defg", 2)}
+    needs = F.array(*[F.struct(F.lit(c).alias("id"), F.lit(m).alias("mode"), F.array(*map(F.lit, t)).alias("terms"), F.lit(x).alias("minimum")) for c, (m, t, x) in asked.items()])
+    of = lambda t: F.array_compact(F.array(*[F.when((n * (ord(x) - 90)) % 23 == ord(x) - 96, x) for x in t]))
+    matched = F.filter(F.array(*[F.struct(F.lit(c).alias("id"), of(t).alias("terms")) for c, (_, t, _) in asked.items()]), lambda m: F.size(m["terms"]) > 0)
+    reason = F.when(taken, "INCLUDE_RELEVANCE").when((n % 5 == 0) & (k % 4 == 1), "OMIT_BUDGET_BYTES").otherwise("OMIT_SUFFICIENT_EVIDENCE")
+    decisions = rows.select(
+        F.concat(F.lit("P-"), k).alias("task_id"), F.concat(F.lit("c-"), n).alias("candidate_id"), F.when(taken, "INCLUDED").otherwise("OMITTED").alias("status"), reason.alias("reason"),
+        (n % 25 == 5).alias("mandatory"), F.when(~taken & (n % 6 == 0), F.concat(F.lit("c-"), n + 1)).alias("duplicate_of"), (k % 7 == 2).alias("mandatory_exhausted"), F.concat(F.lit("p-"), n).alias("path"),
+        (n % 100).alias("excerpt_bytes"), (n % 10).alias("estimated_tokens"), matched.alias("criterion_terms"), needs.alias("requirements"), F.array(F.concat(F.lit("p-"), k * 25 + 3)).alias("required_sources"),
+    )
+    disputed = rows.where(k % 10 == 3).select(F.concat(F.lit("P-"), k).alias("task_id")).distinct()
+    return decisions, disputed.withColumn("criterion_ids", F.array(F.lit("AC-002")))
+
+
+@query(f"""WITH {PLANTED} SELECT 'P-' || covered.k AS task_id, id AS criterion_id, mode, status, {JOIN.format("ids")} AS candidate_ids, {JOIN.format("have")} AS matched_terms, {JOIN.format("gone")} AS missing_terms
+FROM covered JOIN missing USING (k, id)""")
+def coverage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    covered = selection.coverage(*_planted(spark, sf_dir))
+    return covered.select("task_id", "criterion_id", "mode", "status", joined("candidate_ids").alias("candidate_ids"), joined("matched_terms").alias("matched_terms"), joined("missing_terms").alias("missing_terms"))
+
+
+@query(f"""WITH {PLANTED}, t AS (SELECT k, count(*) AS considered, count(*) FILTER (taken) AS used_items, CAST(coalesce(sum(n % 100) FILTER (taken), 0) AS BIGINT) AS used_bytes, CAST(coalesce(sum(n % 10) FILTER (taken), 0) AS BIGINT) AS used_tokens,
+  coalesce(bool_or(NOT taken AND n % 5 = 0 AND k % 4 = 1), false) AS budget_cut FROM d GROUP BY k),
+found AS (SELECT DISTINCT k FROM (SELECT k FROM d WHERE n = 25 * k + 3 AND taken UNION ALL
+  SELECT d.k FROM d JOIN d h ON h.k = d.k AND h.n = d.n + 1 AND h.taken WHERE d.n = 25 * d.k + 3 AND NOT d.taken AND d.n % 6 = 0)),
+gaps AS (SELECT k, bool_or(status <> 'COVERED') AS gap FROM covered GROUP BY k), lost AS (SELECT k, string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM (SELECT k, unnest(gone) AS term FROM missing) GROUP BY k)
+SELECT 'P-' || t.k AS task_id, CASE WHEN t.k % 10 = 3 THEN 'CONFLICT' WHEN t.k % 7 = 2 OR gap OR found.k IS NULL THEN 'INSUFFICIENT_EVIDENCE' ELSE 'READY' END AS evidence_status,
+  CASE WHEN t.k % 7 = 2 THEN 'EXHAUSTED' WHEN budget_cut THEN 'TRUNCATED' ELSE 'WITHIN_BUDGET' END AS budget_status, considered, used_items, used_bytes, used_tokens,
+  CASE WHEN found.k IS NULL THEN 'p-' || (25 * t.k + 3) ELSE '' END AS missing_required_sources, coalesce(terms, '') AS missing_required_terms, CAST(CASE WHEN t.k % 10 = 3 THEN 1 ELSE 0 END AS BIGINT) AS conflict_count
+FROM t JOIN gaps USING (k) LEFT JOIN found USING (k) LEFT JOIN lost USING (k)""")
+def status_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions, found = _planted(spark, sf_dir)
+    out = selection.status(decisions, selection.coverage(decisions, found), found)
+    return out.withColumn("missing_required_sources", joined("missing_required_sources")).withColumn("missing_required_terms", joined("missing_required_terms"))
+
+
+@query(f"""WITH {PLANTED}, x AS (SELECT d.k, d.n, d.mandatory, need.id, mode, terms, least, coalesce(list(DISTINCT term) FILTER (term IS NOT NULL), []) AS have
+  FROM d CROSS JOIN need LEFT JOIN held ON held.k = d.k AND held.id = need.id AND (d.mandatory OR held.n <> d.n) WHERE taken GROUP BY ALL),
+y AS (SELECT *, list_filter(terms, lambda t: NOT list_contains(have, t)) AS lacks FROM x),
+z AS (SELECT *, CASE WHEN mode = 'ALL' THEN lacks ELSE lacks[1:greatest(least - len(have), 0)] END AS gone FROM y)
+SELECT 'P-' || k AS task_id, 'c-' || n AS candidate_id, CASE WHEN mandatory THEN 'DENIED' ELSE 'DERIVED' END AS decision, CASE WHEN mandatory THEN 'MANDATORY_CANDIDATE' ELSE 'NON_MANDATORY_REMOVED' END AS reason,
+  coalesce(string_agg(id, ',' ORDER BY id) FILTER (len(have) < least), '') AS missing_criteria_ids, {JOIN.format("list_sort(flatten(list(gone)))")} AS missing_required_terms FROM z GROUP BY k, n, mandatory""")
+def ablation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ledger.ablate_all(_planted(spark, sf_dir)[0])
+    return out.withColumn("missing_criteria_ids", joined("missing_criteria_ids")).withColumn("missing_required_terms", joined("missing_required_terms"))
+
+
 @query(f"""WITH {CORPUS} SELECT 'T-' || (doc_id % 3 + 1) AS task_id, id AS candidate_id, unnest(list_concat(list_concat(CASE WHEN doc_id % 13 = 5 THEN ['score'] ELSE [] END, CASE WHEN doc_id % 11 = 3 THEN ['reason'] ELSE [] END),
   CASE WHEN doc_id % 17 = 4 THEN ['duplicate_link'] ELSE [] END)) AS rule FROM corpus""")
 def receipt_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
