@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -10,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest, screen
+from . import scripts
 
 # What a specifier may stand for, in order.
 SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs")
-DECLARATION = re.compile(r"^(?P<export>export\s+(?:default\s+)?)?(?:async\s+)?(?P<kind>function|class|interface|type|enum|const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)", re.M)
+IMPORT_COLUMNS = "path string, kind string, specifier string, local_name string, imported string, start_line int, start_column int"
 NODE_COLUMNS = "path string, kind string, name string, qualified_name string, start_line int, start_column int, end_line int, end_column int, source_hash string, exported boolean, excerpt string, excerpt_truncated boolean"
 EXCERPT_LINES, EXCERPT_CHARS = 8, 2_000
 
@@ -112,11 +114,21 @@ def violations(files: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFram
     return out
 
 
+def _places(content: str):
+    """A function from a character's place to its line and column (UTF-16), both from 1."""
+    starts = [0, *(m.end() for m in re.finditer(r"\r\n|\n|\r", content))]
+
+    def of(place: int) -> tuple[int, int]:
+        line = bisect.bisect_right(starts, place)
+        return line, len(content[starts[line - 1] : place].encode("utf-16-le")) // 2 + 1
+
+    return of
+
+
 def extract_nodes(files: DataFrame) -> DataFrame:
-    """Top-level declarations of script files (path, source_hash, content), found by pattern.
+    """Declarations and members of script files (path, source_hash, content) with their ends, found by scripts.declarations.
 
-    A pattern extractor, not a parser: it takes declarations that start a line and does
-    not look inside bodies. Exact graphs come in as tables.
+    A scan, not a parser; exact graphs come in as tables.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,20 +136,33 @@ def extract_nodes(files: DataFrame) -> DataFrame:
             rows = []
             for path, source_hash, content in zip(batch["path"], batch["source_hash"], batch["content"], strict=True):
                 content = content or ""
-                all_lines = re.split(r"\r\n|\n|\r", content)
-                rows.append((path, "file", path.rsplit("/", 1)[-1], path, 1, 1, len(all_lines), len(all_lines[-1]) + 1, source_hash, True, *_excerpt(all_lines, 1)))
-                for m in DECLARATION.finditer(content):
-                    line = len(re.split(r"\r\n|\n|\r", content[: m.start()]))
-                    kind = {"const": "variable", "let": "variable", "var": "variable"}.get(m["kind"], m["kind"])
-                    rows.append((path, kind, m["name"], m["name"], line, 1, line, len(all_lines[line - 1]) + 1, source_hash, bool(m["export"]), *_excerpt(all_lines, line)))
+                all_lines, place = re.split(r"\r\n|\n|\r", content), _places(content)
+                rows.append((path, "file", path.rsplit("/", 1)[-1], path, 1, 1, *place(len(content)), source_hash, True, *_excerpt(all_lines, 1, len(all_lines))))
+                for kind, name, qualified, start, end, exported in scripts.declarations(content):
+                    (line, column), (end_line, end_column) = place(start), place(end)
+                    rows.append((path, kind, name, qualified, line, column, end_line, end_column, source_hash, exported, *_excerpt(all_lines, line, end_line)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODE_COLUMNS.split(", ")])
 
     return with_ids(files.select("path", "source_hash", "content").mapInPandas(run, NODE_COLUMNS))
 
 
-def _excerpt(all_lines: list[str], line: int) -> tuple[str, bool]:
-    body = "\n".join(all_lines[line - 1 : line - 1 + EXCERPT_LINES])
-    return body[:EXCERPT_CHARS], len(body) > EXCERPT_CHARS or len(all_lines) - line + 1 > EXCERPT_LINES
+def extract_imports(files: DataFrame) -> DataFrame:
+    """path, kind (imports, exports), specifier, local_name, imported, start_line, start_column: rows for resolve_imports and, with its targets, the bindings of call_edges."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                place = _places(content or "")
+                rows.extend((path, *found, *place(at)) for *found, at in scripts.imports(content or ""))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMPORT_COLUMNS.split(", ")])
+
+    return files.select("path", "content").mapInPandas(run, IMPORT_COLUMNS)
+
+
+def _excerpt(all_lines: list[str], line: int, end_line: int) -> tuple[str, bool]:
+    body = "\n".join(all_lines[line - 1 : min(end_line, line - 1 + EXCERPT_LINES)])
+    return body[:EXCERPT_CHARS], len(body) > EXCERPT_CHARS or end_line - line + 1 > EXCERPT_LINES
 
 
 def per_file_rank(nodes: DataFrame) -> DataFrame:
