@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, html_blocks, media_ts, packing, pii, preferences, simhash_gray, suffix_levels, toxicity, warc_derive
+from . import bpe_chunks, decontaminate, html_blocks, jacobi_whitening, media_ts, packing, period_runs, pii, preferences, simhash_gray, suffix_levels, toxicity, warc_derive
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,18 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jacobi_whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.report(table(spark, sf_dir, "documents"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -61,4 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preferences": op8_preferences,
     "op9_pii": op9_pii,
     "op10_suffix_levels": op10_suffix_levels,
+    "op11_jacobi_whitening": op11_jacobi_whitening,
+    "op12_bpe_chunks": op12_bpe_chunks,
+    "op13_period_runs": op13_period_runs,
 }
