@@ -57,7 +57,7 @@ def security_relevant(values: Column) -> Column:
     for groups in v.TOGETHER:
         together = F.lit(True)
         for group in groups:
-            together = together & F.arrays_overlap(words, _literal(group.split()))
+            together = together & F.arrays_overlap(words, _literal(group))
         found = found | together
     return F.coalesce(found, F.lit(False))
 

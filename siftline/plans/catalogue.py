@@ -180,6 +180,21 @@ def screen_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", screen.is_sensitive(F.coalesce("text", F.lit(""))).alias("sensitive"))
 
 
+SPACED = tuple((f"\n{t}\n", s) for t, s in (
+    *SECRETS, ("customer email: nobody", False), ("access_token = 'abcdefghijklmnopqrstuv'", True), ("access_token = 'abcdefghijklm'", False), ("**password**: `correct`", False), ("**password**: `correcthorse`", True),
+    ('client-secret: "ab\\"cd,ef;12345"', True), ("client cpf: 123456789", True), ("client phone: 1234567", False), ("| api key | abcd | 123456789012 |", False), ("refresh token:\nabcdef123456", False), ("password: access token: a1b2c3d4e5f6g7", True),
+))
+
+
+@query("SELECT doc_id, s AS sensitive FROM documents JOIN (VALUES " + ", ".join(f"({k}, {str(s).lower()})" for k, (_, s) in enumerate(SPACED)) + f") AS t(k, s) ON k = doc_id % {len(SPACED)}")
+def planted_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with one of the texts above planted in its middle: found where it is one, and no document turns into one."""
+    wanted = F.get(F.array(*[F.lit(t) for t, _ in SPACED]), (F.col("doc_id") % len(SPACED)).cast("int"))
+    half = (F.char_length("t") / 2).cast("int")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return rows.select("doc_id", screen.is_sensitive(F.concat(F.substring("t", F.lit(1), half), wanted, F.substring("t", half + 1, F.char_length("t")))).alias("sensitive"))
+
+
 _cpf = lambda n, c: f"({' + '.join(f'CAST(substr({c}, {i}, 1) AS INT) * {n + 2 - i}' for i in range(1, n + 1))}) * 10 % 11 % 10"
 
 
