@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from .packing import PLAIN, SPLIT
 from .rows import map_rows, worker_cache
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -60,12 +61,19 @@ class Codec:
         self.pattern = public_tokenizers.PATTERN
         self.split = regex.compile(self.pattern)
         self.core = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.bytes = {rank: token for token, rank in ranks.items()}
+        self.bytes = [token for token, _ in sorted(ranks.items(), key=lambda pair: pair[1])]
+        self.decimal = list(map(str, range(len(self.bytes))))
         self.known: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
-        """The matches of the vocabulary's pattern, each character in the class that the tokenizer library gives it."""
-        if text.isascii() or not self.unsure.search(text):
+        """The matches of the vocabulary's pattern, each character in the class that the tokenizer library gives it.
+
+        Texts of Latin letters and general punctuation have them from the standard library's
+        engine, whose pattern names their classes' characters.
+        """
+        if PLAIN.match(text):
+            return SPLIT.findall(text)
+        if not self.unsure.search(text):
             return self.split.findall(text)
         at, out = 0, []
         for piece in self.split.findall(text.translate(self.plain)):
@@ -136,7 +144,7 @@ class _Digest:
 
     def add(self, ids: array) -> None:
         if ids:
-            self.listed.update((" " * (self.n > 0) + " ".join(map(str, ids))).encode())
+            self.listed.update((" " * (self.n > 0) + " ".join(map(self.use.decimal.__getitem__, ids))).encode())
             self.decoded.update(self.use.decode(ids))
             self.n += len(ids)
 
