@@ -11,7 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 WORD = r"[\p{L}\p{N}]+"
 CONTROL = r"[\x00-\x1F\x7F-\u009F]"
@@ -26,28 +26,52 @@ TITLE_CHARS = 256
 EMPTY_EXCERPT = "[empty source]"
 
 
+#: Code points that compatibility normalisation leaves as they are, next to any other of them; a test holds this.
+STABLE = (
+    (0x00, 0x7F), (0xA1, 0xA7), (0xA9, 0xA9), (0xAB, 0xAE), (0xB0, 0xB1), (0xB6, 0xB7), (0xBB, 0xBB), (0xBF, 0x131), (0x134, 0x13E), (0x141, 0x148), (0x14A, 0x17E), (0x391, 0x3A1), (0x3A3, 0x3CE),
+    (0x400, 0x482), (0x48A, 0x52F), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x2010, 0x2010), (0x2012, 0x2016), (0x2018, 0x2023), (0x20AC, 0x20AC), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+    (0x1F300, 0x1F64F),
+)
+UNSTABLE = "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in STABLE) + "]"
+
+
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_each(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in v])
+
+
 def nfkc(text: Column) -> Column:
-    """Compatibility-normalised text; plain ASCII never leaves the JVM's branch."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    """Compatibility-normalised text. Python only sees texts with characters that may change; for others it gets a null."""
+    unstable = text.rlike(UNSTABLE)
+    return F.when(unstable, _nfkc(F.when(unstable, text))).otherwise(text)
 
 
-def tokens(text: Column, normalise: bool = False) -> Column:
-    """Lower-cased runs of letters and numbers, in order, with repeats."""
+def nfkc_each(texts: Column) -> Column:
+    """nfkc of every text of a short list, such as a request's."""
+    return _nfkc_each(texts)
+
+
+def tokens(text: Column, normalise: bool = True) -> Column:
+    """Lower-cased runs of letters and numbers, in order, with repeats.
+
+    Compatibility forms count as what they stand for. Within a lambda, where Spark has no
+    Python functions, the text must be normalised already (normalise=False).
+    """
     source = nfkc(text) if normalise else text
     return F.regexp_extract_all(F.lower(F.coalesce(source, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def distinct_terms(text: Column, normalise: bool = False) -> Column:
+def distinct_terms(text: Column, normalise: bool = True) -> Column:
     """Terms in order of their first use."""
     return F.array_distinct(tokens(text, normalise))
 
 
-def sorted_terms(text: Column, limit: int = TERMS, normalise: bool = False) -> Column:
+def sorted_terms(text: Column, limit: int = TERMS, normalise: bool = True) -> Column:
     return F.slice(F.array_sort(distinct_terms(text, normalise)), 1, limit)
 
 
@@ -69,7 +93,7 @@ def lines(text: Column) -> Column:
 def excerpt(text: Column, terms: Column, max_lines: int = EXCERPT_LINES, max_chars: int = EXCERPT_CHARS) -> Column:
     """struct(text, start_line, end_line, truncated): lines around the first that holds a term."""
     source = lines(F.coalesce(text, F.lit("")))
-    hit = F.transform(source, lambda line: F.arrays_overlap(tokens(line), terms))
+    hit = F.transform(lines(nfkc(F.coalesce(text, F.lit("")))), lambda line: F.arrays_overlap(tokens(line, False), terms))
     anchor = F.greatest(F.array_position(hit, True), F.lit(1))
     start = F.greatest(anchor - 2, F.lit(1)).cast("int")
     end = F.least(start + max_lines - 1, F.size(source)).cast("int")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest, paths, text
+from ..sources import versions
+from . import ordered
 
 #: Authorities from the strongest on.
 AUTHORITIES = ("policy", "adr", "specification", "contract_schema", "roadmap", "implementation_note", "generated_summary")
@@ -37,13 +42,15 @@ def describe(sources: DataFrame, normalise: bool = True) -> DataFrame:
 def capped(rows: DataFrame, order: str, size: str, max_rows: int, max_total: int) -> DataFrame:
     """rows in the ordered prefix that fits both caps, with total_bytes so far and the row's number.
 
-    Bounded by ``max_rows``: the prefix is taken with a limit first, so the running sum
-    never orders more than that many rows in one task.
+    The prefix is taken with a limit first, so the running sum never orders more than
+    ``max_rows`` rows in one task, and only of the order, which must be unique, and the
+    sizes; the other columns are joined to what is left.
     """
-    head = rows.orderBy(order).limit(max_rows)
+    head = rows.select(order, size).orderBy(order).limit(max_rows)
     running = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     numbered = head.withColumn("total_bytes", F.sum(size).over(running)).withColumn("position", F.row_number().over(Window.orderBy(order)))
-    return numbered.where(F.col("total_bytes") <= max_total)
+    kept = numbered.where(F.col("total_bytes") <= max_total).drop(size)
+    return rows.join(F.broadcast(kept), order).select(*rows.columns, "total_bytes", "position")  # max_rows short rows
 
 
 def build(sources: DataFrame, max_documents: int = MAX_DOCUMENTS, max_bytes: int = MAX_BYTES, max_total: int = MAX_TOTAL_BYTES, normalise: bool = True) -> DataFrame:
@@ -66,6 +73,17 @@ def fingerprint(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("sum"))
 
 
+def publish(catalog: DataFrame, root: str, listing: Callable[[], DataFrame] | None = None) -> versions.Version:
+    """Make a built catalog the next version of the folder root, with its digest; refused if a row breaks a contract or, with ``listing`` (path, source_hash), its source changed meanwhile."""
+
+    def about(written: Mapping[str, DataFrame]) -> dict[str, Any]:
+        n, mark = ordered.of_rows(written["catalog"], list(DIGEST_FIELDS), ["path"])
+        return {"document_count": n, "catalog_digest": mark}
+
+    fresh = (lambda: staleness(catalog, listing()).where("status <> 'added'")) if listing else None
+    return versions.publish(catalog.sparkSession, root, {"catalog": catalog}, about, lambda written: violations(written["catalog"]), fresh)
+
+
 def staleness(catalog: DataFrame, live: DataFrame) -> DataFrame:
     """path and status (changed, missing, added) of all that differs between catalog and live rows (path, source_hash)."""
     old, new = catalog.select("path", F.col("source_hash").alias("old_hash")), live.select("path", F.col("source_hash").alias("new_hash"))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import digest, text
+from ..functions import digest, paths, text
+from ..sources import versions
+from . import ordered
 from .search import query_terms
 
 K1, BM_B = 1.2, 0.75
 # Column weights, hit and query limits.
 WEIGHTS = {"title": 8.0, "content": 1.0}
-MAX_HITS, MAX_TERMS, MAX_QUERY_BYTES = 50, 32, 1_024
+MAX_HITS, MAX_TERMS, MAX_QUERY_BYTES, MAX_SYMBOL = 50, 32, 1_024, 512
+TOKENIZER = "nfkc-lower-letters-numbers-1"
+FEW = 1_000  # queries whose terms are at most 32 MB
 
 
 @dataclass
@@ -37,39 +43,98 @@ def build(sources: DataFrame) -> Index:
     """The index of prepared sources; terms are counted per source before they are shuffled."""
     words = sources.select("source_id", text.tokens(F.col("title")).alias("t"), text.tokens(F.col("content")).alias("c"))
     lengths = words.select("source_id", F.size("t").alias("title_len"), F.size("c").alias("content_len"))
+    return Index(sources, _postings(words), lengths)
+
+
+def _postings(words: DataFrame) -> DataFrame:
+    """(term, source_id, title_tf, content_tf) from source_id and the token arrays t and c."""
     uses = words.select("source_id", F.explode(F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(1).alias("of_title"))), F.transform("c", lambda w: F.struct(w.alias("term"), F.lit(0).alias("of_title"))))).alias("u"))
-    postings = uses.groupBy(F.col("u.term").alias("term"), "source_id").agg(F.sum("u.of_title").alias("title_tf"), F.count_if(F.col("u.of_title") == 0).alias("content_tf"))
-    return Index(sources, postings, lengths)
+    return uses.groupBy(F.col("u.term").alias("term"), "source_id").agg(F.sum("u.of_title").alias("title_tf"), F.count_if(F.col("u.of_title") == 0).alias("content_tf"))
+
+
+#: Order of index rows, and what of them the index digest covers.
+ORDER = ["path", "start_line", "end_line", "symbol", "source_id"]
+DIGESTED = ["source_id", "path", "kind", "authority", "source_hash", "title", "size_bytes", "start_line", "end_line", "symbol"]
+
+
+def publish(sources: DataFrame, root: str, max_bytes: int | None = None, listing: Callable[[], DataFrame] | None = None) -> versions.Version:
+    """Build the index of prepared sources and make it the next version of the folder root.
+
+    Postings are sorted by term within range-partitioned files, so a term's lookup prunes
+    by footer statistics. Tokens and hashes are computed once, as the sources are written;
+    lengths, statistics and the digest read those. Refused are repeated locators, sources
+    whose content does not have their hash, more bytes than allowed and, where ``listing``
+    gives the sources (path, source_hash) as they are now, any that changed meanwhile.
+    """
+    spark = sources.sparkSession
+    sized = sources if "size_bytes" in sources.columns else sources.withColumn("size_bytes", F.octet_length("content").cast("long"))
+    counted = sized.withColumns({"title_len": F.size(text.tokens(F.col("title"))), "content_len": F.size(text.tokens(F.col("content")))})
+    words = sources.select("source_id", text.tokens(F.col("title")).alias("t"), text.tokens(F.col("content")).alias("c"))
+    postings = _postings(words).repartitionByRange("term").sortWithinPartitions("term", "source_id")
+
+    def about(written: Mapping[str, DataFrame]) -> dict[str, Any]:
+        totals = written["sources"].agg(F.coalesce(F.sum("title_len"), F.lit(0)), F.coalesce(F.sum("content_len"), F.lit(0))).first()
+        n, mark = index_digest(written["sources"])
+        return {"sources": n, "title_terms": totals[0], "content_terms": totals[1], "index_digest": mark, "tokenizer": TOKENIZER}
+
+    def fresh() -> DataFrame:
+        return stale_sources(counted, listing())
+
+    return versions.publish(
+        spark, root, {"sources": counted, "postings": postings}, about, lambda written: source_violations(written["sources"], max_bytes), fresh if listing else None
+    )
 
 
-def write(index: Index, path: str) -> None:
-    """Store the index; postings are sorted by term within files, so a term's lookup prunes by footer statistics."""
-    index.sources.write.mode("overwrite").parquet(f"{path}/sources")
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "source_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    stats = index.lengths.agg(F.count("*").alias("sources"), F.sum("title_len").alias("title_terms"), F.sum("content_len").alias("content_terms"))
-    stats.crossJoin(index_digest(index.sources)).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+def source_violations(sources: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """path and rule of sources that an index does not take."""
+    locator = ["path", "kind", "start_line", "end_line", "symbol"]
+    lines = F.coalesce((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), F.col("start_line").isNull() != F.col("end_line").isNull())
+    checks = F.array(
+        F.when(digest.hash_distance(F.col("source_hash"), F.col("content")), "source_hash"),
+        F.when(~paths.is_safe(F.col("path")) | paths.is_sensitive(F.col("path")), "path"),
+        F.when(lines, "lines"),
+        F.when(F.char_length("symbol") > MAX_SYMBOL, "symbol"),
+    )
+    out = sources.select("path", F.explode(F.array_compact(checks)).alias("rule"))
+    twice = sources.groupBy(*locator).agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("duplicate_locator").alias("rule"))
+    out = out.unionByName(twice)
+    if max_bytes is not None:
+        total = sources.agg(F.sum(F.octet_length("content").cast("long")).alias("n")).where(F.col("n") > max_bytes)
+        out = out.unionByName(total.select(F.lit(None).cast("string").alias("path"), F.lit("total_bytes").alias("rule")))
+    return out
+
+
+def stale_sources(sources: DataFrame, listing: DataFrame) -> DataFrame:
+    """path and status (changed, missing) of sources that a listing (path, source_hash) does not have as they are."""
+    now = listing.select(F.col("path").alias("l_path"), F.col("source_hash").alias("l_hash")).distinct()
+    old = sources.select("path", "source_hash").distinct()
+    status = F.when(F.col("l_path").isNull(), "missing").when(F.col("l_hash") != F.col("source_hash"), "changed")
+    return old.join(now, F.col("path") == F.col("l_path"), "left").select("path", status.alias("status")).where("status IS NOT NULL")
 
 
-def read(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("sources", "postings", "lengths")))
+def read(spark: SparkSession, of: versions.Version) -> Index:
+    sources = of.table(spark, "sources")
+    return Index(sources.drop("title_len", "content_len"), of.table(spark, "postings"), sources.select("source_id", "title_len", "content_len"))
+
+
+def index_digest(sources: DataFrame) -> tuple[int, str]:
+    """Number of prepared sources, and the digest of their rows in index order."""
+    for name in DIGESTED:
+        if name not in sources.columns:
+            sources = sources.withColumn(name, F.octet_length("content").cast("long") if name == "size_bytes" else F.lit(None).cast("string"))
+    return ordered.of_rows(sources, DIGESTED, ORDER)
 
 
-def index_digest(sources: DataFrame) -> DataFrame:
-    """One row: order-free digest of the indexed rows."""
-    h = F.xxhash64("source_id", "source_hash", "title", "kind", "authority")
-    return sources.agg(F.coalesce(F.bit_xor(h), F.lit(0)).alias("index_xor"), F.count("*").alias("index_rows"))
+def current(sources: DataFrame, root: str) -> versions.Version | None:
+    """The published index if it is that of these prepared sources and of this tokenizer, so that a rebuild can be skipped."""
+    of = versions.current(sources.sparkSession, root)
+    if of is None or of.about.get("tokenizer") != TOKENIZER:
+        return None
+    return of if (of.about["sources"], of.about["index_digest"]) == index_digest(sources) else None
 
 
-def manifest_is_current(spark: SparkSession, path: str, sources: DataFrame) -> bool:
-    """Whether the stored manifest is that of these sources, so that a rebuild can be skipped."""
-    try:
-        stored = spark.read.json(f"{path}/manifest").select("index_xor", "index_rows").first()
-    except Exception as error:  # a missing manifest is an analysis error
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return False
-    return stored is not None and tuple(stored) == tuple(index_digest(sources).first())
+def reuse_or_publish(sources: DataFrame, root: str, **rules: Any) -> versions.Version:
+    return current(sources, root) or publish(sources, root, **rules)
 
 
 def query(value: str) -> list[str]:
@@ -83,30 +148,66 @@ def query(value: str) -> list[str]:
 
 
 def search(index: Index, value: str, limit: int = MAX_HITS) -> DataFrame:
-    """Sources that hold every term, by weighted BM25: source_id, path, score and the source's columns.
+    """Sources that hold every term, by weighted BM25: source_id, path, score and the source's columns."""
+    query(value)
+    tasks = index.sources.sparkSession.createDataFrame([("", value)], "task_id string, query string")
+    return search_many(index, tasks, limit).orderBy("position").drop("task_id", "hit_terms", "position", "limited")
 
-    The filter on term reaches the postings scan; only the postings of the query's terms
-    are grouped. Scores are rounded so that equal relevance falls back to the path.
+
+def valid_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((task_id, terms) of the queries that can be asked, (task_id, rule) of those with no, too many or too long terms)."""
+    asked = queries.select("task_id", text.distinct_terms(F.col("query")).alias("terms"), F.octet_length(F.coalesce("query", F.lit(""))).alias("size"))
+    n = F.size("terms")
+    rule = F.when(F.col("size") > MAX_QUERY_BYTES, "query_bytes").when(n == 0, "no_terms").when(n > MAX_TERMS, "too_many_terms")
+    checked = asked.withColumn("rule", rule)
+    return checked.where("rule IS NULL").select("task_id", "terms"), checked.where("rule IS NOT NULL").select("task_id", "rule")
+
+
+def search_many(index: Index, queries: DataFrame, limit: int = MAX_HITS) -> DataFrame:
+    """The best sources of every query (task_id, query) in one job: task_id, hit_terms, position, limited, score and the source's columns.
+
+    A source must hold every term of a query. Only the postings of the rarest one are paired
+    with the query; each other term is then looked up for the pairs that are left, by (term,
+    source), so a word that most sources hold is no key that many queries meet on. Sources'
+    texts are joined to the ranked rows only. Queries that cannot be asked (``valid_queries``)
+    have no rows; ``limited`` says that a query had more hits than the limit.
     """
-    terms = query(value)
-    stats = index.lengths.agg(F.count("*").alias("n"), F.avg(sum(w * F.col(f"{f}_len") for f, w in WEIGHTS.items())).alias("mean"))
-    rows = index.postings.where(F.col("term").isin(*terms))
-    frequency = rows.groupBy("term").agg(F.count("*").alias("df"))
+    terms, _ = valid_queries(queries)
+    wanted = terms.select("task_id", "terms", F.explode("terms").alias("term"))
+    used = index.postings.join(F.broadcast(wanted.select("term").distinct()) if _few(queries) else wanted.select("term").distinct(), "term", "left_semi")
+    frequency = used.groupBy("term").agg(F.count("*").alias("df"))
+    known = wanted.join(frequency, "term", "left")
+    rarest = known.groupBy("task_id").agg(F.min_by("term", F.struct("df", "term")).alias("first"), F.count("df").alias("have"), F.count("*").alias("asked")).where("have = asked")
     length = sum(w * F.col(f"{f}_len") for f, w in WEIGHTS.items())
     tf = sum(w * F.col(f"{f}_tf") for f, w in WEIGHTS.items())
+    weighed = used.select("term", "source_id", tf.alias("tf"))
+    pairs = rarest.select("task_id", "asked", F.col("first").alias("term")).join(weighed, "term").select("task_id", "asked", "source_id", "term", "tf")
+    others = known.join(rarest.select("task_id", "first"), "task_id").where("term <> first").select("task_id", "term")
+    rest = pairs.select("task_id", "asked", "source_id").join(others, "task_id").join(weighed, ["term", "source_id"]).select(*pairs.columns)
+    stats = index.lengths.agg(F.count("*").alias("n"), F.avg(length).alias("mean"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - BM_B + BM_B * length / F.col("mean")))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - BM_B + BM_B * F.col("length") / F.col("mean")))
     scored = (
-        rows.join(F.broadcast(frequency), "term")  # at most MAX_TERMS rows
-        .join(index.lengths, "source_id")
+        pairs.unionByName(rest)
+        .join(frequency, "term")
+        .join(index.lengths.select("source_id", length.alias("length")), "source_id")
         .crossJoin(F.broadcast(stats))  # one row
-        .groupBy("source_id")
+        .groupBy("task_id", "source_id", "asked")
         .agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
-        .where(F.col("matched") == len(terms))
-        .drop("matched")
+        .where(F.col("matched") == F.col("asked"))
     )
+    limit = min(limit, MAX_HITS)
+    placed = scored.select("task_id", "source_id", "score").join(index.sources.select("source_id", "path", "start_line", "end_line", "symbol"), "source_id")
     order = [F.desc("score"), "path", F.coalesce("start_line", F.lit(0)), F.coalesce("end_line", F.lit(0)), F.coalesce("symbol", F.lit("")), "source_id"]
-    return scored.join(index.sources, "source_id").orderBy(*order).limit(min(limit, MAX_HITS)).withColumn("excerpt", text.index_excerpt(F.col("content"))).drop("content")
+    near = placed.withColumn("position", F.row_number().over(Window.partitionBy("task_id").orderBy(*order))).where(F.col("position") <= limit + 1)
+    top = near.withColumn("limited", F.max("position").over(Window.partitionBy("task_id")) > limit).where(F.col("position") <= limit)
+    rows = top.select("task_id", "source_id", "score", "position", "limited").join(index.sources, "source_id").join(terms.withColumnRenamed("terms", "hit_terms"), "task_id")
+    return rows.withColumn("excerpt", text.index_excerpt(F.col("content"))).drop("content")
+
+
+def _few(queries: DataFrame) -> bool:
+    """Whether the queries are few enough that their terms may be broadcast: 32 terms of at most 1,024 bytes each."""
+    return queries.limit(FEW + 1).count() <= FEW
 
 
 def integrity(index: Index) -> DataFrame:

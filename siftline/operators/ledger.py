@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest
+from ..sources import stores
 from .scoring import STRINGS, satisfied
 
 MAX_EXPANSIONS, MAX_OUTCOMES = 8, 1_024
@@ -31,6 +32,77 @@ def chain_violations(records: DataFrame, key: str = "task_id", seq: str = "seque
     return placed.select(key, seq, F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("rule"))
 
 
+def outcome_violations(records: DataFrame, max_records: int = MAX_OUTCOMES) -> DataFrame:
+    """task_id, sequence and rule of records (as ``stores.outcomes`` returns them, with ``outcome_digest`` for receipts without a chain) that break their ledger.
+
+    Every record is checked at once: its digest is that of what it holds, it names its
+    predecessor's, and only its own and its predecessor's row are needed for that.
+    """
+    order = Window.partitionBy("task_id").orderBy("sequence")
+    every = Window.partitionBy("task_id")
+    unchained = F.col("record_digest").isNull()
+    legacy = F.sort_array(F.collect_list(F.when(unchained, F.struct("sequence", "outcome_digest"))).over(every))
+    placed = records.withColumns({
+        "place": F.row_number().over(order),
+        "before": F.lag("record_digest").over(order),
+        "n_legacy": F.count_if(unchained).over(every),
+        "same_run": F.row_number().over(Window.partitionBy("task_id", "selection_digest", "run_id").orderBy("sequence")),
+        "prefix": stores.legacy_prefix(F.transform(legacy, lambda x: x["outcome_digest"])),
+    })
+    follows = F.when((F.col("place") == F.col("n_legacy") + 1) & (F.col("n_legacy") > 0), F.col("prefix")).otherwise(F.col("before"))
+    own = stores.record_digest(F.col("sequence"), F.col("previous_record_digest"), F.col("receipt"))
+    checks = F.array(
+        F.when(~unchained & (F.col("record_digest") != own), "digest"),
+        F.when(~unchained & ~F.col("previous_record_digest").eqNullSafe(follows), "previous"),
+        F.when(unchained & (F.col("place") > F.col("n_legacy")), "legacy_prefix"),
+        F.when(F.col("sequence") != F.col("place"), "sequence"),
+        F.when(F.col("same_run") > 1, "repeated_run"),
+        F.when(F.col("place") > max_records, "capacity"),
+    )
+    return placed.select("task_id", "sequence", F.explode(F.array_compact(checks)).alias("rule"))
+
+
+def expansion_ledger_digest(task_id: Column, base: Column, digests: Column) -> Column:
+    """What a plan keeps of its expansions: the digest of the selection they began with and of their records in order."""
+    parts = F.struct(base.alias("base_selection_digest"), digests.alias("record_digests"), F.lit("0.3").alias("schema_version"), task_id.alias("task_id"))
+    return digest.text_hash(F.to_json(parts))
+
+
+def expansion_ledger_violations(expansions: DataFrame, plans: DataFrame) -> DataFrame:
+    """task_id, sequence (null: of the whole ledger) and rule of expansion ledgers that do not lead from a plan's first selection to its present one.
+
+    expansions: task_id, sequence, previous_selection_digest, selection_digest, additions,
+    known_ids, record_digest. plans: task_id, base_selection_digest, selection_digest,
+    item_ids, expansion_ledger_digest.
+    """
+    order = Window.partitionBy("task_id").orderBy("sequence")
+    plan = plans.select("task_id", "base_selection_digest", F.col("selection_digest").alias("plan_digest"), "item_ids", "expansion_ledger_digest")
+    rows = expansions.join(plan, "task_id").withColumns({
+        "place": F.row_number().over(order),
+        "prior": F.coalesce(F.lag("selection_digest").over(order), F.col("base_selection_digest")),
+        "added": F.flatten(F.collect_list("additions").over(order.rowsBetween(Window.unboundedPreceding, -1))),
+        "later": F.flatten(F.collect_list("additions").over(order.rowsBetween(0, Window.unboundedFollowing))),
+    })  # fmt: skip  # a ledger has MAX_EXPANSIONS records
+    known = F.array_except("item_ids", "later")
+    checks = F.array(
+        F.when(F.col("previous_selection_digest") != F.col("prior"), "chain"),
+        F.when(F.size(F.array_except(known, "known_ids")) > 0, "known_ids"),
+        F.when((F.size("additions") == 0) & (F.col("selection_digest") != F.col("prior")), "denied_changes"),
+        F.when(F.arrays_overlap("additions", "added") | (F.size(F.array_distinct("additions")) < F.size("additions")), "addition_repeated"),
+        F.when(F.size(F.array_except("additions", "item_ids")) > 0, "addition_unknown"),
+        F.when(F.col("place") > MAX_EXPANSIONS, "capacity"),
+    )
+    single = rows.select("task_id", "sequence", F.explode(F.array_compact(checks)).alias("rule"))
+    ended = expansions.groupBy("task_id").agg(F.max_by("selection_digest", "sequence").alias("last"), F.transform(F.sort_array(F.collect_list(F.struct("sequence", "record_digest"))), lambda x: x["record_digest"]).alias("digests"))
+    whole = plan.join(ended, "task_id", "left").withColumns({"last": F.coalesce("last", "base_selection_digest"), "digests": F.coalesce("digests", F.array().cast(STRINGS))})
+    found = F.array(
+        F.when(F.col("last") != F.col("plan_digest"), "tail"),
+        F.when(F.col("expansion_ledger_digest") != expansion_ledger_digest(F.col("task_id"), F.col("base_selection_digest"), F.col("digests")), "anchor"),
+    )
+    orphans = expansions.join(plan.select("task_id"), "task_id", "left_anti").select("task_id", "sequence", F.lit("no_plan").alias("rule"))
+    return single.unionByName(whole.select("task_id", F.lit(None).cast("long").alias("sequence"), F.explode(F.array_compact(found)).alias("rule"))).unionByName(orphans)
+
+
 def repeated_runs(outcomes: DataFrame) -> DataFrame:
     """Runs recorded more than once for one selection of a task."""
     return outcomes.groupBy("task_id", "selection_digest", "run_id").agg(F.count("*").alias("records")).where("records > 1")

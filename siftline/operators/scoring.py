@@ -35,8 +35,8 @@ def requirements(criteria: Column) -> Column:
     """struct(id, mode, terms, minimum) of each criterion; listed terms must all match, else two significant words do."""
 
     def one(c: Column) -> Column:
-        listed = F.slice(F.array_sort(F.array_distinct(F.flatten(F.transform(c["required_terms"], lambda t: text.sorted_terms(t))))), 1, text.TERMS)
-        implied = F.filter(text.sorted_terms(c["text"]), lambda t: ~t.isin(*v.STOP_WORDS))
+        listed = F.slice(F.array_sort(F.array_distinct(F.flatten(F.transform(c["required_terms"], lambda t: text.sorted_terms(t, normalise=False))))), 1, text.TERMS)
+        implied = F.filter(text.sorted_terms(c["text"], normalise=False), lambda t: ~t.isin(*v.STOP_WORDS))
         explicit = c["required_terms"].isNotNull()
         terms = F.when(explicit, listed).otherwise(implied)
         least = F.when(explicit, F.size(listed)).otherwise(F.least(F.lit(2), F.greatest(F.lit(1), F.size(implied))))
@@ -52,7 +52,7 @@ def satisfied(requirement: Column, matched: Column) -> Column:
 
 def security_relevant(values: Column) -> Column:
     """Whether an array of request texts is about security."""
-    words = F.array_distinct(F.flatten(F.transform(values, lambda t: text.tokens(t))))
+    words = F.array_distinct(F.flatten(F.transform(values, lambda t: text.tokens(t, False))))
     found = F.arrays_overlap(words, _literal(v.SECURITY)) | F.exists(values, lambda x: x.rlike(v.ACRONYM))
     for groups in v.TOGETHER:
         together = F.lit(True)
@@ -62,18 +62,40 @@ def security_relevant(values: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def normalised(tasks: DataFrame) -> DataFrame:
+    """tasks with the words that they ask for in compatibility-normalised form, as those of the sources are."""
+    per = F.transform("criteria", lambda c: F.size(_list(c["required_terms"])))
+    every = F.col("n_criteria")
+    out = tasks.withColumns({
+        "n_criteria": F.struct(
+            text.nfkc_each(F.transform("criteria", lambda c: c["text"])).alias("texts"),
+            text.nfkc_each(F.flatten(F.transform("criteria", lambda c: _list(c["required_terms"])))).alias("terms"),
+            F.transform(per, lambda _, k: F.aggregate(F.slice(per, 1, k), F.lit(0), lambda a, x: a + x)).alias("from"),
+        ),
+        "query": text.nfkc(F.col("query")),
+        "hint_terms": text.nfkc_each(_list("hint_terms")),
+    })
+
+    def one(c: Column, k: Column) -> Column:
+        own = F.slice(every["terms"], F.get(every["from"], k) + 1, F.size(c["required_terms"]))
+        return F.struct(c["id"].alias("id"), F.get(every["texts"], k).alias("text"), F.when(c["required_terms"].isNotNull(), own).alias("required_terms"))
+
+    return out.withColumn("criteria", F.transform("criteria", one)).drop("n_criteria")
+
+
 def prepare_tasks(tasks: DataFrame) -> DataFrame:
     """tasks with query terms, requirements and security relevance; lists are sorted and distinct."""
+    tasks = normalised(tasks)
     texts = F.concat(
         F.array("goal", "query"), F.transform("criteria", lambda c: c["text"]), F.flatten(F.transform("criteria", lambda c: _list(c["required_terms"]))),
         _list("hint_paths"), _list("hint_terms"), _list("required_sources"),
     )
-    normal = tasks.select("*", *[])
+    normal = tasks
     for name in ("hint_paths", "hint_symbols", "hint_terms", "required_sources"):
         normal = normal.withColumn(name, F.array_sort(F.array_distinct(_list(name))))
     return normal.withColumns({
         "criteria": F.array_sort("criteria"),
-        "query_terms": text.sorted_terms(F.col("query")),
+        "query_terms": text.sorted_terms(F.col("query"), normalise=False),
         "requirements": requirements(F.array_sort("criteria")),
         "security": security_relevant(F.filter(texts, lambda x: x.isNotNull())),
     })
@@ -129,7 +151,7 @@ def score(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     matches = F.transform("requirements", lambda r: F.struct(r["id"].alias("id"), F.array_intersect(r["terms"], F.col("visible")).alias("terms")))
     rows = rows.withColumn("criterion_terms", F.filter(matches, lambda m: F.size(m["terms"]) > 0)).withColumn("matched_query", F.array_intersect("query_terms", "visible"))
     required_terms = F.array_distinct(F.flatten(F.transform("criterion_terms", lambda m: m["terms"])))
-    adapter = F.array_intersect(F.flatten(F.transform(_list("matched_terms"), lambda t: text.sorted_terms(t))), F.col("visible"))
+    adapter = F.array_intersect(F.flatten(F.transform(_list("matched_terms"), lambda t: text.sorted_terms(t, normalise=False))), F.col("visible"))
     c = v.COMPONENTS
     on = lambda flag, name: F.when(F.coalesce(flag, F.lit(False)), c[name]).otherwise(0).cast("long").alias(name)
     hinted, by_symbol = F.array_contains("hint_paths", F.col("path")), F.array_contains("hint_symbols", F.col("symbol"))

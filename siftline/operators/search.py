@@ -52,7 +52,7 @@ def score(terms: list[str], fields: dict[str, Column], title_tokens: Column) ->
     return total.cast("long"), names, every
 
 
-def search(catalog: DataFrame, query: str, limit: int = DEFAULT_LIMIT, normalise: bool = False, **filters: list[str] | None) -> DataFrame:
+def search(catalog: DataFrame, query: str, limit: int = DEFAULT_LIMIT, normalise: bool = True, **filters: list[str] | None) -> DataFrame:
     """The best hits: id, path, title, authority, source_hash, score, matched_fields, matched_terms, excerpt.
 
     Filters come before tokenising; the scan, the score and the AND rule are one stage and

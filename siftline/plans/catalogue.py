@@ -8,13 +8,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest, paths, screen, text
 from ..operators import candidates as cand
-from ..operators import catalog, fts, graph, ledger, metrics, repo_map, requests, scoring, search, selection
-from ..sources import repository
+from ..operators import catalog, fts, graph, ledger, metrics, ordered, repo_map, requests, scoring, search, selection
+from ..sources import repository, stores
 from ..sources.scratch import cut, keep_until_exit, shared_folder
 from ..sources.tables import table
 from .corpus import CORPUS, TOKENS, candidates, corpus, tasks
@@ -64,6 +64,16 @@ def doc_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(search.search(corpus(spark, sf_dir), "De la", limit=20, authorities=["policy", "adr"], modules=["fr", "es"]))
 
 
+@query(f"SELECT id, score, matched_fields FROM ({_search_sql(['st', 'the'], limit=50)})")
+def search_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in compatibility forms are found like plain ones: two thirds of the documents are searched with ligatures or full-width letters in them."""
+    t, kind = F.col("text"), F.col("doc_id") % 3
+    wide = F.translate(t, "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + k) for k in range(26)))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.when(kind == 1, F.replace(t, F.lit("st"), F.lit("\ufb06"))).when(kind == 2, wide).otherwise(t))
+    hits = search.search(corpus(spark, sf_dir, docs), "\ufb06 \uff34he", limit=50)
+    return hits.select("id", "score", joined("matched_fields").alias("matched_fields"))
+
+
 @query(f"""WITH {CORPUS} SELECT count(*) AS considered, count(*) FILTER (hit) AS matched, least(count(*) FILTER (hit), 10) AS returned, count(*) FILTER (hit) > 10 AS truncated
 FROM (SELECT list_has_all({TOKENS.format("title || ' ' || path || ' ' || lang || ' ' || source || ' ' || content")}, ['the', 'other']) AS hit FROM corpus)""")
 def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,18 +309,36 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts.search(_stored_index(spark, sf_dir), "the worthless").select("path", "score")
 
 
-_indexes: dict[tuple[str, str], fts.Index] = {}
+_index_roots: dict[tuple[str, str], str] = {}
 
 
 def _stored_index(spark: SparkSession, sf_dir: str) -> fts.Index:
-    """The corpus index of a data folder, built and written once a session; searches read the sorted postings of their terms."""
+    """The corpus index of a data folder, published once a session and again if the documents change; searches read the sorted postings of their terms."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        fts.write(fts.build(fts.prepare_sources(_sources(spark, sf_dir))), path)
-        keep_until_exit(spark, path)
-        _indexes[key] = fts.read(spark, path)
-    return _indexes[key]
+    if key not in _index_roots:
+        _index_roots[key] = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        keep_until_exit(spark, _index_roots[key])
+    return fts.read(spark, fts.reuse_or_publish(fts.prepare_sources(_sources(spark, sf_dir)), _index_roots[key]))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query for every 20th document: its first and its fourth word."""
+    words = text.tokens(F.col("text"))
+    rows = table(spark, sf_dir, "documents").where("doc_id % 20 = 3").select(F.concat(F.lit("Q-"), "doc_id").alias("task_id"), words.alias("w"))
+    return rows.select("task_id", F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(3))).alias("query"))
+
+
+@query(f"""WITH {CORPUS}, q AS (SELECT 'Q-' || doc_id AS task_id, {TOKENS.format("coalesce(text, '')")} AS k FROM documents WHERE doc_id % 20 = 3),
+wanted AS (SELECT DISTINCT task_id, unnest([k[1], k[4]]) AS term FROM q), asked AS (SELECT task_id, count(*) AS asked FROM wanted WHERE term IS NOT NULL GROUP BY task_id),
+w AS (SELECT path, {TOKENS.format("title")} AS t, {TOKENS.format("content")} AS c FROM corpus), s AS (SELECT count(*) AS n, avg(8.0 * len(t) + len(c)) AS mean FROM w),
+u AS (SELECT path, unnest(t) AS term, 8.0 AS x FROM w UNION ALL SELECT path, unnest(c), 1.0 FROM w),
+p AS (SELECT path, term, sum(x) AS tf FROM u WHERE term IN (SELECT term FROM wanted) GROUP BY path, term), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+r AS (SELECT task_id, path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (8.0 * len(t) + len(c)) / mean))), 6) AS score
+  FROM wanted JOIN p USING (term) JOIN f USING (term) JOIN w USING (path) JOIN asked USING (task_id), s GROUP BY task_id, path HAVING count(*) = min(asked)),
+o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, path) AS position, count(*) OVER (PARTITION BY task_id) > 50 AS limited FROM r)
+SELECT task_id, path, CAST(position AS INT) AS position, limited, score FROM o WHERE position <= 50""")
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fts.search_many(_stored_index(spark, sf_dir), _asked(spark, sf_dir)).select("task_id", "path", "position", "limited", "score")
 
 
 @query(f"""WITH {CORPUS}, w AS (SELECT *, len({TOKENS.format("title || ' ' || content")}) > 0 AS worded FROM corpus)
@@ -506,6 +534,96 @@ def ledger_chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.chain_violations(chained.withColumn("body", edited).where("NOT (task_id % 9 = 5 AND sequence = 2)"))
 
 
+TURNS = "t AS (SELECT conv_id AS k, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tasks, their turns numbered from 1."""
+    rows = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    return rows.select(F.col("conv_id").alias("k"), "text", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).cast("long").alias("n"))
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """All turns as outcome receipts, appended to a new ledger store in two goes; tasks with a number divisible by 5 begin with one receipt without a chain."""
+    n = F.col("n")
+    receipt = F.to_json(F.struct(n.alias("n"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text")))
+    own = digest.text_hash(receipt)
+    rows = _turns(spark, sf_dir).select(
+        F.concat(F.lit("C-"), "k").alias("task_id"), n.alias("position"), receipt.alias("receipt"), F.lit("s").alias("selection_digest"), F.concat(F.lit("r"), n).alias("run_id"),
+        ((F.col("k") % 5 != 0) | (n > 1)).alias("chained"), own.alias("outcome_digest"),
+    )
+    root = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    keep_until_exit(spark, root)
+    for part in ("position <= 2", "position > 2"):
+        stores.append_outcomes(rows.where(part), root)
+    return rows, root
+
+
+@query(f"""WITH RECURSIVE {TURNS}, e AS (SELECT k, n, '{{"n":' || n || ',"text":"' || sha256(coalesce(text, '')) || '"}}' AS r FROM t),
+c AS (SELECT k, n, CAST(NULL AS VARCHAR) AS p, CASE WHEN k % 5 = 0 THEN NULL ELSE 'sha256:' || sha256('{{"receipt":' || r || ',"schema_version":"0.3","sequence":1}}') END AS d,
+    CASE WHEN k % 5 = 0 THEN 'sha256:' || sha256('{{"legacy_outcome_digests":["sha256:' || sha256(r) || '"],"schema_version":"0.3"}}') ELSE 'sha256:' || sha256('{{"receipt":' || r || ',"schema_version":"0.3","sequence":1}}') END AS tail FROM e WHERE n = 1
+  UNION ALL SELECT e.k, e.n, c.tail, 'sha256:' || sha256('{{"previous_record_digest":"' || c.tail || '","receipt":' || r || ',"schema_version":"0.3","sequence":' || e.n || '}}'),
+    'sha256:' || sha256('{{"previous_record_digest":"' || c.tail || '","receipt":' || r || ',"schema_version":"0.3","sequence":' || e.n || '}}') FROM c JOIN e ON e.k = c.k AND e.n = c.n + 1)
+SELECT 'C-' || k AS task_id, n AS sequence, p AS previous_record_digest, d AS record_digest FROM c""")
+def outcome_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.outcomes(spark, _outcomes(spark, sf_dir)[1]).select("task_id", "sequence", "previous_record_digest", "record_digest")
+
+
+@query(f"""WITH {TURNS}, v AS (SELECT k, n, CASE WHEN k % 9 = 4 AND n = 3 THEN ['digest'] WHEN k % 9 = 5 AND n = 3 THEN ['previous', 'sequence'] WHEN k % 9 = 5 AND n > 3 THEN ['sequence'] WHEN k % 9 = 6 AND n = 3 THEN ['repeated_run'] ELSE [] END AS rules FROM t)
+SELECT 'C-' || k AS task_id, n AS sequence, unnest(rules) AS rule FROM v""")
+def outcome_ledger_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored ledgers with planted errors: an edited receipt, a record gone, a run recorded twice."""
+    rows, root = _outcomes(spark, sf_dir)
+    k = F.regexp_extract("task_id", r"([0-9]+)$", 1).cast("long") % 9
+    third = F.col("sequence") == 3
+    digests = rows.where("NOT chained").select("task_id", F.col("position").alias("sequence"), "outcome_digest")
+    stored_rows = stores.outcomes(spark, root).join(digests, ["task_id", "sequence"], "left")
+    edited = stored_rows.withColumns({
+        "receipt": F.when((k == 4) & third, F.replace("receipt", F.lit('"n":3'), F.lit('"n":4'))).otherwise(F.col("receipt")),
+        "run_id": F.when((k == 6) & third, "r1").otherwise(F.col("run_id")),
+    })
+    return ledger.outcome_violations(edited.where(~((k == 5) & (F.col("sequence") == 2))))
+
+
+@query(f"""WITH {TURNS} SELECT 'C-' || k AS task_id, n AS sequence, 'chain' AS rule FROM t WHERE k % 7 = 1 AND n = 2 UNION ALL SELECT 'C-' || k, n, 'known_ids' FROM t WHERE k % 7 = 2 AND n = 1
+UNION ALL SELECT 'C-' || k, n, 'denied_changes' FROM t WHERE k % 7 = 3 AND n = 2 UNION ALL SELECT 'C-' || k, n, 'addition_repeated' FROM t WHERE k % 7 = 4 AND n = 2
+UNION ALL SELECT 'C-' || k, n, 'capacity' FROM t WHERE n > 8 UNION ALL SELECT DISTINCT 'C-' || k, CAST(0 AS BIGINT), CASE WHEN k % 7 = 5 THEN 'tail' ELSE 'anchor' END FROM t WHERE k % 7 > 4""")
+def expansion_ledger_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as the expansions of one plan, each turn adding one item, with planted errors by number."""
+    k, n = F.col("k") % 7, F.col("n")
+    added = F.when((k == 3) & (n == 2), F.array().cast("array<string>")).when((k == 4) & (n == 2), F.array(F.lit("a1"))).otherwise(F.array(F.concat(F.lit("a"), n)))
+    before = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda x: F.concat(F.lit("a"), x))
+    rows = _turns(spark, sf_dir).select(
+        F.concat(F.lit("C-"), "k").alias("task_id"), "k", n.alias("sequence"), F.when((k == 1) & (n == 2), "other").otherwise(F.concat(F.lit("d"), n - 1)).alias("previous_selection_digest"),
+        F.concat(F.lit("d"), n).alias("selection_digest"), added.alias("additions"), F.when((k == 2) & (n == 1), F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("k")), before)).alias("known_ids"),
+        F.concat(F.lit("x"), n).alias("record_digest"),
+    )
+    of = rows.groupBy("task_id", F.col("k")).agg(F.max("sequence").alias("last"), F.array_distinct(F.flatten(F.collect_list("additions"))).alias("all"), F.transform(F.sort_array(F.collect_list(F.struct("sequence", "record_digest"))), lambda x: x["record_digest"]).alias("digests"))
+    plans = of.select(
+        "task_id", F.lit("d0").alias("base_selection_digest"), F.when(k == 5, "other").otherwise(F.concat(F.lit("d"), "last")).alias("selection_digest"), F.concat(F.array(F.lit("k")), "all").alias("item_ids"),
+        F.when(k == 6, "other").otherwise(ledger.expansion_ledger_digest(F.col("task_id"), F.lit("d0"), F.col("digests"))).alias("expansion_ledger_digest"),
+    )
+    return ledger.expansion_ledger_violations(rows.drop("k"), plans).withColumn("sequence", F.coalesce("sequence", F.lit(0)))
+
+
+@query(f"""WITH {TURNS} SELECT 'C-' || k AS task_id, 'sha256:' || sha256('{{"base_selection_digest":"d0","record_digests":[' || string_agg('"x' || n || '"', ',' ORDER BY n) || '],"schema_version":"0.3","task_id":"C-' || k || '"}}') AS digest FROM t GROUP BY k""")
+def expansion_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("n", F.concat(F.lit("x"), "n").alias("x")))), lambda r: r["x"])
+    rows = _turns(spark, sf_dir).groupBy(F.concat(F.lit("C-"), "k").alias("task_id")).agg(digests.alias("digests"))
+    return rows.select("task_id", ledger.expansion_ledger_digest(F.col("task_id"), F.lit("d0"), F.col("digests")).alias("digest"))
+
+
+@query("""WITH e AS (SELECT 'q' || (event_id * 7 % 5003) AS key, 'v' || event_id AS v, event_id % 3 = 0 AS early FROM events)
+SELECT key, coalesce(min(v) FILTER (early), min(v)) AS value, count(*) FILTER (early) = 0 AS inserted FROM e GROUP BY key""")
+def idempotent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by key, a third of them first: whoever asks again gets the answer that was stored first."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("q"), F.col("event_id") * 7 % 5003).alias("key"), F.concat(F.lit("v"), "event_id").alias("value"), "event_id")
+    root = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    keep_until_exit(spark, root)
+    stores.insert_if_absent(rows.where("event_id % 3 = 0"), root)
+    return stores.insert_if_absent(rows, root)
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric records from events: users are tasks, event parity the arm."""
     e = table(spark, sf_dir, "events")
@@ -609,6 +727,16 @@ def budget_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, *requests.allocate_budget(t).values()) for t in requests.BUDGETS], "task_type string, initial_tokens long, soft_limit_tokens long, hard_limit_tokens long")
 
 
+@query("""WITH h AS (SELECT l_orderkey AS o, l_linenumber AS n, sha256('{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',"l_suppkey":' || l_suppkey || ',"l_returnflag":"' || l_returnflag || '"}') AS h FROM lineitem),
+r AS (SELECT row_number() OVER (ORDER BY o, n, h) - 1 AS k, h FROM h), b AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM r GROUP BY k // 4096), c AS (SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM b GROUP BY k // 4096)
+SELECT (SELECT count(*) FROM r) AS n_rows, 'sha256:' || sha256((SELECT count(*) FROM r) || chr(10) || CASE WHEN (SELECT count(*) FROM b) = 1 THEN (SELECT min(h) FROM b) ELSE (SELECT min(h) FROM c) END) AS digest""")
+def ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of all line items in order, repeated rows included; the SQL has the two levels that up to 16 million rows need."""
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+    found = ordered.of_rows(table(spark, sf_dir, "lineitem").select(*columns), columns, ["l_orderkey", "l_linenumber"])
+    return spark.createDataFrame([found], "n_rows long, digest string")
+
+
 @query("SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) AS estimated_tokens FROM documents")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("estimated_tokens"))

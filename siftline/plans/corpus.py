@@ -10,10 +10,10 @@ from ..operators import catalog, scoring
 from ..sources.tables import table
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """Every document as a catalog row: path, authority, modules, topics, title, hash and content."""
     names = F.array(*[F.lit(a) for a in catalog.AUTHORITIES])
-    docs = table(spark, sf_dir, "documents").withColumn("content", F.coalesce("text", F.lit("")))
+    docs = (documents or table(spark, sf_dir, "documents")).withColumn("content", F.coalesce("text", F.lit("")))
     path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("-"), F.col("doc_id"), F.lit(".md"))
     rows = docs.select(
         "doc_id",

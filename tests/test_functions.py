@@ -69,10 +69,10 @@ def test_index(spark, tmp_path):
     sources = fts.prepare_sources(spark.createDataFrame(rows, "path string, kind string, authority string, title string, content string"))
     index = fts.build(sources)
     assert [r["path"] for r in fts.search(index, "Compiler receipt").collect()] == ["docs/a.md", "docs/b.md", "src/c.ts"]
-    assert not fts.manifest_is_current(spark, str(tmp_path / "i"), sources)
-    fts.write(index, str(tmp_path / "i"))
-    assert fts.manifest_is_current(spark, str(tmp_path / "i"), sources)
-    assert [r["path"] for r in fts.search(fts.read(spark, str(tmp_path / "i")), "receipt").collect()] == ["docs/a.md", "docs/b.md", "src/c.ts"]
+    assert fts.current(sources, str(tmp_path / "i")) is None
+    of = fts.publish(sources, str(tmp_path / "i"))
+    assert fts.current(sources, str(tmp_path / "i")) == of
+    assert [r["path"] for r in fts.search(fts.read(spark, of), "receipt").collect()] == ["docs/a.md", "docs/b.md", "src/c.ts"]
     with pytest.raises(ValueError):
         fts.query("  ")
     with pytest.raises(ValueError):
