@@ -128,7 +128,8 @@ def bounded_excerpt(text: Column, max_lines: int = CANDIDATE_LINES, max_bytes: i
     """
     clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\u009F]", " "))
     head = F.array_join(F.slice(lines(clean), 1, max_lines), "\n")
-    short = F.when(F.octet_length(head) > max_bytes, _byte_bound(head, F.lit(max_bytes))).otherwise(head)
+    over = F.octet_length(head) > max_bytes
+    short = F.when(over, _byte_bound(F.when(over, head), F.lit(max_bytes))).otherwise(head)
     return F.when(short == "", F.lit(EMPTY_EXCERPT)).otherwise(short)
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest, paths, text
-from .scoring import MAX_CANDIDATES, STRINGS
+from ..sources.scratch import cut, stored
+from .scoring import MAX_CANDIDATES, STRINGS, normalised
 
 PROVIDER_CAP, INDEX_CAP = 1_024, 50
 SIGNAL_TERMS = 128
+MAX_LONG_POLICIES = 16_384  # as many files as a repository's corpus may have
 # Fixed value: test files among scripts.
 TEST_CODE = r"(^|/)(test|tests|__tests__)(/|$)|\.(test|spec)\.[cm]?[jt]sx?$"
 COLUMNS = (
@@ -21,9 +23,9 @@ COLUMNS = (
 
 
 def request_terms(query: Column, hint_terms: Column, criteria: Column) -> Column:
-    """All terms a request asks for, sorted, at most 128."""
+    """All terms a request (of ``scoring.normalised`` tasks) asks for, sorted, at most 128."""
     listed = F.flatten(F.transform(criteria, _asked))
-    every = F.concat(text.tokens(query), F.flatten(F.transform(F.coalesce(hint_terms, F.array().cast(STRINGS)), lambda t: text.tokens(t))), listed)
+    every = F.concat(text.tokens(query, False), F.flatten(F.transform(F.coalesce(hint_terms, F.array().cast(STRINGS)), lambda t: text.tokens(t, False))), listed)
     return F.slice(F.array_sort(F.array_distinct(every)), 1, SIGNAL_TERMS)
 
 
@@ -34,72 +36,127 @@ def signals(words: Column, terms: Column, criteria: Column) -> tuple[Column, Col
     return found, ids
 
 
+def _with_signals(rows: DataFrame, *shown: str) -> DataFrame:
+    """rows (with terms and criteria) with matched_terms and criteria_ids, from the words of the named columns."""
+    worded = rows.withColumn("_words", F.array_distinct(text.tokens(F.concat_ws(" ", *shown))))
+    found, ids = signals(F.col("_words"), F.col("terms"), F.col("criteria"))
+    return worded.withColumns({"matched_terms": found, "criteria_ids": ids}).drop("_words")
+
+
 def _asked(criterion: Column) -> Column:
-    listed = F.flatten(F.transform(F.coalesce(criterion["required_terms"], F.array().cast(STRINGS)), lambda t: text.tokens(t)))
-    return F.array_distinct(F.concat(text.tokens(criterion["text"]), listed))
+    listed = F.flatten(F.transform(F.coalesce(criterion["required_terms"], F.array().cast(STRINGS)), lambda t: text.tokens(t, False)))
+    return F.array_distinct(F.concat(text.tokens(criterion["text"], False), listed))
+
+
+def asking(tasks: DataFrame) -> DataFrame:
+    """tasks in normalised form with the terms that they ask for, written once; tasks that were asked already are returned."""
+    if "terms" in tasks.columns:
+        return tasks
+    return cut(normalised(tasks).withColumn("terms", request_terms(F.col("query"), F.col("hint_terms"), F.col("criteria"))))
+
+
+def _first(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key; Spark applies the limit before the shuffle too."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
 
+def postings(asked: DataFrame, rows: DataFrame, key: str, words: Column) -> DataFrame:
+    """(term, key, and the other short columns of rows) of the words that some task asks for. A task has at most 128 terms; tasks are few enough to broadcast theirs or are joined."""
+    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    short = [c for c in rows.columns if c not in ("content", "title", "excerpt")]
+    return rows.select(*short, F.explode(F.array_distinct(words)).alias("term")).join(wanted, "term", "left_semi")
 
-def matches(tasks: DataFrame, rows: DataFrame, key: str, words: Column, always: list[DataFrame]) -> DataFrame:
-    """rows a task may use, joined with the task, with matched_terms and criteria_ids.
 
-    Tasks and rows meet by equal terms, like a query and its postings, so a row is only
-    paired with tasks that share a word with it. ``always`` adds (task_id, key) pairs that
-    are wanted without a shared word.
+def wanted_by(asked: DataFrame, held: DataFrame, key: str, order: list[Column], cap: int | None) -> DataFrame:
+    """Distinct (task_id, key) of rows that hold a term of a task; with ``cap`` only what can be among a task's first ``cap``.
+
+    In the given order, which all tasks share, a row that is among a task's first ``cap`` is
+    among the first ``cap`` of each of its terms, so every term's list is cut before tasks
+    are paired with it: a word that most rows hold costs ``cap`` rows and not all of them.
     """
-    asked = tasks.withColumn("terms", request_terms(F.col("query"), F.col("hint_terms"), F.col("criteria")))
-    of_criteria = F.flatten(F.transform("criteria", _asked))
-    wanted = asked.select("task_id", F.explode(F.array_union("terms", of_criteria)).alias("term"))
-    held = rows.select(key, F.explode(F.array_distinct(words)).alias("term"))
-    pairs = held.join(wanted, "term").select("task_id", key, "term")
-    for more in always:
-        pairs = pairs.unionByName(more.select("task_id", key, F.lit(None).cast("string").alias("term")))
-    shared = pairs.groupBy("task_id", key).agg(F.collect_set("term").alias("shared"))
-    joined = shared.join(rows, key).join(asked, "task_id")
-    found = F.slice(F.array_sort(F.array_intersect("terms", "shared")), 1, SIGNAL_TERMS)
-    ids = F.array_sort(F.transform(F.filter("criteria", lambda c: F.arrays_overlap(_asked(c), F.col("shared"))), lambda c: c["id"]))
-    return joined.withColumns({"matched_terms": found, "criteria_ids": ids}).drop("shared")
-
-
-def _wanted_paths(tasks: DataFrame, rows: DataFrame, key: str, hints: bool) -> list[DataFrame]:
-    """(task_id, key) pairs of required sources and, with hints, of all that lies under a hinted path; joined by equality."""
-    exact = tasks.select("task_id", F.explode("required_sources").alias("path")).join(rows.select("path", key) if key != "path" else rows.select("path"), "path")
-    out = [exact.select("task_id", key)]
-    if hints:
-        under = rows.select(key, F.explode(F.concat(F.array("path"), paths.ancestors(F.col("path")))).alias("prefix"))
-        out.append(under.join(tasks.select("task_id", F.explode("hint_paths").alias("prefix")), "prefix").select("task_id", key))
-    return out
-
-
-def of_sources(tasks: DataFrame, sources: DataFrame, provider: str, cap: int = PROVIDER_CAP) -> DataFrame:
+    if cap is not None:
+        held = _first(held, ["term"], order, cap)
+    return asked.select("task_id", F.explode("terms").alias("term")).join(held.select("term", key), "term").select("task_id", key).distinct()
+
+
+def _named(asked: DataFrame, rows: DataFrame, key: str, hints: bool, order: list[Column], cap: int | None) -> DataFrame:
+    """(task_id, key) of required sources and, with hints, of what lies under a hinted path (of each path the first ``cap``); joined by equality."""
+    own = asked.select("task_id", F.explode("required_sources").alias("path")).join(rows.select(*{"path", key}), "path").select("task_id", key)
+    if not hints:
+        return own
+    prefixes = asked.select(F.explode("hint_paths").alias("prefix")).distinct()
+    under = rows.select(*[c for c in rows.columns if c not in ("content", "title", "excerpt")], F.explode(F.concat(F.array("path"), paths.ancestors(F.col("path")))).alias("prefix")).join(prefixes, "prefix", "left_semi")
+    if cap is not None:
+        under = _first(under, ["prefix"], order, cap)
+    return own.unionByName(asked.select("task_id", F.explode("hint_paths").alias("prefix")).join(under.select("prefix", key), "prefix").select("task_id", key))
+
+
+def _policies(asked: DataFrame, rows: DataFrame, order: list[Column] | None, cap: int) -> DataFrame:
+    """(task_id, path) of the policies that every task may use: the first ``cap`` in order, or all where the order is not known yet."""
+    own = rows.where(F.col("authority") == "policy").select("path", *({"id"} if "id" in rows.columns else {}))
+    found = [r["path"] for r in (own.orderBy(*order).limit(cap) if order else own.limit(MAX_LONG_POLICIES + 1)).collect()]
+    if order is None and len(found) > MAX_LONG_POLICIES:
+        raise ValueError("too many policies are longer than an excerpt")
+    return asked.select("task_id", F.explode(F.array(*[F.lit(p) for p in found]).cast(STRINGS)).alias("path"))
+
+
+def of_sources(tasks: DataFrame, sources: DataFrame, provider: str, cap: int = PROVIDER_CAP, collection_limited: bool = False) -> DataFrame:
     """Candidates of one provider for every task, at most ``cap`` a task: required, then policies, then by path (documents) or id (filesystem).
 
-    Tasks and sources meet by their words; what then counts are the words of path, title
-    and excerpt. The cap is a ranked filter that Spark also applies before the shuffle, and
-    no row carries more of a source than its excerpt by then.
+    The excerpt of a source that fits one is the same for every task, so its words and its
+    id are known when it is read. Of those a task's first ``cap`` (and one more, to tell
+    whether there are more) are found by keys alone: the first of each term, hinted path and
+    policy, then the first of their union. Only these are joined with their texts. A longer
+    source shows what lies around a task's first term, so what it shows is looked at for
+    each task that shares a word with it; documents only as far down the order as a task's
+    first ``cap`` reach. A part of a word that a cut leaves is no word.
     """
     if "title" not in sources.columns:
         sources = sources.withColumn("title", F.lit("").cast("string"))
-    policies = sources.where(F.col("authority") == "policy").select("path", "authority")
-    if provider == "documents":  # in order of path, so no other policies can be within the cap
-        policies = F.broadcast(policies.orderBy("path").limit(cap + 1))
-    everywhere = tasks.select("task_id", F.lit("policy").alias("authority")).join(policies, "authority")
-    always = [everywhere.select("task_id", "path"), *_wanted_paths(tasks, sources, "path", provider == "filesystem")]
-    rows = matches(tasks, sources, "path", text.tokens(F.concat_ws(" ", "path", "title", "content")), always).where(F.octet_length("content") > 0)
-    rows = rows.withColumns({"excerpt": text.relevant_excerpt(F.col("content"), F.col("terms")), "bounded": text.was_bounded(F.col("content"))})
-    found, ids = signals(F.array_distinct(text.tokens(F.concat_ws(" ", "path", "title", "excerpt"))), F.col("terms"), F.col("criteria"))
+    files = provider == "filesystem"
+    asked = asking(tasks)
+    usable = sources.where(F.octet_length("content") > 0).withColumns({"long": text.was_bounded(F.col("content")), "policy": F.col("authority") == "policy"})
+    shown = F.when(F.col("long"), F.col("content")).otherwise(text.bounded_excerpt(F.col("content")))
+    none = F.lit(None)
+    own_id = digest.candidate_id(F.lit(provider), F.col("path"), none.cast("int"), none.cast("int"), none.cast("string"), F.col("source_hash"), digest.text_hash(shown))
+    last = "id" if files else "path"
+    order = [F.desc("policy"), F.col(last)]
+    keys = ["path", "authority", "policy", "long", *(["id"] if files else [])]
+    known = stored((usable.withColumn("id", own_id) if files else usable).select(*keys), "source_keys")
+    words = text.tokens(F.concat_ws(" ", F.col("path"), F.col("title"), shown))
+    terms = stored(postings(asked, usable.select("path", "long", "title", "content"), "path", words).select("path", "term"), "source_terms").join(known, "path")
+    short, held = known.where("NOT long"), terms.where("NOT long")
+    pairs = wanted_by(asked, held, "path", order, cap + 1).unionByName(_named(asked, short, "path", files, order, cap + 1)).unionByName(_policies(asked, short, [F.col(last)], cap + 1)).distinct()
+    needs = asked.select("task_id", F.coalesce("required_sources", F.array().cast(STRINGS)).alias("needs"))
+    keyed = pairs.join(short, "path").join(needs, "task_id").withColumn("required", F.array_contains("needs", F.col("path")))
+    first = cut(_first(keyed.select("task_id", "path", "required", "policy", *(["id"] if files else [])), ["task_id"], [F.desc("required"), *order], cap + 1))
+    longer = known.where("long")
+    more = wanted_by(asked, terms.where("long"), "path", order, None).unionByName(_named(asked, longer, "path", files, order, None)).unionByName(_policies(asked, longer, None if files else [F.col("path")], cap + 1)).distinct()
+    if not files:  # beyond a task's first cap + 1 in the order of paths nothing counts
+        worst = first.groupBy("task_id").agg(F.count("*").alias("n"), F.max(F.struct((~F.col("required")).alias("r"), (~F.col("policy")).alias("p"), "path")).alias("worst")).where(F.col("n") > cap).select("task_id", "worst")
+        here = F.struct((~F.col("required")).alias("r"), (~F.col("policy")).alias("p"), "path")
+        placed = more.join(longer.select("path", "policy"), "path").join(needs, "task_id").withColumn("required", F.array_contains("needs", F.col("path")))
+        more = placed.join(worst, "task_id", "left").where(F.col("worst").isNull() | (here < F.col("worst"))).select("task_id", "path")
+    chosen = cut(first.select("task_id", "path").unionByName(more))
+    rows = chosen.join(usable, "path").join(asked, "task_id")
+    whole = text.bounded_excerpt(F.when(~F.col("long"), F.col("content")))
+    around = text.relevant_excerpt(F.when(F.col("long"), F.col("content")), F.col("terms"))
+    shown = rows.withColumns({"excerpt": F.when(F.col("long"), around).otherwise(whole), "bounded": F.col("long")}).drop("content")
+    rows = stored(shown, "source_excerpts")  # an expression that much after it uses; computed once
     required = F.coalesce(F.array_contains("required_sources", F.col("path")), F.lit(False))
-    rows = rows.withColumns({"matched_terms": found, "criteria_ids": ids, "required": required, "policy": F.col("authority") == "policy"})
+    rows = _with_signals(rows, "path", "title", "excerpt").withColumn("required", required)
     hinted = paths.within(F.col("path"), F.coalesce("hint_paths", F.array().cast(STRINGS)))
     eligible = (F.size("matched_terms") > 0) | F.col("policy") | F.col("required")
-    rows = rows.where(eligible | hinted if provider == "filesystem" else eligible)
+    rows = rows.where(eligible | hinted if files else eligible)
     rule = paths.authority(F.col("path"))["rule_id"]
-    if provider == "filesystem":
+    if files:
         evidence = F.when(F.col("policy"), "convention:ancestor-agents-file").otherwise("safe-filesystem-fallback")
     else:
         evidence = F.when(rule.isNotNull(), F.concat(F.lit("convention:"), rule)).otherwise("document-default")
-    made = _finished(rows, provider, F.col("kind"), "live", F.array(evidence), F.array(F.when(F.col("bounded"), "EXCERPT_BOUND")), ("required", "policy"))
-    last = "id" if provider == "filesystem" else "path"
-    return _capped(made, [F.desc("required"), F.desc("policy"), F.col(last)], cap, "PROVIDER_RESULT_LIMIT").select(*COLUMNS)
+    reasons = F.array(F.when(F.col("bounded"), "EXCERPT_BOUND"), F.lit("SOURCE_COLLECTION_LIMIT" if collection_limited else None).cast("string"))
+    made = _finished(rows, provider, F.col("kind"), "live", F.array(evidence), reasons, ("required", "policy"))
+    return _capped(made, [F.desc("required"), *order], cap, "PROVIDER_RESULT_LIMIT").select(*COLUMNS)
 
 
 def _capped(rows: DataFrame, order: list[Column], cap: int, reason: str) -> DataFrame:
@@ -145,17 +202,16 @@ def of_hits(hits: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.where(same).drop("live_hash"), joined.where(~same).select("path", F.lit("STALE_SELECTED_SOURCE").alias("code"))
 
 
-def of_index(tasks: DataFrame, hits: DataFrame, live: DataFrame, limited: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(candidates of index hits, hits whose source changed or went). hits has task_id, the index source's columns and matched terms; live has path, source_hash, authority and content."""
+def of_index(tasks: DataFrame, hits: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates of index hits, hits whose source changed or went). hits is what ``fts.search_many`` returns; live has path, source_hash, authority and content."""
     now = live.select(F.col("path").alias("l_path"), F.col("source_hash").alias("l_hash"), F.col("authority").alias("l_authority"), F.col("content").alias("l_content"))
     same = (F.col("path") == F.col("l_path")) & (F.col("source_hash") == F.col("l_hash"))
     found = hits.drop("content").join(now, same, "left")
     stale = found.where("l_path IS NULL").select("task_id", "path", F.lit("STALE_SELECTED_SOURCE").alias("code"))
-    asked = tasks.withColumn("terms", request_terms(F.col("query"), F.col("hint_terms"), F.col("criteria"))).select("task_id", "terms", "criteria")
+    asked = asking(tasks).select("task_id", "terms", "criteria")
     rows = found.where("l_path IS NOT NULL").drop("authority", "excerpt").join(asked, "task_id").withColumns({"authority": F.col("l_authority"), "excerpt": text.relevant_excerpt(F.col("l_content"), F.col("hit_terms"))})
-    matched, ids = signals(F.array_distinct(text.tokens(F.concat_ws(" ", "path", "title", "excerpt"))), F.col("terms"), F.col("criteria"))
-    rows = rows.withColumns({"matched_terms": matched, "criteria_ids": ids, "line_start": F.col("start_line"), "line_end": F.col("end_line")})
-    reasons = F.array(F.when(text.was_bounded(F.col("l_content")), "EXCERPT_BOUND"), F.lit("PROVIDER_RESULT_LIMIT") if limited else F.lit(None).cast("string"))
+    rows = _with_signals(rows, "path", "title", "excerpt").withColumns({"line_start": F.col("start_line"), "line_end": F.col("end_line")})
+    reasons = F.array(F.when(text.was_bounded(F.col("l_content")), "EXCERPT_BOUND"), F.when(F.col("limited"), "PROVIDER_RESULT_LIMIT"))
     evidence = F.array(F.lit("safe-live-source-reread"), F.lit("screened-local-fts-index"))
     return _finished(rows, "fts", F.col("kind"), "live", evidence, reasons), stale
 
@@ -163,9 +219,15 @@ def of_index(tasks: DataFrame, hits: DataFrame, live: DataFrame, limited: bool =
 def of_nodes(tasks: DataFrame, nodes: DataFrame, accepted: DataFrame, cap: int = PROVIDER_CAP) -> DataFrame:
     """Graph nodes of accepted sources that a task hints at, names or shares terms with; distance 0 for a hinted symbol."""
     live = nodes.join(accepted.select("path", "source_hash"), ["path", "source_hash"], "left_semi")
-    hinted = tasks.select("task_id", F.explode("hint_symbols").alias("name"))
-    called = live.select("node_id", "name").join(hinted, "name").select("task_id", "node_id")
-    rows = matches(tasks, live, "node_id", text.tokens(F.concat_ws(" ", "path", "name", "qualified_name", "excerpt")), [called, *_wanted_paths(tasks, live, "node_id", True)])
+    asked = asking(tasks)
+    place = [F.col(c) for c in ("path", "start_line", "start_column", "kind", "node_id")]
+    held = postings(asked, live, "node_id", text.tokens(F.concat_ws(" ", "path", "name", "qualified_name", "excerpt")))
+    called = _first(live.join(asked.select(F.explode("hint_symbols").alias("name")).distinct(), "name", "left_semi"), ["name"], place, cap + 1)
+    called = asked.select("task_id", F.explode("hint_symbols").alias("name")).join(called.select("name", "node_id"), "name").select("task_id", "node_id")
+    pairs = wanted_by(asked, held, "node_id", place, cap + 1).unionByName(_named(asked, live, "node_id", True, place, cap + 1)).unionByName(called).distinct()
+    keyed = pairs.join(live.select("node_id", "path", "start_line", "start_column", "kind"), "node_id")
+    first = _first(keyed, ["task_id"], place, cap + 1).select("task_id", "node_id")
+    rows = _with_signals(first.join(live, "node_id").join(asked, "task_id"), "path", "name", "qualified_name", "excerpt")
     is_test = F.lower("path").rlike(TEST_CODE)
     made = rows.withColumns({
         "bounded": F.col("excerpt_truncated") | text.was_bounded(F.col("excerpt")),
@@ -184,9 +246,8 @@ def of_nodes(tasks: DataFrame, nodes: DataFrame, accepted: DataFrame, cap: int =
 
 def of_text(tasks: DataFrame, provider: str, kind: str, path: str, body: str, always: bool) -> DataFrame:
     """The repository map or the version-control state as one pseudo-candidate a task."""
-    rows = tasks.withColumn("terms", request_terms(F.col("query"), F.col("hint_terms"), F.col("criteria"))).withColumn("excerpt", text.bounded_excerpt(F.lit(body)))
-    found, ids = signals(F.array_distinct(text.tokens(F.col("excerpt"))), F.col("terms"), F.col("criteria"))
-    rows = rows.withColumns({"matched_terms": found, "criteria_ids": ids, "source_hash": digest.text_hash(F.lit(body)), "path": F.lit(path), "authority": F.lit(kind)})
+    rows = asking(tasks).withColumn("excerpt", text.bounded_excerpt(F.lit(body)))
+    rows = _with_signals(rows, "excerpt").withColumns({"source_hash": digest.text_hash(F.lit(body)), "path": F.lit(path), "authority": F.lit(kind)})
     rows = rows if always else rows.where(F.size("matched_terms") > 0)
     return _finished(rows, provider, F.lit(kind), "live", F.array(), F.array(F.when(text.was_bounded(F.lit(body)), "EXCERPT_BOUND")))
 

@@ -47,15 +47,28 @@ def task_row(spark: SparkSession, of: dict[str, Any], budget: dict[str, int] | N
     return spark.createDataFrame([row], scoring.TASKS)
 
 
-def gather(tasks: DataFrame, seen: dict[str, Any], nodes: DataFrame | None = None) -> DataFrame:
-    """Candidates of all providers for the tasks, capped."""
+def gather(tasks: DataFrame, seen: dict[str, Any], nodes: DataFrame | None = None, index: fts.Index | None = None) -> DataFrame:
+    """Candidates of all providers for the tasks, capped; with an index, documents that it hits are taken from there."""
+    return gathered(tasks, seen, nodes, index)[0]
+
+
+def gathered(tasks: DataFrame, seen: dict[str, Any], nodes: DataFrame | None = None, index: fts.Index | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(candidates, index hits whose source changed since: task_id, path, code; none without an index)."""
+    tasks = cand.asking(tasks)
     docs = seen["documents"].withColumn("kind", F.lit("document"))
-    made = [cand.of_sources(tasks, docs, "documents"), cand.of_sources(tasks, seen["files"], "filesystem")]
+    direct, stale = cand.of_sources(tasks, docs, "documents"), None
+    made = [direct, cand.of_sources(tasks, seen["files"], "filesystem")]
     listing = [r.asDict() for r in seen["modules"].limit(512).collect()]
     made.append(cand.of_text(tasks, "repo_map", "repository_map", "repo-map.json", json.dumps(listing, ensure_ascii=False, separators=(",", ":")), True))
+    if index is not None:
+        hits = fts.search_many(index, tasks.select("task_id", "query"))
+        found, stale = cand.of_index(tasks, hits, seen["sources"])
+        found = cut(found)
+        made[0] = cand.without_indexed(direct, found, tasks)
+        made.append(found)
     if nodes is not None:
         made.append(cand.of_nodes(tasks, nodes, seen["sources"]))
-    return cand.aggregate(tasks, made)
+    return cand.aggregate(tasks, made), stale
 
 
 def compile_task(spark: SparkSession, of: dict[str, Any], candidates: DataFrame, failures: list[dict] | None = None, budget: dict[str, int] | None = None, tier: str | None = None, retained: list[str] | None = None, asked: dict[str, Any] | None = None) -> dict[str, Any]:

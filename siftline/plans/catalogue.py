@@ -22,6 +22,7 @@ from .corpus import CORPUS, TOKENS, candidates, corpus, tasks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 JOIN = "array_to_string({0}, ',')"
+CLEAN = "trim(regexp_replace({0}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', ' ', 'g'))"
 
 
 def query(oracle: str | None = None):
@@ -374,14 +375,44 @@ def mandatory_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.first_fit(rows).drop("ids")
 
 
-def _aggregated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _aggregated(spark: SparkSession, sf_dir: str, cap: int = cand.PROVIDER_CAP, total: int = scoring.MAX_CANDIDATES) -> tuple[DataFrame, DataFrame]:
     """Tasks, and the capped candidates that two providers make of the corpus for them."""
-    asked = tasks(spark)
+    asked = cand.asking(tasks(spark))
     rows = _sources(spark, sf_dir)
-    docs = cand.of_sources(asked, rows.where("doc_id % 3 <> 0"), "documents")
-    files = cand.of_sources(asked, rows.where("doc_id % 3 = 0"), "filesystem")
-    notes = cand.of_text(asked, "repo_map", "repository_map", "repo-map.json", '[{"path":"docs","name":"docs"}]', True)
-    return asked, cand.aggregate(asked, [docs, files, notes])
+    docs = cand.of_sources(asked, rows.where("doc_id % 3 <> 0"), "documents", cap)
+    files = cand.of_sources(asked, rows.where("doc_id % 3 = 0"), "filesystem", cap, collection_limited=cap < cand.PROVIDER_CAP)
+    notes = cand.of_text(asked, "repo_map", "repository_map", "repo-map.json", REPO_MAP, True)
+    return asked, cand.aggregate(asked, [docs, files, notes], total)
+
+
+REPO_MAP = '[{"path":"docs","name":"docs"}]'
+ASKED = """asked AS (SELECT * FROM (VALUES ('T-1', ['and', 'are', 'index', 'other', 'reads', 'that', 'the', 'there', 'they', 'writes'], ['docs/en/src1-1.md'], ['docs/en/src2-2.md']),
+  ('T-2', ['de', 'la', 'los', 'para', 'que'], [], []), ('T-3', ['der', 'die', 'und', 'von'], ['docs/de'], [])) AS t(task_id, terms, hints, req))"""
+
+
+def _aggregated_sql(cap: int = cand.PROVIDER_CAP, total: int = scoring.MAX_CANDIDATES) -> str:
+    """Twin of _aggregated(): every source is looked at for every task, and the caps come last."""
+    limited = "['SOURCE_COLLECTION_LIMIT']" if cap < cand.PROVIDER_CAP else "[]"
+    clean = CLEAN.format
+    return f"""{CORPUS}, {ASKED}, p AS (
+  SELECT asked.*, corpus.*, string_split(content, chr(10)) AS ls, CASE WHEN doc_id % 3 = 0 THEN 'filesystem' ELSE 'documents' END AS provider,
+    len(string_split({clean("content")}, chr(10))) > 400 OR octet_length(encode({clean("content")})) > 32768 AS bounded FROM corpus, asked WHERE content <> ''
+), anchored AS (SELECT *, greatest(1, greatest(1, coalesce(list_position(list_transform(ls, lambda l: len(list_filter(terms, lambda t: contains(lower(l), t))) > 0), true), 1)) - 133) AS s FROM p
+), picked AS (SELECT *, CASE WHEN len(ls) > 400 THEN array_to_string(ls[s:s + 399], chr(10)) ELSE content END AS w FROM anchored
+), nearby AS (SELECT *, greatest(1, coalesce(list_min(list_filter(list_transform(terms, lambda t: position(t IN lower(w))), lambda x: x > 0)), 1)) AS place FROM picked
+), raw AS (SELECT *, {clean("CASE WHEN octet_length(encode(w)) > 32768 THEN substr(w, CAST(greatest(1, place - 5461) AS BIGINT), 16384) ELSE w END")} AS c FROM nearby
+), shown AS (SELECT *, CASE WHEN array_to_string(string_split(c, chr(10))[1:400], chr(10)) = '' THEN '[empty source]' ELSE array_to_string(string_split(c, chr(10))[1:400], chr(10)) END AS excerpt FROM raw
+), matched AS (SELECT *, list_sort(list_filter(terms, lambda t: list_contains({TOKENS.format("path || ' ' || title || ' ' || excerpt")}, t))) AS found FROM shown
+), made AS (SELECT task_id, provider, path, authority, list_contains(req, path) AS required, octet_length(encode(excerpt)) AS b, found, bounded,
+    'sha256:' || sha256('{{"excerpt_hash":"sha256:' || sha256(excerpt) || '","path":"' || path || '","provider":"' || provider || '","source_hash":"' || source_hash || '"}}') AS id
+  FROM matched WHERE len(found) > 0 OR authority = 'policy' OR list_contains(req, path) OR (provider = 'filesystem' AND len(list_filter(hints, lambda h: path = h OR starts_with(path, h || '/'))) > 0)
+), r AS (SELECT *, row_number() OVER (PARTITION BY task_id, provider ORDER BY required DESC, authority = 'policy' DESC, CASE WHEN provider = 'documents' THEN path ELSE id END) AS n, count(*) OVER (PARTITION BY task_id, provider) > {cap} AS cut FROM made
+), u AS (SELECT task_id, provider, path, authority = 'policy' AS direct, required, b, found, id, list_concat(list_concat(CASE WHEN bounded THEN ['EXCERPT_BOUND'] ELSE [] END, CASE WHEN cut THEN ['PROVIDER_RESULT_LIMIT'] ELSE [] END), CASE WHEN provider = 'filesystem' THEN {limited} ELSE [] END) AS reasons FROM r WHERE n <= {cap}
+  UNION ALL SELECT task_id, 'repo_map', 'repo-map.json', false, list_contains(req, 'repo-map.json'), {len(REPO_MAP)}, list_filter(terms, lambda t: list_contains({TOKENS.format(f"'{REPO_MAP}'")}, t)),
+    'sha256:' || sha256('{{"excerpt_hash":"sha256:' || sha256('{REPO_MAP}') || '","path":"repo-map.json","provider":"repo_map","source_hash":"sha256:' || sha256('{REPO_MAP}') || '"}}'), [] FROM asked
+), agg AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY required DESC, direct DESC, id) AS n, count(*) OVER (PARTITION BY task_id) > {total} AS cut FROM u
+), candidate AS (SELECT task_id, id, provider, path, CAST(b AS BIGINT) AS excerpt_bytes, CAST(ceil(b / 4.0) AS BIGINT) AS estimated_tokens, array_to_string(found, ',') AS matched_terms,
+    array_to_string(list_sort(list_concat(reasons, CASE WHEN cut THEN ['CANDIDATE_SET_LIMIT'] ELSE [] END)), ',') AS truncation_reasons FROM agg WHERE n <= {total})"""
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -391,9 +422,19 @@ def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cut(decisions), cut(conflicts)
 
 
-@query()
+def _listed(found: DataFrame) -> DataFrame:
+    return found.select("task_id", "id", "provider", "path", "excerpt_bytes", "estimated_tokens", joined("matched_terms").alias("matched_terms"), joined("truncation_reasons").alias("truncation_reasons"))
+
+
+@query(f"WITH {_aggregated_sql()} SELECT * FROM candidate")
 def aggregated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _aggregated(spark, sf_dir)[1].select("task_id", "id", "provider", "path", "excerpt_bytes", "estimated_tokens", joined("matched_terms").alias("matched_terms"), joined("truncation_reasons").alias("truncation_reasons"))
+    return _listed(_aggregated(spark, sf_dir)[1])
+
+
+@query(f"WITH {_aggregated_sql(60, 90)} SELECT * FROM candidate")
+def capped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with caps that cut every list."""
+    return _listed(_aggregated(spark, sf_dir, 60, 90)[1])
 
 
 @query()
@@ -768,7 +809,6 @@ def hybrid_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.hybrid(rows.where("doc_id % 2 = 0"), files).select("path", "source_hash", "size_bytes")
 
 
-CLEAN = "trim(regexp_replace({0}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', ' ', 'g'))"
 
 
 @query("""WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x1F\\x7F]', ' ', 'g')) AS t FROM documents) SELECT doc_id, left(t, 1200) AS excerpt, length(t) > 1200 AS truncated FROM c""")
