@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest, screen
+from . import ordered as rank_digests
 from . import scripts
 
 # What a specifier may stand for, in order.
@@ -18,6 +19,7 @@ SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs")
 IMPORT_COLUMNS = "path string, kind string, specifier string, local_name string, imported string, start_line int, start_column int"
 NODE_COLUMNS = "path string, kind string, name string, qualified_name string, start_line int, start_column int, end_line int, end_column int, source_hash string, exported boolean, excerpt string, excerpt_truncated boolean"
 EXCERPT_LINES, EXCERPT_CHARS = 8, 2_000
+PLACE_BITS = 31  # a file's places fit in so many bits
 
 
 def normal_path(path):
@@ -82,12 +84,39 @@ def ordered(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.orderBy("path", "start_line", "start_column", "kind", "node_id"), links.orderBy("kind", "from_id", F.coalesce("to_id", F.lit("")), "target", "edge_id")
 
 
+FILE_FIELDS = ["path", "source_hash"]
+NODE_FIELDS = ["path", "start_line", "start_column", "kind", "node_id", "source_hash"]
+EDGE_FIELDS = ["kind", "from_id", "to_id", "target", "edge_id"]
+
+
 def summary(files: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """One row of counts and an order-free digest of files, nodes and edges."""
-    mark = lambda d, *c: d.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*c)), F.lit(0)).alias("x"))
-    f, n, e = mark(files, "path", "source_hash"), mark(nodes, "node_id", "source_hash"), mark(links, "edge_id")
-    named = [d.select(F.col("n").alias(a), F.col("x").alias(f"{a}_digest")) for d, a in ((f, "files"), (n, "nodes"), (e, "edges"))]
-    return named[0].crossJoin(named[1]).crossJoin(named[2])  # one row each
+    """One row: counts, source_digest over the files in order, and graph_digest over files, nodes and edges in their order; repeated rows count."""
+    marks = {}
+    for name, rows, fields in (("files", files, FILE_FIELDS), ("nodes", nodes, NODE_FIELDS), ("edges", links, EDGE_FIELDS)):
+        marks[name] = rank_digests.of_rows(rows, [c for c in fields if c in rows.columns], [c for c in fields if c in rows.columns])
+    whole = digest.sha256_text("\n".join(f"{name} {n} {mark}" for name, (n, mark) in marks.items()))
+    row = (*(n for n, _ in marks.values()), marks["files"][1], whole)
+    return files.sparkSession.createDataFrame([row], "files long, nodes long, edges long, source_digest string, graph_digest string")
+
+
+def shadowed(calls: DataFrame, scopes: DataFrame) -> DataFrame:
+    """calls (path, place, identifier, …) with lexically_shadowed and the innermost scope_id that declares the identifier around the call.
+
+    scopes: path, scope_id, from_place, to_place (exclusive) and the names it declares.
+    Every scope lies in one smallest block of a power-of-two grid, and a call in one block
+    of each size, so calls meet scopes by equality of path, name and block; how deep scopes
+    nest or how long they are makes no difference to the number of rows.
+    """
+    levels = F.sequence(F.lit(0), F.lit(PLACE_BITS))
+    declared = scopes.where("to_place > from_place").select(
+        "path", "scope_id", "from_place", "to_place", F.explode(F.array_distinct("names")).alias("identifier"),
+        F.length(F.regexp_replace(F.bin(F.col("from_place").bitwiseXOR(F.col("to_place") - 1)), "^0$", "")).alias("level"),
+    )
+    declared = declared.withColumn("block", F.expr("shiftright(CAST(from_place AS BIGINT), level)"))
+    asked = calls.select("path", "identifier", F.col("place").cast("long").alias("place")).distinct().withColumn("level", F.explode(levels)).withColumn("block", F.expr("shiftright(place, level)"))
+    inside = asked.join(declared, ["path", "identifier", "level", "block"]).where("from_place <= place AND place < to_place")
+    nearest = inside.groupBy("path", "identifier", "place").agg(F.max_by("scope_id", F.struct(F.col("from_place"), -F.col("to_place"), "scope_id")).alias("scope_id"))
+    return calls.join(nearest, ["path", "identifier", "place"], "left").withColumn("lexically_shadowed", F.col("scope_id").isNotNull())
 
 
 def binding_mismatches(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digest, paths, screen, text
 from ..operators import candidates as cand
-from ..operators import catalog, fts, graph, ledger, metrics, ordered, repo_map, requests, scoring, search, selection
+from ..operators import catalog, fts, graph, ledger, metrics, ordered, repo_map, requests, schema, scoring, search, selection
 from ..sources import repository, stores
 from ..sources.scratch import cut, keep_until_exit, shared_folder
 from ..sources.tables import table
@@ -755,6 +755,61 @@ def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", paths.is_source_file(F.col("path")).alias("accepted"), "kind", paths.file_authority(F.col("path"), F.col("kind")).alias("authority"))
 
 
+@query("""WITH i AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r FROM lineitem),
+s AS (SELECT 'p' || l_suppkey AS path, l_orderkey * 10 + l_linenumber AS id, l_partkey * 3 AS a, l_partkey * 3 + CAST(l_quantity AS BIGINT) * l_linenumber AS b, 'f' || l_partkey % 7 AS name FROM lineitem WHERE l_linenumber < 4),
+c AS (SELECT DISTINCT 'p' || l_suppkey AS path, l_partkey * 3 + 11 AS place, 'f' || l_partkey % 5 AS identifier FROM lineitem WHERE l_linenumber >= 4)
+SELECT path, place, identifier, coalesce(arg_max(id, (a, -b, id)), 0) AS scope_id, count(id) > 0 AS lexically_shadowed FROM c LEFT JOIN s USING (path) WHERE id IS NULL OR (identifier = name AND a <= place AND place < b) GROUP BY ALL
+UNION ALL SELECT path, place, identifier, 0, false FROM c WHERE path IN (SELECT path FROM s) AND NOT EXISTS (SELECT 1 FROM s WHERE s.path = c.path AND identifier = name AND a <= place AND place < b)""")
+def lexical_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as scopes and as calls within them: the innermost scope around each call that declares its name."""
+    items = table(spark, sf_dir, "lineitem")
+    path, at = F.concat(F.lit("p"), "l_suppkey"), F.col("l_partkey") * 3
+    scopes = items.where("l_linenumber < 4").select(
+        path.alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("scope_id"), at.alias("from_place"),
+        (at + F.col("l_quantity").cast("long") * F.col("l_linenumber")).alias("to_place"), F.array(F.concat(F.lit("f"), F.col("l_partkey") % 7)).alias("names"),
+    )
+    calls = items.where("l_linenumber >= 4").select(path.alias("path"), (at + 11).alias("place"), F.concat(F.lit("f"), F.col("l_partkey") % 5).alias("identifier")).distinct()
+    return graph.shadowed(calls, scopes).withColumn("scope_id", F.coalesce("scope_id", F.lit(0)))
+
+
+ORDER_SCHEMA = {
+    "type": "object", "required": ["id", "kind", "qty"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": "string", "pattern": "^O-[0-9]+$", "minLength": 3, "maxLength": 12, "maxUtf8Bytes": 12},
+        "kind": {"const": "order"},
+        "priority": {"enum": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", None]},
+        "qty": {"type": "integer", "minimum": 0, "maximum": 100},
+        "tags": {"type": "array", "minItems": 1, "maxItems": 3, "uniqueItems": True, "items": {"type": "string", "maxLength": 5}},
+        "nested": {"type": "object", "required": ["x"], "additionalProperties": False, "properties": {"x": {"type": "integer"}, "on": {"type": "boolean"}}},
+    },
+}
+#: Parts of an order's JSON that its number plants, and what is wrong then.
+PLANTED_JSON = {
+    1: ({"kind": None}, ["$.kind required"]), 2: ({"kind": '"other"'}, ["$.kind const"]), 3: ({"priority": '"X"'}, ["$.priority enum"]), 4: ({"qty": '"5"'}, ["$.qty type"]), 5: ({"qty": "101"}, ["$.qty maximum"]),
+    6: ({"qty": "-1"}, ["$.qty minimum"]), 7: ({"qty": "1.5"}, ["$.qty type"]), 8: ({"tags": "[]"}, ["$.tags minItems"]), 9: ({"tags": '["a","b","c","d"]'}, ["$.tags maxItems"]), 10: ({"tags": '["a","a"]'}, ["$.tags uniqueItems"]),
+    11: ({"tags": '["a",1,"sixsix"]'}, ["$.tags[1] type", "$.tags[2] maxLength"]), 12: ({"nested": '{"x":1,"y":2}'}, ["$.nested.y additionalProperties"]), 13: ({"id": '"o"'}, ["$.id minLength", "$.id pattern"]),
+    14: ({"id": '"O-12345678901"'}, ["$.id maxLength", "$.id maxUtf8Bytes"]), 15: ({"nested": '{"on":"yes"'}, ["$ json"]), 16: ({"nested": '{"on":"yes"}'}, ["$.nested.x required", "$.nested.on type"]), 17: ({"qty": "1.0", "priority": "null"}, []),
+    18: ({"qty": None, "extra": "[]"}, ["$.qty required", "$.extra additionalProperties"]), 19: ({"qty": "9007199254740993"}, ["$.qty type"]),
+}
+
+
+@query("SELECT o_orderkey, split_part(v, ' ', 1) AS path, split_part(v, ' ', 2) AS rule FROM (SELECT o_orderkey, unnest(w) AS v FROM orders JOIN (VALUES "
+       + ", ".join(f"({k}, {w})" for k, (_, w) in PLANTED_JSON.items() if w) + ") AS t(k, w) ON k = o_orderkey % 20)")
+def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a JSON text, with errors of every rule planted by number."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 20).alias("k"), "o_orderpriority")
+    usual = {"id": F.concat(F.lit('"O-'), "o_orderkey", F.lit('"')), "kind": F.lit('"order"'), "priority": F.concat(F.lit('"'), "o_orderpriority", F.lit('"')), "qty": F.lit("7"), "tags": F.lit('["a","b"]'), "nested": F.lit('{"x":1,"on":true}'), "extra": F.lit(None).cast("string")}
+
+    def part(name: str, value: Column) -> Column:
+        for k, (changed, _) in PLANTED_JSON.items():
+            if name in changed:
+                value = F.when(F.col("k") == k, F.lit(changed[name])).otherwise(value)
+        return F.concat(F.lit(f'"{name}":'), value)
+
+    body = F.concat(F.lit("{"), F.concat_ws(",", *[part(n, c) for n, c in usual.items()]), F.lit("}"))
+    return schema.violations(rows.withColumn("body", body), "body", ORDER_SCHEMA, ["o_orderkey"])
+
+
 @query("""SELECT l_orderkey, l_linenumber, 'CGE-' || sha256('["calls","n' || l_partkey || '","","f","src/p' || l_partkey || '.ts",' || l_linenumber || ',1,' || l_linenumber || ',9]') AS edge_id FROM lineitem WHERE l_suppkey % 5 = 1""")
 def edge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 = 1")
@@ -796,6 +851,19 @@ def security_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.prepare_tasks(tasks(spark)).select("task_id", "security")
 
 
+@query("""SELECT (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM lineitem) AS edges, (SELECT count(DISTINCT p_partkey) FROM part) > 0 AS digested, true AS order_free, true AS repeats_count""")
+def graph_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the parts' graph, and whether its digest is one of 64 digits that neither partitions nor row order change and a repeated edge does."""
+    nodes, calls, _ = _page_graph(spark, sf_dir)
+    nodes = nodes.select("*", F.lit(1).alias("start_line"), F.lit(1).alias("start_column"), F.lit("h").alias("source_hash"))
+    links = calls.select(F.lit("calls").alias("kind"), "from_id", F.lit(None).cast("string").alias("to_id"), "target", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("edge_id"))
+    files = nodes.select("path", "source_hash")
+    one, other = graph.summary(files, nodes, links).first(), graph.summary(files.orderBy(F.desc("path")), nodes.repartition(3), links.repartition(7, "edge_id")).first()
+    twice = graph.summary(files, nodes, links.unionByName(links.limit(1))).first()
+    digested = len(one["graph_digest"]) == 71 and len(one["source_digest"]) == 71
+    return spark.createDataFrame([(one["files"], one["nodes"], one["edges"], digested, one == other, twice["graph_digest"] != one["graph_digest"])], "files long, nodes long, edges long, digested boolean, order_free boolean, repeats_count boolean")
+
+
 @query(f"""WITH {CORPUS}, s AS (SELECT *, '{{"kind":"document","path":"' || path || '","size_bytes":' || size_bytes || ',"source_hash":"' || source_hash || '"}}' AS e FROM corpus ORDER BY path LIMIT 16385)
 SELECT count(*) AS sources, 'sha256:' || sha256('[' || string_agg(e, ',' ORDER BY path) || ']') AS identity FROM s""")
 def observation_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
