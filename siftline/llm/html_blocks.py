@@ -27,6 +27,7 @@ import html
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,10 @@ SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 SCOPE = frozenset("article section div main body html table ul ol dl nav aside footer header form blockquote".split())
 
 NAME = r"<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)"
-#: A quoted value that holds a ">" and ends with "=" has run into the next tag's quote.
-QUOTED = r"\"[^\">]*+\"|'[^'>]*+'|\"[^\"]*+(?<!=)\"|'[^']*+(?<!=)'"
 OTHER = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-TAG = re.compile(rf"{OTHER}|{NAME}(?:(?P<attrs>(?:[^>\"']++|{QUOTED})*+)(?:>|\Z)|(?P<rough>[^>]*+)(?:>|\Z))", re.S)
-ROUGH = re.compile(rf"{OTHER}|{NAME}(?P<attrs>)(?P<rough>[^>]*+)(?:>|\Z)", re.S)
-MANY_ROUGH = 50  # tags without closing quotes, after which all tags of a page end at their first ">"
+#: A tag that ends plainly, no quoted value holding a ">"; of others only the beginning.
+TAG = re.compile(rf"{OTHER}|{NAME}(?:(?P<attrs>(?:[^>\"']++|\"[^\">]*+\"|'[^'>]*+')*+)>)?", re.S)
+MARK = re.compile("[>\"']")
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WHITE = re.compile(r"\s+")
 RAW = frozenset(("script", "style"))
@@ -126,15 +125,68 @@ class _Open:
         return place if place >= (self.scopes[-1] if self.scopes else -1) else -1
 
 
-def tags(page: str) -> Iterator[re.Match]:
-    """Tags, comments and declarations in page order; send() moves on to a later place."""
-    at = rough = 0
-    pattern = TAG
-    while m := pattern.search(page, at):
-        if m["name"] and m["rough"] is not None and pattern is TAG:
-            rough += 1
-            pattern = ROUGH if rough >= MANY_ROUGH else TAG
-        at = (yield m) or m.end()
+@dataclass(slots=True)
+class Tag:
+    """A tag, comment or declaration from start to stop; cdata is the text of a CDATA section."""
+
+    start: int
+    stop: int
+    name: str = ""
+    closing: bool = False
+    attrs: str = ""
+    cdata: str | None = None
+
+
+class _Ends:
+    """Where tags end that a simple pattern does not see through.
+
+    Outside of quotes a tag ends at the next ">" or with the page. A quoted value ends at
+    its next quote, unless it holds a ">" and ends with "=": then it has run into the next
+    tag's value and its quote was none. How it goes on from a mark does not depend on the tag
+    that began before it, so each mark of a page is followed once, and broken tags of any
+    number take linear time.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.known: dict[int, int] = {}
+
+    def after(self, at: int) -> int:
+        """The place behind the tag whose attributes begin at a place, or -1 where a quote is not closed."""
+        page, seen, end = self.page, [], len(self.page)
+        while mark := MARK.search(page, at):
+            place = mark.start()
+            if place in self.known:
+                end = self.known[place]
+                break
+            seen.append(place)
+            if page[place] == ">":
+                end = place + 1
+                break
+            close = page.find(page[place], place + 1)
+            if close < 0 or (page[close - 1] == "=" and page.find(">", place + 1, close) >= 0):
+                end = -1
+                break
+            at = close + 1
+        self.known |= dict.fromkeys(seen, end)
+        return end
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """Tags, comments and declarations in page order; send() moves on to a later place. A tag with a quote that is not closed ends at its first ">"."""
+    at, ends = 0, _Ends(page)
+    while m := TAG.search(page, at):
+        name, attrs, stop = m["name"], m["attrs"], m.end()
+        if name is None:
+            found = Tag(m.start(), stop, cdata=m["cdata"])
+        elif attrs is not None:
+            found = Tag(m.start(), stop, name, m["end"] == "/", attrs)
+        else:
+            end = ends.after(stop)
+            if end < 0:
+                end = page.find(">", stop) + 1 or len(page)
+            found = Tag(m.start(), end, name, m["end"] == "/", page[stop : end - (page[end - 1] == ">")])
+        at = (yield found) or found.stop
 
 
 def _silent_end(page: str, at: int, name: str, never: set[str]) -> int:
@@ -194,14 +246,14 @@ def blocks(page: str, paths: Paths | None = None) -> list[tuple[str, int, int]]:
     walk = tags(page)
     m = next(walk, None)
     while m is not None:
-        add(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            add(m["cdata"])
-        elif m["name"]:
-            name, attrs = m["name"].lower(), m["attrs"] or m["rough"] or ""
+        add(page[at : m.start])
+        at = m.stop
+        if m.cdata is not None:
+            add(m.cdata)
+        elif m.name:
+            name, attrs = m.name.lower(), m.attrs
             whole = attrs.endswith("/")
-            if m["end"]:
+            if m.closing:
                 if stack.places.get(name):
                     if name in INLINE:
                         stack.close_one(name)

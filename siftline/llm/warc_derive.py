@@ -43,7 +43,9 @@ LINKING = frozenset(("a", "img", "link", "script", "iframe", "form"))
 LINK = re.compile(r"(?<![^\s\"'])(?:href|src|action)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CARRIED = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type")
 DIGESTS = ("WARC-Block-Digest", "WARC-Payload-Digest")
-HTML_TYPES, CHARSETS = ("", "text/html", "application/xhtml+xml"), 1_024
+HTML_TYPES = ("", "text/html", "application/xhtml+xml")
+CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w-]+)", re.I)
+BODY = re.compile(rb"<body(?=[\s/>])", re.I)
 COPY = 1 << 20
 
 
@@ -200,22 +202,29 @@ def decoded(headers: list[tuple[str, str]], body: bytes) -> bytes | None:
 
 
 def _text(kind: str, body: bytes) -> str:
-    named = re.search(r"charset=[\"']?([\w-]+)", kind, re.I) or re.search(rb"<meta[^>]{0,200}?charset=[\"']?([\w-]+)", body[:CHARSETS], re.I)
-    charset = named[1] if named else "utf-8"
+    named = CHARSET.search(kind)
     try:
-        return body.decode(charset.decode() if isinstance(charset, bytes) else charset, "replace")
+        return body.decode(named[1] if named else _declared(body) or "utf-8", "replace")
     except LookupError:
         return body.decode("utf-8", "replace")
 
 
+def _declared(body: bytes) -> str | None:
+    """The charset that a meta tag of a page's head names; the head ends with the body's tag, however long it is."""
+    for m in tags(BODY.split(body, maxsplit=1)[0].decode("latin-1")):
+        if m.name.lower() == "meta" and not m.closing and (found := CHARSET.search(m.attrs)):
+            return found[1]
+    return None
+
+
 def _links(page: str) -> list[dict[str, str]]:
     """Tag and address of every link of a page, in order."""
     out = []
     for m in tags(page):
-        if m["name"] and not m["end"] and m["name"].lower() in LINKING:
-            found = LINK.search(m["attrs"] or m["rough"] or "")
+        if m.name and not m.closing and m.name.lower() in LINKING:
+            found = LINK.search(m.attrs)
             if found:
-                out.append({"tag": m["name"].lower(), "url": html.unescape(found[1] or found[2] or found[3] or "")})
+                out.append({"tag": m.name.lower(), "url": html.unescape(found[1] or found[2] or found[3] or "")})
     return out
 
 
