@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digest import SAFE_INTEGER
+from . import schema
 
 # Fields of a metric record.
 FIELDS = (
@@ -20,6 +21,39 @@ RECORD = (
 )
 
 
+MAX_RECORDS = 10_000
+_COUNT = {"type": "integer", "minimum": 0, "maximum": SAFE_INTEGER}
+_STATUS = {"enum": ["PASS", "FAIL", "UNKNOWN"]}
+#: What a metric record must be, as schema.violations checks it.
+SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["schema_version", "task_id", "recorded_at"],
+    "properties": {
+        "schema_version": {"const": "0.1"},
+        "task_id": {"type": "string", "pattern": r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"},
+        "recorded_at": {"type": "string", "pattern": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z$"},
+        "arm": {"enum": ["A", "B"]},
+        **dict.fromkeys(FIELDS, _COUNT),
+        **dict.fromkeys(STATUSES, _STATUS),
+        "estimated_fields": {"type": "array", "uniqueItems": True, "items": {"enum": list(FIELDS)}},
+        "run_environment": {"type": "object", "additionalProperties": False, "properties": {e: _COUNT if e == "time_limit_ms" else {"type": "string", "minLength": 1} for e in ENVIRONMENT}},
+    },
+}
+
+
+def scan(lines: DataFrame, max_records: int = MAX_RECORDS) -> tuple[DataFrame, DataFrame]:
+    """(records, violations) of JSON lines (file, line, value): what holds as records, and file, line, path and rule of all that does not.
+
+    A line that is no record does not hide the others. A file of more than ``max_records``
+    lines has one violation more, of rule capacity. Empty lines are none.
+    """
+    used = lines.where(F.trim("value") != "")
+    wrong = schema.violations(used, "value", SCHEMA, ["file", "line"])
+    crowded = used.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > max_records)
+    none = crowded.select("file", F.lit(None).cast("long").alias("line"), F.lit("$").alias("path"), F.lit("capacity").alias("rule"))
+    good = used.join(wrong.select("file", "line").distinct(), ["file", "line"], "left_anti")
+    return good.select("file", "line", F.from_json("value", RECORD).alias("r")).select("file", "line", "r.*"), wrong.unionByName(none)
+
+
 def totals(records: DataFrame) -> DataFrame:
     """One row: number of records, the sum of each field over its present values (absent if none), all estimated fields.
 

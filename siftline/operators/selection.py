@@ -7,6 +7,8 @@ keyed by task. Everything around it is windows and aggregates.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,25 +97,34 @@ def choose(rows: pd.DataFrame, blocked: bool = False) -> pd.DataFrame:
     for k in chosen:
         for c, terms in keys[k].items():
             covered[c] |= terms
-    left = [k for k in rows.index if k not in decisions]
-    while left:
-        gains = {k: gain(k) for k in left}
-        best = min(left, key=lambda k: (-len(gains[k]), not rows.at[k, "conflicted"], not rows.at[k, "requested"], -int(rows.at[k, "score"]), k))
-        if not gains[best] and not rows.at[best, "conflicted"] and not rows.at[best, "requested"]:
+    left = {k for k in rows.index if k not in decisions}
+    flags = {k: (not rows.at[k, "conflicted"], not rows.at[k, "requested"], -int(rows.at[k, "score"]), k) for k in left}
+    # What a candidate adds only shrinks as others are taken, so the gain noted last is an upper bound: the best one
+    # whose noted gain still holds is the best of all, and the others' gains need not be computed.
+    heap = [(-sum(len(ts) for ts in keys[k].values()), *flags[k]) for k in left]
+    heapq.heapify(heap)
+    while heap:
+        noted, best = -heap[0][0], heap[0][-1]
+        found = gain(best)
+        if len(found) < noted:
+            heapq.heapreplace(heap, (-len(found), *flags[best]))
+            continue
+        if not found and flags[best][0] and flags[best][1]:
             have = set().union(*(rows.at[k, "group_paths"] for k in chosen)) if chosen else set()
             enough = all(map(met, needs)) and set(rows.at[0, "required_sources"]) <= have and not blocked and not exhausted
             for k in left:
                 decisions[k] = ("OMITTED", "OMIT_SUFFICIENT_EVIDENCE" if enough else "OMIT_NO_MATCH" if rows.at[k, "score"] == 0 else "OMIT_LOWER_MARGINAL_COVERAGE", [])
             break
+        heapq.heappop(heap)
         left.remove(best)
         reason = over(best)
         if reason:
-            decisions[best] = ("OMITTED", reason, gains[best])
+            decisions[best] = ("OMITTED", reason, found)
             continue
         take(best)
-        for c, t in gains[best]:
+        for c, t in found:
             covered[c].add(t)
-        decisions[best] = ("INCLUDED", "INCLUDE_CRITERION_COVERAGE" if gains[best] else "INCLUDE_RELEVANCE", gains[best])
+        decisions[best] = ("INCLUDED", "INCLUDE_CRITERION_COVERAGE" if found else "INCLUDE_RELEVANCE", found)
     place = {k: n for n, k in enumerate(chosen)}
     out = []
     for k, (status, reason, pairs) in decisions.items():

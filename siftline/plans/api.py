@@ -24,6 +24,7 @@ from ..sources.tables import table
 build_catalog, search_documents, build_index, search_index = catalog.build, search.search, fts.build, fts.search
 modules, metric_totals, compare_arms, capsule, validate_handoff = repo_map.modules, metrics.totals, metrics.compare_arms, requests.capsule, requests.validate_handoff
 POLICY_VERSION = "1"
+MAX_MODULES = 512
 
 
 def observe(spark: SparkSession, root: str, excludes: list[str] | None = None) -> dict[str, Any]:
@@ -34,8 +35,11 @@ def observe(spark: SparkSession, root: str, excludes: list[str] | None = None) -
     accepted = repository.hybrid(docs, rest)
     identity = repository.observation_digest(accepted).first()
     name = root.rstrip("/").rsplit("/", 1)[-1]
-    snapshot = {"repository_id": requests.repository_id(name, root), "worktree_digest": json_hash({"sources": identity["sources"], "identity": str(identity["identity"])})}
-    return {"sources": accepted, "documents": docs, "files": rest, "modules": repo_map.modules(files), "snapshot": snapshot}
+    modules = cut(repo_map.modules(files))
+    counters = catalog.summary(files).first().asDict()
+    listed = [r.asDict() for r in modules.orderBy("path", "id").limit(MAX_MODULES).collect()]
+    snapshot = {"repository_id": requests.repository_id(name, root), "worktree_digest": json_hash({"sources": identity["sources"], "identity": str(identity["identity"]), "documents": counters, "modules": listed})}
+    return {"sources": accepted, "documents": docs, "files": rest, "modules": modules, "snapshot": snapshot}
 
 
 def task_row(spark: SparkSession, of: dict[str, Any], budget: dict[str, int] | None = None) -> DataFrame:
@@ -58,7 +62,7 @@ def gathered(tasks: DataFrame, seen: dict[str, Any], nodes: DataFrame | None = N
     docs = seen["documents"].withColumn("kind", F.lit("document"))
     direct, stale = cand.of_sources(tasks, docs, "documents"), None
     made = [direct, cand.of_sources(tasks, seen["files"], "filesystem")]
-    listing = [r.asDict() for r in seen["modules"].limit(512).collect()]
+    listing = [r.asDict() for r in seen["modules"].limit(MAX_MODULES).collect()]
     made.append(cand.of_text(tasks, "repo_map", "repository_map", "repo-map.json", json.dumps(listing, ensure_ascii=False, separators=(",", ":")), True))
     if index is not None:
         hits = fts.search_many(index, tasks.select("task_id", "query"))

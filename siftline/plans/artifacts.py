@@ -19,7 +19,7 @@ from ..operators import ledger
 from ..operators.requests import RequestError
 from . import api
 
-MAX_ARTIFACT_BYTES, MAX_DEPTH = 16 << 20, 64
+MAX_ARTIFACT_BYTES, MAX_INPUT_BYTES, MAX_DEPTH, MAX_VALUES = 8 << 20, 1 << 20, 64, 100_000
 KEPT = ("request", "envelope", "receipt")
 
 
@@ -29,7 +29,7 @@ def _place(spark: SparkSession, path: str) -> tuple[Any, Any]:
 
 
 def write_text(spark: SparkSession, path: str, body: str) -> None:
-    """One whole file, put in place by a rename; an existing one is replaced."""
+    """One whole file, put in place by one rename that replaces an existing one, so a reader finds the old or the new."""
     if len(body.encode()) > MAX_ARTIFACT_BYTES:
         raise RequestError("artifact is too large")
     files, place = _place(spark, path)
@@ -39,9 +39,11 @@ def write_text(spark: SparkSession, path: str, body: str) -> None:
         out.write(bytearray(body.encode()))
     finally:
         out.close()
-    files.delete(place, False)
-    if not files.rename(beside, place):
-        raise RequestError("artifact could not be put in place")
+    jvm = spark._jvm
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    full = files.makeQualified(beside)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(full, files.makeQualified(place), over)
 
 
 def read_json(spark: SparkSession, path: str, max_bytes: int = MAX_ARTIFACT_BYTES) -> Any:
@@ -72,11 +74,13 @@ def parse_json(data: bytes) -> Any:
         value = json.loads(data.decode("utf-8"), object_pairs_hook=pairs, parse_constant=refuse)
     except (UnicodeDecodeError, json.JSONDecodeError, RecursionError) as error:
         raise RequestError("artifact is no JSON") from error
-    level, depth = [value], 0
+    level, depth, values = [value], 0, 0
     while level:
-        depth += 1
+        depth, values = depth + 1, values + len(level)
         if depth > MAX_DEPTH:
             raise RequestError("artifact is too deep")
+        if values > MAX_VALUES:
+            raise RequestError("artifact has too many values")
         level = [x for v in level if isinstance(v, dict | list) for x in (v.values() if isinstance(v, dict) else v)]
     return value
 

@@ -864,10 +864,40 @@ def graph_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(one["files"], one["nodes"], one["edges"], digested, one == other, twice["graph_digest"] != one["graph_digest"])], "files long, nodes long, edges long, digested boolean, order_free boolean, repeats_count boolean")
 
 
-@query(f"""WITH {CORPUS}, s AS (SELECT *, '{{"kind":"document","path":"' || path || '","size_bytes":' || size_bytes || ',"source_hash":"' || source_hash || '"}}' AS e FROM corpus ORDER BY path LIMIT 16385)
-SELECT count(*) AS sources, 'sha256:' || sha256('[' || string_agg(e, ',' ORDER BY path) || ']') AS identity FROM s""")
+@query(f"""WITH {CORPUS}, s AS (SELECT *, '{{"kind":"document","path":"' || path || '","size_bytes":' || size_bytes || ',"source_hash":"' || source_hash || '"}}' AS e FROM corpus)
+SELECT doc_id // 300 AS repository, count(*) AS sources, 'sha256:' || sha256('[' || string_agg(e, ',' ORDER BY path) || ']') AS identity FROM s GROUP BY doc_id // 300""")
 def observation_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repository.observation_digest(_sources(spark, sf_dir))
+    """The identity of every 300 documents as a repository of their own."""
+    return repository.observation_digest(_sources(spark, sf_dir).withColumn("repository", F.expr("doc_id div 300")), by="repository")
+
+
+METRIC_LINES = {
+    1: ('"input_tokens":-1', "$.input_tokens minimum"), 2: ('"tool_calls":"3"', "$.tool_calls type"), 3: ('"test_status":"MAYBE"', "$.test_status enum"), 4: ('"other":1', "$.other additionalProperties"),
+    5: ('"estimated_fields":["tool_calls","tool_calls"]', "$.estimated_fields uniqueItems"), 6: ('"run_environment":{"agent":""}', "$.run_environment.agent minLength"), 7: ('"arm":', "$ json"), 8: ('"estimated_fields":["speed"]', "$.estimated_fields[0] enum"),
+}
+
+
+def _metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines of metric records, one file a user; one line of nine is broken in one of eight ways."""
+    k = F.col("event_id") % 73
+    extra = F.lit('"output_tokens":5')
+    for n, (part, _) in METRIC_LINES.items():
+        extra = F.when(k == n, part).otherwise(extra)
+    head = F.concat(F.lit('{"schema_version":"0.1","task_id":"U-'), "user_id", F.lit('","recorded_at":"2024-01-01T00:00:00Z","duration_ms":'), "event_id", F.lit(","))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("user_id") % 50).alias("file"), F.col("event_id").alias("line"), F.concat(head, extra, F.lit("}")).alias("value"))
+
+
+@query("SELECT 'f' || user_id % 50 AS file, event_id AS line, split_part(v, ' ', 1) AS path, split_part(v, ' ', 2) AS rule FROM events JOIN (VALUES "
+       + ", ".join(f"({k}, '{v}')" for k, (_, v) in METRIC_LINES.items()) + ") AS t(k, v) ON k = event_id % 73 UNION ALL SELECT 'f' || user_id % 50, 0, '$', 'capacity' FROM events GROUP BY user_id % 50 HAVING count(*) > 200")
+def metric_line_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.scan(_metric_lines(spark, sf_dir), 200)[1].withColumn("line", F.coalesce("line", F.lit(0)))
+
+
+@query("SELECT 'f' || user_id % 50 AS file, count(*) AS records, CAST(sum(event_id) AS BIGINT) AS duration_ms, count(*) * 5 AS output_tokens FROM events WHERE event_id % 73 NOT BETWEEN 1 AND 8 GROUP BY user_id % 50")
+def metric_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lines that hold add up to, whatever is wrong with others."""
+    good = metrics.scan(_metric_lines(spark, sf_dir))[0]
+    return good.groupBy("file").agg(F.count("*").alias("records"), F.sum("duration_ms").alias("duration_ms"), F.sum("output_tokens").alias("output_tokens"))
 
 
 @query(f"WITH {CORPUS} SELECT path, source_hash, size_bytes FROM corpus WHERE doc_id % 2 = 0 UNION ALL SELECT replace(path, '.md', '.ts'), source_hash, size_bytes FROM corpus WHERE doc_id % 2 = 1")

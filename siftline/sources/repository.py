@@ -88,15 +88,19 @@ def hybrid(docs: DataFrame, files: DataFrame) -> DataFrame:
     return docs.withColumn("kind", F.lit("document")).select(*columns).unionByName(files.select(*columns))
 
 
-def observation_digest(sources: DataFrame, *columns: str) -> DataFrame:
-    """One row: number and digest of a set of sources, the hash of the canonical JSON list of their paths, hashes, sizes and kinds in order of path.
+def observation_digest(sources: DataFrame, *columns: str, by: str | None = None) -> DataFrame:
+    """Number and digest of a set of sources, the hash of the canonical JSON list of their paths, hashes, sizes and kinds in order of path; with ``by`` of each of its sets.
 
-    Accepted sources are at most ``MAX_FILES``, so their entries meet in one row.
+    The sources of one observation are at most ``MAX_FILES``, so their entries meet in one
+    row; more are an error. ``ordered.of_rows`` has a digest for any number.
     """
     names = sorted(columns or ("kind", "path", "size_bytes", "source_hash"))
     entries = F.transform(F.array_sort(F.collect_list(F.struct("path", F.to_json(F.struct(*names)).alias("entry")))), lambda e: e["entry"])
     listed = F.concat(F.lit("["), F.array_join(entries, ","), F.lit("]"))
-    return sources.orderBy("path").limit(MAX_FILES + 1).agg(F.count("*").alias("sources"), digest.text_hash(listed).alias("identity"))
+    n = F.count("*")
+    counted = F.when(n > MAX_FILES, F.raise_error(F.lit("more sources than one observation takes")).cast("long")).otherwise(n)
+    head = sources if by else sources.orderBy("path").limit(MAX_FILES + 1)
+    return head.groupBy(*([by] if by else [])).agg(counted.alias("sources"), digest.text_hash(listed).alias("identity"))
 
 
 def blocked_policies(blocked: DataFrame, targets: DataFrame, security: Column) -> DataFrame:
