@@ -27,7 +27,6 @@ import html
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -125,16 +124,23 @@ class _Open:
         return place if place >= (self.scopes[-1] if self.scopes else -1) else -1
 
 
-@dataclass(slots=True)
-class Tag:
-    """A tag, comment or declaration from start to stop; cdata is the text of a CDATA section."""
+class Followed:
+    """A tag whose end the pattern does not see, read like a match of it."""
 
-    start: int
-    stop: int
-    name: str = ""
-    closing: bool = False
-    attrs: str = ""
-    cdata: str | None = None
+    def __init__(self, found: re.Match, stop: int, attrs: str) -> None:
+        self.found, self.stop, self.attrs = found, stop, attrs
+
+    def __getitem__(self, group: str) -> str | None:
+        return self.attrs if group == "attrs" else self.found[group]
+
+    def start(self) -> int:
+        return self.found.start()
+
+    def end(self) -> int:
+        return self.stop
+
+
+Tag = re.Match | Followed
 
 
 class _Ends:
@@ -173,20 +179,16 @@ class _Ends:
 
 
 def tags(page: str) -> Iterator[Tag]:
-    """Tags, comments and declarations in page order; send() moves on to a later place. A tag with a quote that is not closed ends at its first ">"."""
+    """Tags, comments and declarations in page order (groups name, end, attrs and cdata); send() moves on to a later place. A tag with a quote that is not closed ends at its first ">"."""
     at, ends = 0, _Ends(page)
     while m := TAG.search(page, at):
-        name, attrs, stop = m["name"], m["attrs"], m.end()
-        if name is None:
-            found = Tag(m.start(), stop, cdata=m["cdata"])
-        elif attrs is not None:
-            found = Tag(m.start(), stop, name, m["end"] == "/", attrs)
-        else:
-            end = ends.after(stop)
-            if end < 0:
-                end = page.find(">", stop) + 1 or len(page)
-            found = Tag(m.start(), end, name, m["end"] == "/", page[stop : end - (page[end - 1] == ">")])
-        at = (yield found) or found.stop
+        if m["attrs"] is None and m["name"]:
+            begin = m.end()
+            stop = ends.after(begin)
+            if stop < 0:
+                stop = page.find(">", begin) + 1 or len(page)
+            m = Followed(m, stop, page[begin : stop - (page[stop - 1] == ">")])
+        at = (yield m) or m.end()
 
 
 def _silent_end(page: str, at: int, name: str, never: set[str]) -> int:
@@ -246,14 +248,14 @@ def blocks(page: str, paths: Paths | None = None) -> list[tuple[str, int, int]]:
     walk = tags(page)
     m = next(walk, None)
     while m is not None:
-        add(page[at : m.start])
-        at = m.stop
-        if m.cdata is not None:
-            add(m.cdata)
-        elif m.name:
-            name, attrs = m.name.lower(), m.attrs
+        add(page[at : m.start()])
+        at = m.end()
+        if m["cdata"] is not None:
+            add(m["cdata"])
+        elif m["name"]:
+            name, attrs = m["name"].lower(), m["attrs"]
             whole = attrs.endswith("/")
-            if m.closing:
+            if m["end"]:
                 if stack.places.get(name):
                     if name in INLINE:
                         stack.close_one(name)

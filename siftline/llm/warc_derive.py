@@ -212,7 +212,7 @@ def _text(kind: str, body: bytes) -> str:
 def _declared(body: bytes) -> str | None:
     """The charset that a meta tag of a page's head names; the head ends with the body's tag, however long it is."""
     for m in tags(BODY.split(body, maxsplit=1)[0].decode("latin-1")):
-        if m.name.lower() == "meta" and not m.closing and (found := CHARSET.search(m.attrs)):
+        if m["name"] and m["name"].lower() == "meta" and not m["end"] and (found := CHARSET.search(m["attrs"])):
             return found[1]
     return None
 
@@ -221,10 +221,10 @@ def _links(page: str) -> list[dict[str, str]]:
     """Tag and address of every link of a page, in order."""
     out = []
     for m in tags(page):
-        if m.name and not m.closing and m.name.lower() in LINKING:
-            found = LINK.search(m.attrs)
+        if m["name"] and not m["end"] and m["name"].lower() in LINKING:
+            found = LINK.search(m["attrs"])
             if found:
-                out.append({"tag": m.name.lower(), "url": html.unescape(found[1] or found[2] or found[3] or "")})
+                out.append({"tag": m["name"].lower(), "url": html.unescape(found[1] or found[2] or found[3] or "")})
     return out
 
 

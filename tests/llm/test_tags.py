@@ -15,9 +15,9 @@ def test_broken_tags_change_nothing_about_others(n):
 
 
 def test_ends_of_tags():
-    found = [(t.name, t.closing, t.attrs, page[t.stop :]) for page in ('<a b="c>d">e', "<a b='c>d=' e='f'>g", '<a b="c', "<A/>", "</a x>y") for t in html_blocks.tags(page)]
+    found = [(t["name"], bool(t["end"]), t["attrs"], page[t.end() :]) for page in ('<a b="c>d">e', "<a b='c>d=' e='f'>g", '<a b="c', "<A/>", "</a x>y") for t in html_blocks.tags(page)]
     assert found == [("a", False, ' b="c>d"', "e"), ("a", False, " b='c", "d=' e='f'>g"), ("a", False, ' b="c', ""), ("A", False, "/", ""), ("a", True, " x", "y")]
-    assert [t.cdata for t in html_blocks.tags("<![CDATA[<p>]]><!-- <p> --><p>")] == ["<p>", None, None]
+    assert [t["cdata"] for t in html_blocks.tags("<![CDATA[<p>]]><!-- <p> --><p>")] == ["<p>", None, None]
 
 
 @pytest.mark.parametrize("bad", ['<p a="> <p b=">x" ', '<p title="a > b" c=\'', '<a x=">', "<!-", "<a '"])
