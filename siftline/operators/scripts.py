@@ -19,6 +19,8 @@ DECLARATION = re.compile(rf"^[ \t]*(?P<export>export\s+(?:default\s+)?)?(?:decla
 MEMBER = re.compile(rf"(?:^|(?<=[;{{}}]))\s*(?:(?:public|private|protected|static|async|readonly|override|abstract|declare|get|set)\s+)*\*?\s*(?P<name>#?{NAME})\s*[?!]?\s*(?P<next>[(<:=;]|$)", re.M)
 IMPORT = re.compile(r"^[ \t]*(?P<word>import|export)\b(?P<what>[^;'\"()]*?)(?:\bfrom\s*)?(?P<quote>['\"])(?P<inside>[^'\"]*)['\"]", re.M)
 MEMBERED = ("class", "interface")
+#: What may end a statement; white space with a line end counts once, however long it is.
+STATEMENT_END = re.compile(r"[;}]|(?<!\s)\s*?(?P<line>\n)\s*|\Z")
 
 
 def blanked(content: str) -> str:
@@ -35,6 +37,7 @@ class Brackets:
     """Pairs of brackets and the depth of every place."""
 
     def __init__(self, code: str) -> None:
+        self.code = code
         self.closing: dict[int, int] = {}
         self.at, self.depths, held = [-1], [0], []
         for m in re.finditer(r"[(){}\[\]]", code):
@@ -45,11 +48,26 @@ class Brackets:
             self.at.append(m.start())
             self.depths.append(len(held))
 
+    def generic_call(self, place: int) -> bool:
+        """Whether what begins at a place, up to the next round bracket, ends with ">" and that bracket opens."""
+        for k in range(bisect.bisect_left(self.at, place), len(self.at)):
+            at = self.at[k]
+            if self.code[at] in "()":
+                return self.code[at] == "(" and _last(self.code, at) == ">"
+        return False
+
     def depth(self, place: int) -> int:
         """How many brackets are open before a place."""
         return self.depths[bisect.bisect_left(self.at, place) - 1] if place > 0 else 0
 
 
+def _last(code: str, end: int) -> str:
+    """The last character before a place that is no white space, or nothing."""
+    while end and code[end - 1].isspace():
+        end -= 1
+    return code[end - 1 : end]
+
+
 def _body(code: str, pairs: Brackets, at: int, depth: int) -> tuple[int | None, int]:
     """(place of the opening brace, end) of what begins before at: its body, or up to the statement's end."""
     for m in re.compile(r"[{;]").finditer(code, at):
@@ -57,27 +75,25 @@ def _body(code: str, pairs: Brackets, at: int, depth: int) -> tuple[int | None,
             if pairs.depth(m.start()) < depth:
                 return None, m.start()
             continue
-        before = code[max(0, m.start() - 200) : m.start()].rstrip()
         if m[0] == ";":
             return None, m.start() + 1
-        if not before.endswith((":", "|", "&")):  # else the brace of a type
+        if _last(code, m.start()) not in (":", "|", "&"):  # else the brace of a type
             return m.start(), pairs.closing.get(m.start(), len(code) - 1) + 1
     return None, len(code)
 
 
 def _statement(code: str, pairs: Brackets, at: int, depth: int) -> int:
     """End of a statement without a body: a semicolon, or a line end where neither side goes on."""
-    for m in re.compile(r"[;}\n]|\Z").finditer(code, at):
+    for m in STATEMENT_END.finditer(code, at):
         if pairs.depth(m.start()) > depth:
             continue
         if m[0] == ";":
             return m.start() + 1
-        before, after = code[max(at, m.start() - 200) : m.start()].rstrip(), code[m.start() : m.start() + 200].lstrip()
-        if m[0] != "\n":
+        if m[0] in ("", "}"):
             if m[0] == "" or pairs.depth(m.start() + 1) < depth:
                 return m.start()
-        elif before and before[-1] not in "=,|&+-?:<(" and not after.startswith(("|", "&", ".", "?", ":", "=")):
-            return m.start()
+        elif m.start() > at and code[m.start() - 1] not in "=,|&+-?:<(" and code[m.end() : m.end() + 1] not in ("|", "&", ".", "?", ":", "="):
+            return m.start("line")
     return len(code)
 
 
@@ -100,7 +116,7 @@ def declarations(content: str) -> Iterator[tuple[str, str, str, int, int, bool]]
             if pairs.depth(n.start("name")) != 1:
                 at = n.end()
                 continue
-            called = n["next"] == "(" or (n["next"] == "<" and re.match(r"<[^()]*>\s*\(", code[n.start("next") : n.start("next") + 500]))
+            called = n["next"] == "(" or (n["next"] == "<" and pairs.generic_call(n.start("next")))
             stop = _body(code, pairs, n.start("next"), 1)[1] if called and kind == "class" else _statement(code, pairs, n.end("name"), 1)
             stop = min(stop, end - 1)
             yield "method" if called else "property", n["name"], f"{m['name']}.{n['name']}", first, stop, False

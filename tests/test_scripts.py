@@ -61,3 +61,16 @@ def test_tables(spark):
     run = nodes["src/a.ts", "run"]
     assert (run["start_line"], run["start_column"], run["end_line"], run["end_column"], run["excerpt_truncated"]) == (12, 1, 15, 2, False)
     assert nodes["src/é.ts", "g"]["start_column"] == 10 and ("src/x.ts", "src/x.ts") in nodes
+
+
+def test_far_apart_parts_of_one_thing():
+    """White space and type parameters of any length change nothing about what is a body, a method or a statement's end."""
+    from siftline.operators.scripts import declarations
+
+    for n in (1, 199, 201, 499, 501, 5_000):
+        gap = " " * n
+        code = f"class A {{\n  m<T extends {'U' * n}>(x: T) {{ return 1 }}\n  p: B\n}}\nfunction f(): {gap}{{ a: 1 }} {{ return 2 }}\nconst c ={chr(10)}{gap}1\ntype D = A{chr(10) * n}| B\nconst e = 2\n"
+        found = [(k, q, code[a:b].strip()) for k, _, q, a, b, _ in declarations(code)]
+        assert [(k, q) for k, q, _ in found] == [("class", "A"), ("method", "A.m"), ("property", "A.p"), ("function", "f"), ("variable", "c"), ("type", "D"), ("variable", "e")]
+        texts = {q: t for _, q, t in found}
+        assert texts["A.m"].endswith("return 1 }") and texts["f"].endswith("return 2 }") and texts["c"].endswith("1") and texts["D"].endswith("| B") and texts["e"] == "const e = 2"
