@@ -55,7 +55,6 @@ OTHER = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?
 TAG = re.compile(rf"{OTHER}|{NAME}(?:(?P<attrs>(?:[^>\"']++|\"[^\">]*+\"|'[^'>]*+')*+)>)?", re.S)
 MARK = re.compile("[>\"']")
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WHITE = re.compile(r"\s+")
 RAW = frozenset(("script", "style"))
 
 
@@ -82,7 +81,7 @@ class Paths:
 class _Open:
     """The open elements of a page: (name, path) in order, with the places of each name. A place closed out of order is left as a gap."""
 
-    def __init__(self, paths: Paths) -> None:
+    def __init__(self, paths: Paths | None) -> None:
         self.paths = paths
         self.names: list[str | None] = []
         self.nodes: list[int] = []
@@ -97,7 +96,7 @@ class _Open:
         self.places[name].append(len(self.names))
         if name in SCOPE:
             self.scopes.append(len(self.names))
-        self.nodes.append(self.paths.child(self.node, label))
+        self.nodes.append(self.paths.child(self.node, label) if self.paths else 0)
         self.names.append(name)
 
     def cut(self, place: int) -> None:
@@ -216,16 +215,16 @@ def _silent_end(page: str, at: int, name: str, never: set[str]) -> int:
 
 
 def blocks(page: str, paths: Paths | None = None) -> list[tuple[str, int, int]]:
-    """(text, number of the tag path, characters inside links) of every text block, in page order."""
+    """(text, number of the tag path among ``paths``, characters inside links) of every text block, in page order; without ``paths`` all numbers are 0."""
     out: list[tuple[str, int, int]] = []
-    stack = _Open(paths or Paths())
+    stack = _Open(paths)
     parts: list[str] = []
     never: set[str] = set()
     linked = at = 0
 
     def flush() -> None:
         nonlocal linked
-        text = WHITE.sub(" ", "".join(parts)).strip()
+        text = " ".join("".join(parts).split())
         if text:
             out.append((text, stack.node, min(linked, len(text))))
         parts.clear()
@@ -278,7 +277,7 @@ def blocks(page: str, paths: Paths | None = None) -> list[tuple[str, int, int]]:
                 elif name not in VOID and not whole:
                     if name not in INLINE:
                         flush()
-                    marks = " ".join(a or b or c for a, b, c in ATTR.findall(attrs)).lower() if attrs else ""
+                    marks = " ".join(a or b or c for a, b, c in ATTR.findall(attrs)).lower() if attrs and paths else ""
                     stack.push(name, f"{name} {marks}" if marks else name)
                 elif name not in INLINE:
                     flush()

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import map_rows
+from .rows import map_rows, need_free
 
 # Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, NULL_PID, CRC_POLY = 188, 0x47, 0x1FFF, 0x04C11DB7
@@ -270,12 +270,15 @@ def parse_streams(media: DataFrame, column: str, unit_data: bool = True) -> Data
             out.append(found)
         return pd.DataFrame(out, columns=names)
 
+    need_free(media, "transport")
     return media.withColumn("transport", parsed(F.col(column)))
 
 
 def stream_units(media: DataFrame, column: str, unit_data: bool = True) -> DataFrame:
-    """media, without the binary column, with one row for each elementary packet: pid, stream_id, pts, dts, random_access, offset, damaged, data."""
+    """media, without the binary column, with one row for each elementary packet: pid, stream_id, pts, dts, random_access, offset, damaged, data; a table that has such a column is an error."""
     parsed = parse_streams(media, column, unit_data)
+    units = parsed.schema["transport"].dataType["units"].dataType.elementType.names
+    need_free(media.drop(column), *units)
     return parsed.select(*[c for c in media.columns if c != column], F.inline("transport.units"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import public_tokenizer
-from .rows import map_rows, running
+from .rows import map_rows, need_free, running
 
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, BODY, END = "<|", "|>\n", "<|end|>\n"
@@ -90,7 +90,8 @@ def loss_spans(turns: Column) -> Column:
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs (chosen and rejected arrays of turns, and more) with n_common, prompt, completions and their loss spans."""
+    """pairs (chosen and rejected arrays of turns, and more) with n_common, prompt, completions and their loss spans; pairs that have such a column are an error."""
+    need_free(pairs, "n_common", "prompt", *(f"{side}_{part}" for side in ("chosen", "rejected") for part in ("completion", "loss")))
     chosen, rejected = (F.coalesce(F.col(c).cast(TURNS), F.array().cast(TURNS)) for c in ("chosen", "rejected"))
     rows = pairs.withColumns({"chosen": chosen, "rejected": rejected}).withColumn("n_common", common_prefix(F.col("chosen"), F.col("rejected")))
     rest = {side: F.slice(side, F.col("n_common") + 1, F.greatest(F.size(side) - F.col("n_common"), F.lit(0))) for side in ("chosen", "rejected")}

@@ -58,6 +58,13 @@ def free_name(wanted: str, *tables: DataFrame) -> str:
     return wanted
 
 
+def need_free(table: DataFrame, *names: str) -> None:
+    """An error where a table has a column that an operator is about to add, whatever the case."""
+    clash = {c.lower() for c in table.columns} & {n.lower() for n in names}
+    if clash:
+        raise ValueError(f"the table has a column {', '.join(sorted(clash))} already")
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -165,3 +165,17 @@ def test_gradients_by_difference():
         down = loss()
         flat[k] += 1e-3
         assert abs((up - down) / 2e-3 - grads[name].reshape(-1)[k]) < 1e-3
+
+
+def test_clashing_column_names(spark):
+    media = m.write_streams(spark.createDataFrame([(1, "text")], "doc_id long, text string"))
+    assert m.stream_units(media, "media").count() >= 1
+    for name in ("PID", "transport", "data"):
+        with pytest.raises(ValueError, match="already"):
+            m.stream_units(media.withColumn(name, media["doc_id"]), "media")
+    from siftline.llm import preferences
+
+    turn = "array<struct<role:string,text:string>>"
+    pairs = spark.createDataFrame([(1, [("user", "a")], [("user", "b")], "mine")], f"pair_id long, chosen {turn}, rejected {turn}, Prompt string")
+    with pytest.raises(ValueError, match="prompt"):
+        preferences.format_pairs(pairs)
