@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pytest
 
 from siftline.llm import html_blocks as h
 from siftline.llm import media_ts as m
