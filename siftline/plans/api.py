@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import screen, text
 from ..functions.digest import json_hash
 from ..operators import candidates as cand
-from ..operators import catalog, fts, graph, ledger, metrics, repo_map, requests, scoring, search, selection
-from ..sources import repository
+from ..operators import catalog, fts, graph, ledger, metrics, repo_map, requests, schema, scoring, search, selection
+from ..sources import repository, stores
 from ..sources.scratch import cut
 from ..sources.tables import table
 
 build_catalog, search_documents, build_index, search_index = catalog.build, search.search, fts.build, fts.search
+publish_catalog, publish_index, read_index, search_index_many = catalog.publish, fts.reuse_or_publish, fts.read, fts.search_many
+append_outcomes, outcomes, insert_if_absent, schema_violations, scan_metrics = stores.append_outcomes, stores.outcomes, stores.insert_if_absent, schema.violations, metrics.scan
 modules, metric_totals, compare_arms, capsule, validate_handoff = repo_map.modules, metrics.totals, metrics.compare_arms, requests.capsule, requests.validate_handoff
 POLICY_VERSION = "1"
 MAX_MODULES = 512
