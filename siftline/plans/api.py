@@ -17,7 +17,7 @@ from ..functions import screen, text
 from ..functions.digest import json_hash
 from ..operators import candidates as cand
 from ..operators import catalog, fts, graph, ledger, metrics, repo_map, requests, schema, scoring, search, selection
-from ..sources import repository, stores
+from ..sources import repository, stores, tree
 from ..sources.scratch import cut
 from ..sources.tables import table
 
@@ -29,9 +29,13 @@ POLICY_VERSION = "1"
 MAX_MODULES = 512
 
 
-def observe(spark: SparkSession, root: str, excludes: list[str] | None = None) -> dict[str, Any]:
-    """One observation of a repository: documents, files, modules and the identity of all accepted sources."""
-    files = cut(repository.walk(spark, root, excludes))
+def observe(spark: SparkSession, root: str, excludes: list[str] | None = None, mounted: bool = False) -> dict[str, Any]:
+    """One observation of a repository: documents, files, modules and the identity of all accepted sources.
+
+    mounted: root is a folder that all executors see; links are not followed then, ceilings
+    hold, and a file that changes while it is read is an error.
+    """
+    files = cut(tree.files(tree.walk(spark, root, excludes), root) if mounted else repository.walk(spark, root, excludes))
     docs = cut(repository.documents(files))
     rest = cut(repository.fallback(files, docs))
     accepted = repository.hybrid(docs, rest)
