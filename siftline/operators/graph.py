@@ -19,7 +19,6 @@ SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs")
 IMPORT_COLUMNS = "path string, kind string, specifier string, local_name string, imported string, start_line int, start_column int"
 NODE_COLUMNS = "path string, kind string, name string, qualified_name string, start_line int, start_column int, end_line int, end_column int, source_hash string, exported boolean, excerpt string, excerpt_truncated boolean"
 EXCERPT_LINES, EXCERPT_CHARS = 8, 2_000
-PLACE_BITS = 31  # a file's places fit in so many bits
 
 
 def normal_path(path):
@@ -103,16 +102,16 @@ def shadowed(calls: DataFrame, scopes: DataFrame) -> DataFrame:
     """calls (path, place, identifier, …) with lexically_shadowed and the innermost scope_id that declares the identifier around the call.
 
     scopes: path, scope_id, from_place, to_place (exclusive) and the names it declares.
-    Every scope lies in one smallest block of a power-of-two grid, and a call in one block
-    of each size, so calls meet scopes by equality of path, name and block; how deep scopes
-    nest or how long they are makes no difference to the number of rows.
+    Scopes are dealt by their length to grids of blocks of 1, 4, 16, … places, the first whose
+    blocks are no shorter; there they lie in one block or two. A call looks into one block
+    of each grid that has scopes, and meets scopes by equality of path, name and block.
     """
-    levels = F.sequence(F.lit(0), F.lit(PLACE_BITS))
-    declared = scopes.where("to_place > from_place").select(
-        "path", "scope_id", "from_place", "to_place", F.explode(F.array_distinct("names")).alias("identifier"),
-        F.length(F.regexp_replace(F.bin(F.col("from_place").bitwiseXOR(F.col("to_place") - 1)), "^0$", "")).alias("level"),
-    )
-    declared = declared.withColumn("block", F.expr("shiftright(CAST(from_place AS BIGINT), level)"))
+    length = F.col("to_place").cast("long") - F.col("from_place")
+    bits = F.length(F.regexp_replace(F.bin(length - 1), "^0$", ""))
+    declared = scopes.where("to_place > from_place").select("path", "scope_id", "from_place", "to_place", F.explode(F.array_distinct("names")).alias("identifier"), (F.ceil(bits / 2) * 2).cast("int").alias("level"))
+    used = sorted(r["level"] for r in declared.select("level").distinct().collect())  # at most 33
+    declared = declared.withColumn("block", F.explode(F.expr("sequence(shiftright(CAST(from_place AS BIGINT), level), shiftright(CAST(to_place AS BIGINT) - 1, level))")))
+    levels = F.array(*[F.lit(k) for k in used]).cast("array<int>")
     asked = calls.select("path", "identifier", F.col("place").cast("long").alias("place")).distinct().withColumn("level", F.explode(levels)).withColumn("block", F.expr("shiftright(place, level)"))
     inside = asked.join(declared, ["path", "identifier", "level", "block"]).where("from_place <= place AND place < to_place")
     nearest = inside.groupBy("path", "identifier", "place").agg(F.max_by("scope_id", F.struct(F.col("from_place"), -F.col("to_place"), "scope_id")).alias("scope_id"))

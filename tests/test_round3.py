@@ -33,3 +33,10 @@ def test_blocks_are_hashed_where_they_lie(monkeypatch):
     got = [x for b in ordered._pieces(iter(batches)) for x in b.to_pylist()]
     assert [(x["block"], x["first"], len(x["text"])) for x in got] == [(0, 1, 192), (1, 4, 64), (2, 8, 192)]
     assert got[1]["text"] == hashlib.sha256(b"".join(marks[4:8]).hex().encode()).hexdigest()
+
+
+def test_scopes_of_any_length(spark):
+    scopes = spark.createDataFrame([("p", "wide", 0, 1 << 40, ["x"]), ("p", "near", (1 << 39) - 3, (1 << 39) + 5, ["x"])], "path string, scope_id string, from_place long, to_place long, names array<string>")
+    calls = spark.createDataFrame([("p", 1 << 38, "x"), ("p", 1 << 39, "x"), ("p", 1 << 41, "x")], "path string, place long, identifier string")
+    assert sorted((r["place"], r["scope_id"]) for r in graph.shadowed(calls, scopes).collect()) == [(1 << 38, "wide"), (1 << 39, "near"), (1 << 41, None)]
+    assert graph.shadowed(calls, scopes.limit(0)).where("lexically_shadowed").count() == 0
