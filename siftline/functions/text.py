@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-WORD = r"[\p{L}\p{N}]+"
+WORD = r"[a-z0-9[\p{L}\p{N}]]+"  # the frequent ones are looked for first
 CONTROL = r"[\x00-\x1F\x7F-\u009F]"
 #: White space of the source language's \s class, which is wider than Java's.
 SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
@@ -32,7 +32,8 @@ STABLE = (
     (0x400, 0x482), (0x48A, 0x52F), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x2010, 0x2010), (0x2012, 0x2016), (0x2018, 0x2023), (0x20AC, 0x20AC), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
     (0x1F300, 0x1F64F),
 )
-UNSTABLE = "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in STABLE) + "]"
+#: The first range is tried alone; most characters need no other.
+UNSTABLE = "[^\\x00-\\x7F[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in STABLE[1:]) + "]]"
 
 
 @F.pandas_udf(StringType())
@@ -62,8 +63,18 @@ def tokens(text: Column, normalise: bool = True) -> Column:
     Compatibility forms count as what they stand for. Within a lambda, where Spark has no
     Python functions, the text must be normalised already (normalise=False).
     """
-    source = nfkc(text) if normalise else text
-    return F.regexp_extract_all(F.lower(F.coalesce(source, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(plain(text, normalise), F.lit(WORD), F.lit(0))
+
+
+def plain(text: Column, normalise: bool = True) -> Column:
+    """Normalised, lower-cased text; a null is empty."""
+    return F.lower(F.coalesce(nfkc(text) if normalise else text, F.lit("")))
+
+
+def term_uses(plain_text: Column, term: str) -> Column:
+    """How often a term, a run of letters and numbers, is a whole word of a ``plain`` text; no list of words is made."""
+    other = r"[\p{L}\p{N}]"
+    return F.regexp_count(plain_text, F.lit(f"{term}(?<!{other}{term})(?!{other})"))
 
 
 def distinct_terms(text: Column, normalise: bool = True) -> Column:

@@ -35,13 +35,13 @@ def filtered(catalog: DataFrame, authorities: list[str] | None = None, modules:
 
 
 def score(terms: list[str], fields: dict[str, Column], title_tokens: Column) -> tuple[Column, Column, Column]:
-    """(score, fields that hold a term, whether every term is in some field), from each field's token array."""
+    """(score, fields that hold a term, whether every term is in some field), from each field's ``plain`` text."""
     total, per_field = F.lit(0), {name: F.lit(False) for name, _, _ in FIELDS}
     every = F.lit(bool(terms))
     for term in terms:
         anywhere = F.lit(False)
         for name, weight, cap in FIELDS:
-            n = text.term_count(fields[name], term)
+            n = text.term_uses(fields[name], term)
             total = total + weight * F.least(n, F.lit(cap))
             per_field[name] = per_field[name] | (n > 0)
             anywhere = anywhere | (n > 0)
@@ -55,7 +55,7 @@ def score(terms: list[str], fields: dict[str, Column], title_tokens: Column) ->
 def search(catalog: DataFrame, query: str, limit: int = DEFAULT_LIMIT, normalise: bool = True, **filters: list[str] | None) -> DataFrame:
     """The best hits: id, path, title, authority, source_hash, score, matched_fields, matched_terms, excerpt.
 
-    Filters come before tokenising; the scan, the score and the AND rule are one stage and
+    Filters come before anything is read of a text; the scan, the score and the AND rule are one stage and
     only the top rows reach the driver.
     """
     if not 1 <= limit <= MAX_LIMIT:
@@ -63,8 +63,8 @@ def search(catalog: DataFrame, query: str, limit: int = DEFAULT_LIMIT, normalise
     terms = query_terms(query)
     joined = lambda c: F.array_join(c, " ")
     parts = {"title": F.col("title"), "path": F.col("path"), "module": joined("modules"), "topic": joined("topics"), "body": F.col("content")}
-    with_tokens = filtered(catalog, **filters).select("*", *[text.tokens(c, normalise).alias(f"t_{n}") for n, c in parts.items()])
-    total, names, every = score(terms, {n: F.col(f"t_{n}") for n in parts}, F.col("t_title"))
+    with_tokens = filtered(catalog, **filters).select("*", *[text.plain(c, normalise).alias(f"t_{n}") for n, c in parts.items()])
+    total, names, every = score(terms, {n: F.col(f"t_{n}") for n in parts}, text.tokens(F.col("t_title"), False))
     wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
     hits = with_tokens.where(every).select("id", "path", "title", "authority", "source_hash", total.alias("score"), names.alias("matched_fields"), wanted.alias("matched_terms"), "content")
     top = hits.orderBy(F.desc("score"), authority_rank(F.col("authority")), "path", "id").limit(limit)

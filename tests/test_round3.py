@@ -5,7 +5,9 @@ import hashlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from siftline.functions import text
 from siftline.operators import graph, ordered
 from siftline.plans import catalogue
 
@@ -50,3 +52,9 @@ def test_scopes_of_any_length(spark):
     calls = spark.createDataFrame([("p", 1 << 38, "x"), ("p", 1 << 39, "x"), ("p", 1 << 41, "x")], "path string, place long, identifier string")
     assert sorted((r["place"], r["scope_id"]) for r in graph.shadowed(calls, scopes).collect()) == [(1 << 38, "wide"), (1 << 39, "near"), (1 << 41, None)]
     assert graph.shadowed(calls, scopes.limit(0)).where("lexically_shadowed").count() == 0
+
+
+def test_terms_are_counted_as_whole_words(spark):
+    values = ["the other the THE", "breathe the-the_the the1 1the thé ñthe thé", "𝒶the the𝒶 the", "ｔhe ﬆ", "", None, "thethe the"]
+    rows = spark.createDataFrame([(v,) for v in values], "t string").select(F.size(F.filter(text.tokens(F.col("t")), lambda w: w == "the")), text.term_uses(text.plain(F.col("t")), "the"))
+    assert all(a == b for a, b in rows.collect()) and [a for a, _ in rows.collect()][:2] == [3, 3]
