@@ -7,6 +7,7 @@ function for; only values with characters outside ASCII go through it.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,8 +49,7 @@ def _nfkc_each(values: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Compatibility-normalised text. Python only sees texts with characters that may change; for others it gets a null."""
-    unstable = text.rlike(UNSTABLE)
-    return F.when(unstable, _nfkc(F.when(unstable, text))).otherwise(text)
+    return F.coalesce(_nfkc(F.when(text.rlike(UNSTABLE), text)), text)
 
 
 def nfkc_each(texts: Column) -> Column:
@@ -117,45 +117,55 @@ def excerpt(text: Column, terms: Column, max_lines: int = EXCERPT_LINES, max_cha
 
 def was_bounded(text: Column, max_lines: int = CANDIDATE_LINES, max_bytes: int = CANDIDATE_BYTES) -> Column:
     """Whether a source is longer than a candidate's excerpt may be."""
-    clean = F.trim(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\u009F]", " "))
-    return (F.size(lines(clean)) > max_lines) | (F.octet_length(clean) > max_bytes)
+    clean = _clean(text)
+    return (F.octet_length(clean) > max_bytes) | (F.regexp_count(clean, F.lit(LINES)) >= max_lines)
 
 
-def _cut_bytes(text: str, limit: int) -> str:
-    raw = text.encode()
-    return text if len(raw) <= limit else raw[:limit].decode(errors="ignore").rstrip()
+def _clean(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\u009F]", " "))
 
 
-@F.pandas_udf(StringType())
-def _byte_bound(values: pd.Series, limits: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else _cut_bytes(v, n) for v, n in zip(values, limits, strict=True)], dtype=object)
+#: What Python's str.rstrip removes.
+BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def bounded_excerpt(text: Column, max_lines: int = CANDIDATE_LINES, max_bytes: int = CANDIDATE_BYTES) -> Column:
-    """At most so many lines and bytes of a source; a code point is never split.
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f uses it. Spark has no Python functions within f."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    Only texts over the byte limit need Python, because a byte cut may fall inside a
-    character.
-    """
-    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\u009F]", " "))
-    head = F.array_join(F.slice(lines(clean), 1, max_lines), "\n")
-    over = F.octet_length(head) > max_bytes
-    short = F.when(over, _byte_bound(F.when(over, head), F.lit(max_bytes))).otherwise(head)
-    return F.when(short == "", F.lit(EMPTY_EXCERPT)).otherwise(short)
+
+def _cut_bytes(text: Column, limit: int) -> Column:
+    """The whole code points among the first ``limit`` bytes, without white space at the end."""
+    head = lambda n: F.try_validate_utf8(F.substring(text.cast("binary"), 1, n).cast("string"))
+    return F.rtrim(F.coalesce(*[head(max(limit - k, 0)) for k in range(4)]), F.lit(BLANK))
+
+
+def bounded_excerpt(text: Column, max_lines: int = CANDIDATE_LINES, max_bytes: int = CANDIDATE_BYTES) -> Column:
+    """At most so many lines and bytes of a source; a code point is never split."""
+    head = F.substring_index(F.regexp_replace(_clean(F.coalesce(text, F.lit(""))), "\r\n?", "\n"), "\n", max_lines)
+    short = _bound(head, lambda h: F.when(F.octet_length(h) > max_bytes, _cut_bytes(h, max_bytes)).otherwise(h))
+    return F.coalesce(_bound(short, lambda x: F.when(x != "", x)), F.lit(EMPTY_EXCERPT))
 
 
 def relevant_excerpt(text: Column, terms: Column, max_lines: int = CANDIDATE_LINES, max_bytes: int = CANDIDATE_BYTES) -> Column:
     """Bounded excerpt around the first line that holds a term as a substring."""
-    source = lines(F.coalesce(text, F.lit("")))
-    hit = F.transform(source, lambda line: F.exists(terms, lambda t: F.contains(F.lower(line), t)))
-    anchor = F.greatest(F.array_position(hit, True), F.lit(1))
-    start = F.greatest(anchor - max_lines // 3, F.lit(1)).cast("int")
-    window = F.array_join(F.slice(source, start, max_lines), "\n")
-    chosen = F.when(F.size(source) > max_lines, window).otherwise(text)
-    at = F.greatest(F.array_min(F.transform(terms, lambda t: F.nullif(F.position(t, F.lower(chosen)), F.lit(0)))), F.lit(1))
+    return bounded_excerpt(surroundings(text, terms, max_lines, max_bytes), max_lines, max_bytes)
+
+
+def surroundings(text: Column, terms: Column, max_lines: int = CANDIDATE_LINES, max_bytes: int = CANDIDATE_BYTES) -> Column:
+    """What lies around the first line that holds a term as a substring, before it is bounded.
+
+    A term has no line break, so its line is told from where it first is in the whole text.
+    Values that each term is looked for in are bound; else they are computed for each term.
+    """
+    first = lambda low: F.array_min(F.transform(terms, lambda t: F.nullif(F.position(t, low), F.lit(0))))
+    before = lambda low: F.substring(low, F.lit(1), F.coalesce(first(low), F.lit(1)) - 1)
+    anchor = _bound(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.regexp_count(before(low), F.lit(LINES)) + 1)
+    window = lambda source: F.array_join(F.slice(source, F.greatest(anchor - max_lines // 3, F.lit(1)).cast("int"), max_lines), "\n")
+    chosen = _bound(lines(F.coalesce(text, F.lit(""))), lambda source: F.when(F.size(source) > max_lines, window(source)).otherwise(text))
     chars = max_bytes // 2
-    near = F.substring(chosen, F.greatest(F.coalesce(at, F.lit(1)) - chars // 3, F.lit(1)), F.lit(chars))
-    return bounded_excerpt(F.when(F.octet_length(chosen) > max_bytes, near).otherwise(chosen), max_lines, max_bytes)
+    start = lambda c: F.greatest(F.coalesce(_bound(F.lower(c), first), F.lit(1)) - chars // 3, F.lit(1))
+    return _bound(chosen, lambda c: F.when(F.octet_length(c) > max_bytes, F.substring(c, start(c), F.lit(chars))).otherwise(c))
 
 
 def index_excerpt(text: Column, max_chars: int = INDEX_EXCERPT_CHARS) -> Column:
