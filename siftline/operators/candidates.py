@@ -13,6 +13,7 @@ from .scoring import MAX_CANDIDATES, STRINGS, normalised
 
 PROVIDER_CAP, INDEX_CAP = 1_024, 50
 SIGNAL_TERMS = 128
+BROADCAST = 64 << 20  # bytes of keys that are broadcast; more are joined
 MAX_LONG_POLICIES = 16_384  # as many files as a repository's corpus may have
 # Fixed value: test files among scripts.
 TEST_CODE = r"(^|/)(test|tests|__tests__)(/|$)|\.(test|spec)\.[cm]?[jt]sx?$"
@@ -64,7 +65,9 @@ def _first(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
 def postings(asked: DataFrame, rows: DataFrame, key: str, words: Column) -> DataFrame:
     """(term, key, and the other short columns of rows) of the words that some task asks for. A task has at most 128 terms; tasks are few enough to broadcast theirs or are joined."""
     wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    short = [c for c in rows.columns if c not in ("content", "title", "excerpt")]
+    if wanted.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0] <= BROADCAST:  # else all words would be shuffled
+        wanted = F.broadcast(wanted)
+    short = [c for c in rows.columns if c not in ("content", "title", "excerpt", "shown")]
     return rows.select(*short, F.explode(F.array_distinct(words)).alias("term")).join(wanted, "term", "left_semi")
 
 
@@ -117,7 +120,8 @@ def of_sources(tasks: DataFrame, sources: DataFrame, provider: str, cap: int = P
     files = provider == "filesystem"
     asked = asking(tasks)
     usable = sources.where(F.octet_length("content") > 0).withColumns({"long": text.was_bounded(F.col("content")), "policy": F.col("authority") == "policy"})
-    shown = F.when(F.col("long"), F.col("content")).otherwise(text.bounded_excerpt(F.col("content")))
+    usable = usable.withColumn("shown", F.when(F.col("long"), F.col("content")).otherwise(text.bounded_excerpt(F.when(~F.col("long"), F.col("content")))))  # columns, so that each is computed once
+    shown = F.col("shown")
     none = F.lit(None)
     own_id = digest.candidate_id(F.lit(provider), F.col("path"), none.cast("int"), none.cast("int"), none.cast("string"), F.col("source_hash"), digest.text_hash(shown))
     last = "id" if files else "path"
@@ -125,7 +129,7 @@ def of_sources(tasks: DataFrame, sources: DataFrame, provider: str, cap: int = P
     keys = ["path", "authority", "policy", "long", *(["id"] if files else [])]
     known = stored((usable.withColumn("id", own_id) if files else usable).select(*keys), "source_keys")
     words = text.tokens(F.concat_ws(" ", F.col("path"), F.col("title"), shown))
-    terms = stored(postings(asked, usable.select("path", "long", "title", "content"), "path", words).select("path", "term"), "source_terms").join(known, "path")
+    terms = stored(postings(asked, usable.select("path", "long", "title", "shown"), "path", words).select("path", "term"), "source_terms").join(known, "path")
     short, held = known.where("NOT long"), terms.where("NOT long")
     pairs = wanted_by(asked, held, "path", order, cap + 1).unionByName(_named(asked, short, "path", files, order, cap + 1)).unionByName(_policies(asked, short, [F.col(last)], cap + 1)).distinct()
     needs = asked.select("task_id", F.coalesce("required_sources", F.array().cast(STRINGS)).alias("needs"))
@@ -139,11 +143,10 @@ def of_sources(tasks: DataFrame, sources: DataFrame, provider: str, cap: int = P
         placed = more.join(longer.select("path", "policy"), "path").join(needs, "task_id").withColumn("required", F.array_contains("needs", F.col("path")))
         more = placed.join(worst, "task_id", "left").where(F.col("worst").isNull() | (here < F.col("worst"))).select("task_id", "path")
     chosen = cut(first.select("task_id", "path").unionByName(more))
-    rows = chosen.join(usable, "path").join(asked, "task_id")
-    whole = text.bounded_excerpt(F.when(~F.col("long"), F.col("content")))
-    around = text.relevant_excerpt(F.when(F.col("long"), F.col("content")), F.col("terms"))
-    shown = rows.withColumns({"excerpt": F.when(F.col("long"), around).otherwise(whole), "bounded": F.col("long")}).drop("content")
-    rows = stored(shown, "source_excerpts")  # an expression that much after it uses; computed once
+    rows = chosen.join(usable.drop("content"), "path").join(asked, "task_id")
+    rows = rows.withColumn("around", text.surroundings(F.when(F.col("long"), F.col("shown")), F.col("terms")))
+    rows = rows.withColumn("excerpt", F.when(F.col("long"), text.bounded_excerpt(F.col("around"))).otherwise(F.col("shown"))).withColumn("bounded", F.col("long")).drop("around", "shown")
+    rows = stored(rows, "source_excerpts")  # an expression that much after it uses; computed once
     required = F.coalesce(F.array_contains("required_sources", F.col("path")), F.lit(False))
     rows = _with_signals(rows, "path", "title", "excerpt").withColumn("required", required)
     hinted = paths.within(F.col("path"), F.coalesce("hint_paths", F.array().cast(STRINGS)))
@@ -163,11 +166,23 @@ def _capped(rows: DataFrame, order: list[Column], cap: int, reason: str) -> Data
     """The first ``cap`` rows of each task; if there were more, all that stay say so.
 
     One row beyond the cap is ranked along to tell, so nothing is counted and the rank
-    filter stays one that is applied before the shuffle.
+    filter stays one that is applied before the shuffle. Rows are ranked without their
+    excerpts, which are joined to those that stay.
     """
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "source_candidates")
     place = F.row_number().over(Window.partitionBy("task_id").orderBy(*order))
-    near = rows.withColumn("place", place).where(F.col("place") <= cap + 1)
+    near = rows.drop("excerpt").withColumn("place", place).where(F.col("place") <= cap + 1)
     kept = near.withColumn("limited", F.max("place").over(Window.partitionBy("task_id")) > cap).where(F.col("place") <= cap)
+    return _limited(rows.join(_small(kept.select("row", "limited")), "row").drop("row"), reason)
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Ranked keys, broadcast if they are few."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST // 256 else keys
+
+
+def _limited(kept: DataFrame, reason: str) -> DataFrame:
     reasons = F.when(F.col("limited"), F.array_sort(F.array_union("truncation_reasons", F.array(F.lit(reason))))).otherwise(F.col("truncation_reasons"))
     return kept.withColumns({"truncation_reasons": reasons, "truncated": F.col("truncated") | F.col("limited")})
 
@@ -271,9 +286,15 @@ def aggregate(tasks: DataFrame, providers: list[DataFrame], cap: int = MAX_CANDI
     if capsule:
         allowed, forbidden = (F.array(*[F.lit(x) for x in side]).cast(STRINGS) for side in capsule)
         rows = rows.where(paths.allowed_by_capsule(F.col("path"), F.col("authority"), allowed, forbidden))
-    last = F.row_number().over(Window.partitionBy("task_id", "id").orderBy(F.desc("from")))
-    once = rows.withColumn("last", last).where("last = 1").drop("last", "from")
+    # Keys are ranked alone; only what stays is joined with its excerpts and other columns.
+    named = F.struct("path", "authority", "provider")
+    once = rows.groupBy("task_id", "id").agg(F.max("from").alias("from"), F.max_by(named, "from").alias("k")).select("task_id", "id", "from", "k.*")
     needs = tasks.select("task_id", F.coalesce("required_sources", F.array().cast(STRINGS)).alias("needs"))
     ranked = once.join(needs, "task_id").withColumn("required", F.array_contains("needs", F.col("path")))
     direct = (F.col("authority") == "policy") & F.col("provider").isin("documents", "filesystem")
-    return _capped(ranked, [F.desc("required"), F.desc(direct), F.col("id")], cap, "CANDIDATE_SET_LIMIT").select(*COLUMNS)
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("required"), F.desc(direct), F.col("id")))
+    near = ranked.withColumn("place", place).where(F.col("place") <= cap + 1)
+    kept = near.withColumn("limited", F.max("place").over(Window.partitionBy("task_id")) > cap).where(F.col("place") <= cap)
+    found = rows.join(_small(kept.select("task_id", "id", "from", "limited")), ["task_id", "id", "from"])
+    found = found.withColumn("last", F.row_number().over(Window.partitionBy("task_id", "id").orderBy(F.desc("from")))).where("last = 1")  # of a provider's repeated rows one
+    return _limited(found, "CANDIDATE_SET_LIMIT").select(*COLUMNS)

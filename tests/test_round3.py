@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftline.functions import text
-from siftline.operators import fts, graph, ordered
-from siftline.plans import catalogue
+from siftline.operators import candidates, fts, graph, ordered
+from siftline.plans import catalogue, corpus
 
 
 def equal_to_sql(spark, folder, name):
@@ -120,3 +120,11 @@ def test_an_excerpt_lies_around_the_first_line_with_a_term(spark):
     long, end = "\r\n".join([*lines[:7], "ΣΑΣ Red", *lines[7:]]), "\n".join([*lines, "red"])
     rows = spark.createDataFrame([(long,), (end,), ("no",), ("\n".join(lines),), (None,)], "t string").select(text.relevant_excerpt(F.col("t"), F.array(F.lit("red"), F.lit("σας")), 3, 99).alias("e"))
     assert [r["e"] for r in rows.collect()] == ["l6\nΣΑΣ Red\nl7", "l11\nred", "no", "l0\nl1\nl2", text.EMPTY_EXCERPT]
+
+
+def test_candidates_are_ranked_without_their_excerpts(spark, tmp_path):
+    documents(spark, tmp_path, [(k, f"the other {k}") for k in range(9)])
+    plan = candidates.aggregate(corpus.tasks(spark), [corpus.candidates(spark, str(tmp_path))], 2)
+    assert plan.groupBy("task_id").count().where("count > 2").count() == 0 and plan.where("NOT truncated").count() == 0
+    assert not re.search(r"Window[^\n]*\[task_id#\d+\]", plan._jdf.queryExecution().optimizedPlan().toString())  # the caps' order was found by keys before
+    assert plan.where("excerpt = 'the other 8'").count() + plan.where("excerpt <> 'the other 8'").count() == 6
