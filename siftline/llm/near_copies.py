@@ -1,17 +1,20 @@
 """Near-copies for training: texts whose sets of word shingles have a Jaccard similarity of ``SIMILAR`` or more.
 
-Texts with the same set of five-word shingles are one node. At this similarity SimHash
-fingerprints differ by more bits than blocks of the bits can find, so the buckets are those
-of minimum hashes: ``BANDS`` bands of ``ROWS`` minima each, of which a pair at 0.8 shares
-none with probability 7e-5. Pairs in a bucket whose SimHash fingerprints differ by at most
-``RADIUS`` bits are candidates (at 0.8 they differ by about 10, with a deviation of 3), and
-a candidate is a link only if the shingle sets, computed again from the whole texts, are
-similar enough. Components of the links are the classes.
+Texts with the same set of five-word shingles are one node. Each node has a SimHash of
+``TABLES`` blocks of ``BITS`` bits, and goes to one bucket for each block. At a similarity of
+0.8 a bit differs with probability 0.152, so a pair shares a block with probability 0.139, and
+none of 69 with 3e-5. Sets of up to ``FEW`` shingles, of which more bits may differ, have twice as
+many blocks; of sets of up to 50 none has more than 8e-5. In a bucket the nodes are the members of a Gray-ordered hierarchical index
+(``simhash_gray.GrayIndex``) of the SimHash's first ``WORDS`` words: pairs that differ in at
+most ``RADIUS`` bits of the first and ``WIDE`` of all (about 29 at 0.8, with a deviation of 5;
+others in about 96, with one of 7) are candidates, and a candidate is a link only if the
+shingle sets, computed again from the whole texts, are similar enough. Components of the links
+are the classes.
 
 Candidates come in two rounds, so a large class does not have all its pairs checked. First
-each member of a bucket meets its nearest and the bucket's first one. Then buckets that
-still hold several components get the ``LEAST`` smallest shingle hashes of those members
-that have a candidate of another component. Where
+those that connect a bucket's members, and each member with the first of those so connected.
+Then buckets that still hold several components get the ``LEAST`` smallest shingle hashes of
+those members that have a candidate of another component. Where
 these are both members' whole sets they decide a pair exactly, in the bucket's task, and
 only pairs that join components leave it. Of larger sets a pair goes on to its texts if
 ``LEAST_SHARED`` hashes are equal: at 0.8 some 410 are, with a deviation of 9, so a link is
@@ -23,7 +26,7 @@ one shingle; repeated rows share a class.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,13 @@ from .rows import map_rows
 
 SHINGLE = 5
 SIMILAR = 0.8
-RADIUS = 24
-BANDS, ROWS = 24, 5
+TABLES, BITS, FEW = 69, 12, 16
+WORDS, RADIUS, WIDE = 3, 24, 58
 LEAST, LEAST_SHARED = 512, 364
-CHUNK = 1024
+HELD = 1 << 17
 SEED = 42
+PRINT = [f"w{k}" for k in range(WORDS)]
+MEMBER = "bucket long, node long, " + ", ".join(f"{w} long" for w in PRINT) + ", side int"
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -56,36 +61,40 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _sketcher() -> Callable[[np.ndarray], tuple[int, int, list[int], int, bytes]]:
-    """A function from a shingle set to (hash of the set, fingerprint, hashes of its bands)."""
-    rng = np.random.default_rng(SEED)
-    odd = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-
-    def of(own: np.ndarray) -> tuple[int, int, list[int]]:
-        name = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).astype(np.int64))
-        if len(own) < 4:  # only an equal set is similar
-            return name, simhash_gray.majority(own), []
-        least = np.full(BANDS * ROWS, ~np.uint64(0))
-        for at in range(0, len(own), 128):
-            np.minimum(least, (own[at : at + 128, None] * odd).min(axis=0), out=least)
-        bands = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
-        return name, simhash_gray.majority(own), np.array(bands, np.uint64).view(np.int64).tolist()
-
-    return of
+def sketch(own: np.ndarray) -> tuple[int, bytes]:
+    """Hash of a shingle set, and its SimHash; a set that only an equal one is similar to has none."""
+    name = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).astype(np.int64))
+    if len(own) < 4:
+        return name, b""
+    words = -(-TABLES * BITS // 64) * (2 if len(own) <= FEW else 1)
+    return name, np.packbits(simhash_gray.wide_print(own, words)).tobytes()
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (hash of the shingle set), fp and bands of every row."""
-
-    def make() -> Callable[..., list[tuple]]:
-        sketch = _sketcher()
-        return lambda i, h, t: [(i, h, *sketch(shingle_set(t)))]
-
+    """doc_id, text_hash, node (hash of the shingle set) and print (its SimHash) of every row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_rows(rows, make, "doc_id long, text_hash long, node long, fp long, bands array<long>")
-
-
-def _buckets(batches: Iterator[pa.RecordBatch], *columns: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    return map_rows(rows, lambda: lambda i, h, t: [(i, h, *sketch(shingle_set(t)))], "doc_id long, text_hash long, node long, print binary")
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of each node's SimHash: the bucket of all that have this block, node, and the words to compare."""
+    for batch in batches:
+        for at in range(0, len(batch), 2048):
+            part = batch.slice(at, 2048)
+            nodes, prints = part.column("node").to_numpy(zero_copy_only=False), part.column("print").to_pylist()
+            lengths = np.array([len(p) for p in prints])
+            for size in np.unique(lengths[lengths > 0]).tolist():
+                own = lengths == size
+                raw = np.frombuffer(b"".join(p for p in prints if len(p) == size), np.uint8).reshape(-1, size)
+                tables = size * 8 // BITS
+                bits = np.unpackbits(raw, axis=1)[:, : tables * BITS].reshape(-1, tables, BITS).astype(np.int64)
+                bucket = (bits << np.arange(BITS)).sum(axis=2) + (np.arange(tables) << BITS)
+                words = raw[:, : 8 * WORDS].copy().view(np.int64)
+                columns = [bucket.ravel(), np.repeat(nodes[own], tables), *(np.repeat(words[:, k], tables) for k in range(WORDS))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "node", *PRINT])
+
+
+def _buckets(batches: Iterable[pa.RecordBatch], *columns: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The columns in order of bucket, and the starts and sizes of the buckets."""
     held = list(batches)
     if not held:
@@ -97,55 +106,64 @@ def _buckets(batches: Iterator[pa.RecordBatch], *columns: str) -> tuple[list[np.
     return [t.column(c).to_numpy()[order] for c in columns], starts, np.diff(np.r_[starts, len(order)])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of buckets with two members or more."""
-    names = ("bucket", "node", "fp", "side")
-    columns, _, sizes = _buckets(batches, *names)
-    kept = np.repeat(sizes > 1, sizes)
-    yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=list(names))
-
-
-def _batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    a, b = np.concatenate(a), np.concatenate(b)
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in order of bucket, put together to about ``HELD`` rows or one bucket, and cut where a bucket ends."""
+    held, n = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        n += len(batch)
+        if n >= HELD:
+            bucket = batch.column(0).to_numpy()
+            at = int(np.searchsorted(bucket, bucket[-1]))
+            if at:
+                yield [*held[:-1], batch.slice(0, at)]
+                held, n = [batch.slice(at)], len(batch) - at
+    if held:
+        yield held
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of buckets that have a candidate there, and candidate pairs that connect them (side -1; node and the other one as bucket).
+
+    Rows are in order of bucket, so a task holds some ``HELD`` of them, or those of one bucket, at a time.
+    """
+    for held in _whole_buckets(batches):
+        yield _near_of(held)
+
+
+def _near_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    (bucket, node, *words, side), *_ = _buckets(held, "bucket", "node", *PRINT, "side")
+    words = [w.view(np.uint64) for w in words]
+    index = simhash_gray.GrayIndex(bucket, words[0], side, tuple(words[1:]), WIDE)
+    root, order = index.grow(RADIUS), index.order
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    kept = order[np.union1d(linked, root[linked])]
+    hub = linked[index.close(linked, root[linked], RADIUS)]
+    none = np.zeros(0, np.int64)
+    a, b = (np.concatenate([none, *(e[k] for e in index.edges), (hub, root[hub])[k]]) for k in (0, 1))
+    a, b = node[order[a]], node[order[b]]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the buckets' members: each with its nearest and the bucket's first."""
-    (node, fp, side), starts, sizes = _buckets(batches, "node", "fp", "side")
-    fp, none = fp.view(np.uint64), np.zeros(0, np.int64)
-    a, b, held = [none], [none], 0
-    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-        for at in range(s, s + n, CHUNK):
-            x = slice(at, min(at + CHUNK, s + n))
-            apart = np.bitwise_count(fp[x, None] ^ fp[None, x])
-            open_ = (apart <= RADIUS) & (node[x, None] != node[None, x]) & ((side[x, None] == 0) | (side[x, None] != side[None, x]))
-            i = np.arange(x.stop - at)
-            j = np.where(open_, apart, 255).argmin(axis=1)
-            i, j = np.r_[i, i], np.r_[j, np.zeros_like(j)]
-            hit = open_[i, j]
-            a.append(node[at + i[hit]])
-            b.append(node[at + j[hit]])
-            held += len(i)
-            if held > 1 << 18:
-                yield _batch(a, b)
-                a, b, held = [none], [none], 0
-    yield _batch(a, b)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    zero, apart = np.zeros(len(pairs), np.int64), np.full(len(pairs), -1, np.int32)
+    columns = [(bucket[kept], pairs[:, 1]), (node[kept], pairs[:, 0]), *((w.view(np.int64)[kept], zero) for w in words), (side[kept].astype(np.int32), apart)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["bucket", "node", *PRINT, "side"])
 
 
 def _open(fp: np.ndarray, side: np.ndarray, class_of: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
     """Those members j of a bucket that are of another class than i, meet it there and have a fingerprint near its own."""
     j = j[class_of[j] != class_of[i]]
-    return j[(np.bitwise_count(fp[j] ^ fp[i]) <= RADIUS) & ((side[j] == 0) | (side[j] != side[i]))]
+    apart = np.bitwise_count(fp[j] ^ fp[i])
+    return j[(apart[:, 0] <= RADIUS) & (apart.sum(axis=1, dtype=np.int64) <= WIDE) & ((side[j] == 0) | (side[j] != side[i]))]
 
 
 def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The members of buckets that have a candidate of another root there; the others need no shingles."""
-    names = ("bucket", "node", "fp", "side", "root")
+    names = ("bucket", "node", *PRINT, "side", "root")
     columns, starts, sizes = _buckets(batches, *names)
-    _, _, fp, side, root = columns
-    fp, kept = fp.view(np.uint64), np.zeros(len(root), bool)
+    _, _, *words, side, root = columns
+    fp, kept = np.stack(words, axis=1).view(np.uint64), np.zeros(len(root), bool)
     for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         own = slice(s, s + n)
         class_of = np.unique(root[own], return_inverse=True)[1]
@@ -159,8 +177,8 @@ def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _apart(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
     """Pairs of the buckets' members of different roots: those that are similar and join components (sure), and those that may be."""
-    (node, fp, side, root, size, least), starts, sizes = _buckets(batches, "node", "fp", "side", "root", "size", "least")
-    fp, found = fp.view(np.uint64), []
+    (node, *words, side, root, size, least), starts, sizes = _buckets(batches, "node", *PRINT, "side", "root", "size", "least")
+    fp, found = np.stack(words, axis=1).view(np.uint64), []
     for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         if (root[s : s + n] == root[s]).all():
             continue
@@ -211,17 +229,18 @@ def _similar(texts: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
 def classes(documents: DataFrame, similar: float = SIMILAR, hot: int = simhash_gray.HOT) -> DataFrame:
     """doc_id, text_hash and class_fp, the hash of one shingle set that stands for the class, of every row."""
     prints = cut(sketches(documents))
-    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    placed = simhash_gray.dealt(nodes.select("node", "fp", F.explode("bands").alias("bucket")), "node", hot)
-    shape = "bucket long, node long, fp long, side int"
-    members = cut(placed.repartition("bucket").select("bucket", "node", "fp", "side").mapInArrow(_shared, shape))
+    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("print").alias("print")))
+    places = nodes.select("node", "print").mapInArrow(_placed, MEMBER.removesuffix(", side int"))
+    placed = simhash_gray.dealt(places, "node", hot).repartition("bucket").sortWithinPartitions("bucket").select("bucket", "node", *PRINT, "side")
+    found = cut(placed.mapInArrow(_near, MEMBER))
+    members = found.where("side >= 0")
     texts = stored(_texts(documents, nodes, members.select("node").distinct()), "near_texts")  # the one time that documents are dealt out
-    near = stored(members.repartition("bucket").mapInArrow(_nearest, "a long, b long").distinct(), "near_pairs")
+    near = stored(found.where("side < 0").select(F.col("node").alias("a"), F.col("bucket").alias("b")).distinct(), "near_pairs")
     links = _similar(texts, near, similar)
     roots = connected_components(links).select(F.col("node").alias("r_node"), "root")
     rooted = members.join(roots, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("root", "node"))
-    dealt = rooted.select("bucket", "node", "fp", "side", "root").repartition("bucket")
-    more = stored(dealt.mapInArrow(_unsettled, "bucket long, node long, fp long, side int, root long"), "near_members")
+    dealt = rooted.select("bucket", "node", *PRINT, "side", "root").repartition("bucket")
+    more = stored(dealt.mapInArrow(_unsettled, f"{MEMBER}, root long"), "near_members")
 
     def make() -> Callable[..., list[tuple]]:
         def of(node: int, text: str | None) -> list[tuple]:
@@ -232,7 +251,7 @@ def classes(documents: DataFrame, similar: float = SIMILAR, hot: int = simhash_g
 
     if not more.isEmpty():
         sets = map_rows(texts.join(more.select("node").distinct(), "node", "left_semi"), make, "node long, size long, least binary")
-        rows = more.join(sets, "node").repartition("bucket").select("bucket", "node", "fp", "side", "root", "size", "least")
+        rows = more.join(sets, "node").repartition("bucket").select("bucket", "node", *PRINT, "side", "root", "size", "least")
         apart = stored(rows.mapInArrow(lambda batches: _apart(batches, similar), "a long, b long, sure boolean").distinct(), "near_pairs")
         links = links.unionByName(apart.where("sure").select("a", "b"))
         unsure = apart.where("NOT sure").select("a", "b").join(near, ["a", "b"], "left_anti")

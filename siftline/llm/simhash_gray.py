@@ -64,6 +64,18 @@ def majority(hashes: np.ndarray) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def wide_print(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of 64 * words bits (0 or 1) of some hashes: each word's bits are those of the hashes mixed with a number of its own."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64)[:words] | np.uint64(1)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 240):  # a byte holds the sum
+        x = hashes[at : at + 240, None] * odd
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return (2 * ones > len(hashes)).astype(np.uint8)
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of the text's word shingles as a signed integer."""
     return majority(shingle_hashes(text, shingle))
@@ -96,11 +108,14 @@ class GrayIndex:
     bucket meet each other, else 1 or 2 where only the two sides meet. Members are kept in
     (bucket, side, Gray rank) order. Level 0 groups are FANOUT consecutive members of one
     bucket and side; each further level groups FANOUT nodes until one node a side is left.
+    more: further words of a wider fingerprint, which must differ in at most ``wide`` bits in
+    all, those of fp included. order: which member each place holds.
     """
 
-    def __init__(self, bucket: np.ndarray, fp: np.ndarray, side: np.ndarray) -> None:
-        order = np.lexsort((gray_rank(fp), side, bucket))
+    def __init__(self, bucket: np.ndarray, fp: np.ndarray, side: np.ndarray, more: tuple[np.ndarray, ...] = (), wide: int = 0) -> None:
+        self.order = order = np.lexsort((gray_rank(fp), side, bucket))
         self.bucket, self.fp, self.side = bucket[order], fp[order], side[order]
+        self.more, self.wide, self.edges = [m[order] for m in more], wide, []
         self.parent = np.arange(len(fp))
         part = np.r_[True, (self.bucket[1:] != self.bucket[:-1]) | (self.side[1:] != self.side[:-1])] if len(fp) else np.zeros(0, bool)
         self.levels = []  # of (first child, end, AND, OR, part)
@@ -123,7 +138,13 @@ class GrayIndex:
             self.parent = up
 
     def _union(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Join the components of each a and b."""
+        """Join the components of each a and b; one pair for any two components is an edge."""
+        root = self._roots()
+        x, y = root[a], root[b]
+        _, first = np.unique(np.minimum(x, y) * len(root) + np.maximum(x, y), return_index=True)
+        first = first[x[first] != y[first]]
+        a, b = a[first], b[first]
+        self.edges.append((a, b))
         while len(a):
             root = self._roots()
             x, y = root[a], root[b]
@@ -142,9 +163,24 @@ class GrayIndex:
 
     def join(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (fp, fp of its root) that connect what links within the buckets connect."""
+        root = self.grow(radius)
+        linked = root != np.arange(len(root))
+        return self.fp[linked], self.fp[root[linked]]
+
+    def close(self, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+        """Whether the members a and b differ in few enough bits."""
+        apart = np.bitwise_count(self.fp[a] ^ self.fp[b]).astype(np.int64)
+        near = apart <= radius
+        if self.more:
+            at = np.flatnonzero(near)
+            near[at] = apart[at] + sum(np.bitwise_count(m[a[at]] ^ m[b[at]]).astype(np.int64) for m in self.more) <= self.wide
+        return near
+
+    def grow(self, radius: int) -> np.ndarray:
+        """The root of each member: the first of those that links within its bucket connect with it. ``edges`` has links that connect them."""
         if not self.levels:
-            return self.fp, self.fp
-        close = lambda a, b: np.bitwise_count(self.fp[a] ^ self.fp[b]) <= radius
+            return self.parent
+        close = lambda a, b: self.close(a, b, radius)
         for step in (1, 2, 3):
             a = np.arange(len(self.fp) - step)
             a = a[self.bucket[a] == self.bucket[a + step]]
@@ -159,7 +195,7 @@ class GrayIndex:
         whole, grown = self._whole(), 0
         while stack:
             level, a, b = stack.pop()
-            if len(a) > FRONTIER // FANOUT:
+            if len(a) > FRONTIER // FANOUT**2:  # FRONTIER pairs of children at most
                 half = len(a) // 2
                 stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
                 continue
@@ -177,9 +213,7 @@ class GrayIndex:
                 grown += int(hit.sum())
                 if grown > 4096:
                     whole, grown = self._whole(), 0
-        root = self._roots()
-        linked = root != np.arange(len(root))
-        return self.fp[linked], self.fp[root[linked]]
+        return self._roots()
 
     def _first(self, level: int) -> np.ndarray:
         at = self.levels[level][0]
@@ -214,7 +248,7 @@ def dealt(placed: DataFrame, member: str, hot: int = HOT) -> DataFrame:
     """placed (bucket and more) with side; buckets of more than hot rows are cut into chunks by a hash of the member column, and every pair of chunks is a bucket."""
     crowded = placed.groupBy("bucket").count().where(F.col("count") > hot).select("bucket", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
     rest = [c for c in placed.columns if c != "bucket"]
-    placed = placed.join(crowded, "bucket", "left")
+    placed = placed.join(F.broadcast(crowded), "bucket", "left")  # a hot-th of the rows at most
     chunk = F.pmod(F.xxhash64(member, F.lit(7)), F.col("chunks")).cast("int")
     other = F.sequence(F.lit(0), F.col("chunks") - 1)
     places = F.when(F.col("chunks").isNull(), F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("side")))).otherwise(

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -56,3 +57,43 @@ def test_hot_buckets_and_empty_input(spark):
     want, cut = ({(r["doc_id"], r["text_hash"], r["class_fp"]) for r in near_copies.classes(frame, hot=h).collect()} for h in (simhash_gray.HOT, 5))
     assert len({c for *_, c in want}) == len({c for *_, c in cut})
     assert near_copies.keep_one(frame.limit(0)).count() == 0
+
+
+def test_candidates_come_from_simhash_blocks(spark):
+    """Nodes meet in a bucket where a block of their SimHashes is equal, and only there; every similar pair is a candidate."""
+    frame = spark.createDataFrame(list(enumerate(planted())), "doc_id long, text string")
+    rows = near_copies.sketches(frame).where("length(print) > 0").dropDuplicates(["node"])
+    bits = {r["node"]: np.unpackbits(np.frombuffer(r["print"], np.uint8)) for r in rows.collect()}
+    assert {len(b) // near_copies.BITS // near_copies.TABLES for b in bits.values()} <= {1, 2}
+    own = near_copies.shingle_set(planted()[6])
+    ones = sum(simhash_gray.wide_print(own[k : k + 1], 1).astype(int) for k in range(len(own)))
+    assert simhash_gray.wide_print(own, 1).tolist() == (2 * ones > len(own)).astype(int).tolist()
+    placed = rows.select("node", "print").mapInArrow(near_copies._placed, near_copies.MEMBER.removesuffix(", side int")).toPandas()
+    blocks = lambda b: {(k, b[k * near_copies.BITS : (k + 1) * near_copies.BITS].tobytes()) for k in range(len(b) // near_copies.BITS)}
+    held = placed.groupby("node")["bucket"].agg(set).to_dict()
+    nodes = sorted(bits)[:60]
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            assert len(held[a] & held[b]) == len(blocks(bits[a]) & blocks(bits[b]))
+    kept = corpus_pipeline.simhash_near_dedup(spark, frame, "").count()
+    assert kept < len(bits)
+
+
+def test_wide_index_connects_what_all_pairs_do():
+    r = np.random.default_rng(3)
+    words = [r.integers(0, 1 << 63, 900, dtype=np.uint64) for _ in range(3)]
+    for k in range(300):  # chains of near ones
+        for w in words:
+            w[600 + k] = w[k if k % 3 else 600 + max(k - 1, 0)] ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, 6, dtype=np.uint64))
+    bucket, side = r.integers(0, 3, 300).repeat(3).reshape(300, 3).T.ravel(), np.zeros(900, np.int64)
+    index = simhash_gray.GrayIndex(bucket, words[0], side, tuple(words[1:]), 40)
+    root = index.order[index.grow(14)]
+    root = dict(zip(index.order.tolist(), root.tolist(), strict=True))
+    want = list(range(900))
+    for a in range(900):
+        apart = [np.bitwise_count(w[a] ^ w[:a]).astype(int) for w in words]
+        for b in np.flatnonzero((bucket[:a] == bucket[a]) & (apart[0] <= 14) & (sum(apart) <= 40)).tolist():
+            x, y = want[a], want[b]
+            want = [x if v == y else v for v in want]
+    assert len(set(want)) < 700
+    assert len(set(zip(want, (root[k] for k in range(900)), strict=True))) == len(set(want)) == len(set(root.values()))
