@@ -43,14 +43,14 @@ SCHEMA = {
 def scan(lines: DataFrame, max_records: int = MAX_RECORDS) -> tuple[DataFrame, DataFrame]:
     """(records, violations) of JSON lines (file, line, value): what holds as records, and file, line, path and rule of all that does not.
 
-    A line that is no record does not hide the others. A file of more than ``max_records``
+    A line that is no record does not hide the others, even one of the same number or without one. A file of more than ``max_records``
     lines has one violation more, of rule capacity. Empty lines are none.
     """
     used = lines.where(F.trim("value") != "")
     wrong = schema.violations(used, "value", SCHEMA, ["file", "line"])
     crowded = used.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > max_records)
     none = crowded.select("file", F.lit(None).cast("long").alias("line"), F.lit("$").alias("path"), F.lit("capacity").alias("rule"))
-    good = used.join(wrong.select("file", "line").distinct(), ["file", "line"], "left_anti")
+    good = schema.checked(used, "value", SCHEMA, ["file", "line", "value"]).where("rule IS NULL")
     return good.select("file", "line", F.from_json("value", RECORD).alias("r")).select("file", "line", "r.*"), wrong.unionByName(none)
 
 

@@ -154,3 +154,13 @@ def test_labelled_values(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k long, t string")
     got = [r["s"] for r in rows.select("k", screen.is_sensitive(F.coalesce("t", F.lit(""))).alias("s")).orderBy("k").collect()]
     assert dict(zip(cases, got, strict=True)) == cases
+
+
+def test_metric_lines_are_checked_once_and_each_for_itself(spark):
+    """Lines that share a number, or have none, do not stand or fall together; what holds is found without a join."""
+    ok = json.dumps({"schema_version": "0.1", "task_id": "T-1", "recorded_at": "2024-01-01T00:00:00Z", "input_tokens": 3})
+    rows = spark.createDataFrame([("f", 1, ok), ("f", 1, "no json"), ("f", None, "no json"), ("f", None, ok), (None, 2, "{}")], "file string, line long, value string")
+    good, wrong = metrics.scan(rows)
+    assert sorted((r["line"] or 0, r["input_tokens"]) for r in good.collect()) == [(0, 3), (1, 3)]
+    assert {(r["file"], r["line"], r["rule"]) for r in wrong.collect()} == {("f", 1, "json"), ("f", None, "json"), (None, 2, "required")}
+    assert "Join" not in good._jdf.queryExecution().optimizedPlan().toString()
