@@ -97,3 +97,42 @@ def test_wide_index_connects_what_all_pairs_do():
             want = [x if v == y else v for v in want]
     assert len(set(want)) < 700
     assert len(set(zip(want, (root[k] for k in range(900)), strict=True))) == len(set(want)) == len(set(root.values()))
+
+
+def test_large_group_has_two_pairs_a_node_checked(spark, monkeypatch):
+    """Texts of a group whose pairs are all candidates: two pairs of each node meet their texts, not one for every bucket, and the classes are whole."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(2000)]
+    texts = []
+    for edits in (3, 9):  # copies that are similar to each other, and copies whose pairs mostly are not
+        base = [r.choice(words) for _ in range(200)]
+        for k in range(150):
+            own = list(base)
+            for at in r.sample(range(200), edits):
+                own[at] = f"own{k}"
+            texts.append(" ".join(own))
+    sets = [near_copies.shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if root[i] != root[j] and near_copies.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    checked, similar = [], near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda t, pairs, s: checked.append(pairs.count()) or similar(t, pairs, s))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in near_copies.keep_one(frame).collect())
+    assert kept == sorted(set(root))
+    assert 0 < checked[0] <= 2 * len(texts)
+    assert len(checked) == 1  # sets of up to LEAST shingles are decided in their buckets
+
+
+def test_pair_is_decided_in_its_first_table():
+    """Members that differ in one bit share nearly every block; only the bucket of the first one compares them, and cut buckets compare all."""
+    fp = np.array([[7, 8, 9], [7, 8, 9 ^ 1]], np.uint64)
+    blocks, none = near_copies._blocks(fp), np.zeros(2, np.int64)
+    of = lambda bucket, size: near_copies._Bucket(bucket, fp, blocks, none, np.array(size), np.array([1, 2]), 0.8).open(0).tolist()
+    assert blocks.shape == (2, 64 * near_copies.WORDS // near_copies.BITS)
+    assert of(5, (100, 90)) == [1] and of(5 + (3 << near_copies.BITS), (100, 90)) == []
+    assert of(-5, (100, 90)) == [1] and of(1 << 60, (100, 90)) == [1]
+    assert of(5, (100, 79)) == []
